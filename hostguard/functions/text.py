@@ -68,3 +68,18 @@ def matches(text: Column, pattern: str) -> Column:
 def plain_number(value: Column) -> Column:
     """A decimal without trailing zeros, one digit after the point at least."""
     return F.regexp_replace(value.cast("string"), r"(\.\d+?)0+$", "$1")
+
+
+# Fixed value: the characters that count as white space around a line.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
+def blank_to_null(text: Column) -> Column:
+    return F.when(text != "", text)

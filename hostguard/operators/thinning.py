@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostguard.operators.skew import SkewPolicy, split_heavy
@@ -97,61 +97,49 @@ def _key_starts(table: pa.RecordBatch) -> np.ndarray:
 
 
 def _follow_hot(df: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
+    """Hot keys are few, so each gets a number and only numbers and times go through the levels."""
     df = materialize(df)
-    kept = kept_times(df, keys, gap_us)
+    numbered = df.select(*keys).distinct().withColumn("_key", F.row_number().over(Window.orderBy(*keys)).cast("bigint"))
+    numbered = materialize(numbered)
+    named = F.broadcast(numbered.withColumnsRenamed({k: f"_k_{k}" for k in keys}))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    df = df.join(named, same).select(*df.columns, "_key")
+    kept = kept_times(df.select("_key", "ts_us"), gap_us)
     # Of several rows at a kept moment the first by seq is kept.
-    first = df.groupBy(*keys, "ts_us").agg(F.min("seq").alias("seq"))
-    first = first.join(_renamed(kept, keys), _same(keys) & (F.col("ts_us") == F.col("_k_ts_us")), "left_semi")
-    first = first.select(F.col("seq").alias("_first_seq"), *[F.col(k).alias(f"_k_{k}") for k in [*keys, "ts_us"]])
-    matches = _same(keys) & (F.col("ts_us") == F.col("_k_ts_us")) & (F.col("seq") == F.col("_first_seq"))
-    return df.join(first, matches, "left_semi")
+    first = df.select("_key", "ts_us", "seq").join(kept, ["_key", "ts_us"], "left_semi")
+    first = first.groupBy("_key", "ts_us").agg(F.min("seq").alias("seq"))
+    return df.join(first, ["_key", "ts_us", "seq"], "left_semi").drop("_key")
 
 
-def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.withColumnsRenamed({k: f"_k_{k}" for k in [*keys, "ts_us"]})
-
-
-def _same(keys: list[str]):
-    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-
-
-def kept_times(df: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
-    """(keys, ts_us) of the kept moments, for keys of any size.
+def kept_times(moments: DataFrame, gap_us: int) -> DataFrame:
+    """(_key, ts_us) of the kept moments, for keys of any size.
 
     A block table lists, for a stretch of time, ``enter`` -> ``leave``: entering the stretch with the next row
     allowed from time t on, the first row kept is the smallest ``enter`` >= t and the last one kept is its
     ``leave``. Only rows in the first gap of a stretch, and the first one after it, can be entered at, so the
     tables do not grow from level to level: a block has at most one row per microsecond of the gap.
     """
-    key_fields = [df.schema[k].simpleString().replace(":", " ", 1) for k in keys]
-    moments = df.select(*keys, "ts_us").distinct()
-    low, high = df.agg(F.min("ts_us"), F.max("ts_us")).first()
+    moments = moments.distinct()
+    low, high = moments.agg(F.min("ts_us"), F.max("ts_us")).first()
     if low is None:
         return moments
     block = F.expr(f"(ts_us - {low}L) div {gap_us}L")
-    levels = [
-        materialize(
-            moments.select(*keys, block.alias("block"), F.col("ts_us").alias("enter"), F.col("ts_us").alias("leave"))
-        )
-    ]
-    table_schema = ", ".join([*key_fields, "block bigint", "enter bigint", "leave bigint"])
+    levels = [materialize(moments.select("_key", block.alias("block"), F.col("ts_us").alias("enter"), F.col("ts_us").alias("leave")))]
+    parent = F.expr(f"block div {FAN_IN}L")
     blocks = (high - low) // gap_us + 1
     while blocks > 1:
-        parent = levels[-1].withColumn("parent", F.expr(f"block div {FAN_IN}L"))
-        merged = parent.groupBy(*keys, "parent").applyInPandas(_merge_blocks(keys, gap_us), table_schema)
+        children = levels[-1].withColumn("parent", parent).groupBy("_key", "parent")
+        merged = children.applyInPandas(_merge_blocks(gap_us), "_key bigint, block bigint, enter bigint, leave bigint")
         levels.append(materialize(merged))
         blocks = -(-blocks // FAN_IN)
 
-    entries = levels[-1].groupBy(*keys, "block").agg(F.min("enter").alias("allowed"))
-    entry_schema = ", ".join([*key_fields, "block bigint", "allowed bigint"])
+    entries = levels[-1].groupBy("_key", "block").agg(F.min("enter").alias("allowed"))
     for level in reversed(levels[:-1]):
-        children = level.withColumn("parent", F.expr(f"block div {FAN_IN}L"))
-        children = children.groupBy(*keys, "parent")
-        above = entries.groupBy(*keys, "block")
-        entries = children.cogroup(above).applyInPandas(_enter_blocks(keys, gap_us), entry_schema)
-    bottom = entries.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("block").alias("_k_block"), "allowed")
-    hits = levels[0].join(bottom, _same(keys) & (F.col("block") == F.col("_k_block")) & (F.col("enter") >= F.col("allowed")))
-    return hits.groupBy(*keys, "block").agg(F.min("enter").alias("ts_us")).select(*keys, "ts_us")
+        children = level.withColumn("parent", parent).groupBy("_key", "parent")
+        above = entries.groupBy("_key", "block")
+        entries = children.cogroup(above).applyInPandas(_enter_blocks(gap_us), "_key bigint, block bigint, allowed bigint")
+    hits = levels[0].join(entries, ["_key", "block"]).filter("enter >= allowed")
+    return hits.groupBy("_key", "block").agg(F.min("enter").alias("ts_us")).select("_key", "ts_us")
 
 
 def _child_tables(rows: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -163,47 +151,39 @@ def _child_tables(rows: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]
     return [(int(block[s]), enter[s:e], leave[s:e]) for s, e in zip(starts, ends)]
 
 
-def _merge_blocks(keys: list[str], gap_us: int):
+def _merge_blocks(gap_us: int):
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         tables = _child_tables(rows)
-        first_block, enter, leave = tables[0]
         parent = int(rows["parent"].iloc[0])
-        if first_block == parent * FAN_IN and len(tables) > 1:
-            # Allowed later than every row of the first child: enter at the first row of the next one.
-            enter = np.append(enter, tables[1][1][0])
-            leave = np.append(leave, -1)
-            leave[-1] = tables[1][2][0]
-        elif first_block != parent * FAN_IN:
+        first_block, enter, leave = tables[0]
+        if first_block != parent * FAN_IN:
             # Nothing in the first child: every entry is at the first row there is.
             enter, leave = enter[:1], leave[:1]
+        elif len(tables) > 1:
+            # Allowed later than every row of the first child: enter at the first row of the next one.
+            _, next_enter, next_leave = tables[1]
+            enter, leave = np.append(enter, next_enter[0]), np.append(leave, next_leave[0])
         leave = leave.copy()
-        skip = np.zeros(len(leave), bool)
-        if first_block == parent * FAN_IN and len(tables) > 1:
-            skip[-1] = True
-        for number, (_, child_enter, child_leave) in enumerate(tables[1:]):
+        for _, child_enter, child_leave in tables[1:]:
             at = np.searchsorted(child_enter, leave + gap_us)
-            moved = at < len(child_enter)
-            if number == 0:
-                moved &= ~skip
+            # A block already passed lies before the time allowed and has nothing to offer.
+            moved = (at < len(child_enter)) & (leave < child_enter[0])
             leave[moved] = child_leave[at[moved]]
-        out = pd.DataFrame({k: [rows[k].iloc[0]] * len(enter) for k in keys})
-        return out.assign(block=parent, enter=enter, leave=leave)
+        return pd.DataFrame({"_key": rows["_key"].iloc[0], "block": parent, "enter": enter, "leave": leave})
 
     return merge
 
 
-def _enter_blocks(keys: list[str], gap_us: int):
+def _enter_blocks(gap_us: int):
     def enter_children(children: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
-        blocks, allowed_at = [], []
+        entered = []
         if len(above) and len(children):
             allowed = int(above["allowed"].iloc[0])
             for block, enter, leave in _child_tables(children):
                 at = int(np.searchsorted(enter, allowed))
                 if at < len(enter):
-                    blocks.append(block)
-                    allowed_at.append(allowed)
+                    entered.append((int(children["_key"].iloc[0]), block, allowed))
                     allowed = int(leave[at]) + gap_us
-        out = pd.DataFrame({k: [children[k].iloc[0]] * len(blocks) if len(children) else [] for k in keys})
-        return out.assign(block=np.array(blocks, "int64"), allowed=np.array(allowed_at, "int64"))
+        return pd.DataFrame(np.array(entered, "int64").reshape(-1, 3), columns=["_key", "block", "allowed"])
 
     return enter_children
