@@ -17,7 +17,7 @@ _PLAIN_RUN = re.compile(r"(?:[A-Za-z0-9 _=:/\"',;@#%&~<>!-]|\\[./\\-])*")
 
 def iso_millis(seconds: Column) -> Column:
     """Epoch seconds as ISO-8601 UTC text with milliseconds and a Z."""
-    at = F.timestamp_millis(F.floor(seconds * 1000).cast("bigint"))
+    at = F.timestamp_micros(F.round(seconds * 1_000_000).cast("bigint"))
     return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 

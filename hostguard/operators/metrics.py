@@ -135,22 +135,24 @@ def ewma(
 ) -> DataFrame:
     """Exponentially weighted mean per key, seeded with the first value.
 
-    The value at distance r from the newest weighs ``alpha * (1 - alpha)^r``, the first one
-    ``(1 - alpha)^r``. With distances known the mean is a plain sum, so no list is built per key.
+    Written out, the value r steps before the newest weighs ``alpha * (1 - alpha)^r``, and the seed adds
+    ``(1 - alpha)^n`` of the first value. That is a plain sum over rows numbered from the newest, so no list is
+    built per key.
     """
 
     def body(scan: Scan) -> DataFrame:
-        scan = scan.running(_n=Running("sum", F.lit(1).cast("bigint")))
-        totals = scan.df.groupBy(*by).agg(F.max("_n").alias("_total"))
-        named = totals.withColumnsRenamed({k: f"_k_{k}" for k in by})
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by])
-        rows = scan.df.join(named, same)
-        share = F.when(F.col("_n") == 1, F.lit(1.0)).otherwise(F.lit(float(alpha)))
-        weight = share * F.pow(F.lit(1.0 - alpha), (F.col("_total") - F.col("_n")).cast("double"))
-        return rows.groupBy(*by).agg(F.sum(weight * F.col(value)).alias("ewma"))
+        scan = scan.running(_age=Running("sum", F.lit(1).cast("bigint")))
+        weight = F.lit(float(alpha)) * F.pow(F.lit(1.0 - alpha), (F.col("_age") - 1).cast("double"))
+        totals = scan.df.groupBy(*by).agg(
+            F.sum(weight * F.col(value)).alias("_sum"),
+            F.count(F.lit(1)).alias("_n"),
+            F.max_by(value, "_age").alias("_first"),
+        )
+        seed = F.pow(F.lit(1.0 - alpha), F.col("_n").cast("double")) * F.col("_first")
+        return totals.select(*by, (F.col("_sum") + seed).alias("ewma"))
 
     columns = df.select(*dict.fromkeys([*by, value, *order]))
-    return keyed_scan(columns, by, order, body, policy)
+    return keyed_scan(columns, by, [F.desc(c) for c in order], body, policy)
 
 
 def health(
