@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostguard.functions.ip import is_ip
+from hostguard.functions.ip import bind, is_ip
 from hostguard.functions.text import blank_to_null
 from hostguard.schemas import EVENT_SCHEMA, TEXT_MAP
 
@@ -32,26 +32,39 @@ def whole_number(text: Column) -> Column:
     return F.when(trimmed.rlike(r"^[+-]?\d+\z"), trimmed.try_cast("bigint"))
 
 
-def clean_value(text: Column) -> Column:
+def clean_value(text: Column, value: Column) -> Column:
     """A data value: lists lose their nulls, one-level objects their null entries, the rest stays as it is."""
-    parsed = F.try_parse_json(text)
-    items = F.filter(parsed.try_cast("array<variant>"), lambda item: ~F.is_variant_null(item))
-    entries = F.map_filter(parsed.try_cast("map<string,variant>"), lambda _, item: ~F.is_variant_null(item))
+    kind = F.schema_of_variant(value)
+    items = F.filter(value.try_cast("array<variant>"), lambda item: ~F.is_variant_null(item))
+    entries = F.map_filter(value.try_cast("map<string,variant>"), lambda _, item: ~F.is_variant_null(item))
     return (
-        F.when(text.startswith("["), F.coalesce(F.to_json(items), text))
-        .when(text.startswith("{"), F.coalesce(F.to_json(entries), text))
+        F.when(kind.startswith("ARRAY"), F.to_json(items))
+        .when(kind.startswith("OBJECT"), F.to_json(entries))
         .otherwise(text)
     )
 
 
+def json_object(column: Column) -> Column:
+    """A JSON object as a map of its values' text, nested values cleaned; null for any other text."""
+    parsed = F.try_parse_json(F.when(column.startswith("{"), column)).try_cast("map<string,variant>")
+    both = F.struct(F.from_json(column, TEXT_MAP).alias("texts"), parsed.alias("values"))
+
+    def clean(pair: Column) -> Column:
+        values = pair["values"]
+        cleaned = F.transform_values(pair["texts"], lambda key, text: clean_value(text, values[key]))
+        return F.when(values.isNotNull(), cleaned)
+
+    return bind(both, clean)
+
+
+def empty_map() -> Column:
+    return F.from_json(F.lit("{}"), TEXT_MAP)
+
+
 def text_map(column: Column) -> Column:
-    """JSON object text as a map with its values cleaned; other text as {raw: text}; nothing as an empty map."""
-    parsed = F.from_json(column, TEXT_MAP)
-    is_object = column.startswith("{") & F.try_parse_json(column).isNotNull()
-    raw = F.when(F.coalesce(column, F.lit("")) != "", F.create_map(F.lit("raw"), column)).otherwise(
-        F.from_json(F.lit("{}"), TEXT_MAP)
-    )
-    return F.when(is_object, F.transform_values(parsed, lambda _, value: clean_value(value))).otherwise(raw)
+    """JSON object text as a map; other text as {raw: text}; nothing as an empty map."""
+    raw = F.when(F.coalesce(column, F.lit("")) != "", F.create_map(F.lit("raw"), column)).otherwise(empty_map())
+    return F.coalesce(json_object(column), raw)
 
 
 def text_list(column: Column) -> Column:
@@ -164,18 +177,19 @@ def event_json(df: DataFrame, flatten_data: bool = False) -> DataFrame:
 def event_fields(df: DataFrame, column: str = "json") -> DataFrame:
     """JSON records to loose event columns; unknown top-level keys go into ``data``. Unreadable text: ``error``."""
     names = [field.name for field in EVENT_SCHEMA]
-    record = F.from_json(F.col(column), TEXT_MAP)
-    readable = F.try_parse_json(F.col(column)).isNotNull() & F.col(column).startswith("{")
-    rows = df.withColumn("_record", F.when(readable, record))
     known = F.array(*[F.lit(n) for n in names])
-    extra = F.map_filter("_record", lambda key, _: ~F.array_contains(known, key))
-    given = F.col("_record")["data"]
-    kept = F.map_filter(F.from_json(given, TEXT_MAP), lambda key, _: ~F.array_contains(F.map_keys(extra), key))
-    data = F.when(given.isNull() | given.startswith("{"), F.map_concat(F.coalesce(kept, F.map_filter(extra, lambda k, v: F.lit(False))), extra))
+    rows = df.withColumn("_record", json_object(F.col(column)))
+    rows = rows.withColumns(
+        {
+            "_extra": F.map_filter("_record", lambda key, _: ~F.array_contains(known, key)),
+            "_given": json_object(F.coalesce(F.col("_record")["data"], F.lit("{}"))),
+        }
+    )
+    own = F.map_filter("_given", lambda key, _: ~F.map_contains_key("_extra", key))
+    folded = F.coalesce(F.map_concat(own, F.col("_extra")), text_map(F.col("_record")["data"]))
     columns = {n: F.col("_record")[n] for n in names if n != "data"}
-    folded = F.when(given.isNotNull() & ~given.startswith("{"), given).otherwise(F.to_json(data))
     error = F.when(F.col("_record").isNull(), F.lit("not a JSON object"))
-    return rows.withColumns({**columns, "data": folded, "error": error}).drop("_record")
+    return rows.withColumns({**columns, "data": folded, "error": error}).drop("_record", "_extra", "_given")
 
 
 def filter_events(df: DataFrame, levels: list | None = None, keywords: list[str] = []) -> DataFrame:

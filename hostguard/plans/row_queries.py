@@ -1 +1,482 @@
-"""Placeholder."""
+"""Line parsing, events and alerts (P, S4, S6, A10, J1, J3)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hostguard.functions.ip import subnet_of
+from hostguard.operators import alerts, events, parsing
+from hostguard.plans import catalog, views
+from hostguard.plans.catalog import LinePattern
+from hostguard.plans.registry import query
+from hostguard.sources import lines as line_source
+
+AS_OF = 1_706_745_600.0
+
+LINES = """ev AS (SELECT *, epoch_us(ts) AS ts_us, concat('10.0.', user_id % 4, '.', user_id % 250 + 1) AS ip FROM events),
+lines AS (SELECT event_id, ts_us, ip, user_id, event_type, CASE
+  WHEN event_type = 'error' AND event_id % 5 = 0
+    THEN concat('sshd: authentication failure; rhost=', ip, ' user=u', user_id)
+  WHEN event_type = 'error'
+    THEN concat('Failed password for u', user_id, ' from ', ip, ' port ', 1024 + event_id % 60000)
+  WHEN event_type = 'purchase' THEN concat('EXEC: proc', user_id % 7, ' [PID: ', event_id + 1, ']')
+  WHEN event_type = 'click' THEN concat('GET /p', user_id % 9, '.php?cmd=', user_id)
+  WHEN event_type = 'signup' THEN concat('type=SYSCALL msg=audit name="/etc/passwd" uid=', user_id)
+  WHEN event_id % 10 = 0 THEN ''
+  ELSE concat('INFO session ok u', user_id) END AS line FROM ev)"""
+
+V4 = r"(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+
+
+@query("p1_extract_ip", f"""WITH {LINES},
+found AS (SELECT event_id, regexp_extract(line, '{V4}') AS ip FROM lines)
+SELECT event_id, CASE WHEN ip <> '' THEN ip END AS ip FROM found""")
+def p1(spark, folder):
+    return parsing.extract_ips(views.lines(spark, folder)).select("event_id", "ip")
+
+
+DOCUMENT_LINES = """dl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                               unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents)"""
+
+
+@query("p1_extract_ip_documents", f"""WITH {DOCUMENT_LINES},
+hit AS (SELECT doc_id, line_no, regexp_extract(line, '{V4}') AS ip FROM dl)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, ip FROM hit
+WHERE ip <> '' AND NOT regexp_matches(ip, '(^|\\.)0[0-9]')""")
+def p1_documents(spark, folder):
+    found = parsing.extract_ips(views.document_lines(spark, folder))
+    return found.filter(F.col("ip").isNotNull()).select("doc_id", "line_no", "ip")
+
+
+def _events(spark, folder):
+    return parsing.parse_events(views.lines(spark, folder))
+
+
+@query("p2_failed_logins", f"""WITH {LINES}
+SELECT event_id, 'failed_login' AS type, 'auth.log' AS source, 5 AS severity, ip, line AS raw_line FROM lines
+WHERE event_type = 'error' AND event_id % 5 <> 0""")
+def p2(spark, folder):
+    rows = _events(spark, folder).filter("type = 'failed_login'")
+    return rows.select("event_id", "type", "source", "severity", F.col("data")["ip"].alias("ip"),
+                       F.col("data")["raw_line"].alias("raw_line"))
+
+
+@query("p3_process_starts", f"""WITH {LINES}
+SELECT event_id, 'audit.log' AS source, 3 AS severity, CAST(event_id + 1 AS VARCHAR) AS process_id,
+       'proc' || (user_id % 7) AS name, line AS cmdline FROM lines WHERE event_type = 'purchase'""")
+def p3(spark, folder):
+    rows = _events(spark, folder).filter("type = 'process_activity'")
+    data = F.col("data")
+    return rows.select("event_id", "source", "severity", data["pid"].alias("process_id"), data["name"].alias("name"),
+                       data["cmdline"].alias("cmdline"))
+
+
+NAMED = [
+    LinePattern(r"Failed password for (?P<user>\w+) from (?P<ip>[\d.]+) port (?P<port>\d+)", "failed_login", ("auth",)),
+    LinePattern(r"(?P<process>\w+): authentication failure; rhost=\S+ user=(?P<user>\w+)", "auth_failure", ("auth", "pam")),
+    LinePattern(r"EXEC: (?P<process>\w+) \[PID: (?P<port>\d+|none)\]", "process_activity"),
+    LinePattern(r"GET (\S+)\?", "web"),
+]
+
+
+@query("p4_parse_lines", f"""WITH {LINES}
+SELECT event_id, source, raw_data, type, tags, ip, user, process, port FROM (SELECT event_id, 'log' AS source,
+  line AS raw_data,
+  CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'auth_failure' WHEN event_type = 'error' THEN 'failed_login'
+       WHEN event_type = 'purchase' THEN 'process_activity' ELSE 'web' END AS type,
+  CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'auth,pam' WHEN event_type = 'error' THEN 'auth' ELSE '' END AS tags,
+  CASE WHEN event_type = 'error' THEN ip END AS ip,
+  CASE WHEN event_type = 'error' THEN 'u' || user_id END AS user,
+  CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'sshd'
+       WHEN event_type = 'purchase' THEN 'proc' || (user_id % 7) END AS process,
+  CAST(CASE WHEN event_type = 'error' AND event_id % 5 <> 0 THEN 1024 + event_id % 60000
+            WHEN event_type = 'purchase' THEN event_id + 1 END AS INTEGER) AS port
+  FROM lines WHERE event_type IN ('error', 'purchase', 'click'))""")
+def p4(spark, folder):
+    rows = parsing.parse_lines(views.lines(spark, folder), NAMED)
+    return rows.select("event_id", "source", "raw_data", "type", F.concat_ws(",", "tags").alias("tags"), "ip", "user",
+                       "process", "port")
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+SIGNATURE_VALUES = "sig(ordinal, pattern) AS (VALUES " + ", ".join(
+    f"({i}, {_sql_text(p)})" for i, p in enumerate(catalog.SIGNATURES)
+) + ")"
+
+
+@query("p5_signature_counts", f"""WITH {LINES}, {SIGNATURE_VALUES}
+SELECT ordinal, pattern, count(line) AS hits FROM sig LEFT JOIN lines ON regexp_matches(line, pattern)
+GROUP BY ordinal, pattern""")
+def p5(spark, folder):
+    return parsing.signature_counts(views.lines(spark, folder), catalog.signature_patterns())
+
+
+@query("p5_signature_counts_documents", f"""WITH {DOCUMENT_LINES}, {SIGNATURE_VALUES}
+SELECT ordinal, pattern, count(line) AS hits FROM sig LEFT JOIN dl ON regexp_matches(line, pattern)
+GROUP BY ordinal, pattern""")
+def p5_documents(spark, folder):
+    return parsing.signature_counts(views.document_lines(spark, folder), catalog.signature_patterns())
+
+
+@query("j1_signature_hits", f"""WITH {LINES}, {SIGNATURE_VALUES}
+SELECT event_id, ordinal, line FROM lines JOIN sig ON regexp_matches(line, pattern)""")
+def j1(spark, folder):
+    table = spark.createDataFrame(list(enumerate(catalog.SIGNATURES)), "ordinal int, pattern string")
+    hits = parsing.signature_hits(views.lines(spark, folder), catalog.catalogue_rows(table))
+    return hits.select("event_id", "ordinal", "line")
+
+
+@query("p6_auth_failures", f"""WITH {LINES}
+SELECT event_id, line AS raw_data, 'auth,failed' AS tags, ip FROM lines
+WHERE regexp_matches(line, 'failed|failure|invalid password|authentication error|login failed|authentication rejected')""")
+def p6(spark, folder):
+    rows = parsing.auth_failures(views.lines(spark, folder))
+    return rows.select("event_id", "raw_data", F.concat_ws(",", "tags").alias("tags"), "ip")
+
+
+@query("p7_filter_events", f"""WITH {LINES}
+SELECT event_id, 'failed_login' AS type, 5 AS severity FROM lines
+WHERE event_type = 'error' AND event_id % 5 <> 0 AND contains(lower(line), 'u1') AND contains(lower(line), '10.0.1')""")
+def p7(spark, folder):
+    return events.filter_events(_events(spark, folder), [5, 7], ["U1", "10.0.1"]).select("event_id", "type", "severity")
+
+
+RAW = r"""concat('10.0.', user_id % 4, '.', user_id % 250 + 1) AS ip,
+  CASE WHEN event_id % 17 = 0 THEN '' ELSE concat('ev-', event_id) END AS id,
+  CASE event_id % 11 WHEN 0 THEN 'soon' WHEN 1 THEN '1000' WHEN 2 THEN '9999999999'
+       ELSE concat(CAST((ts_us - ts_us % 1000000) / 1000000 AS BIGINT), '.5') END AS timestamp,
+  CASE event_type WHEN 'error' THEN 'failed_login' WHEN 'purchase' THEN 'process_activity'
+       WHEN 'click' THEN 'network_connection' WHEN 'signup' THEN 'made_up' ELSE 'heartbeat' END AS type,
+  CASE event_id % 7 WHEN 0 THEN '0' WHEN 1 THEN '-1' WHEN 2 THEN 'abc' WHEN 3 THEN NULL
+       ELSE CAST(event_id + 1 AS STRING) END AS pid,
+  CASE event_id % 6 WHEN 0 THEN '0' WHEN 1 THEN '11' WHEN 2 THEN 'high' WHEN 3 THEN NULL
+       ELSE CAST(event_id % 10 + 1 AS STRING) END AS severity,
+  CASE event_id % 5 WHEN 0 THEN 'plain text'
+       WHEN 1 THEN concat('{"ip":"10.0.', user_id % 4, '.', user_id % 250 + 1, '","username":"u', user_id, '"}')
+       WHEN 2 THEN '{"ip":"999.1.1.1","n":[1,null,2]}' WHEN 3 THEN ''
+       ELSE concat('{"pid":"', event_id % 3, '","o":{"a":1,"b":null}}') END AS data,
+  CASE event_id % 3 WHEN 0 THEN 'single' WHEN 1 THEN '["a","b"]' ELSE '' END AS tags,
+  concat('h', user_id % 5) AS hostname, CASE WHEN event_id % 4 = 0 THEN concat('c', user_id) END AS correlation_id,
+  concat('src', event_id % 3) AS source"""
+
+
+def raw_events(spark, folder):
+    """Event records as loose text, some of it out of range or malformed."""
+    columns = ["event_id", "ts_us", "user_id", "event_type"]
+    return views.events(spark, folder).selectExpr(*columns, *_split(RAW))
+
+
+def _split(text: str) -> list[str]:
+    """The select items of ``text``, cut at commas outside parentheses, quotes and CASE blocks."""
+    items, depth, quoted, start = [], 0, False, 0
+    for i, char in enumerate(text):
+        if char == "'":
+            quoted = not quoted
+        elif not quoted:
+            depth += {"(": 1, ")": -1}.get(char, 0)
+            if char == "," and depth == 0:
+                items.append(text[start:i])
+                start = i + 1
+    return [*items, text[start:]]
+
+
+RAW_SQL = f"""ev AS (SELECT *, epoch_us(ts) AS ts_us FROM events),
+raw AS (SELECT event_id, ts_us, user_id, event_type, {RAW} FROM ev)"""
+
+NORMAL_SQL = f"""{RAW_SQL},
+norm AS (SELECT event_id, user_id, ip, id, hostname, correlation_id, source,
+  CASE event_id % 11 WHEN 0 THEN {AS_OF} WHEN 1 THEN 1600000000.0 WHEN 2 THEN 2200000000.0
+       ELSE CAST(timestamp AS DOUBLE) END AS timestamp,
+  CASE WHEN event_type IN ('signup') THEN 'unknown' ELSE type END AS type,
+  CASE WHEN event_id % 7 > 3 THEN CAST(event_id + 1 AS INTEGER) END AS pid,
+  CAST(CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 10 WHEN 2 THEN NULL WHEN 3 THEN NULL
+       ELSE event_id % 10 + 1 END AS INTEGER) AS severity,
+  CASE event_id % 5 WHEN 0 THEN '{{"raw":"plain text"}}' WHEN 3 THEN '{{}}'
+       WHEN 2 THEN '{{"ip":"999.1.1.1","n":"[1,2]"}}'
+       WHEN 4 THEN '{{"o":"{{\\"a\\":1}}","pid":"' || (event_id % 3) || '"}}' ELSE data END AS data,
+  CASE event_id % 3 WHEN 0 THEN 'single' WHEN 1 THEN 'a,b' ELSE '' END AS tags FROM raw)"""
+
+
+def normal_events(spark, folder):
+    return events.normalize_events(raw_events(spark, folder), F.lit(AS_OF), ["heartbeat"])
+
+
+def sorted_json(column):
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(column))))
+
+
+@query("p8_normalize_events", f"WITH {NORMAL_SQL} SELECT event_id, timestamp, type, pid, severity, data, tags, hostname, "
+       "correlation_id, source FROM norm")
+def p8(spark, folder):
+    rows = normal_events(spark, folder)
+    return rows.select("event_id", "timestamp", "type", "pid", "severity", sorted_json("data").alias("data"),
+                       F.concat_ws(",", "tags").alias("tags"), "hostname", "correlation_id", "source")
+
+
+@query("p9_validate_events", f"""WITH {NORMAL_SQL} SELECT event_id, type, CASE
+  WHEN type = 'failed_login' AND event_id % 5 = 2 THEN 'Invalid IP address in failed_login data: 999.1.1.1'
+  WHEN type = 'process_activity' AND event_id % 5 = 4 AND event_id % 3 = 0 THEN 'Invalid PID value: 0' END AS error
+FROM norm""")
+def p9(spark, folder):
+    return events.check_events(normal_events(spark, folder)).select("event_id", "type", "error")
+
+
+@query("p10_build_events", """SELECT event_id, event_type, CASE event_type WHEN 'error' THEN 'failed_login'
+    WHEN 'purchase' THEN 'process_activity' WHEN 'click' THEN 'network_connection' WHEN 'signup' THEN 'system_call'
+    ELSE 'file_change' END AS type,
+  CASE event_type WHEN 'error' THEN 'auth.log' WHEN 'click' THEN 'network' WHEN 'signup' THEN 'syscall' ELSE 'auditd' END AS source,
+  CASE event_type WHEN 'error' THEN 5 WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS severity,
+  CASE event_type WHEN 'error' THEN '{"ip":"10.0.0.' || user_id % 200 || '","username":"u' || user_id || '"}'
+    WHEN 'purchase' THEN '{"cmdline":"run","name":"p' || user_id || '","pid":"' || event_id || '"}'
+    WHEN 'click' THEN '{"dst_ip":"10.1.0.1","dst_port":"443","protocol":"tcp","src_ip":"10.0.0.' || user_id % 200 || '"}'
+    WHEN 'signup' THEN '{"args":"{}","pid":"' || event_id || '","syscall":"open"}'
+    ELSE '{"operation":"write","path":"/tmp/' || user_id || '"}' END AS data FROM events""")
+def p10(spark, folder):
+    rows = views.events(spark, folder)
+    user, number = F.col("user_id").cast("string"), F.col("event_id")
+    address = F.concat(F.lit("10.0.0."), (F.col("user_id") % 200).cast("string"))
+    built = {
+        "error": ("failed_login", {"ip": address, "username": F.concat(F.lit("u"), user)}),
+        "purchase": ("process_activity", {"pid": number, "name": F.concat(F.lit("p"), user), "cmdline": F.lit("run")}),
+        "click": ("network_connection", {"src_ip": address, "dst_ip": F.lit("10.1.0.1"), "dst_port": F.lit(443)}),
+        "signup": ("system_call", {"syscall": F.lit("open"), "pid": number}),
+        "view": ("file_change", {"path": F.concat(F.lit("/tmp/"), user), "operation": F.lit("write")}),
+    }
+    parts = {kind: events.build_event(name, data) for kind, (name, data) in built.items()}
+
+    def pick(field):
+        return F.coalesce(*[F.when(F.col("event_type") == kind, part[field]) for kind, part in parts.items()])
+
+    return rows.select("event_id", "event_type", pick("type").alias("type"), pick("source").alias("source"),
+                       pick("severity").alias("severity"), sorted_json(pick("data")).alias("data"))
+
+
+def _json_events(spark, folder):
+    rows = normal_events(spark, folder)
+    return rows.withColumns({"id": F.concat(F.lit("ev-"), "event_id"), "data": F.map_filter("data", lambda k, _: k != "n")})
+
+
+@query("p11_event_json", f"""WITH {NORMAL_SQL} SELECT event_id, 'ev-' || event_id AS id, type, severity, pid,
+  correlation_id, timestamp, CASE WHEN event_id % 5 IN (1, 2) THEN json_extract_string(data, '$.ip') END AS data_ip,
+  (CASE WHEN pid IS NULL THEN 0 ELSE 1 END) + (CASE WHEN severity IS NULL THEN 0 ELSE 1 END)
+   + (CASE WHEN correlation_id IS NULL THEN 0 ELSE 1 END) + 7 AS fields FROM norm""")
+def p11(spark, folder):
+    rows = events.event_json(_json_events(spark, folder)).select("event_id", "json")
+    parsed = F.from_json("json", "id string, type string, severity int, pid int, correlation_id string, "
+                         "timestamp double, data map<string,string>")
+    keys = F.size(F.json_object_keys("json")).alias("fields")
+    return rows.withColumn("e", parsed).select("event_id", "e.id", "e.type", "e.severity", "e.pid", "e.correlation_id",
+                                               "e.timestamp", F.col("e.data")["ip"].alias("data_ip"), keys)
+
+
+@query("p11_event_json_flat", f"""WITH {NORMAL_SQL} SELECT event_id, CASE WHEN event_id % 5 = 4
+    THEN CAST(event_id % 3 AS VARCHAR) ELSE CAST(pid AS VARCHAR) END AS pid,
+  CASE WHEN event_id % 5 = 1 THEN ip WHEN event_id % 5 = 2 THEN '999.1.1.1' END AS ip, type FROM norm""")
+def p11_flat(spark, folder):
+    rows = events.event_json(_json_events(spark, folder), flatten_data=True)
+    return rows.select("event_id", *[F.get_json_object("json", f"$.{n}").alias(n) for n in ("pid", "ip", "type")])
+
+
+@query("p12_event_fields", """SELECT event_id, 'e' || event_id AS id, 'failed_login' AS type,
+  '{"a":"1","props":"' || replace(props, '"', '\\"') || '","user":"' || user_id || '"}' AS data, NULL AS error FROM events""")
+def p12(spark, folder):
+    rows = views.events(spark, folder)
+    record = F.to_json(F.struct(
+        F.concat(F.lit("e"), "event_id").alias("id"), F.lit("failed_login").alias("type"),
+        F.struct(F.lit(1).alias("a")).alias("data"), F.col("user_id").alias("user"), "props",
+    ))
+    found = events.event_fields(rows.select("event_id", record.alias("json")))
+    return found.select("event_id", "id", "type", sorted_json("data").alias("data"), "error")
+
+
+@query("p13_activity", """SELECT event_id, user_id, CASE WHEN event_id % 13 = 0 THEN 'activity_score must be numeric'
+    WHEN event_id % 19 = 0 THEN 'missing required key: ''process''' END AS error,
+  CASE WHEN event_id % 13 <> 0 AND event_id % 19 <> 0 THEN value >= 90 END AS detected FROM events
+  WHERE NOT (event_id % 13 = 0 AND event_id % 19 = 0)
+  UNION ALL SELECT event_id, user_id, 'missing required key: ''process''', NULL FROM events
+  WHERE event_id % 13 = 0 AND event_id % 19 = 0""")
+def p13(spark, folder):
+    rows = views.events(spark, folder).select(
+        "event_id",
+        "user_id",
+        F.expr("CASE WHEN event_id % 19 <> 0 THEN concat('p', user_id) END").alias("process"),
+        F.expr("CASE WHEN event_id % 13 = 0 THEN 'high' ELSE CAST(value AS STRING) END").alias("activity_score"),
+    )
+    return events.analyze_activity(rows)
+
+
+ALERT_INPUT = """CASE event_type WHEN 'error' THEN 'Multiple_Failures' WHEN 'purchase' THEN 'critical_anomaly'
+    WHEN 'click' THEN 'suspicious_activity' WHEN 'signup' THEN 'INFO' ELSE 'other' END AS type,
+  CASE WHEN event_id % 23 <> 0 THEN concat('event ', event_id) END AS message,
+  CASE event_id % 7 WHEN 0 THEN 'critical' WHEN 1 THEN 'bogus' END AS severity,
+  CASE WHEN event_id % 2 = 0 THEN concat('2024-01-01T00:00:0', event_id % 10, 'Z') END AS timestamp,
+  CASE WHEN event_id % 3 = 0 THEN concat('host', user_id) END AS source"""
+SEVERITY_SQL = """CASE WHEN event_id % 7 = 0 THEN 'CRITICAL' WHEN type = 'Multiple_Failures' THEN 'HIGH'
+  WHEN type = 'critical_anomaly' THEN 'CRITICAL' WHEN type = 'suspicious_activity' THEN 'MEDIUM' ELSE 'LOW' END"""
+
+
+def alert_input(spark, folder):
+    return views.events(spark, folder).selectExpr("event_id", "user_id", *_split(ALERT_INPUT))
+
+
+@query("p14_severity", f"WITH i AS (SELECT event_id, {ALERT_INPUT} FROM events) "
+       f"SELECT event_id, type, {SEVERITY_SQL} AS severity FROM i")
+def p14(spark, folder):
+    rows = alert_input(spark, folder)
+    return rows.select("event_id", "type", alerts.classify(F.col("type"), F.col("severity")).alias("severity"))
+
+
+@query("p15_alerts", f"""WITH i AS (SELECT event_id, user_id, {ALERT_INPUT} FROM events)
+SELECT event_id, user_id, {SEVERITY_SQL} AS severity, coalesce(timestamp, '2024-02-01T00:00:00.000Z') AS timestamp,
+  message AS description, type AS event_type, coalesce(source, 'unknown') AS source,
+  CASE WHEN message IS NULL THEN 'missing required field: message' END AS error FROM i""")
+def p15(spark, folder):
+    return alerts.generate_alerts(alert_input(spark, folder), F.lit(AS_OF))
+
+
+RAW_ALERT = """concat('0000000', event_id % 10, '-0000-4000-8000-', lpad(CAST(event_id AS STRING), 12, '0')) AS id,
+  CASE event_id % 9 WHEN 0 THEN '12' WHEN 1 THEN 'never' ELSE concat(1704067200 + event_id, '.25') END AS timestamp,
+  CASE event_id % 5 WHEN 0 THEN 'warning' WHEN 1 THEN 'ERROR' WHEN 2 THEN 'Critical' WHEN 3 THEN 'odd' ELSE 'info' END AS severity,
+  CASE WHEN event_id % 50 = 0 THEN repeat(concat('m', event_id % 7, ' '), 2000) ELSE concat('message ', event_id % 100) END AS message,
+  CASE event_id % 4 WHEN 0 THEN repeat('s', 300) WHEN 1 THEN 'auth.log' WHEN 2 THEN '' END AS source,
+  CASE WHEN event_id % 3 = 0 THEN concat('e', user_id) END AS event_id_text,
+  CASE WHEN event_id % 6 = 0 THEN repeat('c', 260) END AS correlation_id,
+  CASE WHEN event_id % 8 = 0 THEN '{"note":null,"b":"2","a":"1"}' ELSE concat('{"user":"', user_id % 10, '"}') END AS metadata"""
+
+
+def raw_alerts(spark, folder):
+    rows = views.events(spark, folder).selectExpr("event_id AS seq", "ts_us", "user_id", "event_type",
+                                                  *_split(RAW_ALERT))
+    return rows.withColumnRenamed("event_id_text", "event_id")
+
+
+def normal_alerts(spark, folder):
+    return alerts.normalize_alerts(raw_alerts(spark, folder), F.lit(AS_OF))
+
+
+NORMAL_ALERTS = f"""i AS (SELECT event_id, user_id, {RAW_ALERT} FROM events),
+norm AS (SELECT event_id AS seq, user_id, id,
+  CASE WHEN event_id % 9 IN (0, 1) THEN {AS_OF} ELSE CAST(timestamp AS DOUBLE) END AS timestamp,
+  CASE WHEN event_id % 5 = 3 THEN 'INFO' ELSE upper(severity) END AS severity, substr(message, 1, 4096) AS message,
+  event_id_text AS event_id, substr(source, 1, 256) AS source, substr(correlation_id, 1, 256) AS correlation_id,
+  CASE WHEN event_id % 8 = 0 THEN 'a:1|b:2' ELSE 'user:' || (user_id % 10) END AS metadata FROM i)"""
+DEDUP = """concat_ws('|', severity, message, nullif(source, ''), nullif(event_id, ''), nullif(correlation_id, ''), metadata)"""
+KEYED_ALERTS = f"""{NORMAL_ALERTS},
+keyed AS (SELECT *, CASE WHEN length({DEDUP}) > 1024 THEN sha256({DEDUP}) ELSE {DEDUP} END AS dedup_key FROM norm)"""
+
+
+@query("p16_normalize_alerts", f"WITH {NORMAL_ALERTS} SELECT seq, id, timestamp, severity, message, event_id, source, "
+       "correlation_id, metadata, 1 AS version, false AS acknowledged FROM norm")
+def p16(spark, folder):
+    rows = normal_alerts(spark, folder)
+    entries = F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+    return rows.select("seq", "id", "timestamp", "severity", "message", "event_id", "source", "correlation_id",
+                       F.concat_ws("|", entries).alias("metadata"), "version", "acknowledged")
+
+
+@query("p17_dedup_key", f"WITH {KEYED_ALERTS} SELECT seq, dedup_key FROM keyed")
+def p17(spark, folder):
+    return alerts.with_identity(normal_alerts(spark, folder)).select("seq", "dedup_key")
+
+
+@query("p18_content_hash", f"""WITH {KEYED_ALERTS}
+SELECT seq, sha256('{{"acknowledged":false,'
+  || CASE WHEN correlation_id IS NULL THEN '' ELSE '"correlation_id":"' || correlation_id || '",' END
+  || '"dedup_key":"' || dedup_key || '",' || CASE WHEN event_id IS NULL THEN '' ELSE '"event_id":"' || event_id || '",' END
+  || '"id":"' || id || '","message":"' || message || '","metadata":'
+  || CASE WHEN metadata = 'a:1|b:2' THEN '{{"a":"1","b":"2"}}' ELSE '{{"user":"' || (user_id % 10) || '"}}' END
+  || ',"resolved":false,"severity":"' || severity || '",'
+  || CASE WHEN source IS NULL THEN '' ELSE '"source":"' || source || '",' END
+  || '"version":1}}') AS content_hash FROM keyed""")
+def p18(spark, folder):
+    # The time is left out here: the two engines write doubles differently.
+    rows = normal_alerts(spark, folder).withColumn("timestamp", F.lit(None).cast("double"))
+    return alerts.with_identity(rows).select("seq", "content_hash")
+
+
+@query("p19_workflow_rules", f"""WITH f AS (SELECT event_id AS seq, event_id % 2 = 0 AS acknowledged, event_id % 3 = 0 AS resolved,
+  CASE WHEN event_id % 4 < 2 THEN CAST(1704067300 AS DOUBLE) END AS ack_at, CASE WHEN event_id % 9 = 0 THEN CAST(1704067400 AS DOUBLE) END AS res_at FROM events)
+SELECT seq, CASE WHEN acknowledged THEN coalesce(ack_at, {AS_OF}) ELSE ack_at END AS acknowledged_at,
+  CASE WHEN resolved THEN coalesce(res_at, {AS_OF}) ELSE res_at END AS resolved_at,
+  CASE WHEN resolved AND NOT acknowledged THEN 'resolved=True requires acknowledged=True'
+       WHEN ack_at IS NOT NULL AND NOT acknowledged THEN 'acknowledged_at present but acknowledged=False' END AS error FROM f""")
+def p19(spark, folder):
+    flags = views.events(spark, folder).selectExpr(
+        "event_id AS seq", "concat('a', event_id) AS id", "event_id % 2 = 0 AS acknowledged", "event_id % 3 = 0 AS resolved",
+        "CASE WHEN event_id % 4 < 2 THEN 1704067300.0D END AS acknowledged_at",
+        "CASE WHEN event_id % 9 = 0 THEN 1704067400.0D END AS resolved_at",
+    )
+    return alerts.check_workflow(flags, F.lit(AS_OF)).select("seq", "acknowledged_at", "resolved_at", "error")
+
+
+@query("p20_subnet", """SELECT event_id, concat('172.16.', user_id % 7, '.', event_id % 256) AS ip,
+  concat('172.16.', user_id % 7, '.0/24') AS subnet,
+  concat('172.16.', user_id % 7, '.', (event_id % 256) - (event_id % 256) % 16, '/28') AS narrow FROM events""")
+def p20(spark, folder):
+    rows = views.events(spark, folder).selectExpr(
+        "event_id", "concat('172.16.', user_id % 7, '.', event_id % 256) AS ip"
+    )
+    return parsing.with_subnet(rows).withColumn("narrow", subnet_of(F.col("ip"), 28))
+
+
+@query("p21_priority", f"""WITH {NORMAL_ALERTS} SELECT seq, CASE WHEN severity IN ('CRITICAL', 'ERROR') THEN 0
+  WHEN severity = 'INFO' THEN 2 ELSE 1 END AS priority FROM norm""")
+def p21(spark, folder):
+    return normal_alerts(spark, folder).select("seq", alerts.priority(F.col("severity")).alias("priority"))
+
+
+@query("p22_alert_builders", """SELECT event_id, CASE event_type WHEN 'error' THEN 'CRITICAL' WHEN 'purchase' THEN 'ERROR'
+  WHEN 'click' THEN 'WARNING' ELSE 'INFO' END AS severity, 'seen ' || event_type AS message FROM events""")
+def p22(spark, folder):
+    rows = views.events(spark, folder).select("event_id", "event_type")
+    message = F.concat(F.lit("seen "), F.col("event_type"))
+    levels = {"error": "CRITICAL", "purchase": "ERROR", "click": "WARNING"}
+    parts = [alerts.with_severity(rows.filter(F.col("event_type") == t), s, message) for t, s in levels.items()]
+    parts.append(alerts.with_severity(rows.filter(~F.col("event_type").isin(*levels)), "INFO", message))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result.drop("event_type")
+
+
+@query("a10_duplicates", f"""WITH {KEYED_ALERTS} SELECT dedup_key, count(*) AS alerts, min(timestamp) AS first_at,
+  max(timestamp) AS last_at FROM keyed GROUP BY dedup_key""")
+def a10(spark, folder):
+    return alerts.duplicates(alerts.with_identity(normal_alerts(spark, folder)))
+
+
+@query("j3_alerts_with_events", f"""WITH {NORMAL_ALERTS} SELECT seq, n.event_id, e.type AS event_type, e.hostname AS event_hostname
+FROM norm n LEFT JOIN (SELECT DISTINCT 'e' || user_id AS id, 'failed_login' AS type, 'h' || (user_id % 5) AS hostname FROM events
+  WHERE event_type = 'error') e ON n.event_id = e.id""")
+def j3(spark, folder):
+    known = views.events(spark, folder).filter("event_type = 'error'").selectExpr(
+        "concat('e', user_id) AS id", "'failed_login' AS type", "concat('h', user_id % 5) AS hostname"
+    ).distinct()
+    rows = normal_alerts(spark, folder).select("seq", "event_id")
+    return alerts.alerts_from_events(rows, known).select("seq", "event_id", "event_type", "event_hostname")
+
+
+@query("s4_lines_of", """SELECT conv_id, turn, 'virtual' AS source, text AS line FROM conversations""")
+def s4(spark, folder):
+    rows = views.table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    return line_source.lines_of(rows, "text")
+
+
+@query("s6_alert_lines", """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(CAST(floor(epoch_us(ts) / 1000) AS BIGINT) % 1000 AS VARCHAR), 3, '0')
+  || ' | ' || CASE WHEN event_id % 3 = 0 THEN 'SYSTEM' ELSE event_type END || ' | '
+  || CASE WHEN event_id % 2 = 0 THEN 'INFO' ELSE 'WARNING' END || ' | user ' || user_id || ' | '
+  || CASE WHEN event_id % 4 = 0 THEN '' ELSE '{"user":' || user_id || '}' END AS value FROM events""")
+def s6(spark, folder):
+    rows = views.events(spark, folder)
+    return rows.select(
+        alerts.alert_line(
+            F.concat(F.lit("user "), F.col("user_id").cast("string")),
+            F.when(F.col("event_id") % 3 != 0, F.col("event_type")),
+            F.when(F.col("event_id") % 2 != 0, F.lit("warning")),
+            F.when(F.col("event_id") % 4 != 0, F.to_json(F.struct(F.col("user_id").alias("user")))),
+            F.col("ts_us") / 1_000_000,
+        ).alias("value")
+    )
