@@ -52,6 +52,13 @@ def thin(
     return kept.unionByName(_follow_hot(hot, keys, gap_us))
 
 
+def suppress_repeats(
+    df: DataFrame, keys: list[str], ttl_s: float = 2.0, policy: SkewPolicy = SkewPolicy()
+) -> DataFrame:
+    """Drop a row if the same key was let through at most ``ttl_s`` seconds ago; dropped rows do not count."""
+    return thin(df, keys, round(ttl_s * 1_000_000) + 1, policy)
+
+
 def _follow(df: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
     """One pass over rows partitioned by key and sorted by (key, ts_us, seq)."""
     # Equal key text hashes alike, so a hash of the key marks where it changes without comparing text in Python.

@@ -54,7 +54,7 @@ def _events(spark, folder):
 
 @query("p2_failed_logins", f"""WITH {LINES}
 SELECT event_id, 'failed_login' AS type, 'auth.log' AS source, 5 AS severity, ip, line AS raw_line FROM lines
-WHERE event_type = 'error' AND event_id % 5 <> 0""")
+WHERE starts_with(line, 'Failed password for ')""")
 def p2(spark, folder):
     rows = _events(spark, folder).filter("type = 'failed_login'")
     return rows.select("event_id", "type", "source", "severity", F.col("data")["ip"].alias("ip"),
@@ -139,7 +139,7 @@ def p6(spark, folder):
 
 @query("p7_filter_events", f"""WITH {LINES}
 SELECT event_id, 'failed_login' AS type, 5 AS severity FROM lines
-WHERE event_type = 'error' AND event_id % 5 <> 0 AND contains(lower(line), 'u1') AND contains(lower(line), '10.0.1')""")
+WHERE starts_with(line, 'Failed password for ') AND contains(lower(line), 'u1') AND contains(lower(line), '10.0.1')""")
 def p7(spark, folder):
     return events.filter_events(_events(spark, folder), [5, 7], ["U1", "10.0.1"]).select("event_id", "type", "severity")
 
@@ -292,12 +292,9 @@ def p12(spark, folder):
     return found.select("event_id", "id", "type", sorted_json("data").alias("data"), "error")
 
 
-@query("p13_activity", """SELECT event_id, user_id, CASE WHEN event_id % 13 = 0 THEN 'activity_score must be numeric'
-    WHEN event_id % 19 = 0 THEN 'missing required key: ''process''' END AS error,
-  CASE WHEN event_id % 13 <> 0 AND event_id % 19 <> 0 THEN value >= 90 END AS detected FROM events
-  WHERE NOT (event_id % 13 = 0 AND event_id % 19 = 0)
-  UNION ALL SELECT event_id, user_id, 'missing required key: ''process''', NULL FROM events
-  WHERE event_id % 13 = 0 AND event_id % 19 = 0""")
+@query("p13_activity", """SELECT event_id, user_id, CASE WHEN event_id % 19 = 0 THEN 'missing required key: ''process'''
+    WHEN event_id % 13 = 0 THEN 'activity_score must be numeric' END AS error,
+  CASE WHEN event_id % 13 <> 0 AND event_id % 19 <> 0 THEN value >= 90 END AS detected FROM events""")
 def p13(spark, folder):
     rows = views.events(spark, folder).select(
         "event_id",

@@ -12,14 +12,12 @@ from hostguard.schemas import EVENT_SCHEMA
 LINE_ORDER = ["file_path", "block_start", "line_id"]
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one file, or of every ``*.log`` file below a directory.
+def read_lines(spark: SparkSession, path: str, pattern: str = "*.log") -> DataFrame:
+    """Lines of every file below a directory whose name fits ``pattern``.
 
     (line, file_path, block_start, line_id): the last three, in this order, are the line order of a read.
     """
-    reader = spark.read.option("recursiveFileLookup", True)
-    if not path.endswith(".log"):
-        reader = reader.option("pathGlobFilter", "*.log")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     return _with_position(reader.text(path))
 
 
@@ -30,7 +28,7 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
 
 def _with_position(rows: DataFrame) -> DataFrame:
     # Bytes that are no text are dropped, as a lenient decoder would.
-    clean = F.regexp_replace(F.col("value"), "�", "")
+    clean = F.replace("value", F.lit("\ufffd"), F.lit(""))
     return rows.select(
         clean.alias("line"),
         F.col("_metadata.file_path").alias("file_path"),
@@ -39,13 +37,14 @@ def _with_position(rows: DataFrame) -> DataFrame:
     )
 
 
-def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """New ``*.log`` files below a directory as they land. Files must be complete: rolled, not appended to."""
-    reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.log")
+def stream_lines(
+    spark: SparkSession, path: str, files_per_trigger: int | None = None, pattern: str = "*.log"
+) -> DataFrame:
+    """New files below a directory as they land. Files must be complete: rolled, not appended to."""
+    reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    rows = reader.text(path)
-    return rows.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"))
+    return _with_position(reader.text(path)).select("line", "file_path")
 
 
 def last_lines(df: DataFrame, limit: int, order: list[str], as_of: Column, column: str = "line") -> DataFrame:
