@@ -34,15 +34,17 @@ def build_baseline(df: DataFrame, by: list[str] = [], column: str = "metric") ->
 
 
 def score_outliers(
-    df: DataFrame, profile: DataFrame, by: list[str] = [], column: str = "metric", sigmas: float = OUTLIER_SIGMAS
+    df: DataFrame, profile: DataFrame | None, by: list[str] = [], column: str = "metric", sigmas: float = OUTLIER_SIGMAS
 ) -> DataFrame:
     """Add ``value``, ``error``, ``mean``, ``variance`` and ``anomaly``.
 
     The ungrouped profile is read as a scalar subquery; a grouped one is joined on its keys, and its size
-    decides at run time whether it is broadcast.
+    decides at run time whether it is broadcast. Without a profile, ``df`` brings mean and variance itself.
     """
     rows = read_metric(df, column)
-    if by:
+    if profile is None:
+        pass
+    elif by:
         rows = rows.join(profile.select(*by, "mean", "variance"), by, "left")
     else:
         one = profile.select(F.struct("mean", "variance")).scalar()

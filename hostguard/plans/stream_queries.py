@@ -1 +1,146 @@
-"""Placeholder."""
+"""Streams replayed from files, compared with the batch results (S2, T)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hostguard.operators.baseline import build_baseline
+from hostguard.operators.rules import RULE_COLUMNS
+from hostguard.plans import views
+from hostguard.plans.detector_queries import (
+    ALERT_COLUMNS, ALL_RULES, ATTEMPTS, CANDIDATES, COUNTS, PROFILE, SHORT_TTL, STRETCHED, US, cooled_sql, rounded,
+)
+from hostguard.plans.registry import query
+from hostguard.plans.row_queries import LINES
+from hostguard.plans.table_queries import REPEAT_S
+from hostguard.sources import lines as line_source
+from hostguard.sources import snapshots
+from hostguard.streaming import detectors, sinks
+
+FILES = 3
+# A row of its own key far ahead moves the watermark past the last real row.
+END = "timestamp'2030-01-01 00:00:00'"
+
+
+def replayed(spark, rows: DataFrame, end: DataFrame | None = None) -> DataFrame:
+    """``rows`` as a stream of a few files in time order, closed by the row ``end``."""
+    path = snapshots.scratch_path(rows, "stream")
+    rows.repartitionByRange(FILES, "ts").write.parquet(path)
+    if end is not None:
+        end.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+
+
+def collected(spark, stream: DataFrame) -> DataFrame:
+    """Run the stream over everything there is and read what it wrote."""
+    detectors.use_rocksdb(spark)
+    path = snapshots.scratch_path(stream, "out")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    sinks.run_available(stream, write, snapshots.scratch_path(stream, "checkpoint"))
+    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
+
+
+def attempt_stream(spark, folder) -> DataFrame:
+    rows = views.attempts(spark, folder).select(F.timestamp_micros("ts_us").alias("ts"), "seq", "ip")
+    end = spark.range(1).select(F.expr(END).alias("ts"), F.lit(-1).cast("bigint").alias("seq"), F.lit("end").alias("ip"))
+    return replayed(spark, rows, end)
+
+
+BY_ADDRESS = " UNION ALL ".join(CANDIDATES[name] for name in ("baseline", "burst", "risk", "escalation"))
+
+
+@query("t1_address_alerts",
+       f"WITH RECURSIVE {ALL_RULES}, {cooled_sql(BY_ADDRESS)} SELECT {ALERT_COLUMNS} FROM alerts")
+def t1(spark, folder):
+    alerts = detectors.address_alerts(attempt_stream(spark, folder), STRETCHED)
+    return rounded(collected(spark, alerts).filter("seq >= 0")).select(*RULE_COLUMNS)
+
+
+SHORT_SESSIONS = f"""{ATTEMPTS},
+gaps AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY ip ORDER BY ts_us, seq) AS gap FROM att),
+sess AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > {60 * US} THEN 1 ELSE 0 END)
+                     OVER (PARTITION BY ip ORDER BY ts_us, seq) AS session FROM gaps),
+cnt AS (SELECT *, count(*) OVER (PARTITION BY ip, session ORDER BY ts_us
+                                 RANGE BETWEEN {300 * US - 1} PRECEDING AND CURRENT ROW) AS escalation_count FROM sess)"""
+
+
+@query("t2_idle_eviction",
+       f"WITH RECURSIVE {SHORT_SESSIONS}, {cooled_sql(CANDIDATES['escalation'])} SELECT {ALERT_COLUMNS} FROM alerts")
+def t2(spark, folder):
+    alerts = detectors.address_alerts(attempt_stream(spark, folder), SHORT_TTL)
+    found = collected(spark, alerts).filter("seq >= 0 AND rule = 'escalation'")
+    return rounded(found).select(*RULE_COLUMNS)
+
+
+@query("t3_subnet_alerts", f"WITH RECURSIVE {COUNTS}, {cooled_sql(CANDIDATES['subnet'])} "
+       "SELECT rule, rule_order, key, seq, ts_us, metric, threshold, message FROM alerts")
+def t3(spark, folder):
+    alerts = detectors.subnet_alerts(attempt_stream(spark, folder), STRETCHED)
+    return collected(spark, alerts).filter("seq >= 0").drop("ip")
+
+
+@query("t4_global_alerts", f"""WITH RECURSIVE {ATTEMPTS},
+secs AS (SELECT ts_us - ts_us % 1000000 AS ts_us, count(*) AS n, max(seq) AS seq FROM att GROUP BY 1),
+cnt AS (SELECT seq, ts_us, NULL AS ip, CAST(sum(n) OVER (ORDER BY ts_us RANGE BETWEEN {60 * US - 1} PRECEDING
+        AND CURRENT ROW) AS BIGINT) AS global_count FROM secs),
+{cooled_sql(CANDIDATES['global'])} SELECT rule, rule_order, key, seq, ts_us, metric, threshold, message FROM alerts""")
+def t4(spark, folder):
+    alerts = detectors.global_alerts(attempt_stream(spark, folder), STRETCHED)
+    return collected(spark, alerts).filter("seq >= 0").drop("ip")
+
+
+@query("t5_repeated_lines_stream", f"""WITH RECURSIVE {LINES},
+kept AS (SELECT line, min(ts_us) AS at FROM lines GROUP BY line
+  UNION ALL
+  SELECT l.line, min(l.ts_us) FROM kept k JOIN lines l ON l.line = k.line AND l.ts_us > k.at + {REPEAT_S * 1000000}
+  GROUP BY l.line)
+SELECT event_id, lines.line FROM lines JOIN kept ON kept.line = lines.line AND kept.at = lines.ts_us""")
+def t5(spark, folder):
+    rows = views.lines(spark, folder).select(F.timestamp_micros("ts_us").alias("ts"), F.col("event_id").alias("seq"), "line")
+    end = spark.range(1).select(F.expr(END).alias("ts"), F.lit(-1).cast("bigint").alias("seq"), F.lit("end").alias("line"))
+    kept = detectors.suppress_repeats(replayed(spark, rows, end), ["line"], REPEAT_S)
+    return collected(spark, kept).filter("seq >= 0").select(F.col("seq").alias("event_id"), "line")
+
+
+@query("t6_late_rows", """SELECT event_id, value > 60 AS late FROM events""")
+def t6(spark, folder):
+    rows = views.events(spark, folder).select("event_id", F.timestamp_micros("ts_us").alias("ts"), "value")
+    rows = rows.withColumn("arrived", F.timestamp_micros((F.unix_micros("ts") + F.col("value") * 60_000_000).cast("bigint")))
+    in_time, late = detectors.split_late(rows, "ts", "arrived", "60 MINUTES")
+    flagged = in_time.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    return flagged.select("event_id", "late")
+
+
+@query("t7_alert_lines", f"""WITH RECURSIVE {COUNTS}, {cooled_sql(CANDIDATES['subnet'])}
+SELECT strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST((ts_us // 1000) % 1000 AS VARCHAR), 3, '0')
+  || ' | SECURITY | WARNING | ' || message || ' | ' AS value FROM alerts""")
+def t7(spark, folder):
+    alerts = detectors.subnet_alerts(attempt_stream(spark, folder), STRETCHED).filter("seq >= 0")
+    path = snapshots.scratch_path(alerts, "alert-lines")
+    detectors.use_rocksdb(spark)
+    sinks.run_available(alerts, sinks.alert_line_sink(path), snapshots.scratch_path(alerts, "checkpoint"))
+    return spark.read.text(path).select("value")
+
+
+@query("t8_stream_outliers", f"WITH {PROFILE} SELECT event_id, value, "
+       "CASE WHEN variance = 0 THEN value <> mean ELSE abs(value - mean) > 3 * sqrt(variance) END AS anomaly "
+       "FROM events, prof")
+def t8(spark, folder):
+    rows = views.metrics(spark, folder)
+    profile = build_baseline(rows)
+    source = replayed(spark, rows.withColumn("ts", F.timestamp_micros("ts_us")), None)
+    scored = detectors.score_stream(source, profile)
+    return collected(spark, scored.select("event_id", "value", "anomaly"))
+
+
+@query("s2_new_lines", f"WITH {LINES} SELECT line, count(*) AS n FROM lines GROUP BY line")
+def s2(spark, folder):
+    rows = views.lines(spark, folder)
+    path = snapshots.scratch_path(rows, "logs")
+    rows.repartition(FILES).select("line").write.text(path)
+    stream = line_source.stream_lines(spark, path, files_per_trigger=1, pattern="*.txt")
+    return collected(spark, stream).groupBy("line").agg(F.count("*").alias("n"))

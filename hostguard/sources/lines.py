@@ -22,15 +22,21 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*.log") -> DataFr
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one file, whatever its name."""
-    return _with_position(spark.read.text(path))
+    """Lines of one file, whatever its name; bytes that are no text show as replacement characters."""
+    return _with_position(spark.read.text(path), keep_marks=True)
 
 
-def _with_position(rows: DataFrame) -> DataFrame:
-    # Bytes that are no text are dropped, as a lenient decoder would.
-    clean = F.replace("value", F.lit("\ufffd"), F.lit(""))
+def _readable(value: Column) -> Column:
+    """Text without the bytes that could not be decoded."""
+    return F.when(F.is_valid_utf8(value), value).otherwise(
+        F.replace(F.make_valid_utf8(value), F.lit("\ufffd"), F.lit(""))
+    )
+
+
+def _with_position(rows: DataFrame, keep_marks: bool = False) -> DataFrame:
+    value = F.col("value")
     return rows.select(
-        clean.alias("line"),
+        (F.make_valid_utf8(value) if keep_marks else _readable(value)).alias("line"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_id"),
@@ -44,7 +50,8 @@ def stream_lines(
     reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return _with_position(reader.text(path)).select("line", "file_path")
+    rows = reader.text(path)
+    return rows.select(_readable(F.col("value")).alias("line"), F.col("_metadata.file_path").alias("file_path"))
 
 
 def last_lines(df: DataFrame, limit: int, order: list[str], as_of: Column, column: str = "line") -> DataFrame:
