@@ -78,6 +78,10 @@ def _v4_number(ip: Column) -> Column:
 
 
 def _v4_network(ip: Column, prefix: int) -> Column:
+    if prefix % 8 == 0 and prefix:
+        # Whole octets: a valid address has no leading zeros, so its text can be cut as it is.
+        kept = F.substring_index(ip, ".", prefix // 8)
+        return F.concat(kept, F.lit(".0" * (4 - prefix // 8) + f"/{prefix}"))
     host_bits = 32 - prefix
     base = F.shiftleft(F.shiftright(_v4_number(ip), host_bits), host_bits)
     octets = [(F.shiftright(base, shift).bitwiseAND(F.lit(255))).cast("string") for shift in (24, 16, 8, 0)]

@@ -136,8 +136,9 @@ def _candidates(metrics: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per attempt and rule that it meets, all rules read off one pass over the metrics."""
     any_fires = reduce(lambda a, b: a | b, [rule.fires for rule in rules])
     fired = F.array_compact(F.array(*[F.when(rule.fires, rule.struct()) for rule in rules]))
-    rows = metrics.filter(any_fires).select("seq", "ts_us", "ip", "_hot", F.explode(fired).alias("_rule"))
-    return rows.select("_rule.*", "seq", "ts_us", "ip", "_hot").select(*RULE_COLUMNS, "_hot")
+    flag = [c for c in metrics.columns if c == "_hot"]
+    rows = metrics.filter(any_fires).select("seq", "ts_us", "ip", *flag, F.explode(fired).alias("_rule"))
+    return rows.select("_rule.*", "seq", "ts_us", "ip", *flag).select(*RULE_COLUMNS, *flag)
 
 
 def address_candidates(
@@ -156,8 +157,9 @@ def global_candidates(
     counted = global_counts(attempts, cfg, policy)
     # All candidates share one cooldown key, so it is hot as soon as there are many attempts at all.
     everything = attempts.select(F.lit("global_bruteforce").alias("key"))
-    many = heavy_keys(everything, ["key"], policy) is not None
-    return _candidates(counted.withColumn("_hot", F.lit(many)), [global_rule(cfg)])
+    if heavy_keys(everything, ["key"], policy) is not None:
+        counted = counted.withColumn("_hot", F.lit(True))
+    return _candidates(counted, [global_rule(cfg)])
 
 
 def subnet_candidates(
@@ -167,16 +169,20 @@ def subnet_candidates(
 
 
 def cool_down(
-    candidates: DataFrame, cfg: DetectionConfig = DetectionConfig(), policy: SkewPolicy = SkewPolicy()
+    candidates: DataFrame,
+    cfg: DetectionConfig = DetectionConfig(),
+    policy: SkewPolicy = SkewPolicy(),
+    flagged: bool = False,
 ) -> DataFrame:
     """Candidates that fire: per key, the last alert must be at least ``alert_cooldown`` old.
 
-    Candidates from this module carry ``_hot``; others have their keys counted first.
+    ``flagged`` candidates come straight from this module, where hot keys were found by their attempts; other
+    candidates have their keys counted first.
     """
     gap = cfg.us("alert_cooldown")
     # A key that never fired counts as fired at the epoch.
     candidates = candidates.filter(F.col("ts_us") >= gap)
-    return thin(candidates, ["key"], gap, policy, hot_flag="_hot" if "_hot" in candidates.columns else None)
+    return thin(candidates, ["key"], gap, policy, hot_flag="_hot" if flagged else None)
 
 
 def rule_alerts(
@@ -186,6 +192,7 @@ def rule_alerts(
     rules: list[str] | None = None,
 ) -> DataFrame:
     """Alerts of the chosen rules (all six by default) in the order they are raised."""
+    policy = policy.settled_for(attempts)
     wanted = {"baseline", "burst", "risk", "global", "escalation", "subnet"} if rules is None else set(rules)
     parts = []
     by_address = wanted & {"baseline", "burst", "risk", "escalation"}
@@ -195,5 +202,6 @@ def rule_alerts(
         parts.append(global_candidates(attempts, cfg, policy))
     if "subnet" in wanted:
         parts.append(subnet_candidates(attempts, cfg, policy))
-    fired = cool_down(reduce(DataFrame.unionByName, parts), cfg, policy)
+    candidates = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    fired = cool_down(candidates, cfg, policy, flagged=True)
     return fired.select(*RULE_COLUMNS).orderBy("ts_us", "seq", "rule_order")

@@ -8,8 +8,9 @@ ranges of a key are added back. Both give the same rows, so operators are writte
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,10 +27,19 @@ class SkewPolicy:
     bounded; a key left out then holds less than ``rows / max_hot_keys`` rows.
     """
 
-    hot_rows: int = 2_000_000
+    hot_rows: float = 2_000_000
     max_hot_keys: int = 10_000
     ranges: int | None = None
 
+    def settled_for(self, df: DataFrame) -> "SkewPolicy":
+        """This policy, without key counts where ``df`` is too small for any hot key.
+
+        One row count stands in for a count per key in each of the steps that follow.
+        """
+        if math.isinf(self.hot_rows) or df.count() > self.hot_rows:
+            return self
+        return replace(self, hot_rows=math.inf)
+
     def range_count(self, df: DataFrame) -> int:
         if self.ranges:
             return self.ranges
@@ -38,6 +48,8 @@ class SkewPolicy:
 
 def heavy_keys(df: DataFrame, keys: list[str], policy: SkewPolicy) -> DataFrame | None:
     """The keys with more than ``policy.hot_rows`` rows, or None. Counts are combined before the shuffle."""
+    if math.isinf(policy.hot_rows):
+        return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > policy.hot_rows)
     found = counts.orderBy(F.desc("_rows")).limit(policy.max_hot_keys).select(*keys).collect()
     if not found:
@@ -192,11 +204,14 @@ def keyed_scan(
     policy: SkewPolicy,
     hot_flag: str | None = None,
 ) -> DataFrame:
-    """Run ``body`` over every key, hot keys through ranges, and put the rows back together."""
+    """Run ``body`` over every key, hot keys through ranges, and put the rows back together.
+
+    ``hot_flag`` names a boolean column that marks the rows of hot keys; it is there only if a key is hot.
+    """
     ordinary, hot = split_heavy(df, keys, policy)
     parts = [body(WindowScan(ordinary, keys, order))]
     if hot is not None:
         parts.append(body(RangeScan(hot, keys, order, policy)).drop("_range"))
-    if hot_flag:
+    if hot_flag and hot is not None:
         parts = [part.withColumn(hot_flag, F.lit(i == 1)) for i, part in enumerate(parts)]
     return reduce(DataFrame.unionByName, parts)

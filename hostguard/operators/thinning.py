@@ -38,12 +38,16 @@ def thin(
 ) -> DataFrame:
     """Rows of ``df`` (with ``ts_us`` and a unique ``seq``) kept by the rule ``ts_us - last kept >= gap_us``.
 
-    ``hot_flag`` names a boolean column that already marks rows of hot keys; without it the keys are counted.
+    ``hot_flag`` names the boolean column that already marks rows of hot keys; a missing column says that no
+    key is hot. Without ``hot_flag`` the keys are counted.
     """
     if gap_us <= 0:
         return df.drop(hot_flag) if hot_flag else df
-    if hot_flag:
-        ordinary, hot = df.filter(~F.col(hot_flag)).drop(hot_flag), df.filter(F.col(hot_flag)).drop(hot_flag)
+    if hot_flag and hot_flag not in df.columns:
+        ordinary, hot = df, None
+    elif hot_flag:
+        is_hot = F.coalesce(F.col(hot_flag), F.lit(False))
+        ordinary, hot = df.filter(~is_hot).drop(hot_flag), df.filter(is_hot).drop(hot_flag)
     else:
         ordinary, hot = split_heavy(df, keys, policy)
     kept = _follow(ordinary, keys, gap_us)

@@ -12,7 +12,7 @@ from hostguard.sources import lines as line_source
 from hostguard.sources import snapshots
 
 EV = """ev AS (SELECT *, epoch_us(ts) AS ts_us, concat('10.0.', user_id % 4, '.', user_id % 250 + 1) AS ip FROM events)"""
-IP = F.expr(views.ATTEMPT_IP)
+
 DAY_US = 86_400_000_000
 WINDOW_S = 21_600
 
@@ -246,7 +246,7 @@ def s5(spark, folder):
 
 
 def _states(spark, folder):
-    rows = views.events(spark, folder).withColumn("ip", IP)
+    rows = views.events(spark, folder).withColumn("ip", F.expr(views.ATTEMPT_IP))
     text = F.concat(F.lit('{"n": '), F.col("event_id").cast("string"), F.lit("}"))
     rows = rows.select("event_type", "ip", text.alias("state_json"), (F.col("ts_us") / 1_000_000).alias("last_updated"),
                        F.col("event_id").alias("seq"), "value")
@@ -283,7 +283,7 @@ OPERATIONS = "CASE event_type WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'signu
 
 def _change_log(spark, folder):
     """Events as a change log; entries with a large value carry a wrong checksum."""
-    rows = views.events(spark, folder).withColumns({"ip": IP, "op_type": F.expr(OPERATIONS)})
+    rows = views.events(spark, folder).withColumns({"ip": F.expr(views.ATTEMPT_IP), "op_type": F.expr(OPERATIONS)})
     value = F.expr("CASE WHEN op_type IN (1, 3) THEN concat('{\"n\": ', event_id, '}') ELSE 'null' END")
     micros = F.expr("concat(ts_us div 1000000, '.', coalesce(nullif(rtrim('0', lpad(ts_us % 1000000, 6, '0')), ''), '0'))")
     right = F.sha2(F.concat_ws(":", "op_type", "ip", value, micros), 256)
@@ -295,7 +295,7 @@ def _change_log(spark, folder):
 
 
 def _replayed(spark, folder):
-    addresses = views.events(spark, folder).select(IP.alias("ip")).distinct()
+    addresses = views.events(spark, folder).select(F.expr(views.ATTEMPT_IP).alias("ip")).distinct()
     states = addresses.select("ip", F.lit("{}").alias("state_json"), F.lit(0.0).alias("last_updated"))
     histories = addresses.select("ip", F.lit("[]").alias("history_json"), F.lit(0.0).alias("last_updated"))
     return state.replay(states, histories, _change_log(spark, folder))

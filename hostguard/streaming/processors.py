@@ -34,8 +34,8 @@ class OrderedProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = [tuple(map(int, row)) for batch in rows for row in batch[["ts_us", "seq", "weight"]].to_numpy()]
         self.pending.appendList(arrived)
-        for moment in {ts // 1000 + 1 for ts, _, _ in arrived}:
-            self.handle.registerTimer(moment)
+        # One timer for the earliest row: when it fires, all final rows are taken and the next one is set.
+        self.handle.registerTimer(min(arrived)[0] // 1000 + 1)
         yield pd.DataFrame(columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -50,6 +50,7 @@ class OrderedProcessor(StatefulProcessor):
         later = [row for row in waiting if row[0] > final]
         if later:
             self.pending.appendList(later)
+            self.handle.registerTimer(min(later)[0] // 1000 + 1)
         state = self.kept.get() if self.kept.exists() else None
         found = []
         for ts, seq, weight in ready:
