@@ -5,11 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostguard.config import DetectionConfig
-from hostguard.functions.text import plain_number
 from hostguard.operators.skew import SkewPolicy, heavy_keys
 from hostguard.operators.thinning import thin
 from hostguard.operators.windows import address_metrics, global_counts, subnet_counts
@@ -19,24 +18,27 @@ RULE_COLUMNS = ["rule", "rule_order", "key", "seq", "ts_us", "ip", "metric", "th
 
 @dataclass(frozen=True)
 class Rule:
-    """When an attempt is a candidate, on what key its cooldown runs, and what the alert says."""
+    """When an attempt is a candidate, on what key its cooldown runs, and what the alert says.
+
+    All but ``name`` and ``order`` are SQL expressions over the metric columns; ``message`` is a format string
+    and its arguments.
+    """
 
     name: str
     order: int
-    fires: Column
-    key: Column
-    metric: Column
-    threshold: Column
-    message: Column
-
-    def struct(self) -> Column:
-        return F.struct(
-            F.lit(self.name).alias("rule"),
-            F.lit(self.order).alias("rule_order"),
-            self.key.alias("key"),
-            self.metric.cast("double").alias("metric"),
-            self.threshold.cast("double").alias("threshold"),
-            self.message.alias("message"),
+    fires: str
+    key: str
+    metric: str
+    threshold: str
+    message: tuple[str, ...]
+
+    @property
+    def struct(self) -> str:
+        template, *arguments = self.message
+        return (
+            f"named_struct('rule', '{self.name}', 'rule_order', {self.order}, 'key', {self.key}, "
+            f"'metric', CAST({self.metric} AS DOUBLE), 'threshold', CAST({self.threshold} AS DOUBLE), "
+            f"'message', format_string('{template}', {', '.join(arguments)}))"
         )
 
 
@@ -44,101 +46,60 @@ def _seconds(value: float) -> str:
     return str(int(value)) if float(value).is_integer() else str(value)
 
 
-def score_text(cfg: DetectionConfig) -> Column:
-    points = (F.col("score_units").cast("decimal(20,0)") / F.lit(cfg.units_per_point).cast("decimal(18,0)"))
-    return plain_number(points.cast("decimal(27,6)"))
+def score_text(cfg: DetectionConfig) -> str:
+    """The score in points, without trailing zeros."""
+    points = f"CAST(CAST(score_units AS DECIMAL(20,0)) / CAST({cfg.units_per_point}L AS DECIMAL(18,0)) AS DECIMAL(27,6))"
+    return rf"regexp_replace(CAST({points} AS STRING), r'(\.\d+?)0+$', '$1')"
 
 
 def address_rules(cfg: DetectionConfig) -> list[Rule]:
-    ip = F.col("ip")
     return [
         Rule(
-            "baseline",
-            1,
-            F.col("above_threshold"),
-            F.concat(F.lit("baseline_"), ip),
-            F.col("failed_count"),
-            F.col("threshold"),
-            F.format_string(
-                "Behavioural anomaly detected from IP %s (count=%d, threshold=%.2f)",
-                ip,
-                F.col("failed_count"),
-                F.col("threshold"),
-            ),
+            "baseline", 1, "above_threshold", "concat('baseline_', ip)", "failed_count", "threshold",
+            ("Behavioural anomaly detected from IP %s (count=%d, threshold=%.2f)", "ip", "failed_count", "threshold"),
         ),
         Rule(
-            "burst",
-            2,
-            F.col("burst_count") >= cfg.burst_threshold,
-            F.concat(F.lit("burst_"), ip),
-            F.col("burst_count"),
-            F.lit(cfg.burst_threshold),
-            F.format_string("Burst attack detected from IP %s (burst_count=%d)", ip, F.col("burst_count")),
+            "burst", 2, f"burst_count >= {cfg.burst_threshold}", "concat('burst_', ip)", "burst_count",
+            str(cfg.burst_threshold), ("Burst attack detected from IP %s (burst_count=%d)", "ip", "burst_count"),
         ),
         Rule(
-            "risk",
-            3,
-            F.col("score_units") >= F.lit(cfg.risk_threshold * cfg.units_per_point).cast("bigint"),
-            F.concat(F.lit("risk_"), ip),
-            F.col("score"),
-            F.lit(cfg.risk_threshold),
-            F.format_string("High risk intrusion detected from IP %s (score=%s)", ip, score_text(cfg)),
+            "risk", 3, f"score_units >= {cfg.risk_threshold * cfg.units_per_point}L", "concat('risk_', ip)", "score",
+            str(cfg.risk_threshold), ("High risk intrusion detected from IP %s (score=%s)", "ip", score_text(cfg)),
         ),
         Rule(
-            "escalation",
-            5,
-            F.col("escalation_count") >= cfg.escalation_threshold,
-            F.concat(F.lit("escalation_"), ip),
-            F.col("escalation_count"),
-            F.lit(cfg.escalation_threshold),
-            F.format_string(
-                f"Slow progressive attack detected from IP %s (attempts=%d in last {_seconds(cfg.escalation_window)}s)",
-                ip,
-                F.col("escalation_count"),
-            ),
+            "escalation", 5, f"escalation_count >= {cfg.escalation_threshold}", "concat('escalation_', ip)",
+            "escalation_count", str(cfg.escalation_threshold),
+            ("Slow progressive attack detected from IP %s "
+             f"(attempts=%d in last {_seconds(cfg.escalation_window)}s)", "ip", "escalation_count"),
         ),
     ]
 
 
 def global_rule(cfg: DetectionConfig) -> Rule:
     return Rule(
-        "global",
-        4,
-        F.col("global_count") >= cfg.global_threshold,
-        F.lit("global_bruteforce"),
-        F.col("global_count"),
-        F.lit(cfg.global_threshold),
-        F.format_string(
-            "Distributed brute force attack detected "
-            f"(attempts=%d in last {_seconds(cfg.global_time_window)}s)",
-            F.col("global_count"),
-        ),
+        "global", 4, f"global_count >= {cfg.global_threshold}", "'global_bruteforce'", "global_count",
+        str(cfg.global_threshold),
+        ("Distributed brute force attack detected "
+         f"(attempts=%d in last {_seconds(cfg.global_time_window)}s)", "global_count"),
     )
 
 
 def subnet_rule(cfg: DetectionConfig) -> Rule:
     return Rule(
-        "subnet",
-        6,
-        F.col("subnet_count") >= cfg.subnet_threshold,
-        F.concat(F.lit("subnet_"), F.col("subnet")),
-        F.col("subnet_count"),
-        F.lit(cfg.subnet_threshold),
-        F.format_string(
-            f"Subnet attack detected from %s (attempts=%d in last {_seconds(cfg.subnet_window)}s)",
-            F.col("subnet"),
-            F.col("subnet_count"),
-        ),
+        "subnet", 6, f"subnet_count >= {cfg.subnet_threshold}", "concat('subnet_', subnet)", "subnet_count",
+        str(cfg.subnet_threshold),
+        ("Subnet attack detected from %s "
+         f"(attempts=%d in last {_seconds(cfg.subnet_window)}s)", "subnet", "subnet_count"),
     )
 
 
 def _candidates(metrics: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per attempt and rule that it meets, all rules read off one pass over the metrics."""
-    any_fires = reduce(lambda a, b: a | b, [rule.fires for rule in rules])
-    fired = F.array_compact(F.array(*[F.when(rule.fires, rule.struct()) for rule in rules]))
+    any_fires = " OR ".join(rule.fires for rule in rules)
+    fired = ", ".join(f"CASE WHEN {rule.fires} THEN {rule.struct} END" for rule in rules)
     flag = [c for c in metrics.columns if c == "_hot"]
-    rows = metrics.filter(any_fires).select("seq", "ts_us", "ip", *flag, F.explode(fired).alias("_rule"))
-    return rows.select("_rule.*", "seq", "ts_us", "ip", *flag).select(*RULE_COLUMNS, *flag)
+    rows = metrics.filter(any_fires).selectExpr("seq", "ts_us", "ip", *flag, f"inline(array_compact(array({fired})))")
+    return rows.select(*RULE_COLUMNS, *flag)
 
 
 def address_candidates(
@@ -192,7 +153,7 @@ def rule_alerts(
     rules: list[str] | None = None,
 ) -> DataFrame:
     """Alerts of the chosen rules (all six by default) in the order they are raised."""
-    policy = policy.settled_for(attempts)
+    attempts, policy = policy.prepare(attempts.select("seq", "ts_us", "ip"))
     wanted = {"baseline", "burst", "risk", "global", "escalation", "subnet"} if rules is None else set(rules)
     parts = []
     by_address = wanted & {"baseline", "burst", "risk", "escalation"}

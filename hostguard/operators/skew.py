@@ -31,14 +31,17 @@ class SkewPolicy:
     max_hot_keys: int = 10_000
     ranges: int | None = None
 
-    def settled_for(self, df: DataFrame) -> "SkewPolicy":
-        """This policy, without key counts where ``df`` is too small for any hot key.
+    def prepare(self, df: DataFrame) -> tuple[DataFrame, "SkewPolicy"]:
+        """Rows and policy for an operator that reads its input several times.
 
-        One row count stands in for a count per key in each of the steps that follow.
+        One row count decides. A small input cannot have a hot key, so no key is counted later. A large one is
+        written out, narrow as it is, so that the source and its parsing are not run again for each pass.
         """
-        if math.isinf(self.hot_rows) or df.count() > self.hot_rows:
-            return self
-        return replace(self, hot_rows=math.inf)
+        if math.isinf(self.hot_rows):
+            return df, self
+        if df.count() > self.hot_rows:
+            return materialize(df), self
+        return df, replace(self, hot_rows=math.inf)
 
     def range_count(self, df: DataFrame) -> int:
         if self.ranges:

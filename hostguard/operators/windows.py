@@ -8,7 +8,7 @@ only totals that ``keyed_scan`` can split for hot keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostguard.config import DetectionConfig, as_fraction
@@ -19,21 +19,20 @@ ATTEMPT_ORDER = ["ts_us", "seq"]
 MOMENT_ORDER = ["_at", "_entering", "seq"]
 
 
-def with_moments(df: DataFrame, widths: dict[str, int], counted: Column | None = None) -> DataFrame:
+def with_moments(df: DataFrame, widths: dict[str, int]) -> DataFrame:
     """One row per attempt (``_entering`` = 1) and one row per window it leaves (``_entering`` = 0).
 
     ``widths`` maps a counter column to its strict width in microseconds: an attempt is counted while
     ``now - ts_us < width``.
     """
-    one = F.lit(1).cast("bigint") if counted is None else counted
-    zero = F.lit(0).cast("bigint")
-    moments = [F.struct(F.col("ts_us").alias("_at"), F.lit(1).alias("_entering"), *[one.alias(n) for n in widths])]
-    for name, width in widths.items():
-        deltas = [(-one if n == name else zero).alias(n) for n in widths]
-        moments.append(F.struct((F.col("ts_us") + width).alias("_at"), F.lit(0).alias("_entering"), *deltas))
-    return df.select("*", F.explode(F.array(*moments)).alias("_moment")).select(
-        *[c for c in df.columns], "_moment.*"
-    )
+
+    def moment(at: str, entering: int, changes: dict[str, int]) -> str:
+        deltas = [f"'{name}', {changes.get(name, 0)}L" for name in widths]
+        return f"named_struct('_at', {at}, '_entering', {entering}, {', '.join(deltas)})"
+
+    moments = [moment("ts_us", 1, dict.fromkeys(widths, 1))]
+    moments += [moment(f"ts_us + {width}L", 0, {name: -1}) for name, width in widths.items()]
+    return df.selectExpr("*", f"inline(array({', '.join(moments)}))")
 
 
 def sessions(scan: Scan, ttl_us: int) -> Scan:
@@ -42,12 +41,12 @@ def sessions(scan: Scan, ttl_us: int) -> Scan:
         prev_ts=Running("max", F.col("ts_us"), before=True),
         n=Running("sum", F.lit(1).cast("bigint")),
     )
-    scan = scan.derive(_opens=F.col("prev_ts").isNull() | (F.col("ts_us") - F.col("prev_ts") > ttl_us))
+    scan = scan.derive(_opens=F.expr(f"prev_ts IS NULL OR ts_us - prev_ts > {ttl_us}L"))
     scan = scan.running(
         session=Running("sum", F.col("_opens").cast("bigint")),
-        _first_n=Running("max", F.when(F.col("_opens"), F.col("n"))),
+        _first_n=Running("max", F.expr("CASE WHEN _opens THEN n END")),
     )
-    return scan.derive(position=F.col("n") - F.col("_first_n") + 1)
+    return scan.derive(position=F.expr("n - _first_n + 1"))
 
 
 def scores(scan: Scan, cfg: DetectionConfig) -> Scan:
@@ -57,73 +56,58 @@ def scores(scan: Scan, cfg: DetectionConfig) -> Scan:
     ``score = max(0, score - decay) + a`` equals ``A - D + max(D_k - A_k + a_k)`` over the attempts k of the
     session. The maximum is taken of (session, level), which starts it afresh in every session.
     """
-    gap = F.when(~F.col("_opens"), F.col("ts_us") - F.col("prev_ts"))
-    points = (
-        F.lit(cfg.failed_login_score)
-        + F.when(gap < cfg.us("time_window"), F.lit(cfg.repeat_penalty)).otherwise(F.lit(0))
-        + F.when(
-            (gap < cfg.us("time_window")) & (gap < cfg.us("rapid_window")), F.lit(cfg.rapid_attempt_bonus)
-        ).otherwise(F.lit(0))
-    ).cast("bigint")
-    scan = scan.derive(increment=points).derive(_added=F.col("increment") * F.lit(cfg.units_per_point).cast("bigint"))
-    scan = scan.running(_added_sum=Running("sum", F.col("_added")))
-    decayed = F.col("ts_us") * F.lit(cfg.decay_units).cast("bigint")
-    scan = scan.derive(_level=F.struct("session", (decayed - F.col("_added_sum") + F.col("_added")).alias("level")))
-    scan = scan.running(_top=Running("max", F.col("_level")))
-    return scan.derive(score_units=F.col("_added_sum") - decayed + F.col("_top.level"))
+    recent = f"NOT _opens AND ts_us - prev_ts < {cfg.us('time_window')}L"
+    rapid = f"{recent} AND ts_us - prev_ts < {cfg.us('rapid_window')}L"
+    points = F.expr(
+        f"CAST({cfg.failed_login_score} + CASE WHEN {recent} THEN {cfg.repeat_penalty} ELSE 0 END"
+        f" + CASE WHEN {rapid} THEN {cfg.rapid_attempt_bonus} ELSE 0 END AS BIGINT)"
+    )
+    added = F.expr(f"increment * {cfg.units_per_point}L")
+    scan = scan.derive(increment=points).derive(_added=added).running(_added_sum=Running("sum", F.col("_added")))
+    decay = f"ts_us * {cfg.decay_units}L"
+    level = F.expr(f"named_struct('session', session, 'level', {decay} - _added_sum + _added)")
+    scan = scan.derive(_level=level).running(_top=Running("max", F.col("_level")))
+    return scan.derive(score_units=F.expr(f"_added_sum - {decay} + _top.level"))
 
 
 def history_totals(scan: Scan, cfg: DetectionConfig) -> Scan:
     """Size, sum and sum of squares of the last ``baseline_max_history`` counts of the session."""
     steps = cfg.baseline_max_history
-    square = F.col("failed_count").cast("decimal(19,0)") * F.col("failed_count").cast("decimal(19,0)")
-    scan = scan.derive(_square=square.cast("decimal(28,0)")).running(
+    square = "CAST(CAST(failed_count AS DECIMAL(19,0)) * CAST(failed_count AS DECIMAL(19,0)) AS DECIMAL(28,0))"
+    scan = scan.derive(_square=F.expr(square)).running(
         _sum=Running("sum", F.col("failed_count")),
         _squares=Running("sum", F.col("_square")),
     )
-    opens = F.col("position") == 1
-    scan = scan.derive(
-        _sum_before=F.when(opens, F.col("_sum") - F.col("failed_count")),
-        _squares_before=F.when(opens, F.col("_squares") - F.col("_square")),
-    )
     scan = scan.running(
-        _sum_open=Running("max", F.col("_sum_before")),
-        _squares_open=Running("max", F.col("_squares_before")),
+        _sum_open=Running("max", F.expr("CASE WHEN position = 1 THEN _sum - failed_count END")),
+        _squares_open=Running("max", F.expr("CASE WHEN position = 1 THEN _squares - _square END")),
     ).lagged("n", steps, _sum_old="_sum", _squares_old="_squares")
     # Both running totals only grow, so the later of the two starting points is the larger one.
     return scan.derive(
-        history_n=F.least(F.col("position"), F.lit(steps).cast("bigint")),
-        history_sum=F.col("_sum") - F.greatest("_sum_old", "_sum_open"),
-        history_squares=(F.col("_squares") - F.greatest("_squares_old", "_squares_open")).cast("decimal(38,0)"),
+        history_n=F.expr(f"least(position, {steps}L)"),
+        history_sum=F.expr("_sum - greatest(_sum_old, _sum_open)"),
+        history_squares=F.expr("CAST(_squares - greatest(_squares_old, _squares_open) AS DECIMAL(38,0))"),
     )
 
 
 def with_threshold(df: DataFrame, cfg: DetectionConfig, value: str) -> DataFrame:
     """Add ``threshold`` (double, for reports) and ``above_threshold`` (exact, in whole numbers)."""
-    n = F.col("history_n").cast("decimal(9,0)")
-    total, squares = F.col("history_sum").cast("decimal(19,0)"), F.col("history_squares")
-    spread = F.col("history_n") * squares.cast("double") - F.col("history_sum").cast("double") * F.col("history_sum")
-    exact_spread = (n * squares - total * total).cast("decimal(38,0)")
-    stdev = F.when(F.col("history_n") == 1, F.lit(1.0)).otherwise(
-        F.sqrt(exact_spread.cast("double") / (F.col("history_n") * (F.col("history_n") - 1)))
-    )
-    enough = F.col("history_n") >= cfg.baseline_min_samples
+    multiplier = float(cfg.baseline_std_multiplier)
     factor = as_fraction(cfg.baseline_std_multiplier) ** 2
-    lead = (n * F.col(value).cast("decimal(19,0)") - total).cast("decimal(19,0)")
-    over = (lead > 0) & (
-        (lead * lead * ((F.col("history_n") - 1) * factor.denominator).cast("decimal(9,0)"))
-        > (exact_spread * (F.col("history_n") * factor.numerator).cast("decimal(9,0)"))
-    )
-    one_sample = F.col(value) > F.col("history_sum") + F.lit(float(cfg.baseline_std_multiplier))
-    return df.withColumns(
-        {
-            "threshold": F.when(
-                enough, F.col("history_sum") / F.col("history_n") + F.lit(float(cfg.baseline_std_multiplier)) * stdev
-            ).otherwise(F.lit(float(cfg.baseline_default_threshold))),
-            "above_threshold": F.when(~enough, F.col(value) > cfg.baseline_default_threshold)
-            .when(F.col("history_n") == 1, one_sample)
-            .otherwise(over),
-        }
+    total = "CAST(history_sum AS DECIMAL(19,0))"
+    n = "CAST(history_n AS DECIMAL(9,0))"
+    spread = f"CAST({n} * history_squares - {total} * {total} AS DECIMAL(38,0))"
+    stdev = f"CASE WHEN history_n = 1 THEN 1.0D ELSE sqrt(CAST({spread} AS DOUBLE) / (history_n * (history_n - 1))) END"
+    lead = f"CAST({n} * CAST({value} AS DECIMAL(19,0)) - {total} AS DECIMAL(19,0))"
+    over = f"""{lead} > 0 AND {lead} * {lead} * CAST((history_n - 1) * {factor.denominator} AS DECIMAL(9,0))
+               > {spread} * CAST(history_n * {factor.numerator} AS DECIMAL(9,0))"""
+    return df.selectExpr(
+        "*",
+        f"""CASE WHEN history_n >= {cfg.baseline_min_samples} THEN history_sum / history_n + {multiplier}D * {stdev}
+            ELSE {float(cfg.baseline_default_threshold)}D END AS threshold""",
+        f"""CASE WHEN history_n < {cfg.baseline_min_samples} THEN {value} > {cfg.baseline_default_threshold}
+            WHEN history_n = 1 THEN {value} > history_sum + {multiplier}D
+            ELSE {over} END AS above_threshold""",
     )
 
 
@@ -142,12 +126,11 @@ def _address_body(cfg: DetectionConfig):
         scan = scan.running(**{name: Running("sum", F.col(name)) for name in widths})
         scan = scan.filter(F.col("_entering") == 1)
         # A session never reaches back past its first attempt.
-        scan = scan.derive(**{name: F.least(F.col(name), F.col("position")) for name in widths})
+        scan = scan.derive(**{name: F.expr(f"least({name}, position)") for name in widths})
         scan = history_totals(scan, cfg)
         outputs = [*kept, *widths, "history_n", "history_sum", "history_squares"]
         result = with_threshold(scan.df.select(*outputs), cfg, "failed_count")
-        points = F.lit(cfg.units_per_point).cast("bigint")
-        return result.withColumn("score", F.col("score_units") / points)
+        return result.selectExpr("*", f"score_units / {cfg.units_per_point}L AS score")
 
     return body
 
@@ -174,10 +157,8 @@ def risk_scores(
 ) -> DataFrame:
     def body(scan: Scan) -> DataFrame:
         scored = scores(sessions(scan, cfg.us("ip_ttl")), cfg).df
-        points = F.lit(cfg.units_per_point).cast("bigint")
-        return scored.select(
-            "seq", "ts_us", "ip", "session", "increment", "score_units", (F.col("score_units") / points).alias("score")
-        )
+        score = f"score_units / {cfg.units_per_point}L AS score"
+        return scored.selectExpr("seq", "ts_us", "ip", "session", "increment", "score_units", score)
 
     return keyed_scan(
         attempts.select("seq", "ts_us", "ip"), ["ip"], ATTEMPT_ORDER, body, policy, hot_flag="_hot"

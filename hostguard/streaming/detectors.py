@@ -38,11 +38,10 @@ def address_alerts(stream: DataFrame, cfg: DetectionConfig = DetectionConfig(),
     )
     found = with_threshold(found.withColumn("history_squares", F.col("history_squares").cast("decimal(38,0)")), cfg,
                            "failed_count")
-    found = found.withColumn("score", F.col("score_units") / F.lit(cfg.units_per_point).cast("bigint"))
-    described = F.coalesce(*[F.when(F.col("rule_order") == r.order, r.struct()) for r in address_rules(cfg)])
-    return found.select("seq", "ts_us", "ip", described.alias("_rule")).select("seq", "ts_us", "ip", "_rule.*").select(
-        *RULE_COLUMNS
-    )
+    found = found.selectExpr("*", f"score_units / {cfg.units_per_point}L AS score")
+    described = ", ".join(f"WHEN rule_order = {r.order} THEN {r.struct}" for r in address_rules(cfg))
+    described = found.selectExpr("seq", "ts_us", "ip", f"inline(array(CASE {described} END))")
+    return described.select(*RULE_COLUMNS)
 
 
 def subnet_alerts(stream: DataFrame, cfg: DetectionConfig = DetectionConfig(), delay: str = "10 seconds") -> DataFrame:
@@ -56,9 +55,8 @@ def subnet_alerts(stream: DataFrame, cfg: DetectionConfig = DetectionConfig(), d
                                     "EventTime")
     )
     found = found.withColumns({"subnet_count": F.col("counted"), "ip": F.lit(None).cast("string")})
-    return found.select("seq", "ts_us", "ip", subnet_rule(cfg).struct().alias("_rule")).select(
-        "_rule.*", "seq", "ts_us", "ip"
-    ).select(*RULE_COLUMNS)
+    described = found.selectExpr("seq", "ts_us", "ip", f"inline(array({subnet_rule(cfg).struct}))")
+    return described.select(*RULE_COLUMNS)
 
 
 def global_alerts(stream: DataFrame, cfg: DetectionConfig = DetectionConfig(), delay: str = "10 seconds") -> DataFrame:
@@ -81,9 +79,8 @@ def global_alerts(stream: DataFrame, cfg: DetectionConfig = DetectionConfig(), d
         detector, "key string, seq bigint, ts_us bigint, counted bigint", "Append", "EventTime"
     )
     found = found.withColumns({"global_count": F.col("counted"), "ip": F.lit(None).cast("string")})
-    return found.select("seq", "ts_us", "ip", global_rule(cfg).struct().alias("_rule")).select(
-        "_rule.*", "seq", "ts_us", "ip"
-    ).select(*RULE_COLUMNS)
+    described = found.selectExpr("seq", "ts_us", "ip", f"inline(array({global_rule(cfg).struct}))")
+    return described.select(*RULE_COLUMNS)
 
 
 def suppress_repeats(
