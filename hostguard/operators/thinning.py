@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostguard.operators.skew import SkewPolicy, split_heavy
@@ -65,11 +65,11 @@ def suppress_repeats(
 
 def _follow(df: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
     """One pass over rows partitioned by key and sorted by (key, ts_us, seq)."""
-    # Equal key text hashes alike, so a hash of the key marks where it changes without comparing text in Python.
-    key_id = F.xxhash64(*keys)
+    # Partitioned by a column of its own: Spark drops a repartition by columns it takes to be laid out already,
+    # and a Python stage does not make adaptive execution keep such a layout.
     columns = df.columns
-    tagged = df.withColumn("_key_id", key_id)
-    laid = tagged.repartition(*keys).sortWithinPartitions("_key_id", *keys, "ts_us", "seq")
+    tagged = df.withColumn("_key_id", F.xxhash64(*keys))
+    laid = tagged.repartition("_key_id").sortWithinPartitions("_key_id", *keys, "ts_us", "seq")
     key_names = ["_key_id", *keys]
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,8 +110,7 @@ def _key_starts(table: pa.RecordBatch) -> np.ndarray:
 def _follow_hot(df: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
     """Hot keys are few, so each gets a number and only numbers and times go through the levels."""
     df = materialize(df)
-    numbered = df.select(*keys).distinct().withColumn("_key", F.row_number().over(Window.orderBy(*keys)).cast("bigint"))
-    numbered = materialize(numbered)
+    numbered = materialize(df.select(*keys).distinct().withColumn("_key", F.monotonically_increasing_id()))
     named = F.broadcast(numbered.withColumnsRenamed({k: f"_k_{k}" for k in keys}))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
     df = df.join(named, same).select(*df.columns, "_key")

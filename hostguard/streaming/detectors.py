@@ -39,7 +39,7 @@ def address_alerts(stream: DataFrame, cfg: DetectionConfig = DetectionConfig(),
     found = with_threshold(found.withColumn("history_squares", F.col("history_squares").cast("decimal(38,0)")), cfg,
                            "failed_count")
     found = found.selectExpr("*", f"score_units / {cfg.units_per_point}L AS score")
-    described = ", ".join(f"WHEN rule_order = {r.order} THEN {r.struct}" for r in address_rules(cfg))
+    described = " ".join(f"WHEN rule_order = {r.order} THEN {r.struct}" for r in address_rules(cfg))
     described = found.selectExpr("seq", "ts_us", "ip", f"inline(array(CASE {described} END))")
     return described.select(*RULE_COLUMNS)
 

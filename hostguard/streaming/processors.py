@@ -6,7 +6,7 @@ Because of the wait, rows that arrive out of order but not late give the same re
 from __future__ import annotations
 
 import sys
-from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[DetectionConfig.__module__])
 
 
 class OrderedProcessor(StatefulProcessor):
-    """Hold rows back until they are final. Subclasses keep ``state_schema`` state and fold one row at a time."""
+    """Hold rows back until they are final. Subclasses keep ``state_schema`` state and fold runs of rows."""
 
     state_schema: str
     pending_schema = "ts_us bigint, seq bigint, weight bigint"
@@ -51,16 +51,12 @@ class OrderedProcessor(StatefulProcessor):
         if later:
             self.pending.appendList(later)
             self.handle.registerTimer(min(later)[0] // 1000 + 1)
-        state = self.kept.get() if self.kept.exists() else None
-        found = []
-        for ts, seq, weight in ready:
-            state, rows = self.step(state, ts, seq, weight)
-            found.extend((*key, *row) for row in rows)
+        state, rows = self.fold(self.kept.get() if self.kept.exists() else None, ready)
         self.kept.update(state)
-        yield pd.DataFrame(found, columns=self.columns)
+        yield pd.DataFrame([(*key, *row) for row in rows], columns=self.columns)
 
-    def step(self, state, ts: int, seq: int, weight: int):
-        """(new state, output rows without the key) for one row."""
+    def fold(self, state, ready: list[tuple[int, int, int]]):
+        """(new state, output rows without the key) for rows (ts, seq, weight) in time order."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -84,37 +80,53 @@ class AddressDetector(OrderedProcessor):
         self.cfg = cfg
         self.spread_factor = as_fraction(cfg.baseline_std_multiplier) ** 2
 
-    def step(self, state, ts, seq, weight):
+    def fold(self, state, ready):
         cfg, us = self.cfg, self.cfg.us
+        window, burst_window, slow_window = us("time_window"), us("burst_window"), us("escalation_window")
         last, score, attempts, history, fired = state or (None, 0, [], [], [0, 0, 0, 0])
-        attempts, history, fired = list(attempts), list(history), list(fired)
-        if last is not None and ts - last > us("ip_ttl"):
-            last, score, attempts, history = None, 0, [], []
-        added = cfg.failed_login_score
-        if last is not None:
-            score = max(0, score - (ts - last) * cfg.decay_units)
-            if ts - last < us("time_window"):
-                added += cfg.repeat_penalty + (cfg.rapid_attempt_bonus if ts - last < us("rapid_window") else 0)
-        score += added * cfg.units_per_point
-        attempts = attempts[bisect_right(attempts, ts - max(us("time_window"), us("escalation_window"))) :] + [ts]
-        in_window = bisect_right(attempts, ts - us("time_window"))
-        failed = len(attempts) - in_window
-        burst = len(attempts) - max(in_window, bisect_left(attempts, ts - us("burst_window")))
-        slow = len(attempts) - bisect_right(attempts, ts - us("escalation_window"))
-        history = (history + [failed])[-cfg.baseline_max_history :]
-        n, total, squares = len(history), sum(history), sum(x * x for x in history)
-        meets = [
-            (1, self._above(failed, n, total, squares)),
-            (2, burst >= cfg.burst_threshold),
-            (3, score >= cfg.risk_threshold * cfg.units_per_point),
-            (5, slow >= cfg.escalation_threshold),
-        ]
+        attempts, fired = list(attempts), list(fired)
+        history = deque(history)
+        total, squares = sum(history), sum(x * x for x in history)
+        # First attempt still inside each window; they only move forward, so a dense window costs no more.
+        in_window = in_burst = in_slow = 0
         rows = []
-        for slot, (order, met) in enumerate(meets):
-            if met and ts - fired[slot] >= us("alert_cooldown"):
-                fired[slot] = ts
-                rows.append((order, seq, ts, failed, burst, slow, score, n, total, squares))
-        return (ts, score, attempts, history, fired), rows
+        for ts, seq, _ in ready:
+            if last is not None and ts - last > us("ip_ttl"):
+                last, score, attempts, in_window, in_burst, in_slow = None, 0, [], 0, 0, 0
+                history.clear()
+                total = squares = 0
+            added = cfg.failed_login_score
+            if last is not None:
+                score = max(0, score - (ts - last) * cfg.decay_units)
+                if ts - last < window:
+                    added += cfg.repeat_penalty + (cfg.rapid_attempt_bonus if ts - last < us("rapid_window") else 0)
+            score += added * cfg.units_per_point
+            attempts.append(ts)
+            while ts - attempts[in_window] >= window:
+                in_window += 1
+            while ts - attempts[in_burst] > burst_window:
+                in_burst += 1
+            while ts - attempts[in_slow] >= slow_window:
+                in_slow += 1
+            failed, slow = len(attempts) - in_window, len(attempts) - in_slow
+            burst = len(attempts) - max(in_window, in_burst)
+            history.append(failed)
+            total, squares = total + failed, squares + failed * failed
+            if len(history) > cfg.baseline_max_history:
+                oldest = history.popleft()
+                total, squares = total - oldest, squares - oldest * oldest
+            n, last = len(history), ts
+            meets = [
+                (1, self._above(failed, n, total, squares)),
+                (2, burst >= cfg.burst_threshold),
+                (3, score >= cfg.risk_threshold * cfg.units_per_point),
+                (5, slow >= cfg.escalation_threshold),
+            ]
+            for slot, (order, met) in enumerate(meets):
+                if met and ts - fired[slot] >= us("alert_cooldown"):
+                    fired[slot] = ts
+                    rows.append((order, seq, ts, failed, burst, slow, score, n, total, squares))
+        return (last, score, attempts[min(in_window, in_slow) :], list(history), fired), rows
 
     def _above(self, count: int, n: int, total: int, squares: int) -> bool:
         if n < self.cfg.baseline_min_samples:
@@ -134,16 +146,21 @@ class CountingDetector(OrderedProcessor):
         self.columns = [key, "seq", "ts_us", "counted"]
         self.width_us, self.threshold, self.cooldown_us = width_us, threshold, cooldown_us
 
-    def step(self, state, ts, seq, weight):
+    def fold(self, state, ready):
         moments, weights, fired = state or ([], [], 0)
-        start = bisect_right(list(moments), ts - self.width_us)
-        moments, weights = [*moments[start:], ts], [*weights[start:], weight]
-        counted = sum(weights)
-        rows = []
-        if counted >= self.threshold and ts - fired >= self.cooldown_us:
-            fired = ts
-            rows.append((seq, ts, counted))
-        return (moments, weights, fired), rows
+        moments, weights = list(moments), list(weights)
+        start, counted, rows = 0, sum(weights), []
+        for ts, seq, weight in ready:
+            moments.append(ts)
+            weights.append(weight)
+            counted += weight
+            while ts - moments[start] >= self.width_us:
+                counted -= weights[start]
+                start += 1
+            if counted >= self.threshold and ts - fired >= self.cooldown_us:
+                fired = ts
+                rows.append((seq, ts, counted))
+        return (moments[start:], weights[start:], fired), rows
 
 
 class RepeatFilter(OrderedProcessor):
@@ -155,7 +172,10 @@ class RepeatFilter(OrderedProcessor):
         self.columns = [*keys, "seq", "ts_us"]
         self.ttl_us = ttl_us
 
-    def step(self, state, ts, seq, weight):
-        if state is not None and ts - state[0] <= self.ttl_us:
-            return state, []
-        return (ts,), [(seq, ts)]
+    def fold(self, state, ready):
+        passed, rows = state[0] if state else None, []
+        for ts, seq, _ in ready:
+            if passed is None or ts - passed > self.ttl_us:
+                passed = ts
+                rows.append((seq, ts))
+        return (passed,), rows

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import uuid
 
 import pytest
@@ -182,3 +183,22 @@ def test_lifecycle(spark):
     assert (row.acknowledged, row.acknowledged_at, row.resolved, row.resolved_at) == (True, 16.0, True, 15.0)
     assert (row.version, row.metadata, row.dedup_key) == (5, {}, "ERROR|m")
     assert [r.seq for r in refused.collect()] == [1]
+
+
+@pytest.mark.parametrize("limit", [3, 100])
+def test_metadata_limit(spark, limit):
+    rng = random.Random(limit)
+    actions, kept = [], {"k": "v"}
+    for seq in range(1, 200):
+        key = f"k{rng.randrange(6)}"
+        value = rng.choice([None, str(seq), str(seq)])
+        action = rng.choice(["set_metadata", "set_metadata", "remove_metadata"])
+        actions.append(("a", seq, action, key, value, 1.0))
+        if action == "remove_metadata" or value is None:
+            kept.pop(key, None)
+        elif key in kept or len(kept) < limit:
+            kept[key] = value
+    rng.shuffle(actions)
+    current, _ = lifecycle.apply_actions(base_alerts(spark), spark.createDataFrame(actions, ACTION), limit)
+    row = current.first()
+    assert row.metadata == kept and row.version == 200
