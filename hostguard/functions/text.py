@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Java's dot stops at every line terminator; this flag leaves only the newline.
@@ -81,5 +81,15 @@ def stripped(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def as_double(df: DataFrame, name: str) -> Column:
+    """A column as a double; text that reads as a number counts as one, other text is null."""
+    if dict(df.dtypes)[name].startswith(NUMERIC):
+        return F.col(name).cast("double")
+    return F.col(name).cast("string").try_cast("double")
+
+
 def blank_to_null(text: Column) -> Column:
     return F.when(text != "", text)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostguard.config import DetectionConfig
+from hostguard.functions.text import as_double
 from hostguard.operators.windows import with_threshold
 
 OUTLIER_SIGMAS = 3
@@ -15,7 +16,7 @@ def read_metric(df: DataFrame, column: str = "metric") -> DataFrame:
     """Add ``value`` (double) and ``error``. Text that reads as a number counts as one."""
     if column not in df.columns:
         return df.withColumns({"value": F.lit(None).cast("double"), "error": F.lit(f"missing required key: {column}")})
-    value = F.col(column).cast("string").try_cast("double")
+    value = as_double(df, column)
     error = F.when(F.col(column).isNull(), F.lit(f"missing required key: {column}")).when(
         value.isNull(), F.lit("metric value must be numeric")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostguard.functions.ip import bind, is_ip
-from hostguard.functions.text import blank_to_null
+from hostguard.functions.text import as_double, blank_to_null
 from hostguard.schemas import EVENT_SCHEMA, TEXT_MAP
 
 # Event types, time bounds in epoch seconds, the longest user name.
@@ -82,7 +82,8 @@ def normalize_events(df: DataFrame, as_of: Column, extra_types: list[str] = [])
         return F.col(name) if name in names else F.lit(None).cast("string")
 
     types = dict(df.dtypes)
-    seconds = F.coalesce(column("timestamp").cast("string").try_cast("double"), as_of.cast("double"))
+    given = as_double(df, "timestamp") if "timestamp" in names else F.lit(None).cast("double")
+    seconds = F.coalesce(given, as_of.cast("double"))
     severity = whole_number(column("severity").cast("string"))
     pid = whole_number(column("pid").cast("string"))
     data = column("data") if types.get("data", "").startswith("map") else text_map(column("data"))
@@ -206,7 +207,7 @@ def analyze_activity(df: DataFrame, threshold: float = 90) -> DataFrame:
     names = set(df.columns)
     process = F.col("process") if "process" in names else F.lit(None).cast("string")
     given = F.col("activity_score") if "activity_score" in names else F.lit(None).cast("string")
-    score = given.cast("string").try_cast("double")
+    score = as_double(df, "activity_score") if "activity_score" in names else given.cast("double")
     error = (
         F.when(process.isNull(), F.lit("missing required key: 'process'"))
         .when(given.isNull(), F.lit("missing required key: 'activity_score'"))

@@ -19,9 +19,13 @@ def last_write(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def upsert(snapshot: DataFrame, updates: DataFrame, keys: list[str] = ["ip"], seq: str = "seq") -> DataFrame:
-    """``snapshot`` with ``updates`` (same columns and ``seq``) written over it; updates shadow stored rows."""
-    newest = last_write(updates, keys, ["last_updated", seq]).select(*snapshot.columns)
-    return snapshot.join(newest.select(*keys), keys, "left_anti").unionByName(newest)
+    """``snapshot`` with ``updates`` (same columns and ``seq``) written over it; updates shadow stored rows.
+
+    Stored rows and updates go through one grouped maximum, so each is read and shuffled once.
+    """
+    stored = snapshot.withColumns({seq: F.lit(None).cast("bigint"), "_new": F.lit(0)})
+    written = updates.select(*snapshot.columns, F.col(seq).cast("bigint").alias(seq), F.lit(1).alias("_new"))
+    return last_write(stored.unionByName(written), keys, ["_new", "last_updated", seq]).select(*snapshot.columns)
 
 
 def delete_keys(snapshot: DataFrame, deleted: DataFrame, keys: list[str] = ["ip"]) -> DataFrame:
@@ -54,17 +58,22 @@ def corrupted_entries(log: DataFrame) -> DataFrame:
 
 
 def _replay(base: DataFrame, log: DataFrame, insert: int, delete: int, value: str) -> DataFrame:
-    """Only the last intact operation on a key matters: an insert leaves its value, a delete nothing."""
-    mine = log.filter(F.col("op_type").isin(insert, delete))
-    last = mine.groupBy(F.col("key").alias("ip")).agg(
-        F.max_by(F.struct("op_type", "value_json", "timestamp"), "id").alias("_op")
+    """Only the last intact operation on a key matters: an insert leaves its value, a delete nothing.
+
+    Stored rows count as inserts from before the log, so base and log meet in one grouped maximum.
+    """
+    before = base.selectExpr("ip", f"{insert} AS op_type", f"{value} AS value_json", "last_updated AS timestamp",
+                             "CAST(NULL AS BIGINT) AS id")
+    mine = log.filter(F.col("op_type").isin(insert, delete)).selectExpr(
+        "key AS ip", "op_type", "coalesce(value_json, 'null') AS value_json", "timestamp", "id"
     )
-    written = last.filter(F.col("_op.op_type") == insert).select(
-        "ip",
-        F.coalesce("_op.value_json", F.lit("null")).alias(value),
-        F.col("_op.timestamp").alias("last_updated"),
+    # A null id sorts before every operation of the log.
+    last = before.unionByName(mine).groupBy("ip").agg(
+        F.max(F.struct("id", "op_type", "value_json", "timestamp")).alias("_op")
     )
-    return base.join(last.select("ip"), "ip", "left_anti").unionByName(written.select(*base.columns))
+    rows = last.filter(F.col("_op.op_type") == insert)
+    kept = rows.select("ip", F.col("_op.value_json").alias(value), F.col("_op.timestamp").alias("last_updated"))
+    return kept.select(*base.columns)
 
 
 def replay(states: DataFrame, histories: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
