@@ -151,10 +151,7 @@ class RangeScan:
             ],
         )
         carried = carried.withColumnsRenamed({k: f"_c_{k}" for k in ["_range", *self.keys]})
-        same = reduce(
-            lambda a, b: a & b,
-            [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in ["_range", *self.keys]],
-        )
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in ["_range", *self.keys]])
         joined = self.df.withColumns(local).join(F.broadcast(carried), same, "left")
         merged = {}
         for name, total in totals.items():
@@ -199,6 +196,18 @@ class RangeScan:
 Scan = WindowScan | RangeScan
 
 
+def first_rows(df: DataFrame, order: list, n: int, policy: SkewPolicy = SkewPolicy()) -> DataFrame:
+    """The first ``n`` rows by ``order``, which must be a total order.
+
+    A small ``n`` is a top-k that ends in one task. A large one never meets in one task: the rows are laid out
+    in ranges and numbered.
+    """
+    if n <= policy.hot_rows:
+        return df.orderBy(*order).limit(max(n, 0))
+    scan = RangeScan(df, [], order, policy).running(_number=Running("sum", F.lit(1).cast("bigint")))
+    return scan.filter(F.col("_number") <= n).df.select(*df.columns)
+
+
 def keyed_scan(
     df: DataFrame,
     keys: list[str],

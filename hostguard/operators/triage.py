@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostguard.operators.alerts import PRIORITIES
+from hostguard.operators.skew import SkewPolicy, first_rows
 
 
 def priority_values(extra: dict[str, int] = {}) -> dict[str, int]:
@@ -29,21 +30,23 @@ def named_priority(df: DataFrame, column: str, extra: dict[str, int] = {}) -> Da
     return df.withColumns({"priority": number, "error": error})
 
 
-def take_first(df: DataFrame, n: int, arrival: str = "seq") -> DataFrame:
+def take_first(df: DataFrame, n: int, arrival: str = "seq", policy: SkewPolicy = SkewPolicy()) -> DataFrame:
     """The ``n`` most urgent rows, earliest first within a priority."""
-    return df.orderBy("priority", arrival).limit(n)
+    return first_rows(df, ["priority", arrival], n, policy).orderBy("priority", arrival)
 
 
-def take_with_quotas(df: DataFrame, capacity: int, quotas: dict[int, float], arrival: str = "seq") -> DataFrame:
+def take_with_quotas(
+    df: DataFrame, capacity: int, quotas: dict[int, float], arrival: str = "seq", policy: SkewPolicy = SkewPolicy()
+) -> DataFrame:
     """At most ``int(capacity * quota)`` rows of each listed priority, ``capacity`` rows in all.
 
     Each listed priority is a top-k of its own, so a hot priority is cut down in every task before anything
     is shuffled.
     """
     listed = [
-        df.filter(F.col("priority") == number).orderBy(arrival).limit(int(capacity * quota))
+        first_rows(df.filter(F.col("priority") == number), [arrival], int(capacity * quota), policy)
         for number, quota in quotas.items()
     ]
     others = df.filter(~F.col("priority").isin(*quotas)) if quotas else df
-    parts = [*listed, take_first(others, capacity, arrival)]
-    return take_first(reduce(DataFrame.unionByName, parts), capacity, arrival)
+    parts = [*listed, first_rows(others, ["priority", arrival], capacity, policy)]
+    return take_first(reduce(DataFrame.unionByName, parts), capacity, arrival, policy)

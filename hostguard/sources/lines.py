@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hostguard.functions.text import stripped
 from hostguard.operators.alerts import alert_line
+from hostguard.operators.skew import SkewPolicy, first_rows
 from hostguard.schemas import EVENT_SCHEMA
 
 LINE_ORDER = ["file_path", "block_start", "line_id"]
@@ -54,11 +55,12 @@ def stream_lines(
     return rows.select(_readable(F.col("value")).alias("line"), F.col("_metadata.file_path").alias("file_path"))
 
 
-def last_lines(df: DataFrame, limit: int, order: list[str], as_of: Column, column: str = "line") -> DataFrame:
-    """The last ``limit`` raw lines without the blank ones, as log-line events. A top-k, not a full sort."""
-    last = df.orderBy(*[F.desc(c) for c in order]).limit(max(limit, 0))
-    message = stripped(F.col(column))
-    rows = last.withColumn("message", message).filter(F.col("message") != "")
+def last_lines(
+    df: DataFrame, limit: int, order: list[str], as_of: Column, column: str = "line", policy: SkewPolicy = SkewPolicy()
+) -> DataFrame:
+    """The last ``limit`` raw lines without the blank ones, as log-line events."""
+    last = first_rows(df, [F.desc(c) for c in order], limit, policy)
+    rows = last.withColumn("message", stripped(F.col(column))).filter(F.col("message") != "")
     return rows.select(
         *order, F.lit("log_line").alias("type"), "message", as_of.cast("double").alias("timestamp")
     ).orderBy(*order)

@@ -34,18 +34,41 @@ def alert_table_sink(folder: str) -> Sink:
 
 
 def snapshot_sink(folder: str, empty: DataFrame, keys: list[str] = ["ip"]) -> Sink:
-    """Keyed state after each batch as ``folder/version=<id>``, made from the version before and the batch."""
+    """Keyed state after each batch as ``folder/version=<id>``, made from the newest version before and the batch.
+
+    The version before is kept, so that a repeated batch finds it; older ones are removed.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        versions = [v for v in _versions(batch, folder) if v < batch_id]
         before = empty
-        if batch_id > 0:
-            before = spark.read.schema(empty.schema).parquet(f"{folder}/version={batch_id - 1}")
+        if versions:
+            before = spark.read.schema(empty.schema).parquet(f"{folder}/version={max(versions)}")
         upsert(before, batch, keys).write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+        for old in sorted(versions)[:-1]:
+            _files(batch, folder).delete(_path(batch, f"{folder}/version={old}"), True)
 
     return write
 
 
+def _path(df: DataFrame, path: str):
+    return df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(df: DataFrame, folder: str):
+    return _path(df, folder).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+
+
+def _versions(df: DataFrame, folder: str) -> list[int]:
+    files = _files(df, folder)
+    if not files.exists(_path(df, folder)):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(_path(df, folder))]
+    finished = [n for n in names if files.exists(_path(df, f"{folder}/{n}/_SUCCESS"))]
+    return [int(n.partition("=")[2]) for n in finished if n.startswith("version=")]
+
+
 def quarantine_sink(good_folder: str, bad_folder: str, on_event: Sink | None = None, on_error: Sink | None = None) -> Sink:
     """Accepted and refused rows (by their ``error``) in two tables; hooks see the same two parts."""
 

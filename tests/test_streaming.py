@@ -65,9 +65,10 @@ def test_sinks_repeat_without_duplicates(spark, tmp_path):
     updates = "ip string, state_json string, last_updated double, seq int"
     first = spark.createDataFrame([("a", "1", 1.0, 1), ("b", "1", 1.0, 2)], updates)
     second = spark.createDataFrame([("a", "2", 2.0, 3)], updates)
-    for batch, number in [(first, 0), (second, 1), (second, 1)]:
+    for batch, number in [(first, 0), (second, 1), (second, 1), (second.limit(0), 3), (second.limit(0), 4)]:
         write(batch, number)
-    last = spark.read.parquet(str(tmp_path / "state" / "version=1"))
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["version=3", "version=4"]
+    last = spark.read.parquet(str(tmp_path / "state" / "version=4"))
     assert sorted((r.ip, r.state_json) for r in last.collect()) == [("a", "2"), ("b", "1")]
 
     seen = []

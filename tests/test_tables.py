@@ -108,6 +108,9 @@ def test_triage(spark):
     df = spark.createDataFrame(rows, "seq int, priority int")
     assert [r.seq for r in triage.take_first(df, 5).collect()] == [1, 3, 4, 8, 2]
     assert [r.seq for r in triage.take_with_quotas(df, 5, {0: 0.4, 1: 0.2}).collect()] == [1, 3, 2, 0, 6]
+    split = SkewPolicy(hot_rows=2, ranges=3)
+    assert sorted(r.seq for r in triage.take_first(df, 5, policy=split).collect()) == [1, 2, 3, 4, 8]
+    assert [r.seq for r in triage.take_with_quotas(df, 5, {0: 0.6, 1: 0.2}, policy=split).collect()] == [1, 3, 4, 2, 0]
     named = spark.createDataFrame([("high",), ("urgent",), ("x",)], "p string")
     got = triage.named_priority(named, "p", {"urgent": -1}).collect()
     assert [(r.priority, r.error) for r in got] == [(0, None), (-1, None), (None, "Unknown priority name: x")]
