@@ -66,10 +66,14 @@ def is_ip(ip: Column) -> Column:
     return F.when(ip.rlike(r"^[0-9.]+\z"), is_ipv4(ip)).otherwise(is_ipv6(ip))
 
 
+# Every address has one of these somewhere; one cheap scan spares most lines the ten forms above.
+_MAYBE_IP = r"[0-9]\.[0-9]|[0-9A-Fa-f]:|::"
+
+
 def first_ip(text: Column) -> Column:
     """The first address in ``text``. Only the first hit counts: if it is no valid address the result is null."""
-    hit = F.regexp_extract(text, IP_PATTERN, 0)
-    return F.when((hit != "") & is_ip(hit), hit)
+    hit = F.when(text.rlike(_MAYBE_IP), F.regexp_extract(text, IP_PATTERN, 0))
+    return bind(hit, lambda found: F.when((found != "") & is_ip(found), found))
 
 
 def _v4_number(ip: Column) -> Column:

@@ -62,6 +62,17 @@ def parse_lines(df: DataFrame, catalogue: list[LinePattern], column: str = "line
     )
 
 
+EVENT_FIELDS = {
+    "type": "string",
+    "data": "map<string,string>",
+    "source": "string",
+    "hostname": "string",
+    "pid": "int",
+    "severity": "int",
+    "correlation_id": "string",
+    "tags": "array<string>",
+}
+
 Handler = Callable[[Column], dict[str, Column]]
 
 
@@ -69,7 +80,6 @@ def parse_events(
     df: DataFrame,
     registered: list[tuple[str, Handler]] = [],
     column: str = "line",
-    timestamp: str = "timestamp",
 ) -> DataFrame:
     """Lines to events. Registered patterns are tried first, then failed logins, then started processes.
 
@@ -85,23 +95,13 @@ def parse_events(
     process = {"pid": pid, "name": name, "cmdline": line}
     shapes.append((pid != "", build_event("process_activity", process, source="audit.log")))
 
-    def chain(field: str, kind: str) -> Column:
-        branches = [(test, event.get(field, F.lit(None)).cast(kind)) for test, event in shapes]
-        return reduce(lambda tail, b: F.when(b[0], b[1]).otherwise(tail), reversed(branches), F.lit(None).cast(kind))
-
-    kinds = {
-        "type": "string",
-        "data": "map<string,string>",
-        "source": "string",
-        "hostname": "string",
-        "pid": "int",
-        "severity": "int",
-        "correlation_id": "string",
-        "tags": "array<string>",
-    }
-    parsed = rows.withColumn("_type", chain("type", "string")).filter(F.col("_type").isNotNull())
-    kept = [c for c in df.columns if c not in kinds]
-    return parsed.select(*kept, *[chain(field, kind).alias(field) for field, kind in kinds.items()])
+    def event(columns: dict[str, Column]) -> Column:
+        return F.struct(*[columns.get(field, F.lit(None)).cast(kind).alias(field) for field, kind in EVENT_FIELDS.items()])
+
+    # One expression for the whole event, so that each line is matched once and not once per column.
+    parsed = F.coalesce(*[F.when(test, event(columns)) for test, columns in shapes])
+    rows = rows.withColumn("_event", parsed).filter(F.col("_event").isNotNull())
+    return rows.select(*[c for c in df.columns if c not in EVENT_FIELDS], "_event.*")
 
 
 def signature_hits(df: DataFrame, catalogue: list[LinePattern], column: str = "line") -> DataFrame:
