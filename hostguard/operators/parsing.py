@@ -32,7 +32,7 @@ def parse_lines(df: DataFrame, catalogue: list[LinePattern], column: str = "line
     """
     line = F.col(column)
     ordinal = F.coalesce(*[F.when(matches(line, p.pattern), F.lit(i)) for i, p in enumerate(catalogue)])
-    hits = df.withColumn("ordinal", ordinal).filter(F.col("ordinal").isNotNull())
+    hits = df.select("*", F.explode(F.array_compact(F.array(ordinal))).alias("ordinal"))
 
     def group(name: str) -> Column:
         numbered = [(i, p.pattern, group_numbers(p.pattern).get(name)) for i, p in enumerate(catalogue)]
@@ -98,10 +98,9 @@ def parse_events(
     def event(columns: dict[str, Column]) -> Column:
         return F.struct(*[columns.get(field, F.lit(None)).cast(kind).alias(field) for field, kind in EVENT_FIELDS.items()])
 
-    # One expression for the whole event, so that each line is matched once and not once per column.
+    # A generator instead of a filter: the optimizer would repeat the matching in the filter and in the columns.
     parsed = F.coalesce(*[F.when(test, event(columns)) for test, columns in shapes])
-    rows = rows.withColumn("_event", parsed).filter(F.col("_event").isNotNull())
-    return rows.select(*[c for c in df.columns if c not in EVENT_FIELDS], "_event.*")
+    return rows.select(*[c for c in df.columns if c not in EVENT_FIELDS], F.inline(F.array_compact(F.array(parsed))))
 
 
 def signature_hits(df: DataFrame, catalogue: list[LinePattern], column: str = "line") -> DataFrame:
