@@ -41,15 +41,44 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+class Scratch:
+    """Tables in the shared folder that belong to one job.
 
-    Later stages read the written rows whatever executors are lost in between, and two reads of the result
-    always agree, which a recomputed plan does not promise. The table goes when the application ends.
+    Later stages read the written rows whatever executors are lost in between, and two reads of a table always
+    agree, which a recomputed plan does not promise. ``drop`` frees a table once its successor is written; what
+    is left goes when the application ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/hostguard-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def folder(self) -> str:
+        """A new path in the shared folder, removed when the application ends."""
+        path = f"{shared_folder(self.spark).rstrip('/')}/hostguard-{uuid.uuid4().hex}"
+        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+        return path
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it back."""
+        path = self.folder()
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            held = self._paths.pop(id(table), None)
+            if held:
+                self.drop_folder(held[1])
+
+    def drop_folder(self, path: str) -> None:
+        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; the table goes when the application ends."""
+    return Scratch(df.sparkSession).keep(df)

@@ -2,9 +2,11 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check import compare, connect
+from hostguard.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+registry.load()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
