@@ -24,3 +24,78 @@ d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(0, len(w) - k + 1),
       FROM dw, sizes WHERE len(w) >= k)
 SELECT doc_id, item_id, count(*) AS n_shared, n AS n_shingles, count(*) / n AS containment
 FROM d JOIN i USING (gram) GROUP BY doc_id, item_id, n HAVING count(*) * 100 >= n * 80"""
+
+
+# Escaping adds one character per control string, however many backslashes it has.
+CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+           UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, len(regexp_extract_all(text, '[<\[]\\*(?:\||/?s>|/?INST\])'))
+              + len(regexp_extract_all(role, '[<\[]\\*(?:\||/?s>|/?INST\])')) AS escapes FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|turn|><|says|><|end|>') + length(role) + length(text) + escapes) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _spans(kind: int, pattern: str, group: int) -> str:
+    """Matches with their place: the lengths of the texts between them and of the matches, added up."""
+    return f"""
+    SELECT doc_id, {kind} AS kind, value, width,
+           list_sum(list_transform(gaps[1:nth], lambda g: length(g)))
+               + coalesce(list_sum(list_transform(found[1:nth - 1], lambda f: length(f))), 0) AS start
+    FROM (SELECT doc_id, gaps, found, unnest(range(1, len(found) + 1)) AS nth, unnest(val) AS value,
+                 unnest(list_transform(found, lambda f: length(f))) AS width
+          FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS found,
+                       regexp_extract_all(text, '{pattern}', {group}) AS val,
+                       regexp_split_to_array(text, '{pattern}') AS gaps FROM documents WHERE text IS NOT NULL))"""
+
+
+SECRETS = (
+    f"""
+WITH raw AS ({_spans(0, _ASSIGN, 2)}
+    UNION ALL {_spans(1, "AKIA[A-Z0-9]+", 0)}
+    UNION ALL {_spans(2, "[0-9a-f]{24,}", 0)}),
+runs AS ({_spans(3, "[A-Za-z0-9+/_=-]{20,}", 0)}),"""
+    + r"""
+judged AS (SELECT * FROM runs WHERE NOT (
+    regexp_matches(value, '(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$') OR regexp_matches(value, 'EXAMPLE|example')
+    OR regexp_matches(value, '^[0-9_=/+-]+$') OR regexp_matches(value, '^([A-Za-z]+[_/=-]?)+$')
+    OR len(list_filter(range(1, length(value) - 6), lambda i:
+        substr(value, i, 8) = repeat(substr(value, i, 1), 8))) > 0)),
+windows AS (SELECT doc_id, start, value, unnest(range(0, length(value) - 19)) AS i FROM judged),
+high AS (SELECT doc_id, start, value, min(i) AS a, max(i) AS b
+    FROM (SELECT *, substr(value, i + 1, 20) AS part FROM windows)
+    WHERE list_aggregate(string_split(part, ''), 'entropy')
+          >= CASE WHEN regexp_full_match(part, '[0-9a-f]+|[0-9A-F]+') THEN 2.93 ELSE 3.63 END
+    GROUP BY doc_id, start, value),
+spans AS (SELECT doc_id, kind, start, start + width AS stop FROM raw
+          WHERE kind = 2 OR kind = 0 AND length(value) >= 6 OR kind = 1 AND width >= 20
+    UNION ALL SELECT doc_id, 3, start + a, start + b + 20 FROM high
+              WHERE regexp_matches(substr(value, a + 1, b - a + 20), '[0-9]')),
+told AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || CAST(start AS BIGINT) || ':'
+                || CAST(stop AS BIGINT) AS t FROM spans)
+SELECT doc_id, count(t) FILTER (kind = 0) AS n_assign, count(t) FILTER (kind = 1) AS n_access,
+       count(t) FILTER (kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(t, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(t, ',' ORDER BY start, kind), '') AS spans
+FROM documents LEFT JOIN told USING (doc_id) GROUP BY doc_id"""
+)
+
+# Base32 of a SHA-1: 160 bits, five at a time.
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+             list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 CAST(('0x' || substr(hex, CAST(floor(i * 5 / 4) AS BIGINT) + 1, 2)) AS BIGINT) // (2 ** (3 - i * 5 % 4))::BIGINT % 32 + 1, 1)),
+                 'string_agg', '') AS payload_digest
+      FROM (SELECT page_id, html, hex || '0' AS hex FROM p))
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to
+FROM b WINDOW w AS (PARTITION BY payload_digest)"""
