@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostguard.llm import chat, decontaminate, exact_dedup, oracles, secrets, warc
+from hostguard.llm import bpe, chat, decontaminate, exact_dedup, oracles, secrets, warc
 from hostguard.llm.common import small, table
 from hostguard.session import Scratch
 
@@ -64,6 +64,13 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks, pattern = bpe.default_vocabulary()
+    tokens = bpe.encode(table(spark, folder, "documents"), ranks, pattern)
+    ids = F.sha2("ids", 256).alias("ids_sha256")
+    return bpe.decode(tokens, ranks).select("doc_id", "n_tokens", ids, F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     scratch = Scratch(spark)
     archives = scratch.folder()
@@ -98,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op4_decontamination": op4_decontamination,
     "op5_chat_format": op5_chat_format,
     "op8_secret_scan": op8_secret_scan,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
 }
 ORACLES = {
