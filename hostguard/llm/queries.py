@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostguard.llm import bpe, chat, decontaminate, exact_dedup, oracles, secrets, warc
+from hostguard.llm import bpe, chat, decontaminate, exact_dedup, language, oracles, secrets, warc
 from hostguard.llm.common import small, table
 from hostguard.session import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(table(spark, folder, "documents"))
     digest = F.lower(F.hex("digest")).alias("text_sha256")
@@ -101,6 +105,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_chat_format": op5_chat_format,
