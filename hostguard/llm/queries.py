@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostguard.llm import bpe, chat, decontaminate, exact_dedup, language, oracles, secrets, warc
+from hostguard.llm import bpe, chat, decontaminate, exact_dedup, language, oracles, quality, secrets, warc
 from hostguard.llm.common import small, table
 from hostguard.session import Scratch
 
@@ -55,6 +55,10 @@ def _only(kind: int):
     return lambda k: F.when(k == kind, k)
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, folder, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < secrets.KINDS.index("entropy"))
@@ -109,6 +113,7 @@ QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_chat_format": op5_chat_format,
+    "op6_quality": op6_quality,
     "op8_secret_scan": op8_secret_scan,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
