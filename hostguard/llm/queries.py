@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostguard.llm import bpe, chat, decontaminate, exact_dedup, language, oracles, quality, secrets, warc
+from hostguard.llm import bpe, chat, decontaminate, exact_dedup, hmm, language, oracles, quality, secrets, warc
 from hostguard.llm.common import small, table
 from hostguard.session import Scratch
 
@@ -24,6 +24,10 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", digest)
 
 
+def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm.score(table(spark, folder, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -111,6 +115,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_lm_score": op3_lm_score,
     "op4_decontamination": op4_decontamination,
     "op5_chat_format": op5_chat_format,
     "op6_quality": op6_quality,
