@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostguard.llm import bpe, chat, decontaminate, exact_dedup, hmm, language, oracles, quality, secrets, warc
+from hostguard.llm import bpe, chat, decontaminate, exact_dedup, hmm, jaccard_join, language, oracles, quality, secrets, warc
 from hostguard.llm.common import small, table
 from hostguard.session import Scratch
 
@@ -55,6 +55,10 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, folder, "documents"))
+
+
 def _only(kind: int):
     return lambda k: F.when(k == kind, k)
 
@@ -119,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "op4_decontamination": op4_decontamination,
     "op5_chat_format": op5_chat_format,
     "op6_quality": op6_quality,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_secret_scan": op8_secret_scan,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
