@@ -38,13 +38,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def rows_with(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is (``left_semi``) or is not (``left_anti``) in ``ids``; null equals null.
+def text_key(docs: DataFrame) -> Column:
+    """Tells rows apart that share a doc_id."""
+    return F.xxhash64(docs["text"])
 
-    The texts stay where they are while the list of ids is small by count; beyond that both sides are shuffled.
+
+def without_rows(docs: DataFrame, listed: DataFrame, key: Column | None = None) -> DataFrame:
+    """``docs`` without the rows in ``listed``: by doc_id, null equal to null, and by ``key`` equal to its text_key.
+
+    The texts stay where they are while the list is small by count; beyond that both sides are shuffled.
     """
-    listed = ids.select(F.col("doc_id").alias("_listed")).distinct()
-    return docs.join(small(listed), F.col("doc_id").eqNullSafe(F.col("_listed")), how)
+    names = {c: f"_listed_{c}" for c in listed.columns}
+    listed = small(listed.distinct().withColumnsRenamed(names))
+    same = docs["doc_id"].eqNullSafe(listed["_listed_doc_id"])
+    if key is not None:
+        same = same & (key == listed["_listed_text_key"])
+    return docs.join(listed, same, "left_anti")
 
 
 def batches_of_rows(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator[pa.RecordBatch]:

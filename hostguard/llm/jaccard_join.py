@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hostguard.llm.common import batches_of_rows, small
+from hostguard.llm.common import batches_of_rows, small, text_key
 from hostguard.llm.components import components
 from hostguard.llm.textarrays import MIX, mix, word_hashes
 from hostguard.session import Scratch
@@ -93,20 +93,20 @@ def nearest_pivots(shingles: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], p
 
 
 def points_of(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, n, sig, pivots) of every row; ``sig`` names the set, null for the empty one."""
+    """(doc_id, text_key, n, sig, pivots) of every row; ``sig`` names the set, null for the empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
-    names = ["doc_id", "n", "sig", "pivots"]
+    names = ["doc_id", "text_key", "n", "sig", "pivots"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of_rows(batches, 1, TEXT_BYTES):
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
+        for batch in batches_of_rows(batches, 2, TEXT_BYTES):
+            sets = [shingle_set(t.as_py(), width) for t in batch.column(2)]
             sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             pivots = [nearest_pivots(s, shared.value, percent).view(np.int64) if len(s) else [] for s in sets]
             columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(pivots, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, sig binary, pivots array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(docs), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, n bigint, sig binary, pivots array<bigint>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -213,9 +213,11 @@ def join_regions(members: DataFrame, sets: DataFrame, percent: int, scratch: Scr
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row, written out.
+    """(doc_id, n_shingles, component_id, text_key, component) of every row, written out.
 
-    Rows link when 100 * intersection >= ``percent`` * union of their sets; components follow links.
+    Rows link when 100 * intersection >= ``percent`` * union of their sets; components follow links. ``component``
+    numbers the components of several rows, it is null for a row alone; unlike component_id it is also right where rows
+    share a doc_id, which ``text_key`` tells apart.
     """
     scratch = Scratch(docs.sparkSession)
     heavy = heavy_shingles(docs, width)
@@ -239,13 +241,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
         roots = scratch.keep(points.select(F.col("point").alias("node"), F.col("point").alias("root")).limit(0))
     linked = named.join(roots.withColumnRenamed("node", "point"), "point")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = linked.join(least, "root").select("sig", "component_id")
+    linked = linked.join(least, "root").select("sig", "component_id", F.col("root").alias("component"))
     copied = named.filter("copies > 1").join(roots, F.col("point") == F.col("node"), "left_anti")
-    component = scratch.keep(linked.unionByName(copied.select("sig", F.col("doc_id").alias("component_id"))))
-    found = rows.select("doc_id", "n", "sig").join(small(component), "sig", "left").select(
+    copied = copied.select("sig", F.col("doc_id").alias("component_id"), F.col("point").alias("component"))
+    component = scratch.keep(linked.unionByName(copied))
+    found = rows.select("doc_id", "text_key", "n", "sig").join(small(component), "sig", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "text_key",
+        "component",
     )
     found = scratch.keep(found)
     scratch.drop(rows, points, component, roots)

@@ -56,7 +56,7 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join.near_duplicates(table(spark, folder, "documents"))
+    return jaccard_join.near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def _only(kind: int):
