@@ -25,7 +25,7 @@ HOT_ROWS = 10_000
 
 
 class DigestIndex:
-    """A table (digest, keep_id, keep_row) in ``path``; reopening the path continues the same index.
+    """A table (digest, keep_id, keep_row, batch) in ``path``; reopening the path continues the same index.
 
     Every append adds one file per bucket. ``name`` is the table's name in the session catalogue.
     """
@@ -34,19 +34,25 @@ class DigestIndex:
         self.spark, self.path, self.buckets = spark, path, buckets
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, keep_row BIGINT) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, keep_row BIGINT, batch INT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append_new(self, batch: DataFrame) -> None:
-        """Add the texts of ``batch`` (digest, doc_id, row) that the index lacks; the largest doc_id stands for each."""
+    def next_batch(self) -> int:
+        return (self.rows().agg(F.max("batch")).first()[0] or 0) + 1
+
+    def append_new(self, batch: DataFrame, number: int) -> None:
+        """Add the texts of ``batch`` (digest, doc_id, row) that the index lacks; the largest doc_id stands for each.
+
+        Row numbers mean something only within the batch ``number``.
+        """
         best = F.max(F.struct("doc_id", "row")).alias("best")
         texts = batch.groupBy("digest").agg(best)
         new = texts.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        new = new.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"))
+        new = new.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.lit(number).alias("batch"))
         new.repartition(self.buckets, "digest").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
@@ -66,8 +72,8 @@ def digest_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), ids, digest(F.col("text")).alias("digest"))
 
 
-def judge(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """Every row with keep_id, group_size and kept.
+def judge(rows: DataFrame, index: DataFrame, number: int) -> DataFrame:
+    """Every row of batch ``number`` with keep_id, group_size and kept.
 
     Texts with very many copies are few and are joined by broadcast; the others by a shuffle on the digest.
     """
@@ -78,7 +84,7 @@ def judge(rows: DataFrame, index: DataFrame) -> DataFrame:
     hot_digests = F.broadcast(hot.select("digest"))
     common = rows.join(hot_digests, "digest", "left_anti").join(groups.filter(F.col("group_size") <= hot_from), "digest")
     found = common.unionByName(rows.join(F.broadcast(hot), "digest"))
-    return found.withColumn("kept", F.col("row") == F.col("keep_row"))
+    return found.withColumn("kept", (F.col("row") == F.col("keep_row")) & (F.col("batch") == number)).drop("batch")
 
 
 def deduplicate(docs: DataFrame, scratch: Scratch, index: DigestIndex, arrivals: int = 2) -> DataFrame:
@@ -89,12 +95,12 @@ def deduplicate(docs: DataFrame, scratch: Scratch, index: DigestIndex, arrivals:
     """
     rows = scratch.keep(digest_rows(docs))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / arrivals for i in range(1, arrivals)], 1000)).first()[0] or []
-    upper = F.lit(False)
+    upper, number = F.lit(False), index.next_batch()
     for cut in [*sorted(set(cuts), reverse=True), None]:
         above = F.col("doc_id") > cut if cut is not None else F.lit(True)
-        index.append_new(rows.filter(F.coalesce(above, F.lit(False)) & ~F.coalesce(upper, F.lit(False))))
+        index.append_new(rows.filter(F.coalesce(above, F.lit(False)) & ~F.coalesce(upper, F.lit(False))), number)
         upper = above
-    return judge(rows, index.rows())
+    return judge(rows, index.rows(), number)
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def train(docs: DataFrame, scratch: Scratch, how: Training = Training()) -> Mode
     chosen = known.filter(F.pmod(draw, F.lit(steps)) < share)
     place = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1
     chosen = chosen.select(
-        place.cast("int").alias("language"), "text", F.pmod(F.shiftright(draw, 32), F.lit(10)).alias("part"), "doc_id"
+        place.cast("int").alias("language"), "text", F.pmod(F.shiftright(draw, 32), F.lit(10)).alias("part"), F.col("doc_id").cast("bigint").alias("doc_id")
     )
     names = ["language", "part", "doc_id", "buckets", "values"]
 

@@ -1,0 +1,203 @@
+import json
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from hostguard.llm import bpe, chat, decontaminate, secrets, warc
+from hostguard.session import Scratch
+
+
+def shingles(text, width):
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    return {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}, len(words)
+
+
+def test_leaks_equal_brute_force(spark, documents):
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 40)))) for i in range(30)]
+    items += [(30, None), (31, "!! ..."), (32, items[0][1]), (33, "w1 w2"), (33, "w3 w4 w5 w6 w7 w8")]
+    docs = []
+    for i in range(60):
+        body = [rnd.choice(words) for _ in range(rnd.randint(0, 400))]
+        if i % 2:
+            part = rnd.choice(items[:30])[1].upper().split()
+            if len(part) > 8 and i % 3 == 0:
+                part[rnd.randrange(len(part))] = "changed"
+            body[rnd.randint(0, len(body)) : 0] = ["--", *[p + "," for p in part]]
+        docs.append((i, " ".join(body)))
+    docs += [(60, None), (61, ""), (62, "w1\nw2"), (62, "w3 w4 w5 w6 w7 w8")]
+    want = {}
+    for doc_id, text in docs:
+        for item_id, item in items:
+            n_words = shingles(item, 1)[1]
+            if not n_words:
+                continue
+            width = min(5, n_words)
+            grams, held = shingles(item, width)[0], shingles(text, width)[0]
+            if len(grams & held) * 100 >= 80 * len(grams):
+                want[doc_id, item_id] = max(want.get((doc_id, item_id), 0), len(grams & held) / len(grams))
+    table = spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit("clash"))
+    got = {(r.doc_id, r.item_id): r.containment for r in decontaminate.leaks(documents(docs), table).collect()}
+    assert got == pytest.approx(want)
+    assert (62, 33) in got and len(got) > 20
+    assert decontaminate.leaks(documents([]), table).count() == 0
+    assert decontaminate.leaks(documents(docs), table.limit(0)).count() == 0
+
+
+def hostile(rnd):
+    parts = ["<|", "<\\|", "<\\\\|end|>", "</s>", "<\\s>", "[INST]", "[\\/INST]", "\\", "a", "\n", "é", "<|turn|>user<|says|>", "$1", ""]
+    return "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
+
+
+def test_chat_round_trip(spark):
+    rnd = random.Random(5)
+    rows = [(c, t, rnd.choice(["user", "assistant", "sys<|says|>"]), hostile(rnd)) for c in range(30) for t in range(rnd.randint(1, 5))]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit("clash"))
+    made = chat.format_chat(table.withColumn("parts", chat.text_part(F.col("text"))))
+    read = made.select("*", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("l"))
+    for r in read.collect():
+        want = [(role, text) for c, _, role, text in rows if c == r.conv_id]
+        assert [(t.role, t.content) for t in r.t] == want
+        assert r.l == [text for role, text in want if role == "assistant"]
+        assert r.formatted.count("<|turn|>") == len(want) == r.n_turns
+        for span, text in zip(r.loss_spans, r.l):
+            assert len(text) <= span.end - span.start
+            cut = r.formatted[span.start : span.end]
+            assert cut.encode() == r.formatted.encode()[span.byte_start : span.byte_end]
+            assert not re.search(r"<\||</?s>|\[/?INST\]", cut)
+
+
+def test_chat_parts_and_empty_cases(spark):
+    part = lambda kind, **more: {"type": kind, "text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None} | more
+    rows = [
+        (1, 1, "user", [part("text", text="see "), part("image", ref="a.png", width=56, height=29), part("audio", ref="b.wav", seconds=2.0), part("odd", text="<|image|>")]),
+        (1, 1, "user", [part("document", ref="c.pdf", pages=3)]),
+        (1, None, None, None),
+        (None, 2, "assistant", [part("text")]),
+    ]
+    table = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    got = {r.conv_id: r for r in chat.format_chat(table).collect()}
+    one = got[1]
+    assert one.formatted == "<|turn|><|says|><|end|><|turn|>user<|says|><|document|><|end|><|turn|>user<|says|>see <|image|><|audio|><\\|image|><|end|>"
+    assert [(a.message, a.position, a.type, a.ref, a.tokens) for a in one.attachments] == [(2, 0, "document", "c.pdf", 1536), (3, 0, "image", "a.png", 4), (3, 1, "audio", "b.wav", 50)]
+    assert one.expanded_tokens == 1590 and got[None].loss_spans[0].start == got[None].loss_spans[0].end
+    assert chat.format_chat(table.limit(0)).count() == 0
+
+
+def entropy_spans(text):
+    found = []
+    for run in re.finditer(secrets.RUN, text):
+        value = run.group()
+        if any(re.search(p, value) for p in secrets.ALLOWED):
+            continue
+        high = []
+        for i in range(len(value) - 19):
+            part = value[i : i + 20]
+            h = math.log2(20) - sum(c * math.log2(c) for c in Counter(part).values()) / 20
+            if any(h >= k.least and not set(part) - set(k.characters) for k in secrets.CLASSES):
+                high.append(i)
+        if high and re.search("[0-9]", value[high[0] : high[-1] + 20]):
+            found.append((run.start() + high[0], 3, run.start() + high[-1] + 20))
+    return found
+
+
+def pattern_spans(text):
+    found = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, text, re.ASCII) if len(m.group(2)) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(secrets.ACCESS, text) if len(m.group()) >= 20]
+    return found + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 24]
+
+
+def test_secrets_equal_brute_force(documents):
+    rnd = random.Random(6)
+    pool = ["0123456789abcdef", "abcdefghijklmnop", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "aaaaaaab1", "AbCdEfGhIjKlMnOpQrStUvWxYz0123456789+/="]
+    texts = [None, "", "password: token: abcdefgh", "Passwd='x' SECRET = \"abcdef\" api_key:ABCDEFGH", "AKIA" + "B" * 16, "AKIAAKIA" + "C" * 9]
+    texts += ["123e4567-e89b-12d3-a456-426614174000", "9" * 40, "EXAMPLE" + "a1b2c3d4e5f6a7b8c9d0" * 2, "tokenſ=abcdefg", "é漢password=hunter22 fe" + "0f1e2d" * 6]
+    for _ in range(80):
+        words = ["".join(rnd.choice(p) for _ in range(rnd.choice([3, 19, 20, 21, 24, 60]))) for p in rnd.choices(pool, k=4)]
+        texts.append(rnd.choice([" ", "é", "\n", ": "]).join(rnd.choice(["", "token=", "AKIA", "secret: "]) + w for w in words))
+    docs = list(enumerate(texts)) + [(0, "password=again1")]
+    got = sorted((r.doc_id, [(s.start, s.kind, s.end) for s in r.spans]) for r in secrets.find_secrets(documents(docs)).collect())
+    want = sorted((i, sorted(pattern_spans(t or "") + entropy_spans(t or ""))) for i, t in docs)
+    assert got == want
+    assert sum(s[1] == 3 for _, spans in got for s in spans) > 20
+    assert secrets.find_secrets(documents([])).count() == 0
+
+
+def test_bpe_equals_the_library(documents):
+    ranks, pattern = bpe.default_vocabulary()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.Vocabulary(ranks).rank, special_tokens={})
+    rnd = random.Random(7)
+    texts = [None, "", " ", "aaaa" * 50, "x" * 5000, "<|endoftext|>", "Ünïcödé 漢字 😀😀 ١٢٣", "\r\n\t  \n x"]
+    texts += ["".join(rnd.choice("aabet ing\n\té漢😀1.'s") for _ in range(rnd.randint(0, 300))) for _ in range(200)]
+    docs = documents(list(enumerate(texts)) + [(0, "again")])
+    tokens = bpe.decode(bpe.encode(docs, ranks, pattern), ranks)
+    rows = [r for r in tokens.collect()]
+    assert len(rows) == len(texts) + 1
+    by_text = {bytes(r.decoded): r for r in rows}
+    for text in texts:
+        want = library.encode_ordinary(text or "")
+        row = by_text[(text or "").encode()]
+        ids = [int.from_bytes(row.ids[i : i + 4], "little") for i in range(0, len(row.ids), 4)]
+        assert ids == want and row.n_tokens == len(want)
+    assert bpe.encode(documents([]), ranks, pattern).count() == 0
+
+
+def test_replay_handles_vocabularies_out_of_merge_order():
+    """A merge that makes a pair of a lower rank than its own falls back to the library's order."""
+    import base64
+
+    single = [bytes([b]) for b in range(256)]
+    ranks = {t: i for i, t in enumerate([*single, b"abc", b"ab", b"bcd", b"cd"])}
+    raw = b"\n".join(base64.b64encode(t) + b" " + str(r).encode() for t, r in ranks.items())
+    library = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 12))) for _ in range(500)]
+    got = bpe.Encoder(bpe.Vocabulary(raw), r"\S+|\s+").encode(words)
+    assert [[int.from_bytes(g[i : i + 4], "little") for i in range(0, len(g), 4)] for g in got] == [library.encode_ordinary(w) for w in words]
+
+
+def captures(spark, rows, least=0):
+    scratch = Scratch(spark)
+    path = scratch.folder()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    warc.write_archives(pages, path, scratch, least)
+    records = warc.with_payload(warc.read_records(spark, path))
+    return warc.assemble(records).collect(), spark.read.text(path, wholetext=True)
+
+
+def test_warc_round_trip(spark):
+    trap = "<p>" + warc.ENDING + "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc" + warc.ENDING + "WARC/1.1\r\n"
+    rows = [(3, "http://a/x?y#z", trap), (1, "https://b", "same é"), (2, None, "same é"), (9, "http://c\r\nX: 1", None), (8, "u", ""), (2, "http://d", "same é"), (None, "n", "same é"), (4, "http://e", warc.ENDING * 3)]
+    found, _ = captures(spark, rows)
+    assert len(found) == len(rows)
+    got = []
+    ids = {}
+    for r in found:
+        assert r.request.type == "request" and r.metadata.type == "metadata"
+        assert r.request.concurrent_to == r.metadata.concurrent_to == r.id == r.response.record_id
+        page = re.search(r"page-id: (-?\d+)", r.metadata.http)
+        ids[r.id] = int(page[1]) if page else None
+    for r in found:
+        got.append((ids[r.id], r.response.type, bytes(r.response.payload).decode(), ids.get(r.response.refers_to)))
+    key = lambda x: json.dumps(x)
+    assert sorted(got, key=key) == sorted(
+        [(3, "response", trap, None), (1, "response", "same é", None), (2, "revisit", "", 1), (2, "revisit", "", 1), (None, "revisit", "", 1),
+         (8, "response", "", None), (9, "revisit", "", 8), (4, "response", warc.ENDING * 3, None)], key=key
+    )
+    import base64
+    import hashlib
+
+    digests = {ids[r.id]: r.response.payload_digest for r in found}
+    assert digests[3] == "sha1:" + base64.b32encode(hashlib.sha1(trap.encode()).digest()).decode()
+
+
+def test_warc_small_payloads_and_empty_table(spark):
+    found, _ = captures(spark, [(1, "a", "xy"), (2, "b", "xy"), (3, "c", "long one"), (4, "d", "long one")], least=5)
+    assert sorted(r.response.type for r in found) == ["response", "response", "response", "revisit"]
+    assert captures(spark, [])[0] == []
