@@ -97,14 +97,16 @@ def encode(codes: np.ndarray) -> np.ndarray:
             break
         bucket = ((rolled + np.uint64(order)) * MIX) >> np.uint64(64 - GRAM_BITS)
         at = place[: len(rolled)] << GRAM_BITS | bucket.astype(np.int64)
-        grams += np.bincount(at, minlength=count << GRAM_BITS).reshape(count, -1)
+        whole = place[: len(rolled)] == place[order - 1 :]
+        grams += np.bincount(at[whole], minlength=count << GRAM_BITS).reshape(count, -1)
     grams = np.sqrt(grams / (3.0 * size[:, None]))
 
     per_kind = np.bincount(place * 8 + kind, minlength=count * 8).reshape(count, 8)[:, :7] / size[:, None]
-    # Words are runs that are neither blank nor line end; a word belongs to the passage that it begins in.
-    gap = (kind == 3) | (kind == 4)
-    edges = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
-    starts, stops = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    # Words are runs that are neither blank nor line end, cut where the passage ends.
+    word = (kind != 3) & (kind != 4)
+    opens = np.append(True, place[1:] != place[:-1])
+    starts = np.flatnonzero(word & (opens | ~np.append(False, word[:-1])))
+    stops = np.flatnonzero(word & (np.append(opens[1:], True) | ~np.append(word[1:], False))) + 1
     surface = np.zeros((count, SURFACE))
     surface[:, :7] = per_kind
     if len(starts):
@@ -113,7 +115,7 @@ def encode(codes: np.ndarray) -> np.ndarray:
         words = (sums[stops] - sums[starts]) * powers[1][starts]
         owner = place[starts]
         n = np.bincount(owner, minlength=count)
-        key = (words + owner.astype(np.uint64)) * MIX
+        key = words * MIX + owner.astype(np.uint64) * np.uint64(_BASE)
         distinct = np.bincount(owner[np.unique(key, return_index=True)[1]], minlength=count)
         same = np.zeros(len(words))
         same[1:] = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
