@@ -38,9 +38,22 @@ def group_numbers(pattern: str) -> dict[str, int]:
     return numbers
 
 
+_ATOM = re.compile(r"\\.|\[\^?\]?(?:\\.|\[[^\]]*\]|[^\]\\\[])*\]|.", re.DOTALL)
+
+
+def has_branches(pattern: str) -> bool:
+    """Whether the pattern as a whole is an alternation: a ``|`` outside groups, classes and escapes."""
+    depth = 0
+    for atom in _ATOM.findall(pattern):
+        depth += (atom == "(") - (atom == ")")
+        if atom == "|" and depth == 0:
+            return True
+    return False
+
+
 def leading_literal(pattern: str) -> str:
     """Text that every match of ``pattern`` starts with, empty if none is certain."""
-    if "|" in re.sub(r"\(.*\)", "", pattern):
+    if has_branches(pattern) or r"\Q" in pattern:
         return ""
     run = _PLAIN_RUN.match(pattern).group(0)
     rest = pattern[len(run) :]

@@ -106,7 +106,25 @@ def normalize_alerts(df: DataFrame, as_of: Column, extra_severities: list[str] =
 def clean_metadata(metadata: Column) -> Column:
     first = F.map_from_entries(F.slice(F.map_entries(metadata), 1, MAX_METADATA_KEYS))
     kept = F.map_filter(first, lambda _, value: value.isNotNull())
-    return F.transform_values(kept, lambda _, value: F.substring(value, 1, MAX_METADATA_VALUE))
+    return F.transform_values(kept, lambda _, value: cut_value(value))
+
+
+def cut_value(text: Column) -> Column:
+    """Text cut to its limit; of a list or an object, as JSON text, the strings inside are cut instead."""
+    value = F.try_parse_json(F.when((F.length(text) > MAX_METADATA_VALUE) & text.rlike(r"^\s*[\[{]"), text))
+
+    def cut(item: Column) -> Column:
+        short = F.substring(item.try_cast("string"), 1, MAX_METADATA_VALUE).cast("variant")
+        return F.when(F.schema_of_variant(item) == "STRING", short).otherwise(item)
+
+    items = F.transform(value.try_cast("array<variant>"), cut)
+    entries = F.transform_values(value.try_cast("map<string,variant>"), lambda _, item: cut(item))
+    kind = F.schema_of_variant(value)
+    return (
+        F.when(kind.startswith("ARRAY"), F.to_json(items))
+        .when(kind.startswith("OBJECT"), F.to_json(entries))
+        .otherwise(F.substring(text, 1, MAX_METADATA_VALUE))
+    )
 
 
 def check_workflow(df: DataFrame, as_of: Column) -> DataFrame:

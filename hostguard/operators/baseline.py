@@ -59,10 +59,14 @@ def score_outliers(
 
 
 def history_threshold(
-    counts: DataFrame, value: str = "count", order: str = "seq", cfg: DetectionConfig = DetectionConfig()
+    counts: DataFrame, value: str = "count", order: str | list[str] = "seq", cfg: DetectionConfig = DetectionConfig()
 ) -> DataFrame:
-    """Threshold over the last ``baseline_max_history`` values of the whole table, a top-k and one small sum."""
-    last = counts.orderBy(F.desc(order)).limit(cfg.baseline_max_history).select(F.col(value).cast("bigint").alias("_v"))
+    """Threshold over the last ``baseline_max_history`` values of the whole table, a top-k and one small sum.
+
+    ``order`` should be a total order, or which of several tied rows count is left open.
+    """
+    order = [order] if isinstance(order, str) else order
+    last = counts.orderBy(*[F.desc(c) for c in order]).limit(cfg.baseline_max_history).select(F.col(value).cast("bigint").alias("_v"))
     totals = last.agg(
         F.count("_v").alias("history_n"),
         F.coalesce(F.sum("_v"), F.lit(0)).alias("history_sum"),

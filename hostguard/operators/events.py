@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostguard.functions.ip import bind, is_ip
-from hostguard.functions.text import as_double, blank_to_null
+from hostguard.functions.text import NUMERIC, as_double, blank_to_null
 from hostguard.schemas import EVENT_SCHEMA, TEXT_MAP
 
 # Event types, time bounds in epoch seconds, the longest user name.
@@ -27,9 +27,20 @@ DATA_DEFAULTS = {"network_connection": {"protocol": "tcp"}, "system_call": {"arg
 
 
 def whole_number(text: Column) -> Column:
-    """Text of an integer as a bigint, null for anything else."""
+    """Text of an integer as a decimal, null for anything else; beyond 38 digits it is as large as decimals go."""
     trimmed = F.trim(text)
-    return F.when(trimmed.rlike(r"^[+-]?\d+\z"), trimmed.try_cast("bigint"))
+    extreme = F.when(trimmed.startswith("-"), F.lit(f"-{'9' * 38}")).otherwise(F.lit("9" * 38)).cast("decimal(38,0)")
+    return F.when(trimmed.rlike(r"^[+-]?\d+\z"), F.coalesce(trimmed.try_cast("decimal(38,0)"), extreme))
+
+
+def whole_column(df: DataFrame, name: str) -> Column:
+    """A column as a whole number: numbers are cut towards zero, other types go by their text."""
+    if dict(df.dtypes)[name].startswith(NUMERIC):
+        number = F.col(name).cast("double")
+        kept = F.when(~F.isnan(number) & (F.abs(number) < 1e37), F.col(name))
+        whole = F.when(kept >= 0, F.floor(kept)).otherwise(F.ceil(kept))
+        return whole.cast("decimal(38,0)")
+    return whole_number(F.col(name).cast("string"))
 
 
 def clean_value(text: Column, value: Column) -> Column:
@@ -84,9 +95,13 @@ def normalize_events(df: DataFrame, as_of: Column, extra_types: list[str] = [])
     types = dict(df.dtypes)
     given = as_double(df, "timestamp") if "timestamp" in names else F.lit(None).cast("double")
     seconds = F.coalesce(given, as_of.cast("double"))
-    severity = whole_number(column("severity").cast("string"))
-    pid = whole_number(column("pid").cast("string"))
-    data = column("data") if types.get("data", "").startswith("map") else text_map(column("data"))
+    absent = F.lit(None).cast("decimal(38,0)")
+    severity = whole_column(df, "severity") if "severity" in names else absent
+    pid = whole_column(df, "pid") if "pid" in names else absent
+    if types.get("data", "").startswith("map"):
+        data = F.transform_values("data", lambda _, v: clean_value(v.cast("string"), F.try_parse_json(v.cast("string"))))
+    else:
+        data = text_map(column("data"))
     tags = column("tags") if types.get("tags", "").startswith("array") else text_list(column("tags"))
     known = column("type").isin(*EVENT_TYPES, *extra_types)
     values = {

@@ -48,11 +48,11 @@ def event_rate(df: DataFrame, source: str, ts_us: str = "ts_us", history: int =
 
 
 def rate_as_of(
-    df: DataFrame, key: str, as_of_us: Column, window_s: float = 60, ts_us: str = "ts_us", history: int = RATE_HISTORY
+    df: DataFrame, key: str, as_of_us: Column, window_s: float = 60, ts_us: str = "ts_us"
 ) -> DataFrame:
-    """Events per second per key in the window that ends at ``as_of_us``, at most ``history`` events counted."""
+    """Events per second per key in the window that ends at ``as_of_us``."""
     recent = F.col(ts_us).between(as_of_us - round(window_s * 1_000_000), as_of_us)
-    counted = F.least(F.count_if(recent), F.lit(history).cast("bigint"))
+    counted = F.count_if(recent)
     rate = counted / F.lit(float(window_s)) if window_s > 0 else F.lit(0.0)
     return df.groupBy(key).agg(counted.alias("events"), rate.alias("rate"))
 
@@ -62,12 +62,10 @@ def trailing_rate(
     keys: list[str],
     window_s: float = 60,
     policy: SkewPolicy = SkewPolicy(),
-    history: int = RATE_HISTORY,
 ) -> DataFrame:
     """The same rate as of every event; ``df`` has ``ts_us`` and ``seq``. The far edge of the window counts."""
     counted = trailing_count(df, keys, round(window_s * 1_000_000) + 1, "events", policy)
-    capped = F.least(F.col("events"), F.lit(history).cast("bigint"))
-    return counted.withColumn("events", capped).withColumn("rate", F.col("events") / F.lit(float(window_s)))
+    return counted.withColumn("rate", F.col("events") / F.lit(float(window_s)))
 
 
 def bucket_bound(value: Column, bounds: list[float]) -> Column:

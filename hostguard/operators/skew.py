@@ -23,12 +23,13 @@ from hostguard.session import materialize
 class SkewPolicy:
     """When a key counts as hot and how finely its rows are cut.
 
-    At most ``max_hot_keys`` keys are treated as hot, the largest first, so the list that is broadcast is
-    bounded; a key left out then holds less than ``rows / max_hot_keys`` rows.
+    However many keys are hot, each is split: their list is a table, broadcast while a count shows it to be below
+    ``broadcast_keys`` and joined by a shuffle beyond. ``top_rows`` is the largest top-k that ends in one task.
     """
 
     hot_rows: float = 2_000_000
-    max_hot_keys: int = 10_000
+    broadcast_keys: int = 100_000
+    top_rows: int = 20_000
     ranges: int | None = None
 
     def prepare(self, df: DataFrame) -> tuple[DataFrame, "SkewPolicy"]:
@@ -54,10 +55,8 @@ def heavy_keys(df: DataFrame, keys: list[str], policy: SkewPolicy) -> DataFrame
     if math.isinf(policy.hot_rows):
         return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > policy.hot_rows)
-    found = counts.orderBy(F.desc("_rows")).limit(policy.max_hot_keys).select(*keys).collect()
-    if not found:
-        return None
-    return df.sparkSession.createDataFrame(found, df.select(*keys).schema)
+    found = materialize(counts.select(*keys))
+    return None if found.isEmpty() else found
 
 
 def split_heavy(df: DataFrame, keys: list[str], policy: SkewPolicy) -> tuple[DataFrame, DataFrame | None]:
@@ -65,7 +64,9 @@ def split_heavy(df: DataFrame, keys: list[str], policy: SkewPolicy) -> tuple[Dat
     hot = heavy_keys(df, keys, policy)
     if hot is None:
         return df, None
-    hot = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    hot = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    if hot.count() <= policy.broadcast_keys:
+        hot = F.broadcast(hot)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
     return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
 
@@ -202,7 +203,7 @@ def first_rows(df: DataFrame, order: list, n: int, policy: SkewPolicy = SkewPoli
     A small ``n`` is a top-k that ends in one task. A large one never meets in one task: the rows are laid out
     in ranges and numbered.
     """
-    if n <= policy.hot_rows:
+    if n <= min(policy.hot_rows, policy.top_rows):
         return df.orderBy(*order).limit(max(n, 0))
     scan = RangeScan(df, [], order, policy).running(_number=Running("sum", F.lit(1).cast("bigint")))
     return scan.filter(F.col("_number") <= n).df.select(*df.columns)

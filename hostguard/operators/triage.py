@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostguard.operators.alerts import PRIORITIES
@@ -40,13 +39,14 @@ def take_with_quotas(
 ) -> DataFrame:
     """At most ``int(capacity * quota)`` rows of each listed priority, ``capacity`` rows in all.
 
-    Each listed priority is a top-k of its own, so a hot priority is cut down in every task before anything
-    is shuffled.
+    One pass: rows are numbered per priority up to its quota, which cuts a hot priority down in every task before the
+    shuffle; rows of other priorities are numbered together.
     """
-    listed = [
-        first_rows(df.filter(F.col("priority") == number), [arrival], int(capacity * quota), policy)
-        for number, quota in quotas.items()
-    ]
-    others = df.filter(~F.col("priority").isin(*quotas)) if quotas else df
-    parts = [*listed, first_rows(others, ["priority", arrival], capacity, policy)]
-    return take_first(reduce(DataFrame.unionByName, parts), capacity, arrival, policy)
+    limit = F.lit(capacity)
+    for number, quota in quotas.items():
+        limit = F.when(F.col("priority") == number, F.lit(int(capacity * quota))).otherwise(limit)
+    listed = F.when(F.col("priority").isin(*quotas), F.col("priority")) if quotas else F.lit(None).cast("int")
+    within = Window.partitionBy("_listed").orderBy("priority", arrival)
+    numbered = df.withColumn("_listed", listed).withColumn("_nth", F.row_number().over(within))
+    kept = numbered.filter((F.col("_nth") <= capacity) & (F.col("_nth") <= limit)).drop("_listed", "_nth")
+    return take_first(kept, capacity, arrival, policy)

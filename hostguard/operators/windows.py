@@ -45,6 +45,7 @@ def sessions(scan: Scan, ttl_us: int) -> Scan:
     scan = scan.running(
         session=Running("sum", F.col("_opens").cast("bigint")),
         _first_n=Running("max", F.expr("CASE WHEN _opens THEN n END")),
+        _began=Running("max", F.expr("CASE WHEN _opens THEN ts_us END")),
     )
     return scan.derive(position=F.expr("n - _first_n + 1"))
 
@@ -64,7 +65,8 @@ def scores(scan: Scan, cfg: DetectionConfig) -> Scan:
     )
     added = F.expr(f"increment * {cfg.units_per_point}L")
     scan = scan.derive(increment=points).derive(_added=added).running(_added_sum=Running("sum", F.col("_added")))
-    decay = f"ts_us * {cfg.decay_units}L"
+    # Time since the session's first attempt, so that the product stays small whatever the epoch.
+    decay = f"(ts_us - _began) * {cfg.decay_units}L"
     level = F.expr(f"named_struct('session', session, 'level', {decay} - _added_sum + _added)")
     scan = scan.derive(_level=level).running(_top=Running("max", F.col("_level")))
     return scan.derive(score_units=F.expr(f"_added_sum - {decay} + _top.level"))
@@ -101,6 +103,9 @@ def with_threshold(df: DataFrame, cfg: DetectionConfig, value: str) -> DataFrame
     lead = f"CAST({n} * CAST({value} AS DECIMAL(19,0)) - {total} AS DECIMAL(19,0))"
     over = f"""{lead} > 0 AND {lead} * {lead} * CAST((history_n - 1) * {factor.denominator} AS DECIMAL(9,0))
                > {spread} * CAST(history_n * {factor.numerator} AS DECIMAL(9,0))"""
+    if max(factor.denominator, factor.numerator) * cfg.baseline_max_history >= 10**9:
+        # The squared multiplier has too many digits for whole numbers of this size: compare as doubles.
+        over = f"{value} > history_sum / history_n + {multiplier}D * {stdev}"
     return df.selectExpr(
         "*",
         f"""CASE WHEN history_n >= {cfg.baseline_min_samples} THEN history_sum / history_n + {multiplier}D * {stdev}

@@ -168,7 +168,7 @@ SELECT count(*) AS history_n, CAST(sum(failed_count) AS BIGINT) AS history_sum,
 FROM last""")
 def w8(spark, folder):
     counts = windows.address_metrics(views.attempts(spark, folder), STRETCHED)
-    return baseline.history_threshold(counts, "failed_count", "ts_us").withColumn("threshold", F.round("threshold", 6))
+    return baseline.history_threshold(counts, "failed_count", ["ts_us", "seq"]).withColumn("threshold", F.round("threshold", 6))
 
 
 @query("w9_score_increment", f"WITH RECURSIVE {SCORES} SELECT seq, ip, CAST(increment AS BIGINT) AS increment FROM inc")

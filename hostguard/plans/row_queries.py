@@ -25,6 +25,7 @@ lines AS (SELECT event_id, ts_us, ip, user_id, event_type, CASE
   WHEN event_id % 10 = 0 THEN ''
   ELSE concat('INFO session ok u', user_id) END AS line FROM ev)"""
 
+# Fixed value: the IPv4 part of the address pattern, in the SQL.
 V4 = r"(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 
 

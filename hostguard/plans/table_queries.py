@@ -54,13 +54,26 @@ def a4(spark, folder):
 
 @query("a4_trailing_rate", f"""WITH {EV}, c AS (SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type
   ORDER BY ts_us RANGE BETWEEN {WINDOW_S * 1000000} PRECEDING AND CURRENT ROW) AS events FROM ev)
-SELECT event_id, event_type, least(events, 1000) AS events, round(least(events, 1000) / {WINDOW_S}.0, 9) AS rate FROM c""")
+SELECT event_id, event_type, events, round(events / {WINDOW_S}.0, 9) AS rate FROM c""")
 def a4_trailing(spark, folder):
     rows = views.metrics(spark, folder).select(F.col("event_id").alias("seq"), "ts_us", "event_type")
     rates = metrics.trailing_rate(rows, ["event_type"], WINDOW_S)
     return rates.select(F.col("seq").alias("event_id"), "event_type", "events", F.round("rate", 9).alias("rate"))
 
 
+# A window of the whole month holds thousands of events of a type.
+MONTH_S = 31 * 86400
+
+
+@query("a4_trailing_rate_month", f"""WITH {EV}, c AS (SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type
+  ORDER BY ts_us RANGE BETWEEN {MONTH_S * 1000000} PRECEDING AND CURRENT ROW) AS events FROM ev)
+SELECT event_id, event_type, events, round(events / {MONTH_S}.0, 9) AS rate FROM c""")
+def a4_trailing_month(spark, folder):
+    rows = views.metrics(spark, folder).select(F.col("event_id").alias("seq"), "ts_us", "event_type")
+    rates = metrics.trailing_rate(rows, ["event_type"], MONTH_S)
+    return rates.select(F.col("seq").alias("event_id"), "event_type", "events", F.round("rate", 9).alias("rate"))
+
+
 BOUND = "CASE " + " ".join(f"WHEN value <= {b} THEN {b}" for b in metrics.WAIT_BOUNDS) + " END"
 
 
