@@ -192,11 +192,15 @@ def duplicates(df: DataFrame, time: str = "timestamp") -> DataFrame:
     )
 
 
-def with_severity(df: DataFrame, severity: str, message: Column) -> DataFrame:
-    """Alert rows of one severity, the builder behind info, warning, error and critical alerts."""
-    if severity not in ALERT_SEVERITIES:
+def with_severity(df: DataFrame, severity: str | Column, message: Column) -> DataFrame:
+    """Alert rows of one severity, the builder behind info, warning, error and critical alerts.
+
+    A column gives each row a severity of its own; the caller sees to it that it holds known ones.
+    """
+    if isinstance(severity, str) and severity not in ALERT_SEVERITIES:
         raise ValueError(f"unknown severity {severity}")
-    return df.withColumns({"severity": F.lit(severity), "message": message})
+    level = F.lit(severity) if isinstance(severity, str) else severity
+    return df.withColumns({"severity": level, "message": message})
 
 
 def alerts_from_events(alerts: DataFrame, events: DataFrame) -> DataFrame:

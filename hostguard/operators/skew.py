@@ -141,7 +141,7 @@ class RangeScan:
         per_range = self.df.groupBy("_range", *self.keys).agg(
             *[total.over_window().alias(f"_out_{name}") for name, total in totals.items()]
         )
-        # One row per range and hot key: at most the number of ranges plus the number of hot keys.
+        # One row per range and hot key in it.
         earlier = Window.partitionBy(*self.keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
         carried = per_range.select(
             "_range",
@@ -153,7 +153,10 @@ class RangeScan:
         )
         carried = carried.withColumnsRenamed({k: f"_c_{k}" for k in ["_range", *self.keys]})
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in ["_range", *self.keys]])
-        joined = self.df.withColumns(local).join(F.broadcast(carried), same, "left")
+        carried = materialize(carried)
+        if carried.count() <= self.policy.broadcast_keys:
+            carried = F.broadcast(carried)
+        joined = self.df.withColumns(local).join(carried, same, "left")
         merged = {}
         for name, total in totals.items():
             if total.kind == "sum":

@@ -2,9 +2,8 @@
 
 This is the alert cooldown and the repeated-line filter. Which rows are kept depends on all earlier ones, so
 a key is followed in time order. Ordinary keys are hash-partitioned, sorted, and followed in one streaming
-pass that holds only the last kept time. Hot keys are cut in time buckets as wide as the gap, of which each
-holds at most one kept row; buckets are then merged level by level and the kept times read off on the way
-back, so no task ever follows a whole hot key.
+pass that holds only the last kept time. In hot keys each moment points to the next one that could be kept, and
+pointers are doubled by joins, so no task ever follows a hot key or a stretch of it.
 """
 
 from __future__ import annotations
@@ -14,20 +13,17 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostguard.operators.skew import SkewPolicy, split_heavy
-from hostguard.session import materialize
+from hostguard.operators.skew import Running, Scan, SkewPolicy, keyed_scan, split_heavy
+from hostguard.session import Scratch, materialize
 
 # Task functions travel by value, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-FAN_IN = 16
-
 
 def thin(
     df: DataFrame,
@@ -121,79 +117,37 @@ def _follow_hot(df: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
     return df.join(first, ["_key", "ts_us", "seq"], "left_semi").drop("_key")
 
 
-def kept_times(moments: DataFrame, gap_us: int) -> DataFrame:
+def kept_times(moments: DataFrame, gap_us: int, policy: SkewPolicy = SkewPolicy(hot_rows=0)) -> DataFrame:
     """(_key, ts_us) of the kept moments, for keys of any size.
 
-    A block table lists, for a stretch of time, ``enter`` -> ``leave``: entering the stretch with the next row
-    allowed from time t on, the first row kept is the smallest ``enter`` >= t and the last one kept is its
-    ``leave``. Only rows in the first gap of a stretch, and the first one after it, can be entered at, so the
-    tables do not grow from level to level: a block has at most one row per microsecond of the gap.
+    Each moment points to the first one that is at least a gap later, found in one scan over ranges. Pointers are
+    doubled by equi-joins on (key, moment) until they leave the key, in as many rounds as the logarithm of the number
+    of kept moments; then, from the widest pointer to the narrowest, what the first moment of a key reaches is
+    gathered. A join key is one moment, so no group is larger than a row.
     """
-    moments = moments.distinct()
-    low, high = moments.agg(F.min("ts_us"), F.max("ts_us")).first()
-    if low is None:
-        return moments
-    block = F.expr(f"(ts_us - {low}L) div {gap_us}L")
-    levels = [materialize(moments.select("_key", block.alias("block"), F.col("ts_us").alias("enter"), F.col("ts_us").alias("leave")))]
-    parent = F.expr(f"block div {FAN_IN}L")
-    blocks = (high - low) // gap_us + 1
-    while blocks > 1:
-        children = levels[-1].withColumn("parent", parent).groupBy("_key", "parent")
-        merged = children.applyInPandas(_merge_blocks(gap_us), "_key bigint, block bigint, enter bigint, leave bigint")
-        levels.append(materialize(merged))
-        blocks = -(-blocks // FAN_IN)
-
-    entries = levels[-1].groupBy("_key", "block").agg(F.min("enter").alias("allowed"))
-    for level in reversed(levels[:-1]):
-        children = level.withColumn("parent", parent).groupBy("_key", "parent")
-        above = entries.groupBy("_key", "block")
-        entries = children.cogroup(above).applyInPandas(_enter_blocks(gap_us), "_key bigint, block bigint, allowed bigint")
-    hits = levels[0].join(entries, ["_key", "block"]).filter("enter >= allowed")
-    return hits.groupBy("_key", "block").agg(F.min("enter").alias("ts_us")).select("_key", "ts_us")
-
-
-def _child_tables(rows: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    rows = rows.sort_values(["block", "enter"])
-    block = rows["block"].to_numpy()
-    enter, leave = rows["enter"].to_numpy(), rows["leave"].to_numpy()
-    starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-    ends = np.append(starts[1:], len(block))
-    return [(int(block[s]), enter[s:e], leave[s:e]) for s, e in zip(starts, ends)]
-
-
-def _merge_blocks(gap_us: int):
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        tables = _child_tables(rows)
-        parent = int(rows["parent"].iloc[0])
-        first_block, enter, leave = tables[0]
-        if first_block != parent * FAN_IN:
-            # Nothing in the first child: every entry is at the first row there is.
-            enter, leave = enter[:1], leave[:1]
-        elif len(tables) > 1:
-            # Allowed later than every row of the first child: enter at the first row of the next one.
-            _, next_enter, next_leave = tables[1]
-            enter, leave = np.append(enter, next_enter[0]), np.append(leave, next_leave[0])
-        leave = leave.copy()
-        for _, child_enter, child_leave in tables[1:]:
-            at = np.searchsorted(child_enter, leave + gap_us)
-            # A block already passed lies before the time allowed and has nothing to offer.
-            moved = (at < len(child_enter)) & (leave < child_enter[0])
-            leave[moved] = child_leave[at[moved]]
-        return pd.DataFrame({"_key": rows["_key"].iloc[0], "block": parent, "enter": enter, "leave": leave})
-
-    return merge
-
-
-def _enter_blocks(gap_us: int):
-    def enter_children(children: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
-        entered = []
-        if len(above) and len(children):
-            allowed = int(above["allowed"].iloc[0])
-            for block, enter, leave in _child_tables(children):
-                at = int(np.searchsorted(enter, allowed))
-                if at < len(enter):
-                    entered.append((int(children["_key"].iloc[0]), block, allowed))
-                    allowed = int(leave[at]) + gap_us
-        return pd.DataFrame(np.array(entered, "int64").reshape(-1, 3), columns=["_key", "block", "allowed"])
-
-    return enter_children
+    scratch = Scratch(moments.sparkSession)
+    moments = scratch.keep(moments.distinct())
+    events = moments.selectExpr(
+        "_key", f"inline(array(named_struct('at', ts_us, 'is_moment', 1, 'ts_us', ts_us),"
+        f" named_struct('at', ts_us + {gap_us}L, 'is_moment', 0, 'ts_us', ts_us)))"
+    )
+
+    def following(scan: Scan) -> DataFrame:
+        # From the latest on, the last moment seen is the earliest that is not before the row.
+        seen = Running("max", F.expr("CASE WHEN is_moment = 1 THEN -at END"))
+        return scan.running(_seen=seen).filter(F.col("is_moment") == 0).df.select("_key", "ts_us", (-F.col("_seen")).alias("next"))
+
+    order = [F.desc("at"), F.desc("is_moment"), F.desc("ts_us")]
+    pointers = [scratch.keep(keyed_scan(events, ["_key"], order, following, policy).filter("next IS NOT NULL"))]
+    while not pointers[-1].isEmpty():
+        last = pointers[-1]
+        onward = last.select("_key", F.col("ts_us").alias("next"), F.col("next").alias("further"))
+        pointers.append(scratch.keep(last.join(onward, ["_key", "next"]).select("_key", "ts_us", F.col("further").alias("next"))))
+    reached = scratch.keep(moments.groupBy("_key").agg(F.min("ts_us").alias("ts_us")))
+    for pointer in reversed(pointers[:-1]):
+        new = reached.join(pointer, ["_key", "ts_us"]).select("_key", F.col("next").alias("ts_us"))
+        wider = scratch.keep(reached.unionByName(new))
+        scratch.drop(reached)
+        reached = wider
+    scratch.drop(moments, *pointers)
+    return reached

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hostguard.config import DetectionConfig
 from hostguard.operators import baseline, rules, windows
+from hostguard.operators.skew import SkewPolicy
 from hostguard.plans import views
 from hostguard.plans.registry import query
 
@@ -199,13 +200,10 @@ for _number, _name in enumerate(["baseline", "burst", "risk", "global", "escalat
 
 
 @query("d7_cooldown", f"WITH RECURSIVE {COUNTS}, {cooled_sql(CANDIDATES['global'])} "
-       "SELECT (SELECT count(*) FROM cand) AS candidates, count(*) AS fired, "
-       "CAST(sum(seq) AS BIGINT) AS fired_seq_sum FROM alerts")
+       "SELECT seq, ts_us FROM alerts")
 def d7(spark, folder):
     found = rules.global_candidates(views.attempts(spark, folder), STRETCHED)
-    fired = rules.cool_down(found, STRETCHED).agg(F.count("seq").alias("fired"), F.sum("seq").alias("fired_seq_sum"))
-    total = found.agg(F.count("seq").alias("candidates"))
-    return fired.select(total.scalar().alias("candidates"), "fired", "fired_seq_sum")
+    return rules.cool_down(found, STRETCHED).select("seq", "ts_us")
 
 
 ALL_RULES = f"{HISTORY}, {SCORES.replace(sessions_sql(600) + ',', '').strip()}"
@@ -217,6 +215,16 @@ def d8(spark, folder):
     return rounded(rules.rule_alerts(views.attempts(spark, folder), STRETCHED))
 
 
+# Every key with more than 40 rows counts as hot, so ranges and pointers do the work.
+SPLIT = SkewPolicy(hot_rows=40)
+
+
+@query("d8_alert_set_split", f"WITH RECURSIVE {ALL_RULES}, {cooled_sql(' UNION ALL '.join(CANDIDATES.values()))} "
+       f"SELECT {ALERT_COLUMNS} FROM alerts")
+def d8_split(spark, folder):
+    return rounded(rules.rule_alerts(views.attempts(spark, folder), STRETCHED, SPLIT))
+
+
 PROFILE = "prof AS (SELECT avg(value) AS mean, var_pop(value) AS variance, count(*) AS samples FROM events)"
 GROUP_PROFILE = """prof AS (SELECT event_type, avg(value) AS mean, var_pop(value) AS variance, count(*) AS samples
                            FROM events GROUP BY event_type)"""

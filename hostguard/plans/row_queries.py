@@ -432,12 +432,10 @@ def p22(spark, folder):
     rows = views.events(spark, folder).select("event_id", "event_type")
     message = F.concat(F.lit("seen "), F.col("event_type"))
     levels = {"error": "CRITICAL", "purchase": "ERROR", "click": "WARNING"}
-    parts = [alerts.with_severity(rows.filter(F.col("event_type") == t), s, message) for t, s in levels.items()]
-    parts.append(alerts.with_severity(rows.filter(~F.col("event_type").isin(*levels)), "INFO", message))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result.drop("event_type")
+    level = F.lit("INFO")
+    for kind, name in levels.items():
+        level = F.when(F.col("event_type") == kind, name).otherwise(level)
+    return alerts.with_severity(rows, level, message).drop("event_type")
 
 
 @query("a10_duplicates", f"""WITH {KEYED_ALERTS} SELECT dedup_key, count(*) AS alerts, min(timestamp) AS first_at,

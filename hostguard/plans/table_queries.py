@@ -24,8 +24,7 @@ SELECT source, count(*) AS lines, count(*) FILTER (parsed AND NOT broken) AS eve
   count(*) FILTER (NOT parsed AND NOT broken) AS discards, count(*) FILTER (broken) AS parse_errors,
   round(max(seconds) FILTER (parsed AND NOT broken), 6) AS last_event_time FROM c GROUP BY source""")
 def a2(spark, folder):
-    users = views.events(spark, folder).select("event_id", "user_id")
-    rows = views.lines(spark, folder).join(users, "event_id").withColumn("source", F.expr("concat('host', user_id % 5)"))
+    rows = views.lines(spark, folder, "user_id").withColumn("source", F.expr("concat('host', user_id % 5)"))
     line = F.col("line")
     parsed = line.startswith("Failed password for ") | line.startswith("EXEC: ")
     counted = metrics.collector_counters(rows, "source", parsed, F.col("user_id") == 13, F.col("ts_us") / 1_000_000)
@@ -234,8 +233,7 @@ def l2(spark, folder):
 
 @query("s1_scan_lines", f"WITH {LINES} SELECT 'host=' || (user_id % 5) AS folder, line, count(*) AS n FROM lines GROUP BY ALL")
 def s1(spark, folder):
-    users = views.events(spark, folder).selectExpr("event_id", "user_id % 5 AS host")
-    rows = views.lines(spark, folder).join(users, "event_id")
+    rows = views.lines(spark, folder, "user_id").withColumn("host", F.expr("user_id % 5"))
     path = snapshots.scratch_path(rows, "logs")
     rows.select("host", "line").write.partitionBy("host").text(path)
     found = line_source.read_lines(spark, path, "*.txt")

@@ -27,8 +27,8 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("event_id").alias("seq"), "ts_us", F.expr(ATTEMPT_IP).alias("ip"))
 
 
-def lines(spark: SparkSession, folder: str) -> DataFrame:
-    """One log line per event; (event_id, ts_us, line)."""
+def lines(spark: SparkSession, folder: str, *also: str) -> DataFrame:
+    """One log line per event; (event_id, ts_us, line) and the event columns in ``also``."""
     line = f"""
         CASE WHEN event_type = 'error' AND event_id % 5 = 0
                THEN concat('sshd: authentication failure; rhost=', {ATTEMPT_IP}, ' user=u', user_id)
@@ -40,7 +40,7 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
              WHEN event_type = 'signup' THEN concat('type=SYSCALL msg=audit name="/etc/passwd" uid=', user_id)
              WHEN event_id % 10 = 0 THEN ''
              ELSE concat('INFO session ok u', user_id) END"""
-    return events(spark, folder).select("event_id", "ts_us", F.expr(line).alias("line"))
+    return events(spark, folder).select("event_id", "ts_us", F.expr(line).alias("line"), *also)
 
 
 def metrics(spark: SparkSession, folder: str) -> DataFrame:
