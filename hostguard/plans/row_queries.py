@@ -10,6 +10,7 @@ from hostguard.plans import catalog, views
 from hostguard.plans.catalog import LinePattern
 from hostguard.plans.registry import query
 from hostguard.sources import lines as line_source
+from hostguard.sources import snapshots
 
 AS_OF = 1_706_745_600.0
 
@@ -461,6 +462,44 @@ def s4(spark, folder):
     return line_source.lines_of(rows, "text")
 
 
+@query("s6_alert_rows", f"""WITH i AS (SELECT event_id, user_id, {ALERT_INPUT} FROM events)
+SELECT left(replace(coalesce(timestamp, '2024-02-01T00:00:00Z'), 'Z', '') || '.000', 23) || ' | ' || type || ' | ' || {SEVERITY_SQL} || ' | '
+  || message || ' | {{"source":"' || coalesce(source, 'unknown') || '","event_id":' || event_id || ',"user_id":' || user_id || '}}' AS line
+FROM i WHERE message IS NOT NULL""")
+def s6_rows(spark, folder):
+    found = alerts.generate_alerts(alert_input(spark, folder), F.lit(AS_OF)).filter("error IS NULL")
+    path = snapshots.scratch_path(found, "alert-lines")
+    line_source.write_alert_lines(found, path)
+    return line_source.read_lines(spark, path, "*.txt").select("line")
+
+
+# Alternations outside and inside groups, escaped and in classes: none may be cut short by a literal prefix.
+BRANCHES = [
+    "Failed password (for)|EXEC: (proc1)", r"GET /p\d\.php|INFO session (ok)", "INFO session (ok u1|ok u2)", "EXEC: proc[|3]",
+    r"a\(b|c\)", "rhost=[0-9.]+ user=u1|(PID: 1)", "(EXEC|GET)", "type=SYSCALL msg=audi?t",
+]
+BRANCH_VALUES = "sig(ordinal, pattern) AS (VALUES " + ", ".join(f"({i}, {_sql_text(p)})" for i, p in enumerate(BRANCHES)) + ")"
+
+
+@query("j1_branch_patterns", f"""WITH {LINES}, {BRANCH_VALUES}
+SELECT event_id, ordinal FROM lines JOIN sig ON regexp_matches(line, pattern)""")
+def j1_branches(spark, folder):
+    table = spark.createDataFrame(list(enumerate(BRANCHES)), "ordinal int, pattern string")
+    return parsing.signature_hits(views.lines(spark, folder), catalog.catalogue_rows(table)).select("event_id", "ordinal")
+
+
+def _web(line):
+    return {"type": F.lit("web"), "data": F.create_map(F.lit("page"), F.regexp_extract(line, "(?:GET|INFO) ([^ ]*)", 1))}
+
+
+@query("x1_registered_handler", f"""WITH {LINES}
+SELECT event_id, 'web' AS type, regexp_extract(line, '(?:GET|INFO) ([^ ]*)', 1) AS page FROM lines
+WHERE regexp_matches(line, '^GET (/p.*)|^INFO (session)')""")
+def x1(spark, folder):
+    rows = parsing.parse_events(views.lines(spark, folder), [("^GET (/p.*)|^INFO (session)", _web)]).filter("type = 'web'")
+    return rows.select("event_id", "type", F.col("data")["page"].alias("page"))
+
+
 @query("s6_alert_lines", """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(CAST(floor(epoch_us(ts) / 1000) AS BIGINT) % 1000 AS VARCHAR), 3, '0')
   || ' | ' || CASE WHEN event_id % 3 = 0 THEN 'SYSTEM' ELSE event_type END || ' | '
   || CASE WHEN event_id % 2 = 0 THEN 'INFO' ELSE 'WARNING' END || ' | user ' || user_id || ' | '

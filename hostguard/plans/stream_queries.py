@@ -77,10 +77,10 @@ def t2(spark, folder):
 
 
 @query("t3_subnet_alerts", f"WITH RECURSIVE {COUNTS}, {cooled_sql(CANDIDATES['subnet'])} "
-       "SELECT rule, rule_order, key, seq, ts_us, metric, threshold, message FROM alerts")
+       "SELECT rule, rule_order, key, seq, ts_us, ip, metric, threshold, message FROM alerts")
 def t3(spark, folder):
     alerts = detectors.subnet_alerts(attempt_stream(spark, folder), STRETCHED)
-    return collected(spark, alerts).filter("seq >= 0").drop("ip")
+    return collected(spark, alerts).filter("seq >= 0")
 
 
 @query("t4_global_alerts", f"""WITH RECURSIVE {ATTEMPTS},

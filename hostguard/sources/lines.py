@@ -92,8 +92,17 @@ def save_event_buffer(df: DataFrame, path: str) -> None:
 
 
 def write_alert_lines(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Rule alerts (rule, ts_us, message) or alert rows as text lines."""
-    df.select(rule_alert_line(df).alias("value")).write.mode(mode).text(path)
+    """Rule alerts (rule, ts_us, message), or alert rows as ``generate_alerts`` makes them, as text lines."""
+    line = rule_alert_line(df) if "ts_us" in df.columns else alert_row_line(df)
+    df.select(line.alias("value")).write.mode(mode).text(path)
+
+
+def alert_row_line(df: DataFrame) -> Column:
+    """The line of an alert row: its own event type, severity and time; what else the row has is the metadata."""
+    others = [c for c in df.columns if c not in ("timestamp", "event_type", "severity", "description", "error")]
+    metadata = F.to_json(F.struct(*others)) if others else F.lit("")
+    seconds = F.unix_micros(F.to_timestamp("timestamp")) / 1_000_000
+    return alert_line(F.col("description"), F.col("event_type"), F.col("severity"), metadata, seconds)
 
 
 def rule_alert_line(df: DataFrame) -> Column:

@@ -19,6 +19,9 @@ from hostguard.streaming.processors import AddressDetector, CountingDetector, Re
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+COUNTED = "seq bigint, ts_us bigint, counted bigint, label string"
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
@@ -49,12 +52,11 @@ def subnet_alerts(stream: DataFrame, cfg: DetectionConfig = DetectionConfig(), d
     detector = CountingDetector("subnet", cfg.us("subnet_window"), cfg.subnet_threshold, cfg.us("alert_cooldown"))
     found = (
         rows.filter(F.col("subnet").isNotNull())
-        .select("ts", "subnet", "ts_us", "seq", "weight")
+        .select("ts", "subnet", "ts_us", "seq", "weight", F.col("ip").alias("label"))
         .groupBy("subnet")
-        .transformWithStateInPandas(detector, "subnet string, seq bigint, ts_us bigint, counted bigint", "Append",
-                                    "EventTime")
+        .transformWithStateInPandas(detector, f"subnet string, {COUNTED}", "Append", "EventTime")
     )
-    found = found.withColumns({"subnet_count": F.col("counted"), "ip": F.lit(None).cast("string")})
+    found = found.withColumns({"subnet_count": F.col("counted"), "ip": F.col("label")})
     described = found.selectExpr("seq", "ts_us", "ip", f"inline(array({subnet_rule(cfg).struct}))")
     return described.select(*RULE_COLUMNS)
 
@@ -76,7 +78,7 @@ def global_alerts(stream: DataFrame, cfg: DetectionConfig = DetectionConfig(), d
     )
     detector = CountingDetector("key", cfg.us("global_time_window"), cfg.global_threshold, cfg.us("alert_cooldown"))
     found = rows.select("ts", "key", "ts_us", "seq", "weight").groupBy("key").transformWithStateInPandas(
-        detector, "key string, seq bigint, ts_us bigint, counted bigint", "Append", "EventTime"
+        detector, f"key string, {COUNTED}", "Append", "EventTime"
     )
     found = found.withColumns({"global_count": F.col("counted"), "ip": F.lit(None).cast("string")})
     described = found.selectExpr("seq", "ts_us", "ip", f"inline(array({global_rule(cfg).struct}))")

@@ -20,10 +20,14 @@ cloudpickle.register_pickle_by_value(sys.modules[DetectionConfig.__module__])
 
 
 class OrderedProcessor(StatefulProcessor):
-    """Hold rows back until they are final. Subclasses keep ``state_schema`` state and fold runs of rows."""
+    """Hold rows back until they are final. Subclasses keep ``state_schema`` state and fold runs of rows.
+
+    The state of a key goes when the watermark passes ``forgets_at``, the time from which on a new row would find the
+    same as a key without state.
+    """
 
     state_schema: str
-    pending_schema = "ts_us bigint, seq bigint, weight bigint"
+    pending_schema = "ts_us bigint, seq bigint, weight bigint, label string"
     columns: list[str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -32,7 +36,10 @@ class OrderedProcessor(StatefulProcessor):
         self.kept = handle.getValueState("kept", self.state_schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = [tuple(map(int, row)) for batch in rows for row in batch[["ts_us", "seq", "weight"]].to_numpy()]
+        arrived = []
+        for batch in rows:
+            labels = batch["label"].tolist() if "label" in batch else [""] * len(batch)
+            arrived += zip(*(batch[c].tolist() for c in ("ts_us", "seq", "weight")), [label or "" for label in labels])
         self.pending.appendList(arrived)
         # One timer for the earliest row: when it fires, all final rows are taken and the next one is set.
         self.handle.registerTimer(min(arrived)[0] // 1000 + 1)
@@ -43,7 +50,9 @@ class OrderedProcessor(StatefulProcessor):
         waiting = list(self.pending.get())
         ready = sorted(row for row in waiting if row[0] <= final)
         if not ready:
-            # An earlier timer of this batch has taken the rows already.
+            # An earlier timer of this batch has taken the rows already, or the key has been idle.
+            if not waiting and self.kept.exists():
+                self._forget(self.kept.get(), final)
             yield pd.DataFrame(columns=self.columns)
             return
         self.pending.clear()
@@ -53,10 +62,23 @@ class OrderedProcessor(StatefulProcessor):
             self.handle.registerTimer(min(later)[0] // 1000 + 1)
         state, rows = self.fold(self.kept.get() if self.kept.exists() else None, ready)
         self.kept.update(state)
+        if not later:
+            self._forget(state, final)
         yield pd.DataFrame([(*key, *row) for row in rows], columns=self.columns)
 
-    def fold(self, state, ready: list[tuple[int, int, int]]):
-        """(new state, output rows without the key) for rows (ts, seq, weight) in time order."""
+    def _forget(self, state, final: int) -> None:
+        """Drop the state if it is due, or come back when it is."""
+        due = self.forgets_at(state)
+        if due <= final:
+            self.kept.clear()
+        else:
+            self.handle.registerTimer(due // 1000 + 1)
+
+    def forgets_at(self, state) -> int:
+        raise NotImplementedError
+
+    def fold(self, state, ready: list[tuple[int, int, int, str]]):
+        """(new state, output rows without the key) for rows (ts, seq, weight, label) in time order."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -80,6 +102,9 @@ class AddressDetector(OrderedProcessor):
         self.cfg = cfg
         self.spread_factor = as_fraction(cfg.baseline_std_multiplier) ** 2
 
+    def forgets_at(self, state):
+        return max(state[0] + self.cfg.us("ip_ttl") + 1, max(state[4]) + self.cfg.us("alert_cooldown"))
+
     def fold(self, state, ready):
         cfg, us = self.cfg, self.cfg.us
         window, burst_window, slow_window = us("time_window"), us("burst_window"), us("escalation_window")
@@ -90,7 +115,7 @@ class AddressDetector(OrderedProcessor):
         # First attempt still inside each window; they only move forward, so a dense window costs no more.
         in_window = in_burst = in_slow = 0
         rows = []
-        for ts, seq, _ in ready:
+        for ts, seq, _, _ in ready:
             if last is not None and ts - last > us("ip_ttl"):
                 last, score, attempts, in_window, in_burst, in_slow = None, 0, [], 0, 0, 0
                 history.clear()
@@ -143,14 +168,18 @@ class CountingDetector(OrderedProcessor):
     state_schema = "moments array<bigint>, weights array<bigint>, fired bigint"
 
     def __init__(self, key: str, width_us: int, threshold: int, cooldown_us: int):
-        self.columns = [key, "seq", "ts_us", "counted"]
+        self.columns = [key, "seq", "ts_us", "counted", "label"]
         self.width_us, self.threshold, self.cooldown_us = width_us, threshold, cooldown_us
 
+    def forgets_at(self, state):
+        moments, _, fired = state
+        return max((moments[-1] if moments else 0) + self.width_us, fired + self.cooldown_us)
+
     def fold(self, state, ready):
         moments, weights, fired = state or ([], [], 0)
         moments, weights = list(moments), list(weights)
         start, counted, rows = 0, sum(weights), []
-        for ts, seq, weight in ready:
+        for ts, seq, weight, label in ready:
             moments.append(ts)
             weights.append(weight)
             counted += weight
@@ -159,7 +188,7 @@ class CountingDetector(OrderedProcessor):
                 start += 1
             if counted >= self.threshold and ts - fired >= self.cooldown_us:
                 fired = ts
-                rows.append((seq, ts, counted))
+                rows.append((seq, ts, counted, label))
         return (moments[start:], weights[start:], fired), rows
 
 
@@ -172,9 +201,12 @@ class RepeatFilter(OrderedProcessor):
         self.columns = [*keys, "seq", "ts_us"]
         self.ttl_us = ttl_us
 
+    def forgets_at(self, state):
+        return state[0] + self.ttl_us + 1
+
     def fold(self, state, ready):
         passed, rows = state[0] if state else None, []
-        for ts, seq, _ in ready:
+        for ts, seq, _, _ in ready:
             if passed is None or ts - passed > self.ttl_us:
                 passed = ts
                 rows.append((seq, ts))

@@ -128,3 +128,20 @@ def test_catalogue_file(spark, tmp_path):
 def test_text_helpers(spark):
     df = spark.createDataFrame([("\u00a0\t x \u3000\x1c", 1704067200.1795)], "t string, s double")
     assert df.select(stripped(F.col("t")), iso_millis(F.col("s"))).first() == ("x", "2024-01-01T00:00:00.179Z")
+
+
+def test_pattern_tests_equal_plain_matching(spark):
+    """Generated patterns: the literal in front may only save time."""
+    import random
+
+    from hostguard.functions.text import has_branches, java_pattern, matches
+
+    rng = random.Random(9)
+    atoms = ["a", "b", "ab", "x ", "-", "[ab|]", "[)(]", r"\(", r"\|", r"\)", r"\.", ".", "b?", "a*", "b{2}", "(a|b)", "(?:x|ab)", "(b)|a", "(ab)|(x )"]
+    patterns = ["".join(rng.choice(atoms) for _ in range(rng.randint(1, 4))) for _ in range(150)]
+    lines = ["".join(rng.choice("abx -|().") for _ in range(rng.randint(0, 7))) for _ in range(120)]
+    df = spark.createDataFrame([(line,) for line in lines], "line string")
+    both = [F.struct(matches(F.col("line"), p).alias("got"), F.col("line").rlike(java_pattern(p)).alias("want")) for p in patterns]
+    for row in df.select(F.array(*both).alias("both")).collect():
+        assert [p for p, r in zip(patterns, row.both) if r.got != r.want] == []
+    assert has_branches("foo(a)|bar(b)") and not has_branches(r"a(b|c)\|[|]")

@@ -88,3 +88,26 @@ def test_sinks_repeat_without_duplicates(spark, tmp_path):
         sinks.alert_table_sink(str(tmp_path / "table"))(alerts, 3)
     assert spark.read.text(str(tmp_path / "lines")).count() == alerts.count() == 1
     assert spark.read.parquet(str(tmp_path / "table")).first().rule == "burst"
+
+
+def test_idle_state_goes(spark):
+    """Rows far ahead move the watermark; what earlier keys kept is dropped by timers."""
+    cfg = DetectionConfig(subnet_threshold=2)
+    rows = [(i, START + i * S, f"10.0.{i}.1") for i in range(70)]
+    far = [[(1000 + k, START + 86_400 * (k + 1) * S, f"11.0.{k}.1")] for k in range(4)]
+    parts = [timed(frame(spark, p)) for p in [rows, *far]]
+    for make in (
+        lambda s: detectors.address_alerts(s, cfg),
+        lambda s: detectors.subnet_alerts(s, cfg),
+        lambda s: detectors.suppress_repeats(s, ["ip"]),
+    ):
+        detectors.use_rocksdb(spark)
+        seen = []
+        query = (
+            make(as_stream(spark, parts, 1)).writeStream.foreachBatch(lambda batch, _: seen.append(batch.count()))
+            .option("checkpointLocation", scratch_path(parts[0], "checkpoint")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination(240)
+        totals = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        # Only the last rows' keys are left: their pending row, their state, their timers.
+        assert max(totals) > 60 and totals[-1] <= 12, totals
