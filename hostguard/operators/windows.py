@@ -209,16 +209,15 @@ def global_counts(
     width = cfg.us("global_time_window")
     rows = attempts.select("seq", "ts_us", "ip")
     bucket = F.expr(f"(ts_us - pmod(ts_us, {width}L)) div {width}L")
-    before = rows.groupBy((bucket + 1).alias("_bucket")).agg(F.count(F.lit(1)).alias("_before"))
     moments = with_moments(rows, {"global_count": width})
     moments = moments.withColumn("_bucket", F.expr(f"(_at - pmod(_at, {width}L)) div {width}L"))
+    # One opening row per bucket, before all others, adds what the bucket before has left in the window.
+    opening = rows.groupBy((bucket + 1).alias("_bucket")).agg(F.count(F.lit(1)).alias("global_count"))
+    opening = opening.withColumns({"_at": F.col("_bucket") * width, "_entering": F.lit(-1)})
 
     def body(scan: Scan) -> DataFrame:
         scan = scan.running(global_count=Running("sum", F.col("global_count"))).filter(F.col("_entering") == 1)
         return scan.df.drop("_at", "_entering")
 
-    counted = keyed_scan(moments, ["_bucket"], MOMENT_ORDER, body, policy)
-    joined = counted.join(before, "_bucket", "left")
-    return joined.select(
-        "seq", "ts_us", "ip", (F.col("global_count") + F.coalesce("_before", F.lit(0))).alias("global_count")
-    )
+    counted = keyed_scan(moments.unionByName(opening, allowMissingColumns=True), ["_bucket"], MOMENT_ORDER, body, policy)
+    return counted.select("seq", "ts_us", "ip", "global_count")
