@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from hostguard.llm.common import batches_of_rows
+from hostguard.llm.common import batches_of_rows, in_tasks
 
 SLICE_BYTES = 4 << 20
 CACHED_WORDS = 200_000
@@ -229,7 +229,7 @@ def encode(texts: DataFrame, ranks: bytes, pattern: str, keep: tuple[str, ...] =
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, counts, pa.array(ids, pa.binary())], [*keep, "n_tokens", "ids"])
 
-    return rows.mapInArrow(run, ", ".join(x for x in (kinds, "n_tokens bigint, ids binary") if x))
+    return in_tasks(rows, run, ", ".join(x for x in (kinds, "n_tokens bigint, ids binary") if x))
 
 
 def decode(tokens: DataFrame, ranks: bytes, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -247,7 +247,7 @@ def decode(tokens: DataFrame, ranks: bytes, ids: str = "ids", to: str = "decoded
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*names, to])
 
-    return tokens.mapInArrow(run, schema)
+    return in_tasks(tokens, run, schema)
 
 
 def default_vocabulary() -> tuple[bytes, str]:

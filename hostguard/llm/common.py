@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +22,38 @@ GAP = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(df: DataFrame) -> None:
+    """Send this package's source to the executors, once per application, so that it need not be installed there."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).parents[1]
+    path = os.path.join(tempfile.mkdtemp(prefix=f"{package.name}-code-"), f"{package.name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as file:
+        for source in sorted(package.rglob("*.py")):
+            file.write(source, source.relative_to(package.parent))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
+def in_tasks(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` with a function of this package."""
+    ship_code(df)
+    return df.mapInArrow(run, schema)
+
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def lean_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Documents go to Python a thousand at a time, unless the session has a size of its own."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -38,6 +74,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def few_parts(rows: int, each: int = 50_000) -> int:
+    """How many files a narrow table of so many rows is kept in: it grows with the rows."""
+    return 1 + rows // each
+
+
 def text_key(docs: DataFrame) -> Column:
     """Tells rows apart that share a doc_id."""
     return F.xxhash64(docs["text"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hostguard.llm.common import few_parts, small
 from hostguard.session import Scratch
 
 
@@ -13,24 +14,28 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
     Each round every node goes to its smallest neighbour, if that is smaller, and the links are drawn anew between
     what is left. Nodes at least halve in every component, so the rounds are few; a node with very many links is one
-    row per task after the partial minimum. Links of a node with itself are allowed.
+    row per task after the partial minimum. Tables that a count shows to be small are joined by broadcast and kept in
+    few files, larger ones are shuffled. Links of a node with itself are allowed.
     """
-    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    roots = scratch.keep(nodes.withColumn("root", F.col("node")))
-    open_links = scratch.keep(links.filter("a <> b").select("a", "b").distinct())
+    links = scratch.keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    parts = few_parts(links.count())
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    roots = scratch.keep(nodes.withColumn("root", F.col("node")).coalesce(parts))
+    open_links = scratch.keep(links.filter("a <> b").coalesce(parts))
+    scratch.drop(links)
     while not open_links.isEmpty():
-        both = open_links.unionByName(open_links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("to")).withColumn("to", F.least("a", "to"))
+        ends = open_links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+        least = ends.select("e.*").groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
+        least = scratch.keep(least.coalesce(parts))
         # Nodes that go to a node which itself goes on follow it at once.
-        least = scratch.keep(least)
-        onward = least.select(F.col("a").alias("to"), F.col("to").alias("further"))
-        step = scratch.keep(least.join(onward, "to", "left").select("a", F.coalesce("further", "to").alias("to")))
-        moved = roots.join(step.withColumnRenamed("a", "root"), "root", "left")
-        new_roots = scratch.keep(moved.select("node", F.coalesce("to", "root").alias("root")))
-        left = open_links.join(step.withColumnRenamed("to", "ra"), "a").select("ra", F.col("b").alias("a"))
-        left = left.join(step.withColumnRenamed("to", "rb"), "a").filter("ra <> rb")
+        onward = small(least.select(F.col("a").alias("to"), F.col("to").alias("further")))
+        step = scratch.keep(least.join(onward, "to", "left").select("a", F.coalesce("further", "to").alias("to")).coalesce(parts))
+        moved = roots.join(small(step.withColumnRenamed("a", "root")), "root", "left")
+        new_roots = scratch.keep(moved.select("node", F.coalesce("to", "root").alias("root")).coalesce(parts))
+        left = open_links.join(small(step.withColumnRenamed("to", "ra")), "a").select("ra", F.col("b").alias("a"))
+        left = left.join(small(step.withColumnRenamed("to", "rb")), "a").filter("ra <> rb")
         pairs = left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        new_links = scratch.keep(pairs)
+        new_links = scratch.keep(pairs.coalesce(parts))
         scratch.drop(roots, open_links, least, step)
         roots, open_links = new_roots, new_links
     scratch.drop(open_links)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostguard.llm.common import batches_of_rows, fold
+from hostguard.llm.common import batches_of_rows, fold, in_tasks
 from hostguard.session import Scratch
 
 GROUPS, END = 1024, 1024
@@ -76,7 +76,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                 held = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "c"])
 
-    return texts.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return in_tasks(texts, run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass(frozen=True)
@@ -169,7 +169,7 @@ def encode(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
         "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, log_counts double, log_mass double, "
         "classes binary, rare array<struct<word:binary,n:int>>"
     )
-    return rows.select("row", "doc_id", "held_out", "text").mapInArrow(run, schema)
+    return in_tasks(rows.select("row", "doc_id", "held_out", "text"), run, schema)
 
 
 @dataclass(frozen=True)
@@ -287,7 +287,7 @@ def expectation(texts: DataFrame, model: Model | None, states: int) -> list[tupl
             add()
         yield _vectors(by_class, moves, first)
 
-    vectors = texts.select("row", "classes").mapInArrow(run, "at int, vector binary")
+    vectors = in_tasks(texts.select("row", "classes"), run, "at int, vector binary")
     summed = vectors.groupBy("at").applyInArrow(_sum_group, "at int, vector binary").collect()
     shared.unpersist()
     return [(r["at"], np.frombuffer(r.vector)) for r in summed]
@@ -359,7 +359,7 @@ def likelihoods(encoded: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(log_likelihoods(shared.value, texts))], [*names, "forward"])
 
     schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, log_counts double, log_mass double, forward double"
-    return encoded.select(*names, "classes").mapInArrow(run, schema)
+    return in_tasks(encoded.select(*names, "classes"), run, schema)
 
 
 def score(docs: DataFrame, how: Training = Training()) -> DataFrame:

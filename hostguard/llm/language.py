@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostguard.llm.common import batches_of_rows, fold
+from hostguard.llm.common import batches_of_rows, fold, in_tasks
 from hostguard.llm.textarrays import letter_grams
 from hostguard.session import Scratch
 
@@ -94,7 +94,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         found = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(held[found], pa.int64())], ["bucket", "n"])
 
-    counted = texts.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = in_tasks(texts.select("text"), run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     held = np.zeros(BUCKETS + 1, dtype=np.int64)
     for row in counted.collect():
         held[row.bucket] = row.n
@@ -171,7 +171,7 @@ def train(docs: DataFrame, scratch: Scratch, how: Training = Training()) -> Mode
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *packed], names)
 
     sample = scratch.keep(
-        chosen.mapInArrow(measure, "language int, part bigint, doc_id bigint, buckets binary, values binary")
+        in_tasks(chosen, measure, "language int, part bigint, doc_id bigint, buckets binary, values binary")
     )
     # The first tenth is held back for the temperature, if there is anything besides it.
     learnable = sample.filter("part > 0")
@@ -200,7 +200,7 @@ def train(docs: DataFrame, scratch: Scratch, how: Training = Training()) -> Mode
                 learn(rows, own_z, own_n, how)
                 yield pa.RecordBatch.from_arrays([pa.array([len(rows)]), pa.array([own_z.tobytes()]), pa.array([own_n.tobytes()])], ["rows", "z", "n"])
 
-        states = learnable.select("language", "doc_id", "buckets", "values").mapInArrow(pass_over, "rows bigint, z binary, n binary").collect()
+        states = in_tasks(learnable.select("language", "doc_id", "buckets", "values"), pass_over, "rows bigint, z binary, n binary").collect()
         every = sum(s.rows for s in states)
         z = sum(np.frombuffer(s.z).reshape(shape) * (s.rows / every) for s in states)
         n = sum(np.frombuffer(s.n).reshape(shape) * (s.rows / every) for s in states)
@@ -214,7 +214,7 @@ def train(docs: DataFrame, scratch: Scratch, how: Training = Training()) -> Mode
         logits = [(values @ weights[buckets] + weights[-1]).tolist() for _, buckets, values in rows]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array(logits, pa.list_(pa.float64()))], ["language", "logits"])
 
-    held = sample.filter("part = 0").select("language", "doc_id", "buckets", "values").mapInArrow(judge, "language int, logits array<double>").collect()
+    held = in_tasks(sample.filter("part = 0").select("language", "doc_id", "buckets", "values"), judge, "language int, logits array<double>").collect()
     scratch.drop(sample)
     fitted = temperature(np.array([r.logits for r in held]), np.array([r.language for r in held])) if held and len(languages) > 1 else 1.0
     return Model(raw.languages, raw.weights, raw.bias, fitted)
@@ -242,7 +242,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, ", ".join([*([kinds] if kinds else []), "lang_pred string, score double"]))
+    return in_tasks(rows, run, ", ".join([*([kinds] if kinds else []), "lang_pred string, score double"]))
 
 
 def identify(docs: DataFrame, how: Training = Training()) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostguard.llm.common import batches_of_rows, fold
+from hostguard.llm.common import batches_of_rows, fold, in_tasks
 from hostguard.llm.textarrays import MIX, code_points
 from hostguard.session import Scratch
 
@@ -267,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, how: Training =
                 packed.append(x.astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["doc_id", "label", "bag"])
 
-    sample = scratch.keep(rows.mapInArrow(measure, "doc_id bigint, label int, bag binary"))
+    sample = scratch.keep(in_tasks(rows, measure, "doc_id bigint, label int, bag binary"))
     if len(counts) < 2 or sample.select("label").distinct().count() < 2:
         return Model(None, prior)
     shards = sample.repartition(how.shards, "doc_id")
@@ -286,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, how: Training =
                 flat = np.concatenate([learned[k].ravel() for k in sorted(learned)])
                 yield pa.RecordBatch.from_arrays([pa.array([len(bags)]), pa.array([flat.tobytes()])], ["n", "flat"])
 
-        found = shards.mapInArrow(go_on, "n bigint, flat binary").collect()
+        found = in_tasks(shards, go_on, "n bigint, flat binary").collect()
         flat = sum(np.frombuffer(r.flat) * r.n for r in found) / sum(r.n for r in found)
         cuts = np.cumsum([weights[k].size for k in sorted(weights)])[:-1]
         weights = {k: part.reshape(weights[k].shape) for k, part in zip(sorted(weights), np.split(flat, cuts))}
@@ -308,7 +308,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             predicted = pa.array([int(s >= 0.5) for s in scores], pa.int32())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), predicted], [*keep, "score", "predicted"])
 
-    return rows.mapInArrow(run, ", ".join([*([kinds] if kinds else []), "score double, predicted int"]))
+    return in_tasks(rows, run, ", ".join([*([kinds] if kinds else []), "score double, predicted int"]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> DataFrame:

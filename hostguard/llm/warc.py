@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostguard.llm.common import small
+from hostguard.llm.common import in_tasks, small
 from hostguard.session import Scratch
 
 VERSION = "WARC/1.1"
@@ -194,7 +194,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record below ``path``: header fields and the block. Files are gzip, which Spark does not split."""
     source = spark.read.option("lineSep", ENDING + VERSION + LINE).schema("value string").text(path)
     pieces = source.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
-    return pieces.mapInArrow(_parse, RECORD)
+    return in_tasks(pieces, _parse, RECORD)
 
 
 def with_payload(records: DataFrame) -> DataFrame:
