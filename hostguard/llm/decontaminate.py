@@ -43,8 +43,9 @@ def doc_words(text: Column) -> Column:
 
 def each_shingle(df: DataFrame, keys: list[str], width: Column | int, value) -> DataFrame:
     """One row per shingle of ``words``; ``value`` makes the column from the list of its word columns."""
-    starts = F.sequence(F.lit(0), F.size("words") - width)
-    at = df.filter(F.size("words") >= width).select(*keys, "words", F.explode(starts).alias("i"))
+    # No filter on the number of words: it would be pushed down and split every text once more.
+    starts = F.when(F.size("words") >= width, F.sequence(F.lit(0), F.size("words") - width))
+    at = df.select(*keys, "words", F.explode(starts).alias("i"))
     return at.select(*keys, value([F.get("words", F.col("i") + k) for k in range(width)]).alias("shingle"))
 
 
