@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostguard.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality
-from hostguard.llm.common import small, table, text_key, without_rows
+from hostguard.llm.common import lean_batches, small, table, text_key, without_rows
 from hostguard.session import Scratch
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labelled ones of these, does not reject."""
+    lean_batches(spark)
     scratch = Scratch(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels"), scratch)
     keyed = docs.select("doc_id", text_key(docs).alias("text_key"), "text")
@@ -51,6 +52,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id."""
+    lean_batches(spark)
     scratch = Scratch(spark)
     near = jaccard_join.near_duplicates(docs, *NEAR).filter("component IS NOT NULL")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
@@ -67,6 +69,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, decoded_sha256): token ids, and the digest of what they decode to."""
+    lean_batches(spark)
     ranks, pattern = bpe.default_vocabulary()
     tokens = bpe.encode(docs, ranks, pattern, ("doc_id", "lang", "source"))
     return bpe.decode(tokens, ranks).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostguard.llm import bpe, chat, decontaminate, exact_dedup, hmm, jaccard_join, language, oracles, quality, secrets, warc
-from hostguard.llm.common import small, table
+from hostguard.llm.common import lean_batches, small, table
 from hostguard.session import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,16 +117,25 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def lean(query: Query) -> Query:
+    @functools.wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        lean_batches(spark)
+        return query(spark, folder)
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
-    "op1_language_id": op1_language_id,
+    "op1_language_id": lean(op1_language_id),
     "op2_exact_dedup": op2_exact_dedup,
-    "op3_lm_score": op3_lm_score,
+    "op3_lm_score": lean(op3_lm_score),
     "op4_decontamination": op4_decontamination,
     "op5_chat_format": op5_chat_format,
-    "op6_quality": op6_quality,
-    "op7_jaccard_join": op7_jaccard_join,
+    "op6_quality": lean(op6_quality),
+    "op7_jaccard_join": lean(op7_jaccard_join),
     "op8_secret_scan": op8_secret_scan,
-    "op9_byte_bpe": op9_byte_bpe,
+    "op9_byte_bpe": lean(op9_byte_bpe),
     "op10_warc": op10_warc,
 }
 ORACLES = {
