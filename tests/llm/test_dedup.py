@@ -113,7 +113,9 @@ def test_jaccard_join_of_little(documents):
     assert sorted((r.doc_id or -1, r.component_id) for r in rows) == [(-1, 2), (2, 2), (4, 2), (4, 4)]
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("one_task", [200_000, 3])
+def test_components_of_paths_and_stars(spark, monkeypatch, one_task):
+    monkeypatch.setattr("hostguard.llm.components.ONE_TASK", one_task)
     links = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(6, 40)] + [(200, 200), (300, 299)]
     rnd = random.Random(1)
     rnd.shuffle(links)
