@@ -18,8 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # A word is a longest run of bytes other than the space and 09 to 0D.
 GAP = r"[\x20\x09-\x0D]+"
 
-# Rows of (key, few numbers) that may be sent to every executor: some 50 MB.
-BROADCAST_ROWS = 1_000_000
+# Rows of (key, few numbers) that may be sent to every executor: some 10 MB.
+BROADCAST_ROWS = 200_000
 
 
 _SHIPPED: set[str] = set()

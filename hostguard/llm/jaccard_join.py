@@ -6,7 +6,7 @@ Texts with equal sets are one point of the space; the join is over points. It re
 2. Singletons, ordered rare shingles first. Among them a point of n shingles is nearest to its own shingles, the first
    in the order wins the tie and the point lies in that pivot's Voronoi region. Linked points share so many shingles
    that a point needs to be replicated only to the first n - ceil(t n) + 1 of its pivots to meet every point linked
-   to it in some region. Most regions hold one point and are dropped before any set is read.
+   to it in some region. Regions of shingles that one text has hold one point and are never made.
 3. Points of a region. A region whose points are not yet known to be connected takes some as pivots and measures
    their distance to every other point of it that may link: one in another component, within the size window, and
    whose distance to the region's first pivot differs by at most 1 - t (the ring window). Links join components;
@@ -14,7 +14,7 @@ Texts with equal sets are one point of the space; the join is over points. It re
 
 A group of near copies is connected after one round, so its pairs are not enumerated; only points that stay apart are
 measured on. Pairs are rows, dealt out by their points, and no group meets in one task. Nothing is capped: the order
-of the singletons rests on counts that are estimates beyond the heaviest shingles, and any order gives the same links.
+of the singletons rests on a bit map and a list of fixed size, and any order gives the same links.
 
 Edge cases: a text with one or two words has one shingle, all of them; a null text, or one without words, has none and
 is linked with nothing. Rows that share a doc_id are separate rows. The component is named by its smallest doc_id; null
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +33,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hostguard.llm.common import batches_of_rows, small, text_key
+from hostguard.llm.common import batches_of_rows, few_parts, in_tasks, small, text_key
 from hostguard.llm.components import components
 from hostguard.llm.textarrays import MIX, mix, word_hashes
 from hostguard.session import Scratch
 
 TEXT_BYTES = 4 << 20
-SKETCH_BITS = 22
-HEAVY_LIST = 1 << 20
-FIRST_PIVOTS = 16
+RANGE_BYTES = 512 << 10
+FLUSH = 2_000_000
+MAP_BITS = 27
+HEAVY, HEAVY_LIST = 16, 1 << 19
+FIRST_PIVOTS = 4
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -57,44 +60,162 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(rolled)
 
 
-def _bucket(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+@dataclass(frozen=True)
+class Prints:
+    """How shingles are cut to fingerprints of ``bits`` bits and parted into ``ranges``.
+
+    Both follow the length of all texts: a range per ``RANGE_BYTES``, and some sixty times as many fingerprints as
+    shingles, so few of those that one text has are taken for shared.
+    """
+
+    bits: int
+    ranges: int
+
+    @staticmethod
+    def of(df: DataFrame) -> "Prints":
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = 1 << min(20, max(6, (size // RANGE_BYTES).bit_length()))
+        return Prints(min(56, max(32, (size // 7).bit_length() + 6)), ranges)
+
+    def whole(self, shingles: np.ndarray) -> np.ndarray:
+        return shingles >> np.uint64(64 - self.bits)
+
+    @property
+    def low(self) -> int:
+        return self.bits - (self.ranges.bit_length() - 1)
+
+    def cut(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of each fingerprint, and the rest of it."""
+        return (prints >> np.uint64(self.low)).astype(np.int64), prints & np.uint64((1 << self.low) - 1)
+
+    @property
+    def part(self) -> int:
+        """Bits of the map per range."""
+        return (1 << MAP_BITS) // self.ranges
+
+    def bit(self, rest: np.ndarray) -> np.ndarray:
+        return (mix(rest) & np.uint64(self.part - 1)).astype(np.int64)
+
+
+def _pack(prints: np.ndarray) -> bytes:
+    """Sorted distinct fingerprints as gaps of as few bytes as the widest needs; the first byte tells how many."""
+    gaps = np.diff(prints, prepend=np.uint64(0)).astype("<u8")
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, blob[0])
+    gaps = np.zeros((len(raw), 8), np.uint8)
+    gaps[:, : blob[0]] = raw
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
 
 
-def heavy_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of shingles that stand out in some task, and their counts: the heaviest, at most ``HEAVY_LIST``."""
+@dataclass(frozen=True)
+class Rarity:
+    """Which shingles more than one text may have, and the heaviest of them with their counts.
+
+    The bit map has a fixed size. A shingle whose bit is not set is in one text only; the bit of such a shingle may be
+    set nevertheless, the more often the more shared shingles there are, which costs time and no links.
+    """
+
+    prints: Prints
+    bits: np.ndarray
+    heavy: np.ndarray
+    counts: np.ndarray
+
+    def shared(self, shingles: np.ndarray) -> np.ndarray:
+        at, rest = self.prints.cut(self.prints.whole(shingles))
+        place = at * self.prints.part + self.prints.bit(rest)
+        return (self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+    def weight(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.heavy):
+            return np.zeros(len(shingles), dtype=np.int64)
+        prints = self.prints.whole(shingles)
+        at = np.minimum(np.searchsorted(self.heavy, prints), len(self.heavy) - 1)
+        return np.where(self.heavy[at] == prints, self.counts[at], 0)
+
+
+def rarity(texts: DataFrame, width: int) -> Rarity:
+    """Count the shingles of all texts by fingerprint.
+
+    A task sends the distinct fingerprints of some millions of shingles as gaps, two or three bytes each, parted by
+    range; what several texts of the task share is sent apart, with its count. Every range is merged on its own.
+    """
+    cut = Prints.of(texts)
+    most = max(1, HEAVY_LIST // cut.ranges)
+
+    def send(held: list[np.ndarray]) -> pa.RecordBatch:
+        whole, counts = np.unique(cut.whole(np.concatenate(held)), return_counts=True)
+        at, prints = cut.cut(whole)
+        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        rows = []
+        for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(at)]):
+            several = np.flatnonzero(counts[start:stop] > 1)
+            rows.append((int(at[start]), _pack(prints[start:stop]), several.astype("<u4").tobytes(), counts[start:stop][several].astype("<u4").tobytes()))
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, ["at", "prints", "places", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = np.zeros(1 << SKETCH_BITS, dtype=np.int32), 0
+        held, size = [], 0
         for batch in batches_of_rows(batches, 0, TEXT_BYTES):
             for text in batch.column(0):
-                found = _bucket(shingle_set(text.as_py(), width))
-                np.add.at(held, found, 1)
-                total += len(found)
-        stand_out = np.flatnonzero(held >= 8 + 4 * (total >> SKETCH_BITS))
-        yield pa.RecordBatch.from_arrays([pa.array(stand_out, pa.int32()), pa.array(held[stand_out], pa.int64())], ["bucket", "n"])
-
-    summed = texts.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    rows = sorted((r.bucket, r.n) for r in summed.orderBy(F.desc("n"), "bucket").limit(HEAVY_LIST).collect())
-    return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
-
-
-def nearest_pivots(shingles: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
-    """The shingles whose regions the point goes to: the rarest, then by value."""
-    buckets, counts = heavy
-    weight = np.zeros(len(shingles), dtype=np.int64)
-    if len(buckets):
-        found = _bucket(shingles)
-        at = np.minimum(np.searchsorted(buckets, found), len(buckets) - 1)
-        weight = np.where(buckets[at] == found, counts[at], 0)
+                held.append(shingle_set(text.as_py(), width))
+                size += len(held[-1])
+                if size > FLUSH:
+                    yield send(held)
+                    held, size = [], 0
+        if size:
+            yield send(held)
+
+    def merge(group: pa.Table) -> pa.Table:
+        prints, counts = [], []
+        for blob, places, several in zip(group.column("prints"), group.column("places"), group.column("counts")):
+            prints.append(_unpack(blob.as_py()))
+            counts.append(np.ones(len(prints[-1]), dtype=np.int64))
+            counts[-1][np.frombuffer(places.as_py(), "<u4")] = np.frombuffer(several.as_py(), "<u4")
+        every, weights = np.concatenate(prints), np.concatenate(counts)
+        order = np.argsort(every, kind="stable")
+        every, weights = every[order], weights[order]
+        starts = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        every, weights = every[starts], np.add.reduceat(weights, starts)
+        bits = np.zeros(cut.part, dtype=np.uint8)
+        bits[cut.bit(every[weights > 1])] = 1
+        heavy = np.flatnonzero(weights >= HEAVY)
+        heavy = np.sort(heavy[np.argsort(-weights[heavy], kind="stable")[:most]])
+        at = group.column("at")[0].as_py()
+        heavy_prints = np.uint64(at << cut.low) | every[heavy]
+        row = [at, np.packbits(bits, bitorder="little").tobytes(), heavy_prints.tobytes(), weights[heavy].tobytes()]
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["at", "bits", "heavy", "counts"])
+
+    sent = in_tasks(texts.select("text"), run, "at int, prints binary, places binary, counts binary")
+    merged = sent.groupBy("at").applyInArrow(merge, "at int, bits binary, heavy binary, counts binary").collect()
+    bits = np.zeros((1 << MAP_BITS) // 8, dtype=np.uint8)
+    for row in merged:
+        bits[row.at * cut.part // 8 : (row.at + 1) * cut.part // 8] = np.frombuffer(row.bits, np.uint8)
+    merged.sort(key=lambda row: row.at)
+    heavy = [np.frombuffer(row.heavy, np.uint64) for row in merged]
+    counts = [np.frombuffer(row["counts"], np.int64) for row in merged]
+    return Rarity(cut, bits, np.concatenate(heavy or [np.zeros(0, np.uint64)]), np.concatenate(counts or [np.zeros(0, np.int64)]))
+
+
+def nearest_pivots(shingles: np.ndarray, rare: Rarity, percent: int) -> np.ndarray:
+    """The shingles whose regions the point goes to, the rarest first, without those that no other point has."""
     n = len(shingles)
     need = n - -(-percent * n // 100) + 1
-    return shingles[np.lexsort((shingles, weight))[:need]]
+    shared = rare.shared(shingles)
+    need -= n - int(shared.sum())
+    if need <= 0:
+        return shingles[:0]
+    shingles = shingles[shared]
+    return shingles[np.lexsort((shingles, rare.weight(shingles)))[:need]]
 
 
-def points_of(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def points_of(docs: DataFrame, width: int, percent: int, rare: Rarity) -> DataFrame:
     """(doc_id, text_key, n, sig, pivots) of every row; ``sig`` names the set, null for the empty one."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+    shared = docs.sparkSession.sparkContext.broadcast(rare)
     names = ["doc_id", "text_key", "n", "sig", "pivots"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,11 +227,14 @@ def points_of(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(docs), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, n bigint, sig binary, pivots array<bigint>")
+    return in_tasks(rows, run, "doc_id bigint, text_key bigint, n bigint, sig binary, pivots array<bigint>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(point, shingles) of the ``wanted`` (point, doc_id, sig): only their documents are read again."""
+    """(point, shingles) of the ``wanted`` (point, doc_id, sig): only their documents are read again.
+
+    A row that is repeated word for word gives its point twice.
+    """
     ids = wanted.select(F.col("doc_id").alias("_id"), "point", "sig")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(small(ids), F.col("doc_id").eqNullSafe(F.col("_id"))).select("point", "sig", "text")
@@ -126,7 +250,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays(columns, ["point", "shingles"])
 
-    return rows.mapInArrow(run, "point bigint, shingles binary").dropDuplicates(["point"])
+    return in_tasks(rows, run, "point bigint, shingles binary")
 
 
 def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -146,7 +270,7 @@ def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             columns = [pa.array(shared, pa.int64()), pa.array(joint, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", "shared", "joint"])
 
-    return both.mapInArrow(run, "a bigint, b bigint, shared bigint, joint bigint")
+    return in_tasks(both, run, "a bigint, b bigint, shared bigint, joint bigint")
 
 
 def _order(point: Column) -> Column:
@@ -154,24 +278,30 @@ def _order(point: Column) -> Column:
     return F.xxhash64(point)
 
 
-def _pairs(members: DataFrame, pivots_each: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pivots (region, point) of every region, and the distinct pairs (a, b) of a pivot and a point to measure.
+def _pivots(members: DataFrame, pivots_each: int) -> DataFrame:
+    """Some points of every region: from its largest component if that is large, else from outside it.
 
-    ``members`` has region, point, n, comp, ring. Pivots are taken outside the region's largest component.
+    ``members`` has region, point, n, comp, ring. A pivot meets the other components only, so pivots of a component that
+    holds nearly the whole region cost little, and most of what is not yet connected to it links to one of them.
     """
     sizes = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("region").agg(F.max(F.struct("size", "comp")).alias("top"))
-    largest = largest.select("region", F.col("top.comp").alias("main"))
-    others = members.join(largest, "region").filter(F.col("comp") != F.col("main"))
+    largest = largest.select("region", F.col("top.comp").alias("main"), F.col("top.size").alias("size"))
+    inside = F.col("comp") == F.col("main")
+    drawn = F.when(F.col("size") > 2 * pivots_each, inside).otherwise(~inside)
     nth = F.row_number().over(Window.partitionBy("region").orderBy(_order(F.col("point")), "point"))
-    pivots = others.withColumn("nth", nth).filter(F.col("nth") <= pivots_each)
+    chosen = members.join(small(largest), "region").filter(drawn).withColumn("nth", nth).filter(F.col("nth") <= pivots_each)
+    return chosen.drop("nth", "main", "size")
+
+
+def _pairs(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) of a pivot and a point of its region that may link."""
     p = pivots.select("region", F.col("point").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("ring").alias("pr"))
-    met = members.join(p, "region").filter("point <> p AND comp <> pc")
+    met = members.join(small(p), "region").filter("point <> p AND comp <> pc")
     met = met.filter((F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent))
     apart = F.abs(F.col("ring") - F.col("pr")) > F.lit(1 - percent / 100 + 1e-9)
     met = met.filter(~F.coalesce(apart, F.lit(False)))
-    pairs = met.select(F.least("point", "p").alias("a"), F.greatest("point", "p").alias("b")).distinct()
-    return pivots.select("region", "point"), pairs
+    return met.select(F.least("point", "p").alias("a"), F.greatest("point", "p").alias("b")).distinct()
 
 
 def join_regions(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -179,33 +309,34 @@ def join_regions(members: DataFrame, sets: DataFrame, percent: int, scratch: Scr
     start = members.select("region", "point", "n", F.col("point").alias("comp"), F.lit(None).cast("double").alias("ring"))
     members, roots = scratch.keep(start), None
     pivots_each, first = FIRST_PIVOTS, True
-    while not members.isEmpty():
-        pivots, pairs = _pairs(members, pivots_each, percent)
-        pivots, pairs = scratch.keep(pivots), scratch.keep(pairs)
-        found = scratch.keep(measure(pairs, sets))
+    while rows := members.count():
+        parts = few_parts(rows)
+        pivots = scratch.keep(_pivots(members, pivots_each).coalesce(parts))
+        pairs = scratch.keep(_pairs(members, pivots, percent))
+        found = scratch.keep(measure(pairs, sets).distinct().coalesce(few_parts(pairs.count())))
         links = found.filter(F.col("shared") * 100 >= F.col("joint") * percent).select("a", "b")
         if roots is not None:
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         new_roots = components(links, scratch)
 
-        rest = members.join(pivots, ["region", "point"], "left_anti").drop("comp")
+        rest = members.join(small(pivots.select("region", "point")), ["region", "point"], "left_anti").drop("comp")
         if first:
             # The first pivot of each region, and everyone's distance to it where it was measured.
-            anchor = members.join(pivots, ["region", "point"], "left_semi").groupBy("region")
-            anchor = anchor.agg(F.min(F.struct(_order(F.col("point")).alias("o"), "point")).alias("least"))
-            anchor = anchor.select("region", F.col("least.point").alias("anchor"))
+            anchor = pivots.groupBy("region").agg(F.min(F.struct(_order(F.col("point")).alias("o"), "point")).alias("least"))
+            anchor = small(scratch.keep(anchor.select("region", F.col("least.point").alias("anchor")).coalesce(parts)))
             far = F.lit(1.0) - F.col("shared") / F.col("joint")
-            known = found.select(F.col("a").alias("anchor"), F.col("b").alias("point"), far.alias("far"))
-            known = known.unionByName(found.select(F.col("b").alias("anchor"), F.col("a").alias("point"), far.alias("far")))
-            rest = rest.drop("ring").join(anchor, "region", "left").join(known, ["anchor", "point"], "left")
+            both = F.array(F.struct(F.col("a").alias("anchor"), F.col("b").alias("point")), F.struct(F.col("b").alias("anchor"), F.col("a").alias("point")))
+            known = found.select(F.explode(both).alias("both"), far.alias("far")).select("both.*", "far")
+            rest = rest.drop("ring").join(anchor, "region", "left").join(small(known), ["anchor", "point"], "left")
             rest = rest.select("region", "point", "n", F.col("far").alias("ring"))
-        rest = rest.join(new_roots.withColumnRenamed("node", "point"), "point", "left")
+        rest = rest.join(small(new_roots.withColumnRenamed("node", "point")), "point", "left")
         rest = rest.select("region", "point", "n", F.coalesce("root", "point").alias("comp"), "ring")
-        rest = scratch.keep(rest)
+        rest = scratch.keep(rest.coalesce(parts))
         # A region is done when its points are connected.
         split = rest.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-        new_members = scratch.keep(rest.join(split.select("region"), "region", "left_semi"))
-        scratch.drop(members, pivots, pairs, found, rest, *([roots] if roots is not None else []))
+        split = scratch.keep(split.select("region").coalesce(parts))
+        new_members = scratch.keep(rest.join(small(split), "region", "left_semi").coalesce(parts))
+        scratch.drop(members, pivots, pairs, found, rest, split, *([roots] if roots is not None else []))
         members, roots = new_members, new_roots
         pivots_each, first = pivots_each * 4, False
     scratch.drop(members)
@@ -220,8 +351,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     share a doc_id, which ``text_key`` tells apart.
     """
     scratch = Scratch(docs.sparkSession)
-    heavy = heavy_shingles(docs, width)
-    rows = scratch.keep(points_of(docs, width, percent, heavy))
+    rows = scratch.keep(points_of(docs, width, percent, rarity(docs, width)))
     groups = rows.filter("sig IS NOT NULL").groupBy("sig").agg(
         F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("pivots").alias("pivots")
     )
@@ -229,12 +359,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     replicas = points.select(F.explode("pivots").alias("region"), "point", "n")
     shared = scratch.keep(replicas.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("region"))
     members = scratch.keep(replicas.join(small(shared), "region", "left_semi"))
-    wanted = points.select("point", "doc_id", "sig").join(members.select("point").distinct(), "point", "left_semi")
-    wanted = scratch.keep(wanted)
+    named = points.select("point", "doc_id", "sig")
+    wanted = scratch.keep(named.join(small(members.select("point").distinct()), "point", "left_semi"))
     sets = scratch.keep(sets_of(docs, wanted, width))
-    scratch.drop(shared, wanted)
     roots = join_regions(members, sets, percent, scratch)
-    scratch.drop(members, sets)
+    scratch.drop(shared, wanted, members, sets)
 
     named = points.select("sig", "point", "doc_id", "copies")
     if roots is None:
