@@ -1,16 +1,15 @@
-"""A hidden Markov language model over word classes, and the exact likelihood of every text.
+"""A hidden Markov language model over words, and the exact likelihood of every text.
 
-Words are counted over all learnable texts. The most frequent ones, at most ``CORE``, are classes of their own; every
-other word, known or not, belongs to one of ``GROUPS`` classes by its last three bytes, where it has the share of its
-count. States emit classes: P(word | state) = P(class | state) * share of the word in its class. The share does not
-depend on the state, so a text's likelihood is the scaled forward recursion over its classes times the shares. The
-shares of rare words come from a join with the counts; the frequent words, their counts and the emission table are
-bounded and broadcast.
+Words are counted over all learnable texts, and each has emissions of its own in every state. Those of the most
+frequent words, at most ``CORE``, and the end are bounded and broadcast. Those of all other words are a table: a text
+gets the vectors of its distinct rare words by a join, and their expected counts go back as a grouped sum. Where a word
+is kept makes no difference to its emissions. A word that was not learnt has the mass that smoothing leaves to the words
+of its ending (one of ``GROUPS``, by the last three bytes), by state as the learnt words of that ending.
 
 Training is Baum-Welch. In each pass every task runs forward and backward over its sequences and sends its expected
-counts as vectors per range of classes, which are added up across partitions. Some passes over a bounded sample of
+counts by class and by rare word, which are added up across partitions. Some passes over a bounded sample of
 texts only break the symmetry between states; the last passes run over every learnable text. For training, texts are
-cut into sequences of ``SEGMENT`` tokens; scoring never cuts.
+cut into sequences of ``SEGMENT`` tokens; scoring never cuts. The vectors of rare words travel as 32-bit floats.
 
 The base score adds log10((c + 0.1) / (N + 0.1 (V + 1))) over the tokens of a text: its words, then one end.
 
@@ -25,15 +24,16 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostguard.llm.common import batches_of_rows, fold, in_tasks
+from hostguard.llm.common import BROADCAST_ROWS, batches_of_rows, fold, in_tasks
 from hostguard.session import Scratch
 
 GROUPS, END = 1024, 1024
@@ -43,7 +43,6 @@ SMOOTH = 0.1
 SEGMENT = 256
 TEXT_BYTES = 8 << 20
 FLUSH = 300_000
-RANGE = 4096  # classes per vector of counts
 
 
 @dataclass(frozen=True)
@@ -85,13 +84,17 @@ class Lexicon:
 
     core: dict[bytes, int]
     log_count: np.ndarray  # per class: log10(c + 0.1) of a frequent word and of the end, 0 for groups
-    group_log: np.ndarray  # log10 of the mass of a group: its words' c + 0.1, and 0.1 for what is unknown
-    class_count: np.ndarray
+    class_count: np.ndarray  # of a group: the tokens of its rare words
+    core_group: np.ndarray  # the group of each frequent word's ending
     total: int
     distinct: int
     ends: int
 
 
+def group_of(word: bytes) -> int:
+    return zlib.crc32(word[-3:]) % GROUPS
+
+
 def build_lexicon(counts: DataFrame, learnable: int) -> tuple[Lexicon, DataFrame]:
     """The lexicon, and the counts of the words that are not in its core.
 
@@ -108,10 +111,9 @@ def build_lexicon(counts: DataFrame, learnable: int) -> tuple[Lexicon, DataFrame
     found = sorted((r.word, r.c) for r in counts.filter(in_core).collect())
     rare = counts.filter(~in_core)
     group = (F.crc32(F.substring("word", -3, 3)) % GROUPS).cast("int")
-    groups = rare.groupBy(group.alias("group")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()
-    mass, class_count = np.full(GROUPS, SMOOTH), np.zeros(CLASSES)
+    groups = rare.groupBy(group.alias("group")).agg(F.sum("c").alias("c")).collect()
+    class_count = np.zeros(CLASSES)
     for row in groups:
-        mass[row.group] += row.c + SMOOTH * row.n
         class_count[row.group] = row.c
     log_count = np.zeros(CLASSES)
     log_count[END], class_count[END] = math.log10(learnable + SMOOTH), learnable
@@ -119,55 +121,54 @@ def build_lexicon(counts: DataFrame, learnable: int) -> tuple[Lexicon, DataFrame
     for at, (word, c) in enumerate(found, END + 1):
         core[bytes(word)] = at
         log_count[at], class_count[at] = math.log10(c + SMOOTH), c
+    core_group = np.array([group_of(word) for word in core], dtype=np.int64)
     total = sum(r.c for r in histogram) + learnable
     distinct = sum(r.words for r in histogram) + (learnable > 0)
-    return Lexicon(core, log_count, np.log10(mass), class_count, total, distinct, learnable), rare
+    return Lexicon(core, log_count, class_count, core_group, total, distinct, learnable), rare
 
 
 def encode(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Texts as classes: (row, doc_id, held_out, n_tokens, known, log_counts, log_mass, classes, rare).
+    """Texts as classes: (row, doc_id, held_out, n_tokens, known, log_counts, classes, places, rare).
 
-    ``known`` and ``log_counts`` cover the frequent words and the end, ``log_mass`` the groups of the rare words;
-    ``rare`` lists each rare word of the text with how often it occurs.
+    ``known`` and ``log_counts`` cover the frequent words and the end. ``rare`` lists each rare word of the text, in the
+    order of first occurrence, with how often it occurs; where ``classes`` has a group, ``places`` says which it is.
     """
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
-    fields = [("n_tokens", pa.int64()), ("known", pa.int64()), ("log_counts", pa.float64()), ("log_mass", pa.float64())]
-    fields += [("classes", pa.binary()), ("rare", rare_type)]
+    fields = [("n_tokens", pa.int64()), ("known", pa.int64()), ("log_counts", pa.float64())]
+    fields += [("classes", pa.binary()), ("places", pa.binary()), ("rare", rare_type)]
 
-    def one(text: str | None, lex: Lexicon, group_of: dict[bytes, int]) -> tuple:
+    def one(text: str | None, lex: Lexicon) -> tuple:
         words = tokens(text)
         classes = np.fromiter(map(lex.core.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         at = np.flatnonzero(classes < 0)
-        rare = Counter(words[i] for i in at.tolist())
-        for word in rare:
-            if word not in group_of:
-                group_of[word] = zlib.crc32(word[-3:]) % GROUPS
-        classes[at] = [group_of[words[i]] for i in at.tolist()]
+        found = [words[i] for i in at.tolist()]
+        rare = Counter(found)
+        place = {word: i for i, word in enumerate(rare)}
+        places = np.fromiter(map(place.get, found), dtype="<u4", count=len(found))
+        classes[at] = np.array([group_of(word) for word in rare], dtype=np.int64)[places]
         known = len(words) - len(at) + (lex.ends > 0)
         classes = np.append(classes, END)
         return (
             len(words) + 1,
             known,
             float(lex.log_count[classes].sum()),
-            float(lex.group_log[classes[at]].sum()),
             classes.astype("<u2").tobytes(),
+            places.tobytes(),
             [{"word": w, "n": n} for w, n in rare.items()],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, group_of = shared.value, {}
+        lex = shared.value
         for batch in batches_of_rows(batches, 3, TEXT_BYTES):
-            made = [one(t.as_py(), lex, group_of) for t in batch.column(3)]
-            if len(group_of) > FLUSH:
-                group_of = {}
+            made = [one(t.as_py(), lex) for t in batch.column(3)]
             columns = [pa.array([m[i] for m in made], kind) for i, (_, kind) in enumerate(fields)]
             names = ["row", "doc_id", "held_out", *[n for n, _ in fields]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], names)
 
     schema = (
-        "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, log_counts double, log_mass double, "
-        "classes binary, rare array<struct<word:binary,n:int>>"
+        "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, log_counts double, "
+        "classes binary, places binary, rare array<struct<word:binary,n:int>>"
     )
     return in_tasks(rows.select("row", "doc_id", "held_out", "text"), run, schema)
 
@@ -177,6 +178,7 @@ class Model:
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray  # per class and state
+    weight: np.ndarray | None = None  # per state: what a count of a rare word and its prior are multiplied by
 
 
 def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -212,116 +214,196 @@ def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.
     gamma = alpha * beta
     moves = model.move * (alpha[:-1].reshape(-1, states).T @ ahead[1:].reshape(-1, states))
     flat = classes.ravel()
-    by_class = np.stack([np.bincount(flat, gamma[:, :, k].ravel(), CLASSES) for k in range(states)], axis=1)
+    by_class = np.stack([np.bincount(flat, gamma[:, :, k].ravel(), len(model.emit)) for k in range(states)], axis=1)
     return by_class, moves, gamma[0].sum(axis=0), float(np.log(scale).sum())
 
 
-def _segments(blobs: Iterable[bytes]) -> Iterator[np.ndarray]:
-    for blob in blobs:
-        whole = np.frombuffer(blob, dtype="<u2")
-        for at in range(0, len(whole), SEGMENT):
-            yield whole[at : at + SEGMENT]
-
-
-def _vectors(by_class: np.ndarray, moves: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
-    """Counts as rows (range, vector); range -1 has the moves and first states."""
-    parts = [(at, by_class[at : at + RANGE].ravel()) for at in range(0, CLASSES, RANGE)]
-    parts.append((-1, np.concatenate([moves.ravel(), first])))
-    rows = [(at, vector.tobytes()) for at, vector in parts if vector.any()]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["at", "vector"])
+def emissions(known: DataFrame, sums: DataFrame | None, model: Model, lexicon: Lexicon, how: Training) -> DataFrame:
+    """(word, c, vector): the emissions of the rare words ``known`` (word, c) by state, from their expected counts."""
+    names = [f"c{k}" for k in range(how.states)]
+    zero = F.lit(0.0)
+    if sums is None:
+        met = known.select("word", "c", *[zero.alias(n) for n in names])
+    else:
+        met = known.join(sums, "word", "left").select("word", "c", *[F.coalesce(n, zero).alias(n) for n in names])
+    weight, share = model.weight, how.prior / (lexicon.total + SMOOTH)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, batch.num_columns)], axis=1)
+            prior = batch.column(1).to_numpy(zero_copy_only=False) * share
+            vectors = ((counts + prior[:, None]) * weight).astype("<f4")
+            packed = pa.array([v.tobytes() for v in vectors], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["word", "c", "vector"])
+
+    return in_tasks(met, run, "word binary, c bigint, vector binary")
+
+
+def dressed(texts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``texts`` with the vectors of their learnt rare words as ``own``, these words' logarithms and their tokens."""
+    slots = texts.select("row", F.posexplode("rare").alias("slot", "r")).select("row", "slot", "r.word", "r.n")
+    met = slots.join(vectors, "word").groupBy("row").agg(
+        F.collect_list(F.struct("slot", "vector")).alias("own"),
+        F.sum(F.col("n") * F.log10(F.col("c") + F.lit(SMOOTH))).alias("rare_log"),
+        F.sum("n").alias("rare_known"),
+    )
+    return texts.join(met, "row", "left")
 
-def _add_vectors(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at, total = None, None
-    for batch in groups:
-        for place, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
-            values = np.frombuffer(vector.as_py())
-            at, total = place, values.copy() if total is None else total + values
-    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["at", "vector"])
 
+def own_classes(classes: pa.Array, places: pa.Array, own: pa.Array, states: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(texts, vectors, groups) of a batch: from ``CLASSES`` on, each learnt rare word of each text is a class of its own.
 
-def maximise(counts: list[tuple[int, np.ndarray]], states: int, base: np.ndarray, how: Training) -> Model:
-    """The model of the summed counts; emissions are drawn to the classes' overall shares by ``how.prior`` tokens."""
-    by_class, moves, first = np.zeros((CLASSES, states)), np.zeros((states, states)), np.zeros(states)
-    for at, vector in counts:
-        if at < 0:
-            moves, first = vector[: states * states].reshape(states, states), vector[states * states :]
-        else:
-            by_class[at : at + RANGE] = vector.reshape(-1, states)
-    emit = (by_class + how.prior * base[:, None]) / (by_class.sum(axis=0) + how.prior)
+    ``vectors`` has the emissions of these classes and ``groups`` the groups of their endings.
+    """
+    wholes = [np.frombuffer(c.as_py(), dtype="<u2").astype(np.int64) for c in classes]
+    at_places = [np.frombuffer(p.as_py(), dtype="<u4").astype(np.int64) for p in places]
+    starts = np.cumsum([0] + [int(p.max()) + 1 if len(p) else 0 for p in at_places])
+    vectors, groups = np.full((starts[-1], states), np.nan), np.zeros(starts[-1], dtype=np.int64)
+    flat = own.flatten()
+    if len(flat):
+        of = np.repeat(np.arange(len(own)), pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False))
+        found = np.frombuffer(b"".join(flat.field(1).to_pylist()), dtype="<f4").reshape(-1, states)
+        vectors[starts[of] + flat.field(0).to_numpy(zero_copy_only=False)] = found
+    for whole, place, start in zip(wholes, at_places, starts):
+        at = np.flatnonzero(whole < GROUPS)
+        groups[start + place] = whole[at]
+        learnt = ~np.isnan(vectors[start + place, 0])
+        whole[at[learnt]] = CLASSES + start + place[learnt]
+    return wholes, np.nan_to_num(vectors), groups
+
+
+def maximise(counts: tuple[np.ndarray, np.ndarray, np.ndarray], lexicon: Lexicon, how: Training) -> Model:
+    """The model of the summed counts; emissions are drawn to the words' overall shares by ``how.prior`` tokens.
+
+    What was not learnt has ``SMOOTH`` tokens per group, dealt out in each state as the learnt words by their endings.
+    """
+    by_class, moves, first = counts
+    base = lexicon.class_count / (lexicon.total + SMOOTH)
+    base[END] = (lexicon.ends + SMOOTH) / (lexicon.total + SMOOTH)
+    unknown = GROUPS * SMOOTH / (lexicon.total + SMOOTH * (GROUPS + 1))
+    weight = 1.0 / (by_class.sum(axis=0) + how.prior)
+    emit = (by_class + how.prior * base[:, None]) * weight
+    endings, overall = emit[:GROUPS].copy(), base[:GROUPS].copy()
+    core = slice(END + 1, END + 1 + len(lexicon.core_group))
+    np.add.at(endings, lexicon.core_group, emit[core])
+    np.add.at(overall, lexicon.core_group, base[core])
+    ratio = np.where(overall[:, None] > 0, endings / np.maximum(overall, 1e-300)[:, None], 1.0)
+    emit *= 1.0 - unknown
+    emit[:GROUPS] = unknown * ratio / ratio.sum(axis=0)
     move = (moves + 1.0) / (moves + 1.0).sum(axis=1, keepdims=True)
     start = (first + 1.0) / (first + 1.0).sum()
-    return Model(start, move, emit)
+    return Model(start, move, emit, weight * (1.0 - unknown))
 
 
-def expectation(texts: DataFrame, model: Model | None, states: int) -> list[tuple[int, np.ndarray]]:
-    """Expected counts over ``texts`` (row, classes), added up across partitions.
+def expectation(texts: DataFrame, model: Model | None, states: int) -> DataFrame:
+    """Expected counts over ``texts`` (row, classes, places, words, own): (class, word, c0, c1, ...), added up.
 
+    Rare words have a null class; classes from ``CLASSES`` on are the moves from each state and then the first states.
     Without a model each text is given to one state by its row, which sets the states apart to begin with.
     """
     shared = texts.sparkSession.sparkContext.broadcast(model)
+    names = [f"c{k}" for k in range(states)]
+
+    def as_rows(classes: np.ndarray | None, words: pa.Array | None, counts: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(counts), pa.int32() if classes is None else pa.binary())
+        keys = [none, words] if classes is None else [pa.array(classes, pa.int32()), none]
+        return pa.RecordBatch.from_arrays([*keys, *[pa.array(counts[:, k]) for k in range(states)]], ["class", "word", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_class, moves, first = np.zeros((CLASSES, states)), np.zeros((states, states)), np.zeros(states)
-        held: list[np.ndarray] = []
-
-        def add() -> None:
-            found = expected(shared.value, held)
-            for total, part in zip((by_class, moves, first), found):
-                total += part
-            held.clear()
-
-        for batch in batches:
+        for batch in batches_of_rows(batches, 1, TEXT_BYTES):
+            words = batch.column(3).flatten().cast(pa.binary())
             if shared.value is None:
-                for row, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    classes = np.frombuffer(blob.as_py(), dtype="<u2")
+                rare = [np.zeros((0, states))]
+                for row, blob, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                     state = (row * 0x9E3779B1 >> 12) % states
-                    by_class[:, state] += np.bincount(classes, minlength=CLASSES)
+                    by_class[:, state] += np.bincount(np.frombuffer(blob.as_py(), dtype="<u2"), minlength=CLASSES)
                     first[state] += 1
-                continue
-            for segment in _segments(b.as_py() for b in batch.column(1)):
-                held.append(segment)
-                if len(held) == 512:
-                    add()
-        if held:
-            add()
-        yield _vectors(by_class, moves, first)
-
-    vectors = in_tasks(texts.select("row", "classes"), run, "at int, vector binary")
-    summed = vectors.groupBy("at").applyInArrow(_sum_group, "at int, vector binary").collect()
-    shared.unpersist()
-    return [(r["at"], np.frombuffer(r.vector)) for r in summed]
-
-
-def _sum_group(group: pa.Table) -> pa.Table:
-    return pa.Table.from_batches(_add_vectors(iter(group.to_batches())))
-
-
-def train(encoded: DataFrame, lexicon: Lexicon, how: Training = Training()) -> Model:
+                    times = np.bincount(np.frombuffer(places.as_py(), dtype="<u4").astype(np.int64))
+                    rare.append(np.zeros((len(times), states)))
+                    rare[-1][:, state] = times
+                counts = np.concatenate(rare)
+            else:
+                wholes, vectors, groups = own_classes(batch.column(1), batch.column(2), batch.column(4), states)
+                local = replace(shared.value, emit=np.concatenate([shared.value.emit, vectors]))
+                sums = np.zeros((len(local.emit), states))
+                held = [whole[at : at + SEGMENT] for whole in wholes for at in range(0, len(whole), SEGMENT)]
+                for at in range(0, len(held), 512):
+                    found = expected(local, held[at : at + 512])
+                    for total, part in zip((sums, moves, first), found):
+                        total += part
+                counts = sums[CLASSES:]
+                by_class += sums[:CLASSES]
+                np.add.at(by_class, groups, counts)
+            if len(words):
+                yield as_rows(None, words, counts)
+        at = np.flatnonzero(by_class.any(axis=1))
+        yield as_rows(at, None, by_class[at])
+        yield as_rows(np.arange(CLASSES, CLASSES + states + 1), None, np.concatenate([moves, first[None, :]]))
+
+    schema = "class int, word binary, " + ", ".join(f"{n} double" for n in names)
+    vectors = in_tasks(texts.select("row", "classes", "places", "words", "own"), run, schema)
+    return vectors.groupBy("class", "word").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _collected(sums: DataFrame, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = sums.filter("class IS NOT NULL").drop("word").toArrow()
+    counts = np.zeros((CLASSES + states + 1, states))
+    counts[found.column(0).to_numpy()] = np.stack([c.to_numpy() for c in found.columns[1:]], axis=1)
+    return counts[:CLASSES], counts[CLASSES:-1], counts[-1]
+
+
+def free_shuffles(texts: DataFrame) -> None:
+    """Shuffle files of finished passes are deleted once the driver collects what refers to them."""
+    texts.sparkSession._jvm.System.gc()
+
+
+def train(encoded: DataFrame, lexicon: Lexicon, rare: DataFrame, how: Training = Training()) -> tuple[Model, DataFrame | None]:
+    """The model, and the expected counts (word, c0, c1, ...) of the words ``rare`` (word, c) that belong to it."""
     states = how.states
-    base = (lexicon.class_count + SMOOTH) / (lexicon.class_count + SMOOTH).sum()
     even = np.full(states, 1.0 / states)
     move = np.full((states, states), (1 - how.stay) / max(1, states - 1))
     np.fill_diagonal(move, how.stay)
-    blank = Model(even, move / move.sum(axis=1, keepdims=True), np.repeat(base[:, None], states, axis=1))
+    move /= move.sum(axis=1, keepdims=True)
+    nothing = np.zeros((CLASSES, states)), np.zeros((states, states)), np.zeros(states)
+    model, sums = replace(maximise(nothing, lexicon, how), start=even, move=move), None
     if not lexicon.ends:
-        return blank
-    learnable = encoded.filter("NOT held_out").select("row", "classes")
+        return model, sums
+    learnable = encoded.filter("NOT held_out").select("row", "classes", "places", "rare")
     steps = 1 << 30
     drawn = F.pmod(F.xxhash64(F.lit("hmm"), F.col("row")), F.lit(steps)) < int(min(1.0, how.sample / lexicon.ends) * steps)
     # As many tasks as the sample's bound needs, whatever the table's size.
     scratch = Scratch(encoded.sparkSession)
     sample = scratch.keep(learnable.filter(drawn).repartition(4, "row"))
-    model = blank
+    words = F.col("rare.word").alias("words")
+    last = None
+
+    def learn(texts: DataFrame, model: Model | None) -> tuple[Model, DataFrame]:
+        nonlocal last
+        kept = scratch.keep(expectation(texts.select("row", "classes", "places", words, "own"), model, states))
+        if last is not None:
+            scratch.drop(last)
+        last = kept
+        return maximise(_collected(kept, states), lexicon, how), kept.filter("class IS NULL").drop("class")
+
     if not sample.isEmpty():
-        begun = maximise(expectation(sample, None, states), states, base, how)
-        model = Model(even, blank.move, begun.emit)
+        listed = sample.select(F.explode("rare.word").alias("word")).distinct()
+        known = scratch.keep(listed.join(rare, "word"))
+        held = F.broadcast if known.count() <= BROADCAST_ROWS else lambda df: df
+        blank = F.lit(None).cast("array<struct<slot:int,vector:binary>>").alias("own")
+        begun, sums = learn(sample.select("*", blank), None)
+        model = replace(begun, start=even, move=move)
         for _ in range(how.first):
-            model = maximise(expectation(sample, model, states), states, base, how)
+            vectors = emissions(known, held(sums), model, lexicon, how)
+            model, sums = learn(dressed(sample, held(vectors)), model)
+        scratch.drop(known)
     scratch.drop(sample)
+    free_shuffles(encoded)
     for _ in range(how.passes):
-        model = maximise(expectation(learnable, model, states), states, base, how)
-    return model
+        vectors = emissions(rare, sums, model, lexicon, how)
+        model, sums = learn(dressed(learnable, vectors), model)
+        free_shuffles(encoded)
+    return model, sums
 
 
 def log_likelihoods(model: Model, texts: list[np.ndarray], room: int = 1 << 21) -> np.ndarray:
@@ -332,7 +414,7 @@ def log_likelihoods(model: Model, texts: list[np.ndarray], room: int = 1 << 21)
         longest = len(texts[order[0]])
         part, order = order[: max(1, room // max(1, longest))], order[max(1, room // max(1, longest)) :]
         lengths = np.array([len(texts[i]) for i in part])
-        classes = np.zeros((longest, len(part)), dtype=np.uint16)
+        classes = np.zeros((longest, len(part)), dtype=np.int32)
         for at, i in enumerate(part):
             classes[: len(texts[i]), at] = texts[i]
         active = len(part) - np.searchsorted(lengths[::-1], np.arange(longest), side="right")
@@ -347,19 +429,25 @@ def log_likelihoods(model: Model, texts: list[np.ndarray], room: int = 1 << 21)
     return found
 
 
-def likelihoods(encoded: DataFrame, model: Model) -> DataFrame:
-    """(row, doc_id, held_out, n_tokens, known, log_counts, log_mass, forward): ``forward`` over the classes."""
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "log_counts", "log_mass"]
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+def likelihoods(texts: DataFrame, model: Model) -> DataFrame:
+    """(row, doc_id, held_out, n_tokens, known, log_counts, rare_log, rare_known, n_rare, forward) of dressed texts."""
+    names = ["row", "doc_id", "held_out", "n_tokens", "known", "log_counts", "rare_log", "rare_known", "n_rare"]
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of_rows(batches, len(names), TEXT_BYTES):
-            texts = [np.frombuffer(b.as_py(), dtype="<u2") for b in batch.column(len(names))]
+            classes, places, own = (batch.column(len(names) + i) for i in range(3))
+            found, vectors, _ = own_classes(classes, places, own, len(shared.value.start))
+            local = replace(shared.value, emit=np.concatenate([shared.value.emit, vectors]))
             columns = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(log_likelihoods(shared.value, texts))], [*names, "forward"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(log_likelihoods(local, found))], [*names, "forward"])
 
-    schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, log_counts double, log_mass double, forward double"
-    return in_tasks(encoded.select(*names, "classes"), run, schema)
+    schema = (
+        "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, log_counts double, rare_log double, "
+        "rare_known bigint, n_rare bigint, forward double"
+    )
+    tokens_of = (F.octet_length("places") / 4).cast("bigint").alias("n_rare")
+    return in_tasks(texts.select(*names[:-1], tokens_of, "classes", "places", "own"), run, schema)
 
 
 def score(docs: DataFrame, how: Training = Training()) -> DataFrame:
@@ -375,25 +463,20 @@ def score(docs: DataFrame, how: Training = Training()) -> DataFrame:
     counts = scratch.keep(count_words(learnable.select("text")))
     lexicon, rare_counts = build_lexicon(counts, learnable.count())
     encoded = scratch.keep(encode(rows, lexicon))
-    model = train(encoded, lexicon, how)
-    forward = scratch.keep(likelihoods(encoded, model))
-    # Rare words only: every text's distinct rare words meet the counts, and the sums go back to the text.
-    rare = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    met = rare.join(rare_counts, "word", "left")
-    log_c = F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(SMOOTH))
-    sums = met.groupBy("row").agg(
-        F.sum(F.col("n") * log_c).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known")
-    )
-    nothing = F.lit(0.0)
-    logs = F.col("log_counts") + F.coalesce("rare_log", nothing)
+    model, sums = train(encoded, lexicon, rare_counts, how)
+    # Every text's distinct rare words meet their emissions and counts, and the vectors and sums go back to the text.
+    vectors = emissions(rare_counts, sums, model, lexicon, how)
+    forward = scratch.keep(likelihoods(dressed(encoded, vectors), model))
+    known = F.coalesce("rare_known", F.lit(0))
+    unknown_log = (F.col("n_rare") - known) * F.lit(math.log10(SMOOTH))
+    logs = F.col("log_counts") + F.coalesce("rare_log", F.lit(0.0)) + unknown_log
     below = math.log10(lexicon.total + SMOOTH * (lexicon.distinct + 1))
-    shares = F.coalesce("rare_log", nothing) - F.col("log_mass")
-    return forward.join(sums, "row", "left").select(
+    return forward.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("bigint").alias("n_known"),
+        (F.col("known") + known).cast("bigint").alias("n_known"),
         F.lit(lexicon.total).cast("bigint").alias("train_tokens"),
         (logs - F.col("n_tokens") * F.lit(below)).alias("base_score"),
-        (F.col("forward") + shares).alias("score"),
+        F.col("forward").alias("score"),
     )

@@ -205,3 +205,18 @@ def test_scores_of_nothing(documents):
     rows = hmm.score(documents(held_only)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows] == [(3, 0, 0, 0.0)] * 3
     assert all(r.score < 0 for r in rows)
+
+
+def test_rare_words_keep_emissions_of_their_own(documents, monkeypatch):
+    """A word's emissions do not depend on whether it is broadcast or met by a join."""
+    rnd = random.Random(15)
+    rows = [(i, prose(rnd, rnd.choice(list(SYLLABLES)), rnd.randint(0, 300))) for i in range(60)]
+    rows += [(500, None), (501, "unseen before"), (7, "again unseen")]
+
+    def scores(core):
+        monkeypatch.setattr(hmm, "CORE", core)
+        return {(r.doc_id, r.n_tokens): (r.score, r.base_score) for r in hmm.score(documents(rows)).collect()}
+
+    whole = scores(hmm.CORE)
+    for core in (0, 30):
+        assert scores(core) == {k: pytest.approx(v, abs=1e-3) for k, v in whole.items()}
