@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostguard.operators.alerts import MAX_METADATA_KEYS, MAX_METADATA_VALUE, with_identity
+from hostguard.operators.alerts import MAX_METADATA_KEYS, cut_value, with_identity
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -70,9 +70,9 @@ def final_metadata(alerts: DataFrame, actions: DataFrame, max_keys: int) -> Data
     """
     given = alerts.select(F.col("id").alias("alert_id"), F.posexplode("metadata").alias("_at", "key", "value"))
     changes = given.selectExpr("alert_id", "0 AS _phase", "CAST(_at AS BIGINT) AS seq", "key", "value").unionByName(
-        actions.filter(F.col("action").isin("set_metadata", "remove_metadata")).selectExpr(
-            "alert_id", "1 AS _phase", "CAST(seq AS BIGINT) AS seq", "key",
-            f"CASE WHEN action = 'set_metadata' THEN substring(value, 1, {MAX_METADATA_VALUE}) END AS value",
+        actions.filter(F.col("action").isin("set_metadata", "remove_metadata")).select(
+            "alert_id", F.lit(1).alias("_phase"), F.col("seq").cast("bigint").alias("seq"), "key",
+            F.when(F.col("action") == "set_metadata", cut_value(F.col("value"))).alias("value"),
         )
     )
     last = changes.groupBy("alert_id", "key").agg(

@@ -185,6 +185,16 @@ def test_lifecycle(spark):
     assert [r.seq for r in refused.collect()] == [1]
 
 
+@pytest.mark.parametrize("limit", [1, 100])
+def test_nested_metadata_is_cut_inside(spark, limit):
+    values = {"k": json.dumps(["a" * 12_000, "tail", 7]), "o": json.dumps({"a": "b" * 12_000, "z": "tail"}), "p": "c" * 12_000}
+    for key, want in (("k", ["a" * 10_000, "tail", 7]), ("o", {"a": "b" * 10_000, "z": "tail"}), ("p", "c" * 10_000)):
+        actions = [("a", 1, "remove_metadata", "k", None, 1.0), ("a", 2, "set_metadata", key, values[key], 1.0)]
+        current, _ = lifecycle.apply_actions(base_alerts(spark), spark.createDataFrame(actions, ACTION), limit)
+        found = current.first().metadata
+        assert list(found) == [key] and (found[key] if key == "p" else json.loads(found[key])) == want
+
+
 @pytest.mark.parametrize("limit", [3, 100])
 def test_metadata_limit(spark, limit):
     rng = random.Random(limit)
