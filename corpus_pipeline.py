@@ -4,8 +4,8 @@ Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``. All b
 with the columns as they came. Decisions are narrow tables of (doc_id, key of the text), written out, and take the rows
 away by an anti-join that moves no text while the list is small by count.
 
-Edge cases are the operators' own. Rows that share a doc_id are judged one by one, but for the leaks, where a document
-id with a leak goes with all its rows. Rows without a doc_id stay unless their own text is rejected.
+Edge cases are the operators' own. Rows that share a doc_id are judged one by one. Rows without a doc_id stay unless
+their own text is rejected.
 """
 
 from __future__ import annotations
@@ -63,8 +63,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return without_rows(docs, Scratch(spark).keep(found.select("doc_id").distinct()))
+    keyed = docs.select("doc_id", text_key(docs).alias("text_key"), "text")
+    found = decontaminate.leaks(keyed, table(spark, sf_dir, "benchmark"), keys=("doc_id", "text_key"))
+    return without_rows(docs, Scratch(spark).keep(found.select("doc_id", "text_key").distinct()), text_key(docs))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,18 +10,21 @@ Pass 1 hashes every document's shingles and looks them up among the sketches; on
 Pass 2 reads the candidate documents again and counts the shingles of the item that they really hold, as text.
 
 Edge cases: an item with fewer than five words is one shingle of all its words, searched as such; an item without
-words, and a null text, match nothing. Rows that share a doc_id count as one document. An empty table on either
-side gives an empty result. Repeated items are reported under each of their ids, an id with several texts by its best. Other columns are not read.
+words, and a null text, match nothing. Rows that share a doc_id count as one document, or those that share all
+``keys`` if others are given. An empty table on either side gives an empty result. Repeated items are reported under each of their ids, an id with several texts by its best. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostguard.llm.common import small
 from hostguard.session import Scratch
 
+KEYS = ("doc_id",)
 WORDS = 5
 SHARE = 80  # hundredths
 
@@ -71,37 +74,47 @@ def sketches(shingles: DataFrame, share: int = SHARE) -> DataFrame:
     return grouped.select("width", F.explode(F.slice("values", F.lit(1), length)).alias("hash"), "item_id")
 
 
-def candidates(docs: DataFrame, sketch: DataFrame, widths: list[int]) -> DataFrame:
-    """Distinct (doc_id, item_id) where the document holds a value of the item's sketch."""
-    cut = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), doc_words(F.col("text")).alias("words"))
+def key_columns(keys: tuple[str, ...]) -> list[Column]:
+    return [F.col(k).cast("bigint").alias(k) for k in keys]
+
+
+def same_keys(left: list[str], right: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
+
+
+def candidates(docs: DataFrame, sketch: DataFrame, widths: list[int], keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Distinct (keys, item_id) where the document holds a value of the item's sketch."""
+    cut = docs.select(*key_columns(keys), doc_words(F.col("text")).alias("words"))
     found = None
     for width in widths:
-        hashed = each_shingle(cut, ["doc_id"], width, lambda gram: F.xxhash64(F.concat_ws(" ", *gram)))
+        hashed = each_shingle(cut, [*keys], width, lambda gram: F.xxhash64(F.concat_ws(" ", *gram)))
         wanted = small(sketch.filter(F.col("width") == width).select(F.col("hash").alias("shingle"), "item_id"))
-        pairs = hashed.join(wanted, "shingle").select("doc_id", "item_id")
+        pairs = hashed.join(wanted, "shingle").select(*keys, "item_id")
         found = pairs if found is None else found.unionByName(pairs)
     return found.distinct()
 
 
-def verify(docs: DataFrame, pairs: DataFrame, shingles: DataFrame, widths: list[int], share: int = SHARE) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_shingles, containment) of the candidate pairs that reach the share."""
-    listed = small(pairs.select("doc_id").distinct())
-    cut = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    cut = cut.join(listed.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    cut = cut.select("doc_id", doc_words(F.col("text")).alias("words"))
+def verify(
+    docs: DataFrame, pairs: DataFrame, shingles: DataFrame, widths: list[int], share: int = SHARE, keys: tuple[str, ...] = KEYS
+) -> DataFrame:
+    """(keys, item_id, n_shared, n_shingles, containment) of the candidate pairs that reach the share."""
+    found = [f"_found_{k}" for k in keys]
+    listed = small(pairs.select(*keys).distinct())
+    cut = docs.select(*key_columns(keys), "text")
+    cut = cut.join(listed.withColumnsRenamed(dict(zip(keys, found))), same_keys([*keys], found), "left_semi")
+    cut = cut.select(*keys, doc_words(F.col("text")).alias("words"))
     held = None
     for width in widths:
-        grams = each_shingle(cut, ["doc_id"], width, lambda gram: F.concat_ws(" ", *gram))
+        grams = each_shingle(cut, [*keys], width, lambda gram: F.concat_ws(" ", *gram))
         wanted = small(shingles.filter(F.col("width") == width).select("shingle", "item_id", "part", "n"))
-        rows = grams.join(wanted, "shingle").select("doc_id", "item_id", "part", "n", "shingle")
+        rows = grams.join(wanted, "shingle").select(*keys, "item_id", "part", "n", "shingle")
         held = rows if held is None else held.unionByName(rows)
-    held = held.distinct().groupBy("doc_id", "item_id", "part", "n").agg(F.count(F.lit(1)).alias("n_shared"))
+    held = held.distinct().groupBy(*keys, "item_id", "part", "n").agg(F.count(F.lit(1)).alias("n_shared"))
     held = held.filter(F.col("n_shared") * 100 >= F.col("n") * share)
     best = F.max(F.struct((F.col("n_shared") / F.col("n")).alias("containment"), "n_shared", "n")).alias("best")
-    held = held.groupBy(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item")).agg(best)
-    same = F.col("_doc").eqNullSafe(F.col("doc_id")) & F.col("_item").eqNullSafe(F.col("item_id"))
-    return held.join(pairs, same, "left_semi").select(
-        F.col("_doc").alias("doc_id"),
+    held = held.groupBy(*[F.col(k).alias(f) for k, f in zip(keys, found)], F.col("item_id").alias("_item")).agg(best)
+    return held.join(pairs, same_keys([*found, "_item"], [*keys, "item_id"]), "left_semi").select(
+        *[F.col(f).alias(k) for k, f in zip(keys, found)],
         F.col("_item").alias("item_id"),
         "best.n_shared",
         F.col("best.n").cast("bigint").alias("n_shingles"),
@@ -109,13 +122,16 @@ def verify(docs: DataFrame, pairs: DataFrame, shingles: DataFrame, widths: list[
     )
 
 
-def leaks(docs: DataFrame, items: DataFrame, share: int = SHARE) -> DataFrame:
-    """Every document and item where the document holds at least ``share`` hundredths of the item's shingles."""
+def leaks(docs: DataFrame, items: DataFrame, share: int = SHARE, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Every document and item where the document holds at least ``share`` hundredths of the item's shingles.
+
+    ``keys`` are the numeric columns that tell documents apart.
+    """
     scratch = Scratch(docs.sparkSession)
     shingles = scratch.keep(item_shingles(items))
     sketch = scratch.keep(sketches(shingles, share))
     widths = sorted(r.width for r in sketch.select("width").distinct().collect()) or [WORDS]
-    pairs = scratch.keep(candidates(docs, sketch, widths))
-    found = scratch.keep(verify(docs, pairs, shingles, widths, share))
+    pairs = scratch.keep(candidates(docs, sketch, widths, keys))
+    found = scratch.keep(verify(docs, pairs, shingles, widths, share, keys))
     scratch.drop(pairs, sketch, shingles)
     return found

@@ -1,4 +1,5 @@
 import os
+from collections import Counter
 
 import pytest
 
@@ -90,3 +91,13 @@ def test_repeated_rows_stay_once(spark, folder):
     rest = corpus_pipeline.without_copies(spark, docs, folder)
     assert sorted(rest.collect()) == [(1, "a"), (1, "c"), (2, "b")]
     assert exact_dedup.exact_duplicates(docs).filter("kept").count() == 3
+
+
+def test_a_leak_takes_no_other_rows(spark, folder):
+    item = table(spark, folder, "benchmark").filter("item_id = 1").first().text
+    words = item.split()
+    start, end = " ".join(words[: len(words) * 6 // 10]), " ".join(words[len(words) * 4 // 10 :])
+    stay = [(None, "clean"), (None, start), (None, end), (5, "clean"), (6, start), (6, end)]
+    docs = spark.createDataFrame([*stay, (None, f"own words {item}"), (5, f"more words {item}")], "doc_id long, text string")
+    rest = corpus_pipeline.without_leaks(spark, docs, folder).collect()
+    assert Counter((r.doc_id, r.text) for r in rest) == Counter(stay)
