@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostguard.llm import bpe, chat, decontaminate, exact_dedup, hmm, jaccard_join, language, oracles, quality, secrets, warc
+from hostguard.llm import (
+    bpe, chat, decontaminate, exact_dedup, hmm, jaccard_join, language, licenses, oracles, quality, ranked, secrets, vafile, warc,
+)
 from hostguard.llm.common import lean_batches, small, table
 from hostguard.session import Scratch
 
@@ -117,6 +119,18 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, folder, "documents")).drop("spans")
+
+
+def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return vafile.cluster(table(spark, folder, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def lean(query: Query) -> Query:
     @functools.wraps(query)
     def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,6 +151,9 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_byte_bpe": lean(op9_byte_bpe),
     "op10_warc": op10_warc,
+    "op11_license_scan": op11_license_scan,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_ranked_search": lean(op13_ranked_search),
 }
 ORACLES = {
     "op2_exact_dedup": oracles.EXACT_DEDUP,
@@ -144,4 +161,7 @@ ORACLES = {
     "op5_chat_format": oracles.CHAT,
     "op8_secret_scan": oracles.SECRETS,
     "op10_warc": oracles.WARC,
+    "op11_license_scan": oracles.LICENSES,
+    "op12_centroid_clusters": oracles.CLUSTERS,
+    "op13_ranked_search": oracles.RANKED,
 }
