@@ -10,7 +10,7 @@ item is known (scores only grow), and so is the most that the remaining owners c
 largest contribution of each term, over all documents). What cannot reach the tenth best with it is dropped, new
 documents included; ties at the tenth place are kept.
 
-A block has some ``BLOCK`` documents whatever the corpus size, a bundle at most ``BUNDLE`` items, so a group is bounded:
+A block has some ``BLOCK`` documents whatever the corpus size, a bundle some ``BUNDLE`` items, so a group is bounded:
 a term that a third of all documents hold is spread over all blocks. Thresholds and the final selection keep the ten best
 per task before anything is shuffled by item. The index holds only terms of the items. The items are the stated query
 set; their terms, owners and bounds are tables, broadcast while a count shows them to be small.
@@ -46,7 +46,7 @@ BUNDLE = 256  # items
 OWNERS = (1 / 512, 1 / 64, 1 / 8)
 
 COUNTED = "row bigint, id bigint, n bigint, terms array<string>, times array<bigint>"
-STATE = "bundle int, block bigint, item int, terms array<int>, times array<bigint>, docs array<bigint>, ids array<bigint>, scores array<bigint>"
+STATE = "bundle bigint, block bigint, item bigint, docs array<bigint>, ids array<bigint>, scores array<bigint>"
 NO_ID = np.iinfo(np.int64).max  # orders documents without a doc_id last
 
 
@@ -76,12 +76,13 @@ def each_term(rows: DataFrame) -> DataFrame:
     return rows.select("row", "id", "n", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("times").alias("times"))))
 
 
-def item_terms(items: DataFrame) -> DataFrame:
-    """(item, id, term, times): items numbered from 0 in order of their id, with the terms of all their texts."""
-    rows = each_term(counted(items, "item_id")).groupBy("id", "term").agg(F.sum("times").alias("times"))
-    order = F.dense_rank().over(Window.orderBy(F.col("id").asc_nulls_last())) - 1
-    ids = rows.select("id").distinct().withColumn("item", order)
-    return rows.join(ids.withColumnRenamed("id", "item_id"), F.col("id").eqNullSafe(F.col("item_id"))).drop("item_id")
+def item_terms(items: DataFrame, scratch: Scratch) -> DataFrame:
+    """(item, bundle, item_id, term, times): numbered items with the terms of all their texts."""
+    rows = scratch.keep(each_term(counted(items, "item_id")).groupBy(F.col("id").alias("item_id"), "term").agg(F.sum("times").alias("times")))
+    ids = scratch.keep(rows.select(F.col("item_id").alias("id")).distinct().withColumn("item", F.monotonically_increasing_id()))
+    bundles = 1 + ids.count() // BUNDLE
+    ids = ids.withColumn("bundle", F.expr(f"pmod(xxhash64(item), {bundles}L)"))
+    return rows.join(small(ids), F.col("item_id").eqNullSafe(F.col("id"))).drop("id")
 
 
 def stage(last: bool):
@@ -112,10 +113,10 @@ def stage(last: bool):
             if last and len(alive) > BEST:
                 alive = alive[np.lexsort((docs[alive], names[alive], -score[alive]))[:BEST]]
             kept.append((docs[alive], names[alive], score[alive]))
-        out = [bundle.column(c) for c in ("bundle", "block", "item", "terms", "times")]
+        out = [bundle.column(c) for c in ("bundle", "block", "item")]
         return pa.table(
             [*out, *[lists_of([k[j] for k in kept]) for j in range(3)]],
-            names=["bundle", "block", "item", "terms", "times", "docs", "ids", "scores"],
+            names=["bundle", "block", "item", "docs", "ids", "scores"],
         )
 
     return run
@@ -145,9 +146,8 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship_code(docs)
     scratch = Scratch(spark)
-    wanted = scratch.keep(item_terms(items))
-    numbers = F.dense_rank().over(Window.orderBy("term")).alias("number")
-    terms = scratch.keep(wanted.select("term").distinct().select("term", numbers))
+    wanted = scratch.keep(item_terms(items, scratch))
+    terms = scratch.keep(wanted.select("term").distinct().withColumn("number", F.monotonically_increasing_id()))
     index = scratch.keep(counted(docs, "doc_id"))
     N, L = index.filter("n > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not N or not wanted.head(1):
@@ -157,7 +157,7 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = each_term(index.filter("n > 0")).join(small(terms), "term").withColumn("m", length)
     blocks = 1 + N // BLOCK
     postings = found.select(
-        F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), F.col("number").alias("term"), "row", F.coalesce("id", F.lit(int(NO_ID))).alias("id"), part.alias("part")
+        F.expr(f"pmod(xxhash64(row), {blocks}L)").alias("block"), F.col("number").alias("term"), "row", F.coalesce("id", F.lit(int(NO_ID))).alias("id"), part.alias("part")
     )
     postings = scratch.keep(postings)
     weight = F.floor(1000 * F.log((F.lit(2.0) * N + 2) / (2 * F.col("df") + 1)))
@@ -165,7 +165,7 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
     owner = F.when(share <= OWNERS[0], 0).when(share <= OWNERS[1], 1).when(share <= OWNERS[2], 2).otherwise(3)
     facts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("largest"))
     facts = scratch.keep(facts.select(F.col("term").alias("number"), owner.alias("owner"), weight.alias("w"), "largest"))
-    asked = scratch.keep(wanted.join(small(terms), "term").join(small(facts), "number").withColumn("bundle", F.floor(F.col("item") / BUNDLE).cast("int")))
+    asked = scratch.keep(wanted.join(small(terms), "term").join(small(facts), "number"))
     # What owners after each one can add to a document at most.
     after = [F.coalesce(F.sum(F.when(F.col("owner") > o, F.col("times") * F.col("w") * F.col("largest"))), F.lit(0)).alias(f"rest{o}") for o in range(4)]
     bundled = scratch.keep(
@@ -174,7 +174,7 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
         )
     )
     dealt = asked.select("bundle", F.col("number").alias("term"), "owner", "w").distinct()
-    state = bundled.select("bundle", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "item").withColumns(
+    state = bundled.select("bundle", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"), "item").withColumns(
         {c: F.array().cast("array<bigint>") for c in ("docs", "ids", "scores")}
     )
     bounds, held = None, None
@@ -189,7 +189,7 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
         bundles = state.join(small(facts_now), "item")
         gains = postings.join(small(dealt.filter(F.col("owner") == o)), "term").select("bundle", "block", "term", "row", "id", (F.col("w") * F.col("part")).alias("gain"))
         moved = bundles.groupBy("bundle", "block").cogroup(gains.groupBy("bundle", "block")).applyInArrow(stage(o == 3), STATE)
-        moved = scratch.keep(moved.drop("terms", "times"))
+        moved = scratch.keep(moved)
         if held is not None:
             scratch.drop(held)
         state = held = moved
@@ -200,7 +200,7 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = state.select("item", F.inline(F.arrays_zip(F.col("docs").alias("row"), F.col("ids").alias("id"), F.col("scores").alias("score"))))
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.col("score").desc(), "id", "row")).alias("rank")
     best = scratch.keep(rows.select("item", "row", "score", rank).filter(F.col("rank") <= BEST))
-    names = small(scratch.keep(wanted.select("item", F.col("id").alias("item_id")).distinct()))
+    names = small(scratch.keep(wanted.select("item", "item_id").distinct()))
     chosen = best.join(names, "item")
     ids = index.select("row", F.col("id").alias("doc_id"))
     return ids.join(small(chosen), "row").select("item_id", "rank", "doc_id", "score")

@@ -14,7 +14,7 @@ from hostguard.session import Scratch
 FOLDER = "/root/testdata/sf0.001"
 NAMES = [
     "op1_language_id", "op2_exact_dedup", "op3_lm_score", "op4_decontamination", "op5_chat_format", "op6_quality",
-    "op7_jaccard_join", "op8_secret_scan", "op9_byte_bpe", "op10_warc",
+    "op7_jaccard_join", "op8_secret_scan", "op9_byte_bpe", "op10_warc", "op11_license_scan", "op12_centroid_clusters", "op13_ranked_search",
 ]
 
 
