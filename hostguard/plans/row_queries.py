@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hostguard.functions.ip import subnet_of
-from hostguard.operators import alerts, events, parsing
+from hostguard.operators import alerts, events, parsing, signatures
 from hostguard.plans import catalog, views
 from hostguard.plans.catalog import LinePattern
 from hostguard.plans.registry import query
@@ -515,3 +515,43 @@ def s6(spark, folder):
             F.col("ts_us") / 1_000_000,
         ).alias("value")
     )
+
+
+# A catalogue of 5000 patterns: four shapes of line, each with every user or page number.
+MANY = 5000
+NUMBERED = [
+    r"password for u{n} from \d+", r"rhost=10\.0\.\d\.\d+ user=u{n}$", r"(GET|POST) /p\d+\.php\?cmd={n}$", r"session (ok|opened) u{n}$",
+]
+SHAPES = "CASE id % 4 " + " ".join(f"WHEN {i} THEN {_sql_text(p)} " for i, p in enumerate(NUMBERED)) + "END"
+MANY_VALUES = f"sig AS (SELECT id AS ordinal, id // 4 AS n, replace({SHAPES}, '{{n}}', CAST(id // 4 AS VARCHAR)) AS pattern FROM range({MANY}) r(id))"
+
+
+def many_patterns(spark):
+    number = F.floor(F.col("id") / 4).cast("string")
+    shape = F.element_at(F.array(*[F.lit(p) for p in NUMBERED]), (F.col("id") % 4 + 1).cast("int"))
+    return spark.range(MANY).select(F.col("id").alias("ordinal"), F.replace(shape, F.lit("{n}"), number).alias("pattern"))
+
+
+# The line's numbers are joined first only to spare the comparison most of its 5000 regular expressions a line.
+MANY_HITS = f"""{LINES}, {MANY_VALUES},
+num AS (SELECT DISTINCT event_id, line, CAST(unnest(regexp_extract_all(line, '\\d+')) AS BIGINT) AS n FROM lines),
+many AS (SELECT event_id, ordinal, line FROM num JOIN sig USING (n) WHERE regexp_matches(line, pattern))"""
+
+
+@query("j1_large_catalogue", f"WITH {MANY_HITS} SELECT event_id, ordinal, line FROM many")
+def j1_large(spark, folder):
+    return signatures.indexed_hits(views.lines(spark, folder), many_patterns(spark)).select("event_id", "ordinal", "line")
+
+
+@query("p5_large_catalogue_counts", f"""WITH {MANY_HITS}, hits AS (SELECT ordinal, count(*) AS hits FROM many GROUP BY ordinal)
+SELECT ordinal, pattern, coalesce(hits, 0) AS hits FROM sig LEFT JOIN hits USING (ordinal)""")
+def p5_large(spark, folder):
+    return signatures.indexed_counts(views.lines(spark, folder), many_patterns(spark))
+
+
+@query("j1_indexed_signatures", f"""WITH {DOCUMENT_LINES}, {SIGNATURE_VALUES}
+SELECT ordinal, pattern, count(line) AS hits FROM sig LEFT JOIN dl ON regexp_matches(line, pattern)
+GROUP BY ordinal, pattern""")
+def j1_indexed(spark, folder):
+    table = spark.createDataFrame(list(enumerate(catalog.SIGNATURES)), "ordinal bigint, pattern string")
+    return signatures.indexed_counts(views.document_lines(spark, folder), table)
