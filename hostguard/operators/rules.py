@@ -107,9 +107,11 @@ def address_candidates(
     cfg: DetectionConfig = DetectionConfig(),
     policy: SkewPolicy = SkewPolicy(),
     rules: list[str] | None = None,
+    measured: bool = False,
 ) -> DataFrame:
+    """``measured`` says that ``attempts`` has the columns of ``address_metrics`` already."""
     chosen = [rule for rule in address_rules(cfg) if rules is None or rule.name in rules]
-    return _candidates(address_metrics(attempts, cfg, policy), chosen)
+    return _candidates(attempts if measured else address_metrics(attempts, cfg, policy), chosen)
 
 
 def global_candidates(

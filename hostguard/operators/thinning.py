@@ -49,7 +49,7 @@ def thin(
     kept = _follow(ordinary, keys, gap_us)
     if hot is None:
         return kept
-    return kept.unionByName(_follow_hot(hot, keys, gap_us))
+    return kept.unionByName(_follow_hot(hot, keys, gap_us, policy))
 
 
 def suppress_repeats(
@@ -103,11 +103,13 @@ def _key_starts(table: pa.RecordBatch) -> np.ndarray:
     return np.flatnonzero(changed)
 
 
-def _follow_hot(df: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
-    """Hot keys are few, so each gets a number and only numbers and times go through the levels."""
+def _follow_hot(df: DataFrame, keys: list[str], gap_us: int, policy: SkewPolicy) -> DataFrame:
+    """Each hot key gets a number; only numbers and times go through the levels."""
     df = materialize(df)
     numbered = materialize(df.select(*keys).distinct().withColumn("_key", F.monotonically_increasing_id()))
-    named = F.broadcast(numbered.withColumnsRenamed({k: f"_k_{k}" for k in keys}))
+    named = numbered.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    if named.count() <= policy.broadcast_keys:
+        named = F.broadcast(named)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
     df = df.join(named, same).select(*df.columns, "_key")
     kept = kept_times(df.select("_key", "ts_us"), gap_us)

@@ -63,8 +63,11 @@ def scores(scan: Scan, cfg: DetectionConfig) -> Scan:
         f"CAST({cfg.failed_login_score} + CASE WHEN {recent} THEN {cfg.repeat_penalty} ELSE 0 END"
         f" + CASE WHEN {rapid} THEN {cfg.rapid_attempt_bonus} ELSE 0 END AS BIGINT)"
     )
-    added = F.expr(f"increment * {cfg.units_per_point}L")
-    scan = scan.derive(increment=points).derive(_added=added).running(_added_sum=Running("sum", F.col("_added")))
+    added = f"increment * {cfg.units_per_point}L"
+    if "opening" in scan.df.columns:
+        # The first row of a key that was cut off from its past starts with the score it had.
+        added = f"CASE WHEN _opens AND opening IS NOT NULL THEN opening ELSE {added} END"
+    scan = scan.derive(increment=points).derive(_added=F.expr(added)).running(_added_sum=Running("sum", F.col("_added")))
     # Time since the session's first attempt, so that the product stays small whatever the epoch.
     decay = f"(ts_us - _began) * {cfg.decay_units}L"
     level = F.expr(f"named_struct('session', session, 'level', {decay} - _added_sum + _added)")
@@ -143,8 +146,11 @@ def _address_body(cfg: DetectionConfig):
 def address_metrics(
     attempts: DataFrame, cfg: DetectionConfig = DetectionConfig(), policy: SkewPolicy = SkewPolicy()
 ) -> DataFrame:
-    """Session, counts, rolling threshold and risk score of every attempt, all per address."""
-    columns = attempts.select("seq", "ts_us", "ip")
+    """Session, counts, rolling threshold and risk score of every attempt, all per address.
+
+    Where ``attempts`` has a column ``opening``, it is the score after a row whose earlier rows are not there.
+    """
+    columns = attempts.select("seq", "ts_us", "ip", *[c for c in attempts.columns if c == "opening"])
     return keyed_scan(columns, ["ip"], ATTEMPT_ORDER, _address_body(cfg), policy, hot_flag="_hot")
 
 

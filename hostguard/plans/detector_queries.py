@@ -16,9 +16,10 @@ STRETCHED = DetectionConfig().scaled(K)
 SHORT_TTL = DetectionConfig(ip_ttl=60).scaled(K)
 US = K * 1_000_000
 
+ATTEMPT_SQL = "concat('10.0.', user_id % 4, '.', user_id % 250 + 1)"
 EVENTS = "ev AS (SELECT *, epoch_us(ts) AS ts_us FROM events)"
 ATTEMPTS = f"""{EVENTS},
-att AS (SELECT event_id AS seq, ts_us, concat('10.0.', user_id % 4, '.', user_id % 250 + 1) AS ip
+att AS (SELECT event_id AS seq, ts_us, {ATTEMPT_SQL} AS ip
         FROM ev WHERE event_type = 'error')"""
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostguard.operators.baseline import build_baseline
 from hostguard.operators.rules import RULE_COLUMNS
+from hostguard.operators.skew import SkewPolicy
 from hostguard.plans import views
 from hostguard.plans.detector_queries import (
-    ALERT_COLUMNS, ALL_RULES, ATTEMPTS, CANDIDATES, COUNTS, PROFILE, SHORT_TTL, STRETCHED, US, cooled_sql, rounded,
+    ALERT_COLUMNS, ALL_RULES, ATTEMPT_SQL, ATTEMPTS, CANDIDATES, COUNTS, PROFILE, SHORT_TTL, STRETCHED, US, cooled_sql, rounded,
 )
 from hostguard.plans.registry import query
 from hostguard.plans.row_queries import LINES
@@ -17,19 +20,41 @@ from hostguard.plans.table_queries import REPEAT_S
 from hostguard.sources import lines as line_source
 from hostguard.sources import snapshots
 from hostguard.streaming import detectors, sinks
+from hostguard.streaming.incremental import IncrementalDetector
 
-FILES = 3
+FILES = 10
 # A row of its own key far ahead moves the watermark past the last real row.
 END = "timestamp'2030-01-01 00:00:00'"
 
 
-def replayed(spark, rows: DataFrame, end: DataFrame | None = None) -> DataFrame:
-    """``rows`` as a stream of a few files in time order, closed by the row ``end``."""
+def replayed(spark, rows: DataFrame, end: DataFrame | None = None, files: int = FILES, order: str = "ts") -> DataFrame:
+    """``rows`` as a stream of ``files`` micro-batches in order of the column ``order``, closed by the row ``end``."""
     path = snapshots.scratch_path(rows, "stream")
-    rows.repartitionByRange(FILES, "ts").write.parquet(path)
+    moment = F.unix_micros(order)
+    cuts = rows.agg(F.percentile(moment, [i / files for i in range(1, files)])).first()[0] or []
+    part = F.lit(0)
+    for cut in cuts:
+        part = part + (moment > cut).cast("int")
+    rows = rows.withColumn("_part", part).persist()
+    for number in range(files):
+        # Files are taken in the order in which they were written.
+        rows.filter(F.col("_part") == number).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    rows.unpersist()
     if end is not None:
         end.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+    return spark.readStream.schema(rows.drop("_part").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@contextmanager
+def partitions(spark, n: int = 2):
+    """Streams started inside keep their state in ``n`` partitions: a replay has many small batches."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def collected(spark, stream: DataFrame) -> DataFrame:
@@ -40,12 +65,13 @@ def collected(spark, stream: DataFrame) -> DataFrame:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    sinks.run_available(stream, write, snapshots.scratch_path(stream, "checkpoint"))
+    with partitions(spark):
+        sinks.run_available(stream, write, snapshots.scratch_path(stream, "checkpoint"))
     return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
 
 
 def attempt_stream(spark, folder) -> DataFrame:
-    rows = views.attempts(spark, folder).select(F.timestamp_micros("ts_us").alias("ts"), "seq", "ip")
+    rows = timed_attempts(spark, folder)
     end = spark.range(1).select(F.expr(END).alias("ts"), F.lit(-1).cast("bigint").alias("seq"), F.lit("end").alias("ip"))
     return replayed(spark, rows, end)
 
@@ -60,20 +86,68 @@ def t1(spark, folder):
     return rounded(collected(spark, alerts).filter("seq >= 0")).select(*RULE_COLUMNS)
 
 
-SHORT_SESSIONS = f"""{ATTEMPTS},
-gaps AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY ip ORDER BY ts_us, seq) AS gap FROM att),
-sess AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > {60 * US} THEN 1 ELSE 0 END)
-                     OVER (PARTITION BY ip ORDER BY ts_us, seq) AS session FROM gaps),
-cnt AS (SELECT *, count(*) OVER (PARTITION BY ip, session ORDER BY ts_us
-                                 RANGE BETWEEN {300 * US - 1} PRECEDING AND CURRENT ROW) AS escalation_count FROM sess)"""
+def with_ttl(sql: str, ttl: int) -> str:
+    """The same statement with another idle time."""
+    return sql.replace(str(600 * US), str(ttl * US))
 
 
 @query("t2_idle_eviction",
-       f"WITH RECURSIVE {SHORT_SESSIONS}, {cooled_sql(CANDIDATES['escalation'])} SELECT {ALERT_COLUMNS} FROM alerts")
+       f"WITH RECURSIVE {with_ttl(ALL_RULES, 60)}, {cooled_sql(BY_ADDRESS)} SELECT {ALERT_COLUMNS} FROM alerts")
 def t2(spark, folder):
     alerts = detectors.address_alerts(attempt_stream(spark, folder), SHORT_TTL)
-    found = collected(spark, alerts).filter("seq >= 0 AND rule = 'escalation'")
-    return rounded(found).select(*RULE_COLUMNS)
+    return rounded(collected(spark, alerts).filter("seq >= 0")).select(*RULE_COLUMNS)
+
+
+def incrementally(spark, rows: DataFrame, detector: IncrementalDetector, files: int = FILES, order: str = "ts") -> DataFrame:
+    """Alerts of ``rows``, taken in ``files`` micro-batches."""
+    stream = replayed(spark, rows, None, files, order)
+    with partitions(spark):
+        sinks.run_available(stream, detector, snapshots.scratch_path(rows, "checkpoint"))
+        detector.finish(spark)
+    return detector.alerts(spark)
+
+
+def timed_attempts(spark, folder) -> DataFrame:
+    return views.attempts(spark, folder).select(F.timestamp_micros("ts_us").alias("ts"), "seq", "ip")
+
+
+@query("t1_incremental_rules", f"WITH RECURSIVE {ALL_RULES}, {cooled_sql(' UNION ALL '.join(CANDIDATES.values()))} "
+       f"SELECT {ALERT_COLUMNS} FROM alerts")
+def t1_incremental(spark, folder):
+    rows = timed_attempts(spark, folder)
+    detector = IncrementalDetector(snapshots.scratch_path(rows, "detector"), STRETCHED, delay_s=3600)
+    return rounded(incrementally(spark, rows, detector)).select(*RULE_COLUMNS)
+
+
+HOT_IP = "CASE WHEN event_id % 10 < 9 THEN '10.0.0.1' ELSE concat('10.0.', user_id % 4, '.', user_id % 250 + 1) END"
+
+
+@query("t1_hot_address", f"WITH RECURSIVE {ALL_RULES.replace(ATTEMPT_SQL, HOT_IP)}, {cooled_sql(' UNION ALL '.join(CANDIDATES.values()))} "
+       f"SELECT {ALERT_COLUMNS} FROM alerts")
+def t1_hot(spark, folder):
+    """Nine of ten attempts come from one address, whose rows are cut in ranges."""
+    rows = views.attempts(spark, folder).withColumn("ip", F.expr("CASE WHEN seq % 10 < 9 THEN '10.0.0.1' ELSE ip END"))
+    rows = rows.select(F.timestamp_micros("ts_us").alias("ts"), "seq", "ip")
+    detector = IncrementalDetector(snapshots.scratch_path(rows, "detector"), STRETCHED, SkewPolicy(hot_rows=200, ranges=8), 3600)
+    return rounded(incrementally(spark, rows, detector, 3)).select(*RULE_COLUMNS)
+
+
+DELAY = 3600
+@query("t6_late_stream", f"""WITH ev AS (SELECT event_id, epoch_us(ts) AS ts_us, epoch_us(ts) + CAST(value * 60000000 AS BIGINT) AS arrived FROM events),
+cut AS (SELECT quantile_cont(arrived, [{", ".join(str(i / FILES) for i in range(1, FILES))}]) AS c FROM ev),
+part AS (SELECT ev.*, len(list_filter(c, lambda x: arrived > x)) AS part FROM ev, cut),
+closed AS (SELECT part, max(max(ts_us)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {DELAY * 1000000} AS mark
+           FROM part GROUP BY part),
+flagged AS (SELECT event_id, ts_us, coalesce(ts_us <= mark, false) AS late FROM part JOIN closed USING (part))
+SELECT event_id, ts_us, (SELECT count(*) FROM ev) AS n_rows, (SELECT count(*) FROM flagged WHERE late) AS n_late FROM flagged WHERE late""")
+def t6_stream(spark, folder):
+    """Rows arrive by their value in minutes late; what comes after its time was closed is set aside and counted."""
+    rows = views.events(spark, folder).select(F.col("event_id").alias("seq"), "ts_us", F.col("event_type").alias("ip"), "value")
+    rows = rows.withColumn("arrived", F.timestamp_micros((F.col("ts_us") + F.col("value") * 60_000_000).cast("bigint")))
+    detector = IncrementalDetector(snapshots.scratch_path(rows, "detector"), delay_s=DELAY, rules=())
+    incrementally(spark, rows, detector, order="arrived")
+    counted = detector.marks(spark).select(F.col("rows").alias("n_rows"), F.col("late").alias("n_late"))
+    return detector.late_rows(spark).select(F.col("seq").alias("event_id"), "ts_us").crossJoin(F.broadcast(counted))
 
 
 @query("t3_subnet_alerts", f"WITH RECURSIVE {COUNTS}, {cooled_sql(CANDIDATES['subnet'])} "
@@ -122,7 +196,8 @@ def t7(spark, folder):
     alerts = detectors.subnet_alerts(attempt_stream(spark, folder), STRETCHED).filter("seq >= 0")
     path = snapshots.scratch_path(alerts, "alert-lines")
     detectors.use_rocksdb(spark)
-    sinks.run_available(alerts, sinks.alert_line_sink(path), snapshots.scratch_path(alerts, "checkpoint"))
+    with partitions(spark):
+        sinks.run_available(alerts, sinks.alert_line_sink(path), snapshots.scratch_path(alerts, "checkpoint"))
     return spark.read.text(path).select("value")
 
 
@@ -141,6 +216,6 @@ def t8(spark, folder):
 def s2(spark, folder):
     rows = views.lines(spark, folder)
     path = snapshots.scratch_path(rows, "logs")
-    rows.repartition(FILES).select("line").write.text(path)
+    rows.repartition(3).select("line").write.text(path)
     stream = line_source.stream_lines(spark, path, files_per_trigger=1, pattern="*.txt")
     return collected(spark, stream).groupBy("line").agg(F.count("*").alias("n"))

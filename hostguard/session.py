@@ -74,6 +74,10 @@ class Scratch:
             if held:
                 self.drop_folder(held[1])
 
+    def close(self) -> None:
+        """Free every table that is left."""
+        self.drop(*[table for table, _ in self._paths.values()])
+
     def drop_folder(self, path: str) -> None:
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
