@@ -3,7 +3,7 @@
 Features are hashed n-grams of one to three letters: their share in the text times the inverse document frequency,
 which is counted over every learnable text. Weights are learned by follow-the-regularised-leader with elastic-net
 penalties on a bounded sample per language, in shards: each round, every shard goes on from the common state and the
-states are averaged. A part of the sample is held back to fit one temperature, which turns scores into probabilities.
+states are averaged, their changes summed bucket by bucket in the cluster. A part of the sample is held back to fit one temperature, which turns scores into probabilities.
 
 Model and counts are bounded by ``BUCKETS`` times the number of languages. Scoring is one pass without a shuffle.
 
@@ -32,6 +32,7 @@ BUCKETS = 1 << BITS
 SCALE = 30.0
 UNKNOWN = "und"
 TEXT_BYTES = 8 << 20
+WIDTH = 16
 
 
 @dataclass(frozen=True)
@@ -156,8 +157,12 @@ def train(docs: DataFrame, scratch: Scratch, how: Training = Training()) -> Mode
     for language in languages:
         part = min(1.0, how.per_language / counts[language])
         share = F.when(F.col("lang") == language, int(part * steps)).otherwise(share)
-    draw = F.xxhash64(F.lit("language"), F.col("doc_id"))
-    chosen = known.filter(F.pmod(draw, F.lit(steps)) < share)
+    # Drawn by id and text, equal rows once: many rows of one id neither all come in nor all stay out.
+    known = known.withColumn("_draw", F.xxhash64(F.lit("language"), F.col("doc_id"), F.col("text")))
+    chosen = known.filter(F.pmod("_draw", F.lit(steps)) < share).dropDuplicates(["doc_id", "lang", "_draw"])
+    if chosen.isEmpty():
+        chosen = known.dropDuplicates(["doc_id", "lang", "_draw"]).orderBy("_draw").limit(how.per_language)
+    draw = F.col("_draw")
     place = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1
     chosen = chosen.select(
         place.cast("int").alias("language"), "text", F.pmod(F.shiftright(draw, 32), F.lit(10)).alias("part"), F.col("doc_id").cast("bigint").alias("doc_id")
@@ -190,6 +195,17 @@ def train(docs: DataFrame, scratch: Scratch, how: Training = Training()) -> Mode
         rows.sort(key=lambda r: ((r[0] * 0x9E3779B1) & 0xFFFFFFFF, r[0], r[1]))
         return [r[1:] for r in rows]
 
+    every = learnable.count()
+    # Languages side by side in a row of the summed changes; a state of many languages takes several rows a bucket.
+    width = min(WIDTH, len(languages))
+    blocks = -(-len(languages) // width)
+    fields = [f"{kind}{i}" for kind in "zn" for i in range(width)]
+
+    def by_slot(change: np.ndarray) -> np.ndarray:
+        padded = np.zeros((len(change), blocks * width))
+        padded[:, : len(languages)] = change
+        return padded.reshape(-1, width)
+
     for _ in range(how.rounds):
         start = sample.sparkSession.sparkContext.broadcast((z, n))
 
@@ -198,12 +214,20 @@ def train(docs: DataFrame, scratch: Scratch, how: Training = Training()) -> Mode
             if rows:
                 own_z, own_n = start.value[0].copy(), start.value[1].copy()
                 learn(rows, own_z, own_n, how)
-                yield pa.RecordBatch.from_arrays([pa.array([len(rows)]), pa.array([own_z.tobytes()]), pa.array([own_n.tobytes()])], ["rows", "z", "n"])
-
-        states = in_tasks(learnable.select("language", "doc_id", "buckets", "values"), pass_over, "rows bigint, z binary, n binary").collect()
-        every = sum(s.rows for s in states)
-        z = sum(np.frombuffer(s.z).reshape(shape) * (s.rows / every) for s in states)
-        n = sum(np.frombuffer(s.n).reshape(shape) * (s.rows / every) for s in states)
+                touched = np.unique(np.concatenate([*[r[1] for r in rows], [BUCKETS]]))
+                slots = (touched[:, None] * blocks + np.arange(blocks)).ravel()
+                changes = [by_slot((own - old)[touched] * len(rows)) for own, old in zip((own_z, own_n), start.value)]
+                columns = [pa.array(column) for change in changes for column in change.T]
+                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), *columns], ["slot", *fields])
+
+        moved = in_tasks(learnable.select("language", "doc_id", "buckets", "values"), pass_over, "slot bigint, " + ", ".join(f"{f} double" for f in fields))
+        # The changes of all shards are summed in the cluster: what comes here is one state, however many shards there are.
+        summed = moved.groupBy("slot").agg(*[F.sum(f).alias(f) for f in fields]).toArrow()
+        buckets, block = np.divmod(summed.column("slot").to_numpy(), blocks)
+        for i, field in enumerate(fields):
+            state, language = (z, n)[i // width], block * width + i % width
+            real = language < len(languages)
+            state[buckets[real], language[real]] += summed.column(field).to_numpy()[real] / every
         start.unpersist()
 
     weights = proximal(z, n, how)

@@ -44,6 +44,27 @@ def test_language_without_enough_to_learn(documents):
     assert {(r.lang_pred, r.score) for r in rows} == {("en", 1.0)}
 
 
+@pytest.mark.parametrize("same", [7, 13, None])
+def test_language_with_many_rows_of_one_id(documents, same):
+    rows = labelled(300)
+    rows = [(same, text, lang) for _, text, lang in rows] + [(same, rows[0][1], rows[0][2])] * 3000
+    found = language.identify(documents(rows), language.Training(per_language=60)).collect()
+    want = {text: lang for _, text, lang in rows}
+    assert len(found) == len(rows)
+    if zlib.crc32(str(same).encode()) % 3 != 1 or same is None:
+        texts = [r for r in found if r.score > 0]
+        assert texts and {r.lang_pred for r in found} == set(want.values())
+
+
+def test_more_languages_than_one_row_of_the_state(documents):
+    rnd = random.Random(4)
+    words = {f"l{k}": ["".join(rnd.choice(chr(97 + k) + "xyz") for _ in range(4)) for _ in range(30)] for k in range(20)}
+    rows = [(i, " ".join(rnd.choice(words[lang]) for _ in range(12)), lang) for i, lang in enumerate(list(words) * 30)]
+    found = {r.doc_id: r for r in language.identify(documents(rows)).collect()}
+    held = [(i, lang) for i, _, lang in rows if found[i].held_out]
+    assert sum(found[i].lang_pred == lang for i, lang in held) >= 0.9 * len(held)
+
+
 def test_letter_grams_do_not_depend_on_pieces(monkeypatch):
     from hostguard.llm import textarrays
 
