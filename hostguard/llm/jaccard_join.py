@@ -12,8 +12,9 @@ Texts with equal sets are one point of the space; the join is over points. It re
    whose distance to the region's first pivot differs by at most 1 - t (the ring window). Links join components;
    pivots leave the region, as they have met everyone; the region recurses until all its points are connected.
 
-A group of near copies is connected after one round, so its pairs are not enumerated; only points that stay apart are
-measured on. Pairs are rows, dealt out by their points, and no group meets in one task. Nothing is capped: the order
+Regions with the same points are one. Every point first joins in its largest region only, then in the others that hold
+points not yet connected. A group of near copies is connected after the first turn, so its pairs are not enumerated, nor
+measured once per region; only points that stay apart are measured on. Pairs are rows, dealt out by their points, and no group meets in one task. Nothing is capped: the order
 of the singletons rests on a bit map and a list of fixed size, and any order gives the same links.
 
 Edge cases: a text with one or two words has one shingle, all of them; a null text, or one without words, has none and
@@ -33,14 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hostguard.llm.common import batches_of_rows, few_parts, in_tasks, small, text_key
+from hostguard.llm.common import batches_of_rows, few_parts, give_back, in_tasks, released, small, text_key
 from hostguard.llm.components import components
 from hostguard.llm.textarrays import MIX, mix, word_hashes
 from hostguard.session import Scratch
 
 TEXT_BYTES = 4 << 20
 RANGE_BYTES = 512 << 10
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 MAP_BITS = 27
 HEAVY, HEAVY_LIST = 16, 1 << 19
 FIRST_PIVOTS = 4
@@ -188,9 +189,11 @@ def rarity(texts: DataFrame, width: int) -> Rarity:
         heavy_prints = np.uint64(at << cut.low) | every[heavy]
         row = [at, np.packbits(bits, bitorder="little").tobytes(), heavy_prints.tobytes(), weights[heavy].tobytes()]
         kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        del prints, counts, every, weights, order
+        give_back()
         return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["at", "bits", "heavy", "counts"])
 
-    sent = in_tasks(texts.select("text"), run, "at int, prints binary, places binary, counts binary")
+    sent = in_tasks(texts.select("text"), released(run), "at int, prints binary, places binary, counts binary")
     merged = sent.groupBy("at").applyInArrow(merge, "at int, bits binary, heavy binary, counts binary").collect()
     bits = np.zeros((1 << MAP_BITS) // 8, dtype=np.uint8)
     for row in merged:
@@ -227,7 +230,7 @@ def points_of(docs: DataFrame, width: int, percent: int, rare: Rarity) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(docs), F.col("text").cast("string").alias("text"))
-    return in_tasks(rows, run, "doc_id bigint, text_key bigint, n bigint, sig binary, pivots array<bigint>")
+    return in_tasks(rows, released(run), "doc_id bigint, text_key bigint, n bigint, sig binary, pivots array<bigint>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -250,7 +253,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays(columns, ["point", "shingles"])
 
-    return in_tasks(rows, run, "point bigint, shingles binary")
+    return in_tasks(rows, released(run), "point bigint, shingles binary")
 
 
 def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -270,7 +273,7 @@ def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             columns = [pa.array(shared, pa.int64()), pa.array(joint, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", "shared", "joint"])
 
-    return in_tasks(both, run, "a bigint, b bigint, shared bigint, joint bigint")
+    return in_tasks(both, released(run), "a bigint, b bigint, shared bigint, joint bigint")
 
 
 def _order(point: Column) -> Column:
@@ -304,10 +307,51 @@ def _pairs(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("point", "p").alias("a"), F.greatest("point", "p").alias("b")).distinct()
 
 
-def join_regions(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(node, root) of the points that are linked. ``members``: region, point, n."""
-    start = members.select("region", "point", "n", F.col("point").alias("comp"), F.lit(None).cast("double").alias("ring"))
-    members, roots = scratch.keep(start), None
+def distinct_regions(replicas: DataFrame) -> DataFrame:
+    """(region, m): regions of several points, one for each set of points.
+
+    Sets are told apart by their size and two sums of 64-bit hashes; near copies fill many regions with the same points.
+    """
+    names = [F.bit_xor(F.xxhash64("point", F.lit(seed))).alias(f"name{seed}") for seed in (1, 2)]
+    sets = replicas.groupBy("region").agg(F.count(F.lit(1)).alias("m"), *names).filter("m > 1")
+    return sets.groupBy("m", "name1", "name2").agg(F.min("region").alias("region")).select("region", "m")
+
+
+def join_in_turns(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """(node, root) of the points that are linked. ``members``: region, m, point, n.
+
+    First every point meets others in its largest region alone, which connects groups of near copies wherever they lie;
+    then in all its regions that hold points not yet connected.
+    """
+    largest = members.groupBy("point").agg(F.max(F.struct("m", "region")).alias("top")).select("point", "top.region")
+    largest = scratch.keep(largest)
+    roots = None
+    for part in (members.join(largest, ["point", "region"], "left_semi"), members):
+        roots = join_regions(part.select("region", "point", "n"), sets, percent, scratch, roots)
+    scratch.drop(largest)
+    return roots
+
+
+def unconnected(members: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
+    """The rows of regions whose points lie in several components."""
+    split = members.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    split = scratch.keep(split.select("region").coalesce(parts))
+    kept = scratch.keep(members.join(small(split), "region", "left_semi").coalesce(parts))
+    scratch.drop(split)
+    return kept
+
+
+def join_regions(
+    members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, roots: DataFrame | None = None
+) -> DataFrame | None:
+    """(node, root) of the points that are linked, those of ``roots`` included. ``members``: region, point, n."""
+    comp = F.col("point")
+    if roots is not None:
+        members = members.join(small(roots.withColumnRenamed("node", "point")), "point", "left")
+        comp = F.coalesce("root", "point")
+    start = scratch.keep(members.select("region", "point", "n", comp.alias("comp"), F.lit(None).cast("double").alias("ring")))
+    members = unconnected(start, scratch, few_parts(start.count()))
+    scratch.drop(start)
     pivots_each, first = FIRST_PIVOTS, True
     while rows := members.count():
         parts = few_parts(rows)
@@ -333,10 +377,8 @@ def join_regions(members: DataFrame, sets: DataFrame, percent: int, scratch: Scr
         rest = rest.select("region", "point", "n", F.coalesce("root", "point").alias("comp"), "ring")
         rest = scratch.keep(rest.coalesce(parts))
         # A region is done when its points are connected.
-        split = rest.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-        split = scratch.keep(split.select("region").coalesce(parts))
-        new_members = scratch.keep(rest.join(small(split), "region", "left_semi").coalesce(parts))
-        scratch.drop(members, pivots, pairs, found, rest, split, *([roots] if roots is not None else []))
+        new_members = unconnected(rest, scratch, parts)
+        scratch.drop(members, pivots, pairs, found, rest, *([roots] if roots is not None else []))
         members, roots = new_members, new_roots
         pivots_each, first = pivots_each * 4, False
     scratch.drop(members)
@@ -357,12 +399,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     )
     points = scratch.keep(groups.withColumn("point", F.monotonically_increasing_id()))
     replicas = points.select(F.explode("pivots").alias("region"), "point", "n")
-    shared = scratch.keep(replicas.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("region"))
-    members = scratch.keep(replicas.join(small(shared), "region", "left_semi"))
+    shared = scratch.keep(distinct_regions(replicas))
+    members = scratch.keep(replicas.join(small(shared), "region"))
     named = points.select("point", "doc_id", "sig")
     wanted = scratch.keep(named.join(small(members.select("point").distinct()), "point", "left_semi"))
     sets = scratch.keep(sets_of(docs, wanted, width))
-    roots = join_regions(members, sets, percent, scratch)
+    roots = join_in_turns(members, sets, percent, scratch)
     scratch.drop(shared, wanted, members, sets)
 
     named = points.select("sig", "point", "doc_id", "copies")

@@ -78,6 +78,10 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return powers, inverse
 
 
+def drop_powers() -> None:
+    _powers.cache_clear()
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     values = (values ^ (values >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

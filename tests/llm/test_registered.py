@@ -91,6 +91,9 @@ def test_repeated_rows_stay_once(spark, folder):
     rest = corpus_pipeline.without_copies(spark, docs, folder)
     assert sorted(rest.collect()) == [(1, "a"), (1, "c"), (2, "b")]
     assert exact_dedup.exact_duplicates(docs).filter("kept").count() == 3
+    clash = docs.selectExpr("*", *[f"'own' AS {c}" for c in ("_digest", "_id", "_key", "_again_id", "_listed_doc_id", "digest", "text_key")])
+    found = corpus_pipeline.without_copies(spark, clash, folder)
+    assert found.columns == clash.columns and sorted((r.doc_id, r.text) for r in found.collect()) == [(1, "a"), (1, "c"), (2, "b")]
 
 
 def test_a_leak_takes_no_other_rows(spark, folder):
