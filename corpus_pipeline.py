@@ -40,14 +40,14 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if repeated.isEmpty():
         return rest
     again = scratch.keep(repeated)
-    once = docs.withColumn("_digest", digest).join(
-        small(again.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_key")),
-        "left_semi",
-    )
-    return without_rows(rest, again, exact_dedup.digest(rest["text"])).unionByName(
-        once.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
-    )
+    listed = small(again.withColumnsRenamed({"doc_id": "_again_id", "text_key": "_again_key"}))
+    same = docs["doc_id"].eqNullSafe(listed["_again_id"]) & (digest == listed["_again_key"])
+    once = docs.join(listed, same, "left_semi")
+    name = "_digest"
+    while name in docs.columns:
+        name += "_"
+    once = once.withColumn(name, exact_dedup.digest(once["text"])).dropDuplicates(["doc_id", name]).drop(name)
+    return without_rows(rest, again, exact_dedup.digest(rest["text"])).unionByName(once)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
