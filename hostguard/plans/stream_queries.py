@@ -16,9 +16,10 @@ from hostguard.plans.detector_queries import (
 )
 from hostguard.plans.registry import query
 from hostguard.plans.row_queries import LINES
-from hostguard.plans.table_queries import REPEAT_S
+from hostguard.plans.table_queries import REPEAT_S, STATES, _recovery_inputs, _replay_sql, _states
 from hostguard.sources import lines as line_source
 from hostguard.sources import snapshots
+from hostguard.sources.deltas import DeltaState, Recovery
 from hostguard.streaming import detectors, sinks
 from hostguard.streaming.incremental import IncrementalDetector
 
@@ -201,6 +202,33 @@ def t7(spark, folder):
     return spark.read.text(path).select("value")
 
 
+@query("t7_delta_state", f"""WITH {STATES} SELECT ip, state_json, round(secs, 6) AS last_updated FROM upserted
+WHERE ip NOT IN (SELECT ip FROM gone)""")
+def t7_state(spark, folder):
+    """State of ten micro-batches kept as changes with a compaction every third, then a batch of deletions."""
+    stored, rows = _states(spark, folder)
+    state = DeltaState(snapshots.scratch_path(rows, "state"), stored, compact_every=3)
+    state(stored.withColumn("seq", F.lit(0)), 0)
+    updates = rows.filter("event_type = 'error'").withColumn("ts", F.timestamp_micros((F.col("last_updated") * 1_000_000).cast("bigint")))
+    stream = replayed(spark, updates.drop("event_type", "value"))
+    with partitions(spark):
+        sinks.run_available(stream, lambda batch, number: state(batch, number + 1), snapshots.scratch_path(rows, "checkpoint"))
+        gone = rows.filter("event_type = 'signup' AND value > 200").withColumn("deleted", F.lit(True))
+        state(gone, FILES + 1)
+    return state.state(spark).withColumn("last_updated", F.round("last_updated", 6))
+
+
+@query("s8_recovery_in_steps", _replay_sql(1, 2, "{}", "state_json"))
+def s8_steps(spark, folder):
+    """The change log taken in three steps; each reads only what is after the mark."""
+    states, histories, log = _recovery_inputs(spark, folder)
+    recovery = Recovery(snapshots.scratch_path(log, "recovery"), states, histories)
+    last = log.agg(F.max("id")).first()[0]
+    for step in (last // 3, 2 * last // 3, last):
+        recovery.advance(log.filter(F.col("id") <= step))
+    return recovery.tables(spark)[0].withColumn("last_updated", F.round("last_updated", 6))
+
+
 @query("t8_stream_outliers", f"WITH {PROFILE} SELECT event_id, value, "
        "CASE WHEN variance = 0 THEN value <> mean ELSE abs(value - mean) > 3 * sqrt(variance) END AS anomaly "
        "FROM events, prof")

@@ -305,11 +305,15 @@ def _change_log(spark, folder):
     )
 
 
-def _replayed(spark, folder):
+def _recovery_inputs(spark, folder):
     addresses = views.events(spark, folder).select(F.expr(views.ATTEMPT_IP).alias("ip")).distinct()
     states = addresses.select("ip", F.lit("{}").alias("state_json"), F.lit(0.0).alias("last_updated"))
     histories = addresses.select("ip", F.lit("[]").alias("history_json"), F.lit(0.0).alias("last_updated"))
-    return state.replay(states, histories, _change_log(spark, folder))
+    return states, histories, _change_log(spark, folder)
+
+
+def _replayed(spark, folder):
+    return state.replay(*_recovery_inputs(spark, folder))
 
 
 def _replay_sql(insert: int, delete: int, empty: str, column: str) -> str:
