@@ -103,7 +103,8 @@ def signature_patterns() -> list[LinePattern]:
 def catalogue_rows(df: DataFrame) -> list[LinePattern]:
     """A catalogue table (ordinal, pattern, and optionally type and tags) as patterns for the line operators.
 
-    A catalogue is configuration of a few dozen rows; a larger table than ``MAX_CATALOGUE`` is refused.
+    A catalogue here is configuration of a few dozen rows; a larger table than ``MAX_CATALOGUE`` is refused.
+    ``operators.signatures`` takes tables of any size.
     """
     rows = df.orderBy("ordinal").limit(MAX_CATALOGUE + 1).collect()
     if len(rows) > MAX_CATALOGUE:
