@@ -14,13 +14,14 @@ from hostguard.plans import views
 from hostguard.plans.detector_queries import (
     ALERT_COLUMNS, ALL_RULES, ATTEMPT_SQL, ATTEMPTS, CANDIDATES, COUNTS, PROFILE, SHORT_TTL, STRETCHED, US, cooled_sql, rounded,
 )
-from hostguard.plans.registry import query
+from hostguard.plans.registry import ORACLES, query
 from hostguard.plans.row_queries import LINES
 from hostguard.plans.table_queries import REPEAT_S, STATES, _recovery_inputs, _replay_sql, _states
 from hostguard.sources import lines as line_source
 from hostguard.sources import snapshots
 from hostguard.sources.deltas import DeltaState, Recovery
 from hostguard.streaming import detectors, sinks
+from hostguard.streaming.counters import CounterSink
 from hostguard.streaming.incremental import IncrementalDetector
 
 FILES = 10
@@ -229,6 +230,37 @@ def s8_steps(spark, folder):
     return recovery.tables(spark)[0].withColumn("last_updated", F.round("last_updated", 6))
 
 
+@query("a2_stream_counters", ORACLES["a2_collector_counters"])
+def a2_stream(spark, folder):
+    rows = views.lines(spark, folder, "user_id").withColumns({"source": F.expr("concat('host', user_id % 5)"), "ts": F.timestamp_micros("ts_us")})
+    line = F.col("line")
+    parsed = line.startswith("Failed password for ") | line.startswith("EXEC: ")
+    counters = CounterSink(snapshots.scratch_path(rows, "counters"), "source", parsed, F.col("user_id") == 13, F.col("ts_us") / 1_000_000)
+    with partitions(spark):
+        sinks.run_available(replayed(spark, rows), counters, snapshots.scratch_path(rows, "checkpoint"))
+    return counters.totals(spark).withColumn("last_event_time", F.round("last_event_time", 6))
+
+
+@query("s5_unknown_keys", """SELECT 'ev-' || event_id AS id, CASE WHEN event_id % 7 = 1 THEN NULL ELSE event_type END AS type,
+  CASE WHEN event_id % 7 = 1 OR event_id % 7 = 2 THEN NULL ELSE CAST(user_id AS INT) END AS pid,
+  CASE WHEN event_id % 7 = 1 THEN NULL ELSE '{"kept":"' || user_id || '","zone":"z' || (event_id % 3) || '"}' END AS data,
+  CASE event_id % 7 WHEN 1 THEN 'not a JSON object' WHEN 2 THEN 'unreadable numbers: pid' END AS error FROM events""")
+def s5_unknown(spark, folder):
+    """Records with a key of their own; every seventh is cut off, every seventh has a number that is none."""
+    rows = views.events(spark, folder)
+    name = F.concat(F.lit("ev-"), F.col("event_id").cast("string"))
+    pid = F.when(F.col("event_id") % 7 == 2, F.lit("none")).otherwise(F.col("user_id").cast("string"))
+    data = F.create_map(F.lit("kept"), F.col("user_id").cast("string"))
+    record = F.to_json(F.struct(name.alias("id"), F.col("event_type").alias("type"), pid.alias("pid"), data.alias("data"), F.concat(F.lit("z"), F.col("event_id") % 3).alias("zone")))
+    text = F.when(F.col("event_id") % 7 == 1, F.expr("concat('{\"id\": \"ev-', event_id)")).otherwise(record)
+    path = snapshots.scratch_path(rows, "records")
+    rows.select(text.alias("value")).write.text(path)
+    found = line_source.read_event_records(spark, path)
+    entries = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("data"))))
+    given = F.coalesce("id", F.regexp_extract("json", r"ev-\d+", 0))
+    return found.select(given.alias("id"), "type", "pid", entries.alias("data"), "error")
+
+
 @query("t8_stream_outliers", f"WITH {PROFILE} SELECT event_id, value, "
        "CASE WHEN variance = 0 THEN value <> mean ELSE abs(value - mean) > 3 * sqrt(variance) END AS anomaly "
        "FROM events, prof")

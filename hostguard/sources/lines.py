@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hostguard.functions.text import stripped
 from hostguard.operators.alerts import alert_line
+from hostguard.operators.events import event_fields
 from hostguard.operators.skew import SkewPolicy, first_rows
 from hostguard.schemas import EVENT_SCHEMA
 
@@ -87,6 +88,24 @@ def read_event_buffer(spark: SparkSession, path: str, array: bool = False) -> Da
     return spark.read.schema(EVENT_SCHEMA).option("multiLine", array).json(path)
 
 
+def read_event_records(spark: SparkSession, path: str) -> DataFrame:
+    """Saved events, a record per line, whatever keys they have: unknown ones go into ``data``.
+
+    A line that is no JSON object is a row with its text in ``json`` and an ``error``, as is one whose numbers cannot be
+    read (its other fields stay); blank lines are skipped.
+    """
+    rows = spark.read.text(path).select(F.col("value").alias("json")).filter(stripped(F.col("json")) != "")
+    fields = event_fields(rows)
+    number = {"timestamp": "double", "pid": "int", "severity": "int"}
+    unread = [F.when(F.col(n).isNotNull() & F.col(n).try_cast(kind).isNull(), F.lit(n)) for n, kind in number.items()]
+    wrong = F.concat_ws(", ", *unread)
+    tags = F.coalesce(F.from_json("tags", "array<string>"), F.when(F.col("tags").isNotNull(), F.array("tags")))
+    error = F.coalesce("error", F.when(wrong != "", F.concat(F.lit("unreadable numbers: "), wrong)))
+    readable = F.when(F.col("error").isNull(), F.col("data"))
+    found = fields.withColumns({"error": error, "data": readable, **{n: F.col(n).try_cast(kind) for n, kind in number.items()}, "tags": tags})
+    return found.select(*[field.name for field in EVENT_SCHEMA], "error", F.when(F.col("error").isNotNull(), F.col("json")).alias("json"))
+
+
 def save_event_buffer(df: DataFrame, path: str) -> None:
     df.select(*[field.name for field in EVENT_SCHEMA]).write.mode("overwrite").json(path)
 
