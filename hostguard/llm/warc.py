@@ -14,7 +14,9 @@ grouped with partial minima, so a payload that a third of all pages share costs
 
 Edge cases: rows that share a page_id are separate captures; of equal payloads under one page_id the first row is the
 response. A null page_id is written without its header and comes last among equals. A null url is an empty target.
-An empty table writes an empty archive, which reads as no captures. Other columns are not read.
+An empty table writes an empty archive, which reads as no captures. A record that the end of its file cuts off is read
+as one of type ``truncated`` with what there is of its block; the records before it stay. An HTTP head may be of any
+length; a block without a blank line is all head. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ LINE = "\r\n"
 ENDING = LINE * 2
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-# An HTTP head is looked for in so many bytes of a block.
-HTTP_HEAD = 65536
+# The type given to a record that the end of its file cuts off.
+TRUNCATED = "truncated"
 
 HEADERS = {
     "record_id": "WARC-Record-ID",
@@ -152,7 +154,7 @@ def _records(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[dict[str, st
     def whole() -> tuple[dict[str, str], bytes]:
         block = between.join(held)
         if len(block) < wanted:
-            raise ValueError(f"{file} ends inside the record {fields.get('warc-record-id')}")
+            return {**fields, "warc-type": TRUNCATED}, block
         return fields, block[:wanted]
 
     size = 0
@@ -203,7 +205,7 @@ def with_payload(records: DataFrame) -> DataFrame:
     Of other records ``http`` is the whole block, as text.
     """
     answered = F.col("type").isin("response", "revisit")
-    head = F.when(answered, F.substring_index(F.substring("block", 1, HTTP_HEAD).cast("string"), ENDING, 1))
+    head = F.when(answered, F.substring_index(F.col("block").cast("string"), ENDING, 1))
     cut = records.withColumn("http", F.coalesce(head, F.col("block").cast("string")))
     payload = F.substring(F.col("block"), F.octet_length("http") + len(ENDING) + 1, F.octet_length("block"))
     return cut.withColumn("payload", F.when(answered, payload)).drop("block")

@@ -201,3 +201,26 @@ def test_warc_small_payloads_and_empty_table(spark):
     found, _ = captures(spark, [(1, "a", "xy"), (2, "b", "xy"), (3, "c", "long one"), (4, "d", "long one")], least=5)
     assert sorted(r.response.type for r in found) == ["response", "response", "response", "revisit"]
     assert captures(spark, [])[0] == []
+
+
+def written(tmp_path, *records, cut=0):
+    """A file of records (type, id, block), without its last ``cut`` bytes."""
+    data = b""
+    for kind, name, block in records:
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {name}\r\nContent-Length: {len(block)}\r\n\r\n"
+        data += head.encode() + block + b"\r\n\r\n"
+    path = tmp_path / f"a{cut}.warc"
+    path.write_bytes(data[: len(data) - cut])
+    return str(path)
+
+
+def test_warc_long_heads_and_cut_files(spark, tmp_path):
+    head = b"HTTP/1.1 200 OK\r\n" + b"X-Long: " + b"y" * 70_000
+    records = [("response", "<a>", head + b"\r\n\r\npayload"), ("response", "<b>", b"no blank line"), ("response", "<c>", b"H\r\n\r\n\xff\xfe\r\n\r\nx" + b"z" * 99)]
+    whole = {r.record_id: r for r in warc.with_payload(warc.read_records(spark, written(tmp_path, *records))).collect()}
+    assert bytes(whole["<a>"].payload) == b"payload" and whole["<a>"].http == head.decode()
+    assert bytes(whole["<b>"].payload) == b"" and whole["<b>"].http == "no blank line"
+    assert bytes(whole["<c>"].payload).startswith(b"\xff\xfe\r\n\r\nx") and len(whole["<c>"].payload) == 106
+    cut = {r.record_id: r for r in warc.with_payload(warc.read_records(spark, written(tmp_path, *records, cut=60))).collect()}
+    assert [cut[i].type for i in ("<a>", "<b>", "<c>")] == ["response", "response", "truncated"]
+    assert bytes(cut["<a>"].payload) == b"payload" and cut["<c>"].payload is None and "z" in cut["<c>"].http
