@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hostguard.functions.ip import subnet_of
-from hostguard.operators import alerts, events, parsing, signatures
+from hostguard.operators import alerts, events, parsing, signatures, triage
 from hostguard.plans import catalog, views
 from hostguard.plans.catalog import LinePattern
 from hostguard.plans.registry import query
@@ -555,3 +555,42 @@ GROUP BY ordinal, pattern""")
 def j1_indexed(spark, folder):
     table = spark.createDataFrame(list(enumerate(catalog.SIGNATURES)), "ordinal bigint, pattern string")
     return signatures.indexed_counts(views.document_lines(spark, folder), table)
+
+
+SIX = "concat_ws(':', lower(hex(8193 + user_id)), lower(hex(event_id % 65536)), '1', '2', '3', '4', '5', lower(hex(event_id % 7)))"
+SIX_SQL = "format('{:x}:{:x}:1:2:3:4:5:{:x}', 8193 + user_id, event_id % 65536, event_id % 7)"
+
+
+@query("p1_extract_ipv6", f"SELECT event_id, {SIX_SQL} AS ip FROM events")
+def p1_six(spark, folder):
+    rows = views.events(spark, folder).select("event_id", F.concat(F.lit("Failed password for root from "), F.expr(SIX), F.lit(" port 22")).alias("line"))
+    return parsing.extract_ips(rows).select("event_id", "ip")
+
+
+@query("p20_subnet_ipv6", f"""SELECT event_id, {SIX_SQL} AS ip, format('{{:x}}', 8193 + user_id)
+  || CASE WHEN event_id % 65536 < 256 THEN '' ELSE format(':{{:x}}', (event_id % 65536) // 256 * 256) END || '::/24' AS subnet FROM events""")
+def p20_six(spark, folder):
+    rows = views.events(spark, folder).select("event_id", F.expr(SIX).alias("ip"))
+    return parsing.with_subnet(rows).select("event_id", "ip", "subnet")
+
+
+@query("x3_custom_severity", """SELECT event_id AS seq, CASE event_id % 4 WHEN 0 THEN 'FATAL' WHEN 2 THEN 'WARNING' ELSE 'INFO' END AS severity FROM events""")
+def x3(spark, folder):
+    given = F.expr("CASE event_id % 4 WHEN 0 THEN 'Fatal' WHEN 1 THEN 'notice' WHEN 2 THEN 'warning' END")
+    rows = views.events(spark, folder).select(F.col("event_id").alias("seq"), given.alias("severity"))
+    return alerts.normalize_alerts(rows, F.lit(0.0), ["fatal"]).select("seq", "severity")
+
+
+@query("x4_custom_priority", """SELECT event_id, CASE event_type WHEN 'error' THEN -1 WHEN 'view' THEN 7 WHEN 'click' THEN 2 WHEN 'signup' THEN 0 END AS priority,
+  CASE WHEN event_type NOT IN ('error', 'view', 'click', 'signup') THEN 'Unknown priority name: ' || event_type END AS error FROM events""")
+def x4(spark, folder):
+    name = F.expr("CASE event_type WHEN 'error' THEN 'urgent' WHEN 'view' THEN 'Batch' WHEN 'click' THEN 'low' WHEN 'signup' THEN 'HIGH' ELSE event_type END")
+    rows = views.events(spark, folder).select("event_id", name.alias("name"))
+    return triage.named_priority(rows, "name", {"Urgent": -1, "batch": 7}).select("event_id", "priority", "error")
+
+
+@query("x5_item_predicate", "SELECT event_id, value > 20 AND user_id % 3 > 0 AS good FROM events")
+def x5(spark, folder):
+    good, bad = events.split_valid(views.events(spark, folder), (F.col("value") > 20) & (F.col("user_id") % 3 > 0))
+    flagged = good.withColumn("good", F.lit(True)).unionByName(bad.withColumn("good", F.lit(False)), allowMissingColumns=True)
+    return flagged.select("event_id", "good")

@@ -230,6 +230,22 @@ def s8_steps(spark, folder):
     return recovery.tables(spark)[0].withColumn("last_updated", F.round("last_updated", 6))
 
 
+@query("x6_hooks", """SELECT hook, event_type, count(*) AS n FROM (SELECT CASE WHEN value > 60 THEN 'error' ELSE 'event' END AS hook, event_type FROM events)
+GROUP BY hook, event_type""")
+def x6(spark, folder):
+    """Hooks see the accepted and the refused rows of every micro-batch; here each writes what it saw."""
+    rows = views.events(spark, folder).select(F.timestamp_micros("ts_us").alias("ts"), "event_type", F.when(F.col("value") > 60, F.lit("too large")).alias("error"))
+    folders = [snapshots.scratch_path(rows, name) for name in ("good", "bad", "seen")]
+
+    def hook(name):
+        return lambda part, number: part.select(F.lit(name).alias("hook"), "event_type").write.mode("overwrite").parquet(f"{folders[2]}/{name}-{number}")
+
+    sink = sinks.quarantine_sink(*folders[:2], on_event=hook("event"), on_error=hook("error"))
+    sinks.run_available(replayed(spark, rows), sink, snapshots.scratch_path(rows, "checkpoint"))
+    seen = spark.read.schema("hook string, event_type string").option("recursiveFileLookup", True).parquet(folders[2])
+    return seen.groupBy("hook", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("a2_stream_counters", ORACLES["a2_collector_counters"])
 def a2_stream(spark, folder):
     rows = views.lines(spark, folder, "user_id").withColumns({"source": F.expr("concat('host', user_id % 5)"), "ts": F.timestamp_micros("ts_us")})
