@@ -72,7 +72,8 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, decoded_sha256): token ids, and the digest of what they decode to."""
     lean_batches(spark)
     ranks, pattern = bpe.default_vocabulary()
-    tokens = bpe.encode(docs, ranks, pattern, ("doc_id", "lang", "source"))
+    # Written in between: encoding and decoding in one stage would keep two Python workers in each task.
+    tokens = Scratch(spark).keep(bpe.encode(docs, ranks, pattern, ("doc_id", "lang", "source")))
     return bpe.decode(tokens, ranks).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
