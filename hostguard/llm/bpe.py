@@ -27,14 +27,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from hostguard.llm.common import batches_of_rows, in_tasks
+from hostguard.llm.common import batches_of_rows, in_tasks, released
 
 SLICE_BYTES = 4 << 20
 CACHED_WORDS = 200_000
 LONG_PIECE = 256
 STRETCHES = 64
 
-_NONE = np.iinfo(np.int64).max
+# Ranks and positions within a slice take 32 bits, pairs of ranks 64.
+_NONE = np.iinfo(np.int32).max
 
 
 def read_ranks(path: str) -> bytes:
@@ -49,7 +50,7 @@ class Vocabulary:
     def __init__(self, ranks: bytes) -> None:
         self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
         self.token = {r: t for t, r in self.rank.items()}
-        self.byte = np.full(256, -1, dtype=np.int64)
+        self.byte = np.full(256, -1, dtype=np.int32)
         keys, made = [], []
         self.shift = max(self.token, default=0).bit_length()
         for token, rank in self.rank.items():
@@ -61,14 +62,14 @@ class Vocabulary:
                     keys.append(left << self.shift | right)
                     made.append(rank)
         order = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
-        self.keys = np.append(np.array(keys, dtype=np.int64)[order], _NONE)
-        self.made = np.append(np.array(made, dtype=np.int64)[order], _NONE)
+        self.keys = np.append(np.array(keys, dtype=np.int64)[order], np.iinfo(np.int64).max)
+        self.made = np.append(np.array(made, dtype=np.int32)[order], np.int32(_NONE))
 
     def merges(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank that each pair merges to, ``_NONE`` if it does not."""
-        key = left << self.shift | right
+        key = left.astype(np.int64) << self.shift | right
         at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.made[at], _NONE)
+        return np.where(self.keys[at] == key, self.made[at], np.int32(_NONE))
 
     def one_word(self, word: bytes) -> list[int]:
         """The lowest rank first, the leftmost of equals, one pair at a time."""
@@ -118,17 +119,17 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
     if (symbol < 0).any():
         raise ValueError("the vocabulary lacks single bytes")
     count = len(symbol)
-    owner = np.repeat(np.arange(len(open_words)), lengths)
+    owner = np.repeat(np.arange(len(open_words), dtype=np.int32), lengths)
     ends = np.cumsum(lengths)
-    following = np.arange(1, count + 1)
+    following = np.arange(1, count + 1, dtype=np.int32)
     following[ends[lengths > 0] - 1] = -1
-    preceding = np.arange(-1, count - 1)
+    preceding = np.arange(-1, count - 1, dtype=np.int32)
     preceding[(ends - lengths)[lengths > 0]] = -1
     odd: set[int] = set()
 
     # The rank of the pair that begins at each position; -1 where the symbol is gone.
-    pair = np.full(count, _NONE, dtype=np.int64)
-    left = np.flatnonzero(following >= 0)
+    pair = np.full(count, _NONE, dtype=np.int32)
+    left = np.flatnonzero(following >= 0).astype(np.int32)
     pair[left] = vocabulary.merges(symbol[left], symbol[following[left]])
     entering = [left[pair[left] != _NONE]]
     # Ranks are taken in stretches. Pairs of later stretches wait in one list and are sorted when their stretch comes.
@@ -168,7 +169,7 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
                     if other not in index:
                         index[other] = []
                         heapq.heappush(heap, other)
-                    index[other].append(np.array([position]))
+                    index[other].append(np.array([position], dtype=np.int32))
             entering.append(new[(made >= top) & (made != _NONE)])
     alive = pair >= 0
     kept = symbol[alive].astype("<u4").tobytes()
@@ -229,7 +230,7 @@ def encode(texts: DataFrame, ranks: bytes, pattern: str, keep: tuple[str, ...] =
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, counts, pa.array(ids, pa.binary())], [*keep, "n_tokens", "ids"])
 
-    return in_tasks(rows, run, ", ".join(x for x in (kinds, "n_tokens bigint, ids binary") if x))
+    return in_tasks(rows, released(run), ", ".join(x for x in (kinds, "n_tokens bigint, ids binary") if x))
 
 
 def decode(tokens: DataFrame, ranks: bytes, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -247,7 +248,7 @@ def decode(tokens: DataFrame, ranks: bytes, ids: str = "ids", to: str = "decoded
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*names, to])
 
-    return in_tasks(tokens, run, schema)
+    return in_tasks(tokens, released(run), schema)
 
 
 def default_vocabulary() -> tuple[bytes, str]:
