@@ -110,21 +110,45 @@ def clean_metadata(metadata: Column) -> Column:
 
 
 def cut_value(text: Column) -> Column:
-    """Text cut to its limit; of a list or an object, as JSON text, the strings inside are cut instead."""
-    value = F.try_parse_json(F.when((F.length(text) > MAX_METADATA_VALUE) & text.rlike(r"^\s*[\[{]"), text))
+    """Text cut to its limit; of a list or an object, as JSON text, what is inside is cleaned instead.
 
-    def cut(item: Column) -> Column:
-        short = F.substring(item.try_cast("string"), 1, MAX_METADATA_VALUE).cast("variant")
-        return F.when(F.schema_of_variant(item) == "STRING", short).otherwise(item)
+    At every depth strings are cut to the limit and nulls leave lists and objects; keys are kept whole. Text that
+    needs neither stays as it is, and so does the limit for text that only looks like JSON.
+    """
+    nested = text.rlike(r"^\s*[\[{]") & ((F.length(text) > MAX_METADATA_VALUE) | text.contains("null"))
+    value = F.try_parse_json(F.when(nested, text))
+    is_nested = F.schema_of_variant(value).rlike("^(ARRAY|OBJECT)")
+    return F.when(is_nested, clean_json(F.to_json(value))).otherwise(F.substring(text, 1, MAX_METADATA_VALUE))
 
-    items = F.transform(value.try_cast("array<variant>"), cut)
-    entries = F.transform_values(value.try_cast("map<string,variant>"), lambda _, item: cut(item))
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(kind.startswith("ARRAY"), F.to_json(items))
-        .when(kind.startswith("OBJECT"), F.to_json(entries))
-        .otherwise(F.substring(text, 1, MAX_METADATA_VALUE))
+
+def clean_json(text: Column) -> Column:
+    """JSON text without white space between its tokens: long strings cut, nulls taken out, at any depth.
+
+    Escaped quotes are written as code points first. A quote then always begins or ends a string, and the text is a
+    row of pieces, structure and strings in turn, that one pass goes through whatever the depth.
+    """
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022"))
+    pieces = F.split(plain, '"', -1)
+    onward = F.slice(pieces, F.lit(2), F.size(pieces))
+    pairs = F.arrays_zip(pieces.alias("piece"), onward.alias("following"))
+
+    def cut(pair: Column, at: Column) -> Column:
+        piece = pair["piece"]
+        quoted = F.concat(F.lit('"'), piece, F.lit('"'))
+        short = F.substring(F.try_parse_json(quoted).try_cast("string"), 1, MAX_METADATA_VALUE)
+        again = F.to_json(short.cast("variant"))
+        again = F.replace(F.replace(again, F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022"))
+        is_key = F.coalesce(pair["following"].startswith(":"), F.lit(False))
+        long_string = (at % 2 == 1) & (F.length(piece) > MAX_METADATA_VALUE) & ~is_key
+        return F.when(long_string, F.substring(again, F.lit(2), F.length(again) - 2)).otherwise(piece)
+
+    short = F.when(F.length(plain) > MAX_METADATA_VALUE, F.array_join(F.transform(pairs, cut), '"')).otherwise(plain)
+    # A string is taken whole, so what is said inside one is not read as structure.
+    full = F.regexp_replace(
+        short, r'("[^"]*"(?!:null[,}]))|"[^"]*":null(?:,|(?=\}))|(?<=[\[,])null(?:,|(?=\]))', "$1"
     )
+    closed = F.regexp_replace(full, r'("[^"]*")|,(?=[\]}])', "$1")
+    return F.replace(F.replace(closed, F.lit("\\u0022"), F.lit('\\"')), F.lit("\\u005c"), F.lit("\\\\"))
 
 
 def check_workflow(df: DataFrame, as_of: Column) -> DataFrame:

@@ -376,6 +376,27 @@ def p16(spark, folder):
                        F.concat_ws("|", entries).alias("metadata"), "version", "acknowledged")
 
 
+NESTED = """SELECT event_id AS seq, user_id,
+  CASE event_id % 3 WHEN 0 THEN concat('[null,["', repeat('y', 12000 + event_id % 7), '",null,{"u":null,"v":', user_id, '}]]')
+    WHEN 1 THEN concat('{"a":{"b":[[{"c":"', repeat('z', 10001), '","d":null}]],"e":null},"f":"null,', user_id, '"}')
+    ELSE concat('{"a":["', event_type, '",{"b":', user_id, '}]}') END AS detail FROM events"""
+
+
+@query("p16_nested_metadata", f"""SELECT seq, sha256(CASE seq % 3
+    WHEN 0 THEN '[["' || repeat('y', 10000) || '",{{"v":' || user_id || '}}]]'
+    WHEN 1 THEN '{{"a":{{"b":[[{{"c":"' || repeat('z', 10000) || '"}}]]}},"f":"null,' || user_id || '"}}'
+    ELSE detail END) AS detail_sha256 FROM ({NESTED})""")
+def p16_nested(spark, folder):
+    rows = views.events(spark, folder).selectExpr("event_id", "user_id", "event_type")
+    rows = rows.selectExpr("event_id AS seq", _nested_detail())
+    cleaned = alerts.clean_metadata(F.create_map(F.lit("detail"), "detail"))
+    return rows.select("seq", F.sha2(cleaned["detail"], 256).alias("detail_sha256"))
+
+
+def _nested_detail() -> str:
+    return NESTED[NESTED.index("CASE") : NESTED.index(" FROM events")]
+
+
 @query("p17_dedup_key", f"WITH {KEYED_ALERTS} SELECT seq, dedup_key FROM keyed")
 def p17(spark, folder):
     return alerts.with_identity(normal_alerts(spark, folder)).select("seq", "dedup_key")

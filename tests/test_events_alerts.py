@@ -142,6 +142,34 @@ def test_alert_normalising_and_dedup_key(spark):
     assert len(cut) == 100 and all(len(v) == 10000 for v in cut.values())
 
 
+def cleaned(value):
+    if isinstance(value, str):
+        return value[:10000]
+    if isinstance(value, list):
+        return [cleaned(v) for v in value if v is not None]
+    if isinstance(value, dict):
+        return {k: cleaned(v) for k, v in value.items() if v is not None}
+    return value
+
+
+def test_metadata_is_cleaned_at_every_depth(spark):
+    deep = None
+    for i in range(60):
+        deep = [deep, {"k": deep, "n": None, "s": "y" * 10001}] if i < 5 else {"a": [None, deep], "b": None}
+    values = [
+        [None, ["y" * 12000]], {"a": None}, [None, None], {"a": {"b": {"c": ["x" * 20000, None, {"d": None, "e": 1}]}}},
+        ["a", ":null,", "],null,[", '"', "\\", '\\"' * 9000, "\\u0022null", None], {'q"k': None, ":null": 1, "z": None},
+        {"k" * 11000: "é漢😀" * 5000, "null": "null"}, [1, True, [], {}, [[None]], "\n\t" * 8000], deep, [], ["x" * 10000, "null"],
+    ]
+    texts = [json.dumps(v) for v in values] + [json.dumps(v, ensure_ascii=False, indent=1) for v in values[:7]]
+    odd = ["[null" + "x" * 10001, "null", "{null}", "plain null", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + odd)] + [(99, None)], "i int, t string")
+    got = {r.i: r.v for r in df.select("i", alerts.cut_value(F.col("t")).alias("v")).collect()}
+    for i, text in enumerate(texts):
+        assert json.loads(got[i]) == cleaned(json.loads(text)), i
+    assert [got[len(texts) + i] for i in range(len(odd))] == [t[:10000] for t in odd] and got[99] is None
+
+
 def test_workflow_rules(spark):
     rows = [(True, None, True, None), (False, None, True, None), (False, 5.0, False, None), (False, None, False, 5.0)]
     df = spark.createDataFrame(rows, "acknowledged boolean, acknowledged_at double, resolved boolean, resolved_at double")
