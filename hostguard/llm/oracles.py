@@ -68,14 +68,14 @@ WITH raw AS ({_spans(0, _ASSIGN, 2)}
 runs AS ({_spans(3, "[A-Za-z0-9+/_=-]{20,}", 0)}),"""
     + r"""
 judged AS (SELECT * FROM runs WHERE NOT (
-    regexp_matches(value, '(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$') OR regexp_matches(value, 'EXAMPLE|example')
-    OR regexp_matches(value, '^[0-9_=/+-]+$') OR regexp_matches(value, '^([A-Za-z]+[_/=-]?)+$')
-    OR len(list_filter(range(1, length(value) - 6), lambda i:
-        substr(value, i, 8) = repeat(substr(value, i, 1), 8))) > 0)),
+    regexp_matches(value, '(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$')
+    OR regexp_matches(value, '(^|=)(AKIA[A-Z0-9]{9}|[A-Za-z0-9+/]{30})EXAMPLE(KEY)?$')
+    OR regexp_matches(value, '^[0-9_=/+-]+$') OR regexp_matches(value, '^([A-Za-z]+[_/=-]?)+$'))),
 windows AS (SELECT doc_id, start, value, unnest(range(0, length(value) - 19)) AS i FROM judged),
 high AS (SELECT doc_id, start, value, min(i) AS a, max(i) AS b
     FROM (SELECT *, substr(value, i + 1, 20) AS part FROM windows)
-    WHERE list_aggregate(string_split(part, ''), 'entropy')
+    WHERE NOT regexp_matches(substr(regexp_replace(value, 'example', '*******', 'gi'), i + 1, 20), '[*]')
+      AND list_aggregate(string_split(part, ''), 'entropy')
           >= CASE WHEN regexp_full_match(part, '[0-9a-f]+|[0-9A-F]+') THEN 2.93 ELSE 3.63 END
     GROUP BY doc_id, start, value),
 spans AS (SELECT doc_id, kind, start, start + width AS stop FROM raw

@@ -4,7 +4,9 @@
 over each. Per character class the counts of the window are kept, and the sum of c * log2(c) is moved by the character
 that enters and the one that leaves, so a step costs the same whatever the window. A window whose characters all
 belong to a class counts if its Shannon entropy reaches the class's threshold. The span goes from the first such
-window to the end of the last, if it holds a digit. Candidates on the allow list are not reported; pattern spans stay whatever it says.
+window to the end of the last, if it holds a digit. The allow list has two parts: candidates that match one of
+``ALLOWED`` as a whole are not reported, and windows that touch a word of ``HARMLESS`` do not count, so that a random
+stretch beside such a word is still found. Pattern spans stay whatever the list says.
 
 All of it happens per row in SQL functions; the only shuffle brings the spans of a text together, narrow as they are.
 
@@ -47,14 +49,17 @@ CLASSES = (
     CharacterClass("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.63),
 )
 
+# Candidates that are known to be harmless as a whole.
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$",  # identifiers made by rule
-    r"EXAMPLE|example",
+    r"(^|=)(AKIA[A-Z0-9]{9}|[A-Za-z0-9+/]{30})EXAMPLE(KEY)?$",  # the keys of manuals
     r"^[0-9_=/+-]+$",  # numbers and rules
     r"^([A-Za-z]+[_/=-]?)+$",  # words
-    r"(.)\1{7}",  # filler
 )
 
+# Words that are no part of a secret, in either case: a window that touches one does not count.
+HARMLESS = "example"
+
 
 def pieces(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     """Matches as (kind, at, gap, width, value): ``gap`` code points after the match before, ``width`` long.
@@ -143,7 +148,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     placed = rows.repartition("row").withColumn("start", before)
 
     is_random = F.col("kind") == KINDS.index("entropy")
-    judged = F.when(is_random & ~allowed(F.col("value")), F.col("value"))
+    masked = F.regexp_replace("value", f"(?i){HARMLESS}", " " * len(HARMLESS))
+    judged = F.when(is_random & ~allowed(F.col("value")), masked)
     for i, kind in enumerate(CLASSES):
         placed = placed.withColumn(f"codes{i}", _places(judged, kind.characters))
         placed = placed.withColumn(f"found{i}", F.expr(_sliding(f"codes{i}", len(kind.characters), kind.least)))
