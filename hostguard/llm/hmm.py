@@ -7,9 +7,9 @@ is kept makes no difference to its emissions. A word that was not learnt has the
 of its ending (one of ``GROUPS``, by the last three bytes), by state as the learnt words of that ending.
 
 Training is Baum-Welch. In each pass every task runs forward and backward over its sequences and sends its expected
-counts by class and by rare word, which are added up across partitions. Some passes over a bounded sample of
-texts only break the symmetry between states; the last passes run over every learnable text. For training, texts are
-cut into sequences of ``SEGMENT`` tokens; scoring never cuts. The vectors of rare words travel as 32-bit floats.
+counts by class and by rare word, which are added up across partitions. Some passes over a share of the texts break
+the symmetry between states; the last passes run over every learnable text. Texts are never cut: the pieces in which
+long ones are worked on carry the chances on from piece to piece. The vectors of rare words travel as 32-bit floats.
 
 The base score adds log10((c + 0.1) / (N + 0.1 (V + 1))) over the tokens of a text: its words, then one end.
 
@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostguard.llm.common import BROADCAST_ROWS, batches_of_rows, fold, in_tasks
+from hostguard.llm.common import BROADCAST_ROWS, batches_of_rows, few_parts, fold, in_tasks
 from hostguard.session import Scratch
 
 GROUPS, END = 1024, 1024
@@ -41,15 +41,21 @@ CLASSES = 1 << 16
 CORE = CLASSES - GROUPS - 1
 SMOOTH = 0.1
 SEGMENT = 256
+LONG = 4 * SEGMENT
+ROOM = 512 * SEGMENT
 TEXT_BYTES = 8 << 20
 FLUSH = 300_000
 
 
 @dataclass(frozen=True)
 class Training:
-    """``states`` states; ``first`` passes over about ``sample`` texts, then ``passes`` over all of them."""
+    """``states`` states; ``first`` passes over ``share`` of the texts, then ``passes`` over all of them.
+
+    Of a small table the share is larger: about ``sample`` texts.
+    """
 
     states: int = 8
+    share: float = 0.02
     sample: int = 2000
     first: int = 8
     passes: int = 2
@@ -181,41 +187,109 @@ class Model:
     weight: np.ndarray | None = None  # per state: what a count of a rare word and its prior are multiplied by
 
 
-def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+@dataclass(frozen=True)
+class Piece:
+    """A stretch of a text: the state's chances before its first word, what follows its last, the piece before."""
+
+    classes: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    before: np.ndarray | None = None  # chances of the state of the last word before; None at the start of a text
+
+
+def carried(model: Model, texts: list[np.ndarray]) -> list[Piece]:
+    """Long texts as pieces of ``SEGMENT`` tokens that know what lies before and behind them, exactly.
+
+    What a piece does to any chances is a matrix; those of all pieces are found side by side, and only their product
+    goes through a text piece by piece, forward for what lies before and backward for what lies behind.
+    """
+    cuts = [[text[at : at + SEGMENT] for at in range(0, len(text), SEGMENT)] for text in texts]
+    flat = sorted(((len(part), i, j) for i, parts in enumerate(cuts) for j, part in enumerate(parts)), reverse=True)
+    states = len(model.start)
+    classes = np.zeros((SEGMENT, len(flat)), dtype=np.int64)
+    for at, (length, i, j) in enumerate(flat):
+        classes[:length, at] = cuts[i][j]
+    lengths = np.array([length for length, _, _ in flat])
+    through = np.broadcast_to(np.eye(states), (len(flat), states, states)).copy()
+    for t in range(SEGMENT):
+        n = int((lengths > t).sum())
+        if t:
+            through[:n] = through[:n] @ model.move
+        through[:n] *= model.emit[classes[t, :n]][:, None, :]
+        through[:n] /= through[:n].max(axis=(1, 2), keepdims=True)
+    matrix = {(i, j): through[at] for at, (_, i, j) in enumerate(flat)}
+    found = []
+    for i, parts in enumerate(cuts):
+        ends, behind = [], np.ones(states)
+        for j in range(len(parts) - 1, -1, -1):
+            ends.append(model.move @ behind)
+            behind = matrix[i, j] @ ends[-1]
+            behind /= behind.max()
+        start, before = model.start, None
+        for j, part in enumerate(parts):
+            found.append(Piece(part, start, ends[len(parts) - 1 - j], before))
+            before = start @ matrix[i, j]
+            before /= before.sum()
+            start = before @ model.move
+    return found
+
+
+def expected(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Counts of classes by state, of moves and of first states, and the log likelihood: one forward-backward pass.
 
-    All sequences advance together, the longest first, so those that have ended are always at the end.
+    Texts are whole: those of more than ``LONG`` tokens as pieces side by side, ``ROOM`` tokens at a time.
     """
-    sequences = sorted(sequences, key=len, reverse=True)
-    states, longest, count = len(model.start), len(sequences[0]), len(sequences)
-    lengths = np.array([len(s) for s in sequences])
+    states = len(model.start)
+    pieces = [Piece(text, model.start, np.ones(states)) for text in texts if len(text) <= LONG]
+    pieces += carried(model, [text for text in texts if len(text) > LONG])
+    pieces.sort(key=lambda piece: -len(piece.classes))
+    totals = [np.zeros((len(model.emit), states)), np.zeros((states, states)), np.zeros(states), 0.0]
+    at = 0
+    while at < len(pieces):
+        many = max(1, ROOM // len(pieces[at].classes))
+        found = _expected_side_by_side(model, pieces[at : at + many])
+        totals = [total + part for total, part in zip(totals, found)]
+        at += many
+    return tuple(totals)
+
+
+def _expected_side_by_side(model: Model, pieces: list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """All pieces advance together, the longest first, so those that have ended are always at the end."""
+    states, longest, count = len(model.start), len(pieces[0].classes), len(pieces)
+    lengths = np.array([len(piece.classes) for piece in pieces])
     active = (lengths[None, :] > np.arange(longest)[:, None]).sum(axis=1)
     classes = np.zeros((longest, count), dtype=np.int64)
-    for i, s in enumerate(sequences):
-        classes[: len(s), i] = s
+    for i, piece in enumerate(pieces):
+        classes[: len(piece.classes), i] = piece.classes
+    starts, ends = np.stack([piece.start for piece in pieces]), np.stack([piece.end for piece in pieces])
     emitted = model.emit[classes]
     alpha, beta = np.zeros((longest, count, states)), np.zeros((longest, count, states))
     scale = np.ones((longest, count))
     before = None
     for t in range(longest):
         n = active[t]
-        now = (model.start if before is None else before[:n] @ model.move) * emitted[t, :n]
+        now = (starts if before is None else before[:n] @ model.move) * emitted[t, :n]
         scale[t, :n] = now.sum(axis=1)
         before = alpha[t, :n] = now / scale[t, :n, None]
     ahead = np.zeros((longest, count, states))
     after = 0
     for t in range(longest - 1, -1, -1):
         n = active[t]
-        beta[t, after:n] = 1.0
+        last = alpha[t, after:n]
+        beta[t, after:n] = ends[after:n] / (last * ends[after:n]).sum(axis=1, keepdims=True)
         if after:
-            ahead[t + 1, :after] = emitted[t + 1, :after] * beta[t + 1, :after] / scale[t + 1, :after, None]
             beta[t, :after] = ahead[t + 1, :after] @ model.move.T
+        ahead[t, :n] = emitted[t, :n] * beta[t, :n] / scale[t, :n, None]
         after = n
     gamma = alpha * beta
-    moves = model.move * (alpha[:-1].reshape(-1, states).T @ ahead[1:].reshape(-1, states))
+    within = alpha[:-1].reshape(-1, states).T @ ahead[1:].reshape(-1, states)
+    begins = np.array([piece.before is None for piece in pieces])
+    across = [(piece.before, ahead[0, i]) for i, piece in enumerate(pieces) if piece.before is not None]
+    if across:
+        within += np.stack([a for a, _ in across]).T @ np.stack([b for _, b in across])
     flat = classes.ravel()
     by_class = np.stack([np.bincount(flat, gamma[:, :, k].ravel(), len(model.emit)) for k in range(states)], axis=1)
-    return by_class, moves, gamma[0].sum(axis=0), float(np.log(scale).sum())
+    return by_class, model.move * within, gamma[0, begins].sum(axis=0), float(np.log(scale).sum())
 
 
 def emissions(known: DataFrame, sums: DataFrame | None, model: Model, lexicon: Lexicon, how: Training) -> DataFrame:
@@ -327,11 +401,8 @@ def expectation(texts: DataFrame, model: Model | None, states: int) -> DataFrame
                 wholes, vectors, groups = own_classes(batch.column(1), batch.column(2), batch.column(4), states)
                 local = replace(shared.value, emit=np.concatenate([shared.value.emit, vectors]))
                 sums = np.zeros((len(local.emit), states))
-                held = [whole[at : at + SEGMENT] for whole in wholes for at in range(0, len(whole), SEGMENT)]
-                for at in range(0, len(held), 512):
-                    found = expected(local, held[at : at + 512])
-                    for total, part in zip((sums, moves, first), found):
-                        total += part
+                for total, part in zip((sums, moves, first), expected(local, wholes)):
+                    total += part
                 counts = sums[CLASSES:]
                 by_class += sums[:CLASSES]
                 np.add.at(by_class, groups, counts)
@@ -370,11 +441,10 @@ def train(encoded: DataFrame, lexicon: Lexicon, rare: DataFrame, how: Training =
     if not lexicon.ends:
         return model, sums
     learnable = encoded.filter("NOT held_out").select("row", "classes", "places", "rare")
-    steps = 1 << 30
-    drawn = F.pmod(F.xxhash64(F.lit("hmm"), F.col("row")), F.lit(steps)) < int(min(1.0, how.sample / lexicon.ends) * steps)
-    # As many tasks as the sample's bound needs, whatever the table's size.
+    steps, share = 1 << 30, min(1.0, max(how.share, how.sample / lexicon.ends))
+    drawn = F.pmod(F.xxhash64(F.lit("hmm"), F.col("row")), F.lit(steps)) < int(share * steps)
     scratch = Scratch(encoded.sparkSession)
-    sample = scratch.keep(learnable.filter(drawn).repartition(4, "row"))
+    sample = scratch.keep(learnable.filter(drawn).repartition(3 + few_parts(int(share * lexicon.ends), 1000), "row"))
     words = F.col("rare.word").alias("words")
     last = None
 

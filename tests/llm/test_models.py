@@ -187,6 +187,19 @@ def test_expected_counts_equal_the_sum_over_paths():
             assert by_class[c, state] - alone[c, state] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("segment,long", [(2, 3), (3, 3), (4, 9)])
+def test_pieces_of_long_texts_carry_on(monkeypatch, segment, long):
+    model, rnd = random_model(), np.random.default_rng(8)
+    texts = [rnd.integers(0, hmm.CLASSES, n).astype(np.uint16) for n in (1, 5, 3, 40, 10, 9, 4)]
+    whole = hmm.expected(model, texts)
+    monkeypatch.setattr(hmm, "SEGMENT", segment)
+    monkeypatch.setattr(hmm, "LONG", long)
+    for room in (1, 12, 1000):
+        monkeypatch.setattr(hmm, "ROOM", room)
+        for got, want in zip(hmm.expected(model, texts), whole):
+            assert got == pytest.approx(want)
+
+
 def base_scores(rows):
     words = {k: (t or "").encode().lower().split() + ["end"] for k, (_, t) in enumerate(rows)}
     held = {k: zlib.crc32(str(i).encode()) % 10 == 0 for k, (i, _) in enumerate(rows)}
