@@ -57,8 +57,8 @@ def generate_alerts(df: DataFrame, as_of: Column) -> DataFrame:
     def column(name: str) -> Column:
         return F.col(name).cast("string") if name in names else F.lit(None).cast("string")
 
-    error = F.when(column("type").isNull(), F.lit("missing required field: type")).when(
-        column("message").isNull(), F.lit("missing required field: message")
+    error = F.when(column("type").isNull(), F.lit("type is missing")).when(
+        column("message").isNull(), F.lit("message is missing")
     )
     others = [c for c in df.columns if c not in ALERT_FIELDS]
     return df.select(
@@ -162,14 +162,14 @@ def check_workflow(df: DataFrame, as_of: Column) -> DataFrame:
         }
     )
     error = (
-        F.when(F.coalesce("id", F.lit("")) == "", F.lit("Alert id cannot be empty"))
-        .when(F.col("resolved") & ~F.col("acknowledged"), F.lit("resolved=True requires acknowledged=True"))
+        F.when(F.coalesce("id", F.lit("")) == "", F.lit("the alert has no id"))
+        .when(F.col("resolved") & ~F.col("acknowledged"), F.lit("resolved without being acknowledged"))
         .when(
             F.col("acknowledged_at").isNotNull() & ~F.col("acknowledged"),
-            F.lit("acknowledged_at present but acknowledged=False"),
+            F.lit("time of acknowledgement on an alert not acknowledged"),
         )
         .when(
-            F.col("resolved_at").isNotNull() & ~F.col("resolved"), F.lit("resolved_at present but resolved=False")
+            F.col("resolved_at").isNotNull() & ~F.col("resolved"), F.lit("time of resolution on an alert not resolved")
         )
     )
     return filled.withColumn("error", error)

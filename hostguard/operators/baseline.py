@@ -15,10 +15,10 @@ OUTLIER_SIGMAS = 3
 def read_metric(df: DataFrame, column: str = "metric") -> DataFrame:
     """Add ``value`` (double) and ``error``. Text that reads as a number counts as one."""
     if column not in df.columns:
-        return df.withColumns({"value": F.lit(None).cast("double"), "error": F.lit(f"missing required key: {column}")})
+        return df.withColumns({"value": F.lit(None).cast("double"), "error": F.lit(f"{column} is missing")})
     value = as_double(df, column)
-    error = F.when(F.col(column).isNull(), F.lit(f"missing required key: {column}")).when(
-        value.isNull(), F.lit("metric value must be numeric")
+    error = F.when(F.col(column).isNull(), F.lit(f"{column} is missing")).when(
+        value.isNull(), F.lit("value is not a number")
     )
     return df.withColumns({"value": value, "error": error})
 
@@ -54,7 +54,7 @@ def score_outliers(
     anomaly = F.when(F.col("variance") == 0, F.col("value") != F.col("mean")).otherwise(
         distance > F.lit(float(sigmas)) * F.sqrt("variance")
     )
-    no_profile = F.when(F.col("mean").isNull(), F.lit("profile must contain 'mean' and 'variance'"))
+    no_profile = F.when(F.col("mean").isNull(), F.lit("the profile lacks a mean or a variance"))
     return rows.withColumns({"error": F.coalesce("error", no_profile), "anomaly": anomaly})
 
 

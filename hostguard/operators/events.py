@@ -130,21 +130,21 @@ def check_events(df: DataFrame) -> DataFrame:
     login = F.col("type") == "failed_login"
     process = F.col("type") == "process_activity"
     error = (
-        F.when(F.coalesce("id", F.lit("")) == "", F.lit("Event id cannot be empty"))
+        F.when(F.coalesce("id", F.lit("")) == "", F.lit("the event has no id"))
         .when(
             login & (F.coalesce(ip, F.lit("")) != "") & ~is_ip(ip),
-            F.concat(F.lit("Invalid IP address in failed_login data: "), ip),
+            F.concat(F.lit("not an IP address: "), ip),
         )
         .when(
             login & (F.length(user) > MAX_USERNAME),
-            F.concat(F.lit("Username too long ("), F.length(user).cast("string"), F.lit(" chars)")),
+            F.concat(F.lit("username of "), F.length(user).cast("string"), F.lit(" characters")),
         )
         .when(
-            process & pid.isNotNull() & (number.isNull() | (number <= 0)), F.concat(F.lit("Invalid PID value: "), pid)
+            process & pid.isNotNull() & (number.isNull() | (number <= 0)), F.concat(F.lit("not a process id: "), pid)
         )
         .when(
             ~F.col("severity").between(1, 10),
-            F.concat(F.lit("Severity "), F.col("severity").cast("string"), F.lit(" out of range 1-10")),
+            F.concat(F.lit("severity "), F.col("severity").cast("string"), F.lit(" is not from 1 to 10")),
         )
     )
     return df.withColumn("error", error)
@@ -224,9 +224,9 @@ def analyze_activity(df: DataFrame, threshold: float = 90) -> DataFrame:
     given = F.col("activity_score") if "activity_score" in names else F.lit(None).cast("string")
     score = as_double(df, "activity_score") if "activity_score" in names else given.cast("double")
     error = (
-        F.when(process.isNull(), F.lit("missing required key: 'process'"))
-        .when(given.isNull(), F.lit("missing required key: 'activity_score'"))
-        .when(score.isNull(), F.lit("activity_score must be numeric"))
+        F.when(process.isNull(), F.lit("process is missing"))
+        .when(given.isNull(), F.lit("activity_score is missing"))
+        .when(score.isNull(), F.lit("activity_score is not a number"))
     )
     rows = df.withColumns({"error": error, "detected": F.when(error.isNull(), score >= threshold)})
     return rows.drop("process", "activity_score")

@@ -57,7 +57,7 @@ def apply_actions(
         F.col("_ack_seq").isNull() | (F.col("seq") < F.col("_ack_seq"))
     )
     refused = judged.filter(early).drop("_ack_seq", "_was_acknowledged")
-    message = F.lit("Cannot resolve an alert that has not been acknowledged")
+    message = F.lit("resolved before it was acknowledged")
     return with_identity(current), refused.withColumn("error", message)
 
 

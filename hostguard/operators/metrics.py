@@ -112,15 +112,20 @@ def latency_summary(
     return totals.select(*by, "n", "avg_wait", "max_wait", *[percentile(p).alias(f"p{p}_wait") for p in percentiles])
 
 
+def outcome_totals(success: Column, alerts: Column, seconds: Column) -> dict[str, Column]:
+    """Totals of a worker's runs and the cumulative duration histogram ``le_<bound>``, as aggregates."""
+    return {
+        "total_processed": F.count(F.lit(1)),
+        "success_count": F.count_if(success),
+        "failure_count": F.count_if(~success),
+        "alerts_generated": F.sum(alerts.cast("bigint")),
+        **{f"le_{b:g}".replace(".", "_"): F.count_if(seconds <= b) for b in DURATION_BOUNDS},
+    }
+
+
 def outcome_rollup(df: DataFrame, by: list[str], success: Column, alerts: Column, seconds: Column) -> DataFrame:
-    """Totals per worker and the cumulative duration histogram ``le_<bound>``."""
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total_processed"),
-        F.count_if(success).alias("success_count"),
-        F.count_if(~success).alias("failure_count"),
-        F.sum(alerts.cast("bigint")).alias("alerts_generated"),
-        *[F.count_if(seconds <= b).alias(f"le_{b:g}".replace(".", "_")) for b in DURATION_BOUNDS],
-    )
+    """``outcome_totals`` per worker."""
+    return df.groupBy(*by).agg(*[total.alias(name) for name, total in outcome_totals(success, alerts, seconds).items()])
 
 
 def ewma(
@@ -130,9 +135,12 @@ def ewma(
     order: list[str],
     alpha: float = EWMA_ALPHA,
     policy: SkewPolicy = SkewPolicy(),
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Exponentially weighted mean per key, seeded with the first value.
 
+    ``also`` names further aggregates of the same groups, taken in the same pass.
+
     Written out, the value r steps before the newest weighs ``alpha * (1 - alpha)^r``, and the seed adds
     ``(1 - alpha)^n`` of the first value. That is a plain sum over rows numbered from the newest, so no list is
     built per key.
@@ -145,11 +153,13 @@ def ewma(
             F.sum(weight * F.col(value)).alias("_sum"),
             F.count(F.lit(1)).alias("_n"),
             F.max_by(value, "_age").alias("_first"),
+            *[total.alias(name) for name, total in also.items()],
         )
         seed = F.pow(F.lit(1.0 - alpha), F.col("_n").cast("double")) * F.col("_first")
-        return totals.select(*by, (F.col("_sum") + seed).alias("ewma"))
+        return totals.select(*by, (F.col("_sum") + seed).alias("ewma"), *also)
 
-    columns = df.select(*dict.fromkeys([*by, value, *order]))
+    also = also or {}
+    columns = df if also else df.select(*dict.fromkeys([*by, value, *order]))
     return keyed_scan(columns, by, [F.desc(c) for c in order], body, policy)
 
 

@@ -52,25 +52,33 @@ def score_text(cfg: DetectionConfig) -> str:
     return rf"regexp_replace(CAST({points} AS STRING), r'(\.\d+?)0+$', '$1')"
 
 
+# The messages of the six rules, with the window in seconds where there are braces.
+BASELINE_TEXT = "Behavioural anomaly detected from IP %s (count=%d, threshold=%.2f)"
+BURST_TEXT = "Burst attack detected from IP %s (burst_count=%d)"
+RISK_TEXT = "High risk intrusion detected from IP %s (score=%s)"
+GLOBAL_TEXT = "Distributed brute force attack detected (attempts=%d in last {}s)"
+ESCALATION_TEXT = "Slow progressive attack detected from IP %s (attempts=%d in last {}s)"
+SUBNET_TEXT = "Subnet attack detected from %s (attempts=%d in last {}s)"
+
+
 def address_rules(cfg: DetectionConfig) -> list[Rule]:
     return [
         Rule(
             "baseline", 1, "above_threshold", "concat('baseline_', ip)", "failed_count", "threshold",
-            ("Behavioural anomaly detected from IP %s (count=%d, threshold=%.2f)", "ip", "failed_count", "threshold"),
+            (BASELINE_TEXT, "ip", "failed_count", "threshold"),
         ),
         Rule(
             "burst", 2, f"burst_count >= {cfg.burst_threshold}", "concat('burst_', ip)", "burst_count",
-            str(cfg.burst_threshold), ("Burst attack detected from IP %s (burst_count=%d)", "ip", "burst_count"),
+            str(cfg.burst_threshold), (BURST_TEXT, "ip", "burst_count"),
         ),
         Rule(
             "risk", 3, f"score_units >= {cfg.risk_threshold * cfg.units_per_point}L", "concat('risk_', ip)", "score",
-            str(cfg.risk_threshold), ("High risk intrusion detected from IP %s (score=%s)", "ip", score_text(cfg)),
+            str(cfg.risk_threshold), (RISK_TEXT, "ip", score_text(cfg)),
         ),
         Rule(
             "escalation", 5, f"escalation_count >= {cfg.escalation_threshold}", "concat('escalation_', ip)",
             "escalation_count", str(cfg.escalation_threshold),
-            ("Slow progressive attack detected from IP %s "
-             f"(attempts=%d in last {_seconds(cfg.escalation_window)}s)", "ip", "escalation_count"),
+            (ESCALATION_TEXT.format(_seconds(cfg.escalation_window)), "ip", "escalation_count"),
         ),
     ]
 
@@ -79,8 +87,7 @@ def global_rule(cfg: DetectionConfig) -> Rule:
     return Rule(
         "global", 4, f"global_count >= {cfg.global_threshold}", "'global_bruteforce'", "global_count",
         str(cfg.global_threshold),
-        ("Distributed brute force attack detected "
-         f"(attempts=%d in last {_seconds(cfg.global_time_window)}s)", "global_count"),
+        (GLOBAL_TEXT.format(_seconds(cfg.global_time_window)), "global_count"),
     )
 
 
@@ -88,8 +95,7 @@ def subnet_rule(cfg: DetectionConfig) -> Rule:
     return Rule(
         "subnet", 6, f"subnet_count >= {cfg.subnet_threshold}", "concat('subnet_', subnet)", "subnet_count",
         str(cfg.subnet_threshold),
-        ("Subnet attack detected from %s "
-         f"(attempts=%d in last {_seconds(cfg.subnet_window)}s)", "subnet", "subnet_count"),
+        (SUBNET_TEXT.format(_seconds(cfg.subnet_window)), "subnet", "subnet_count"),
     )
 
 

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostguard.session import materialize
+from hostguard.session import Scratch, materialize
 
 
 @dataclass(frozen=True)
@@ -123,16 +123,20 @@ class RangeScan:
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], policy: SkewPolicy, laid_out: bool = False):
         self.df, self.keys, self.order, self.policy, self.laid_out = df, keys, order, policy, laid_out
 
-    def _lay_out(self) -> "RangeScan":
+    def _lay_out(self, scratch: Scratch) -> "RangeScan":
         if self.laid_out:
             return self
         ranged = self.df.repartitionByRange(self.policy.range_count(self.df), *self.keys, *self.order)
-        ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()))
+        ranged = scratch.keep(ranged.withColumn("_range", F.spark_partition_id()))
         return RangeScan(ranged, self.keys, self.order, self.policy, laid_out=True)
 
     def running(self, **totals: Running) -> "RangeScan":
+        scratch = Scratch(self.df.sparkSession)
         if not self.laid_out:
-            return self._lay_out().running(**totals)
+            laid_out = self._lay_out(scratch)
+            done = laid_out.running(**totals)
+            scratch.close()  # the totals are written, so nothing reads the layout any more
+            return done
         window = Window.partitionBy("_range", *self.keys).orderBy(*self.order)
         local = {}
         for name, total in totals.items():
@@ -153,7 +157,7 @@ class RangeScan:
         )
         carried = carried.withColumnsRenamed({k: f"_c_{k}" for k in ["_range", *self.keys]})
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in ["_range", *self.keys]])
-        carried = materialize(carried)
+        carried = scratch.keep(carried)
         if carried.count() <= self.policy.broadcast_keys:
             carried = F.broadcast(carried)
         joined = self.df.withColumns(local).join(carried, same, "left")
@@ -168,7 +172,9 @@ class RangeScan:
                 merged[name] = F.greatest(f"_in_{name}", f"_out_{name}")
         kept = [c for c in self.df.columns if c not in merged]
         done = joined.select(*kept, *[value.alias(name) for name, value in merged.items()])
-        return RangeScan(materialize(done), self.keys, self.order, self.policy, laid_out=True)
+        done = RangeScan(materialize(done), self.keys, self.order, self.policy, laid_out=True)
+        scratch.close()
+        return done
 
     def lagged(self, position: str, steps: int, **columns: str) -> "RangeScan":
         # (key, position) is unique, so this join spreads evenly however hot the key is.

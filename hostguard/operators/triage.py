@@ -15,7 +15,7 @@ def priority_values(extra: dict[str, int] = {}) -> dict[str, int]:
     values = dict(PRIORITIES)
     for name, value in extra.items():
         if value in values.values():
-            raise ValueError(f"Priority value {value} already registered")
+            raise ValueError(f"two priorities have the number {value}")
         values[name.upper()] = value
     return values
 
@@ -25,7 +25,7 @@ def named_priority(df: DataFrame, column: str, extra: dict[str, int] = {}) -> Da
     values = priority_values(extra)
     name = F.upper(F.col(column))
     number = F.coalesce(*[F.when(name == known, F.lit(value)) for known, value in values.items()])
-    error = F.when(number.isNull(), F.concat(F.lit("Unknown priority name: "), F.col(column)))
+    error = F.when(number.isNull(), F.concat(F.lit("no such priority: "), F.col(column)))
     return df.withColumns({"priority": number, "error": error})
 
 

@@ -219,8 +219,8 @@ def p8(spark, folder):
 
 
 @query("p9_validate_events", f"""WITH {NORMAL_SQL} SELECT event_id, type, CASE
-  WHEN type = 'failed_login' AND event_id % 5 = 2 THEN 'Invalid IP address in failed_login data: 999.1.1.1'
-  WHEN type = 'process_activity' AND event_id % 5 = 4 AND event_id % 3 = 0 THEN 'Invalid PID value: 0' END AS error
+  WHEN type = 'failed_login' AND event_id % 5 = 2 THEN 'not an IP address: 999.1.1.1'
+  WHEN type = 'process_activity' AND event_id % 5 = 4 AND event_id % 3 = 0 THEN 'not a process id: 0' END AS error
 FROM norm""")
 def p9(spark, folder):
     return events.check_events(normal_events(spark, folder)).select("event_id", "type", "error")
@@ -294,8 +294,8 @@ def p12(spark, folder):
     return found.select("event_id", "id", "type", sorted_json("data").alias("data"), "error")
 
 
-@query("p13_activity", """SELECT event_id, user_id, CASE WHEN event_id % 19 = 0 THEN 'missing required key: ''process'''
-    WHEN event_id % 13 = 0 THEN 'activity_score must be numeric' END AS error,
+@query("p13_activity", """SELECT event_id, user_id, CASE WHEN event_id % 19 = 0 THEN 'process is missing'
+    WHEN event_id % 13 = 0 THEN 'activity_score is not a number' END AS error,
   CASE WHEN event_id % 13 <> 0 AND event_id % 19 <> 0 THEN value >= 90 END AS detected FROM events""")
 def p13(spark, folder):
     rows = views.events(spark, folder).select(
@@ -331,7 +331,7 @@ def p14(spark, folder):
 @query("p15_alerts", f"""WITH i AS (SELECT event_id, user_id, {ALERT_INPUT} FROM events)
 SELECT event_id, user_id, {SEVERITY_SQL} AS severity, coalesce(timestamp, '2024-02-01T00:00:00.000Z') AS timestamp,
   message AS description, type AS event_type, coalesce(source, 'unknown') AS source,
-  CASE WHEN message IS NULL THEN 'missing required field: message' END AS error FROM i""")
+  CASE WHEN message IS NULL THEN 'message is missing' END AS error FROM i""")
 def p15(spark, folder):
     return alerts.generate_alerts(alert_input(spark, folder), F.lit(AS_OF))
 
@@ -421,8 +421,8 @@ def p18(spark, folder):
   CASE WHEN event_id % 4 < 2 THEN CAST(1704067300 AS DOUBLE) END AS ack_at, CASE WHEN event_id % 9 = 0 THEN CAST(1704067400 AS DOUBLE) END AS res_at FROM events)
 SELECT seq, CASE WHEN acknowledged THEN coalesce(ack_at, {AS_OF}) ELSE ack_at END AS acknowledged_at,
   CASE WHEN resolved THEN coalesce(res_at, {AS_OF}) ELSE res_at END AS resolved_at,
-  CASE WHEN resolved AND NOT acknowledged THEN 'resolved=True requires acknowledged=True'
-       WHEN ack_at IS NOT NULL AND NOT acknowledged THEN 'acknowledged_at present but acknowledged=False' END AS error FROM f""")
+  CASE WHEN resolved AND NOT acknowledged THEN 'resolved without being acknowledged'
+       WHEN ack_at IS NOT NULL AND NOT acknowledged THEN 'time of acknowledgement on an alert not acknowledged' END AS error FROM f""")
 def p19(spark, folder):
     flags = views.events(spark, folder).selectExpr(
         "event_id AS seq", "concat('a', event_id) AS id", "event_id % 2 = 0 AS acknowledged", "event_id % 3 = 0 AS resolved",
@@ -603,7 +603,7 @@ def x3(spark, folder):
 
 
 @query("x4_custom_priority", """SELECT event_id, CASE event_type WHEN 'error' THEN -1 WHEN 'view' THEN 7 WHEN 'click' THEN 2 WHEN 'signup' THEN 0 END AS priority,
-  CASE WHEN event_type NOT IN ('error', 'view', 'click', 'signup') THEN 'Unknown priority name: ' || event_type END AS error FROM events""")
+  CASE WHEN event_type NOT IN ('error', 'view', 'click', 'signup') THEN 'no such priority: ' || event_type END AS error FROM events""")
 def x4(spark, folder):
     name = F.expr("CASE event_type WHEN 'error' THEN 'urgent' WHEN 'view' THEN 'Batch' WHEN 'click' THEN 'low' WHEN 'signup' THEN 'HIGH' ELSE event_type END")
     rows = views.events(spark, folder).select("event_id", name.alias("name"))

@@ -136,10 +136,8 @@ SELECT worker, day, CAST(greatest(0, least(100, 100 - CASE WHEN worker = 3 THEN
   round(1 / ewma, 2) AS recent_throughput_eps, backlog > 800 AND 1 / ewma < 0.1 AS stagnation_detected FROM m""")
 def a8(spark, folder):
     runs, keys = _runs(spark, folder), ["worker", "day"]
-    totals = metrics.outcome_rollup(runs, keys, F.col("ok"), F.col("alerts"), F.col("seconds"))
-    backlog = runs.groupBy(*keys).agg(F.max("backlog").alias("backlog"))
-    means = metrics.ewma(runs, keys, "seconds", ["ts_us"])
-    rows = totals.join(backlog, keys).join(means, keys)
+    totals = metrics.outcome_totals(F.col("ok"), F.col("alerts"), F.col("seconds"))
+    rows = metrics.ewma(runs, keys, "seconds", ["ts_us"], also={**totals, "backlog": F.max("backlog")})
     alive = F.when(F.col("worker") == 3, F.lit(3)).otherwise(F.lit(4))
     scored = metrics.health(rows, alive=alive)
     return scored.select(*keys, "health_score", "worker_efficiency", "queue_pressure", "recent_throughput_eps",
@@ -202,7 +200,7 @@ def a9(spark, folder):
 
 
 @query("a9_refused_actions", f"""WITH {ACTIONS} SELECT alert_id, seq, action || '' AS action,
-  'Cannot resolve an alert that has not been acknowledged' AS error FROM act JOIN acked USING (alert_id)
+  'resolved before it was acknowledged' AS error FROM act JOIN acked USING (alert_id)
   WHERE action = 'resolve' AND (ack_seq IS NULL OR seq < ack_seq)""")
 def a9_refused(spark, folder):
     _, refused = _alert_actions(spark, folder)

@@ -110,7 +110,7 @@ def score_stream(
         return score_outliers(stream, profile, by, column, sigmas)
     row = profile.select("mean", "variance").first()
     if row is None:
-        raise ValueError("profile must contain 'mean' and 'variance'")
+        raise ValueError("the profile lacks a mean or a variance")
     fixed = {"mean": F.lit(row.mean), "variance": F.lit(row.variance)}
     return score_outliers(stream.withColumns(fixed), None, column=column, sigmas=sigmas)
 

@@ -25,9 +25,9 @@ def test_baseline_without_usable_rows(spark):
     assert baseline.build_baseline(metric(spark, [])).count() == 0
     assert baseline.build_baseline(metric(spark, ["ten"], "string")).count() == 0
     errors = baseline.read_metric(metric(spark, ["ten", None, " 7 "], "string")).collect()
-    assert [r.error for r in errors] == ["metric value must be numeric", "missing required key: metric", None]
+    assert [r.error for r in errors] == ["value is not a number", "metric is missing", None]
     assert errors[2].value == 7.0
-    assert baseline.read_metric(spark.range(1)).first().error == "missing required key: metric"
+    assert baseline.read_metric(spark.range(1)).first().error == "metric is missing"
 
 
 @pytest.mark.parametrize("mean,variance,value,want", [
@@ -42,7 +42,7 @@ def test_outliers(spark, mean, variance, value, want):
 def test_outliers_without_profile(spark):
     none = spark.createDataFrame([], "mean double, variance double")
     row = baseline.score_outliers(metric(spark, [1.0]), none).first()
-    assert row.anomaly is None and row.error == "profile must contain 'mean' and 'variance'"
+    assert row.anomaly is None and row.error == "the profile lacks a mean or a variance"
 
 
 def test_history_threshold(spark):
@@ -113,7 +113,7 @@ def test_triage(spark):
     assert [r.seq for r in triage.take_with_quotas(df, 5, {0: 0.6, 1: 0.2}, policy=split).collect()] == [1, 3, 4, 2, 0]
     named = spark.createDataFrame([("high",), ("urgent",), ("x",)], "p string")
     got = triage.named_priority(named, "p", {"urgent": -1}).collect()
-    assert [(r.priority, r.error) for r in got] == [(0, None), (-1, None), (None, "Unknown priority name: x")]
+    assert [(r.priority, r.error) for r in got] == [(0, None), (-1, None), (None, "no such priority: x")]
     with pytest.raises(ValueError):
         triage.priority_values({"again": 1})
 
