@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
 from hostguard.functions.text import iso_millis
 from hostguard.operators.events import MAX_TIMESTAMP, MIN_TIMESTAMP, text_map
@@ -198,10 +199,22 @@ def dedup_key() -> Column:
 
 
 def content_hash() -> Column:
-    """sha256 of the alert's set fields as JSON, fields and metadata in sorted order."""
-    fields = sorted(field.name for field in ALERT_SCHEMA)
-    ordered = F.map_from_entries(F.array_sort(F.map_entries("metadata")))
-    return F.sha2(F.to_json(F.struct(*[(ordered if n == "metadata" else F.col(n)).alias(n) for n in fields])), 256)
+    """sha256 of the alert's set fields as JSON, fields and metadata in sorted order.
+
+    Times are whole microseconds in text, which every engine writes alike; those beyond a long's range (or not a
+    number) are the text of the double.
+    """
+
+    def written(field: StructField) -> Column:
+        if field.name == "metadata":
+            return F.map_from_entries(F.array_sort(F.map_entries("metadata")))
+        if isinstance(field.dataType, DoubleType):
+            micros = F.round(F.col(field.name) * 1_000_000).try_cast("bigint")
+            return F.coalesce(micros.cast("string"), F.col(field.name).cast("string"))
+        return F.col(field.name)
+
+    fields = sorted(ALERT_SCHEMA, key=lambda field: field.name)
+    return F.sha2(F.to_json(F.struct(*[written(field).alias(field.name) for field in fields])), 256)
 
 
 def with_identity(df: DataFrame) -> DataFrame:

@@ -104,11 +104,13 @@ def with_threshold(df: DataFrame, cfg: DetectionConfig, value: str) -> DataFrame
     spread = f"CAST({n} * history_squares - {total} * {total} AS DECIMAL(38,0))"
     stdev = f"CASE WHEN history_n = 1 THEN 1.0D ELSE sqrt(CAST({spread} AS DOUBLE) / (history_n * (history_n - 1))) END"
     lead = f"CAST({n} * CAST({value} AS DECIMAL(19,0)) - {total} AS DECIMAL(19,0))"
-    over = f"""{lead} > 0 AND {lead} * {lead} * CAST((history_n - 1) * {factor.denominator} AS DECIMAL(9,0))
-               > {spread} * CAST(history_n * {factor.numerator} AS DECIMAL(9,0))"""
-    if max(factor.denominator, factor.numerator) * cfg.baseline_max_history >= 10**9:
-        # The squared multiplier has too many digits for whole numbers of this size: compare as doubles.
-        over = f"{value} > history_sum / history_n + {multiplier}D * {stdev}"
+    # The factors as whole numbers: nine digits for an ordinary multiplier, 19 for one with many decimals.
+    largest = max(factor.denominator, factor.numerator) * cfg.baseline_max_history
+    if largest >= 10**19:
+        raise ValueError(f"baseline_std_multiplier {multiplier} has too many digits to be compared exactly")
+    wide = f"DECIMAL({9 if largest < 10**9 else 19},0)"
+    over = f"""{lead} > 0 AND {lead} * {lead} * CAST(CAST(history_n - 1 AS DECIMAL(9,0)) * {factor.denominator} AS {wide})
+               > {spread} * CAST({n} * {factor.numerator} AS {wide})"""
     return df.selectExpr(
         "*",
         f"""CASE WHEN history_n >= {cfg.baseline_min_samples} THEN history_sum / history_n + {multiplier}D * {stdev}

@@ -43,6 +43,7 @@ CASES = [
     (2, DetectionConfig(), HOT, dict(hot_share=0.5)),
     (3, DetectionConfig(ip_ttl=60, score_decay_per_second=0.3), HOT, dict(gaps=EDGE_GAPS)),
     (4, DetectionConfig(baseline_max_history=15, baseline_std_multiplier=1.5, burst_window=90), ORDINARY, {}),
+    (9, DetectionConfig(baseline_max_history=15, baseline_std_multiplier=1.73205, burst_window=90), ORDINARY, {}),
 ]
 
 

@@ -142,6 +142,21 @@ def test_alert_normalising_and_dedup_key(spark):
     assert len(cut) == 100 and all(len(v) == 10000 for v in cut.values())
 
 
+def test_content_hash_of_times(spark):
+    times = [1704067300.5, 1704067300.500001, None, 1e30, -2e30, float("nan"), 1704067300.5]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, timestamp double")
+    given = rows.selectExpr("*", "'a' AS id", "'ERROR' AS severity", "'m' AS message")
+    fixed = alerts.normalize_alerts(given, F.lit(NOW)).withColumn("timestamp", F.element_at(F.array(*[
+        F.lit(t).cast("double") for t in times]), F.col("i") + 1))
+    got = alerts.with_identity(fixed).orderBy("i").collect()
+    written = ["1704067300500000", "1704067300500001", None, "1.0E30", "-2.0E30", "NaN", "1704067300500000"]
+    for row, time in zip(got, written, strict=True):
+        fields = {"acknowledged": False, "dedup_key": row.dedup_key, "id": row.id, "message": "m", "metadata": {},
+                  "resolved": False, "severity": "ERROR", "timestamp": time, "version": 1}
+        text = json.dumps({k: v for k, v in fields.items() if v is not None}, separators=(",", ":"))
+        assert row.content_hash == hashlib.sha256(text.encode()).hexdigest()
+
+
 def cleaned(value):
     if isinstance(value, str):
         return value[:10000]
