@@ -12,7 +12,7 @@ from hostguard.operators.rules import RULE_COLUMNS
 from hostguard.operators.skew import SkewPolicy
 from hostguard.plans import views
 from hostguard.plans.detector_queries import (
-    ALERT_COLUMNS, ALL_RULES, ATTEMPT_SQL, ATTEMPTS, CANDIDATES, COUNTS, PROFILE, SHORT_TTL, STRETCHED, US, cooled_sql, rounded,
+    ALERT_COLUMNS, ALL_RULES, ATTEMPT_SQL, ATTEMPTS, CANDIDATES, COUNTS, GROUP_PROFILE, PROFILE, SHORT_TTL, STRETCHED, US, cooled_sql, rounded,
 )
 from hostguard.plans.registry import ORACLES, query
 from hostguard.plans.row_queries import LINES
@@ -23,6 +23,7 @@ from hostguard.sources.deltas import DeltaState, Recovery
 from hostguard.streaming import detectors, sinks
 from hostguard.streaming.counters import CounterSink
 from hostguard.streaming.incremental import IncrementalDetector
+from hostguard.streaming.profiles import OutlierSink, ProfileSink
 
 FILES = 10
 # A row of its own key far ahead moves the watermark past the last real row.
@@ -288,6 +289,40 @@ def t8(spark, folder):
     return collected(spark, scored.select("event_id", "value", "anomaly"))
 
 
+@query("a1_running_profile",
+       f"WITH {GROUP_PROFILE} SELECT event_type, round(mean, 6) AS mean, round(variance, 6) AS variance, samples FROM prof")
+def a1_running(spark, folder):
+    """The profile per type after ten micro-batches, each merged with the version before it."""
+    rows = views.metrics(spark, folder)
+    profile = ProfileSink(snapshots.scratch_path(rows, "profile"), ["event_type"])
+    source = replayed(spark, rows.withColumn("ts", F.timestamp_micros("ts_us")))
+    with partitions(spark):
+        sinks.run_available(source, profile, snapshots.scratch_path(rows, "checkpoint"))
+    found = profile.profile(spark)
+    return found.select("event_type", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"), "samples")
+
+
+@query("t8_running_outliers", f"""WITH e AS (SELECT event_id, event_type, value, epoch_us(ts) AS us FROM events),
+cuts AS (SELECT unnest(quantile_cont(us, {[i / FILES for i in range(1, FILES)]})) AS cut FROM e),
+p AS (SELECT *, (SELECT count(*) FROM cuts WHERE us > cut) AS part FROM e),
+prof AS (SELECT k.part, event_type, avg(value) AS mean, var_pop(value) AS variance
+         FROM range({FILES}) AS k(part) JOIN p ON p.part < k.part GROUP BY k.part, event_type)
+SELECT event_id, value, CASE WHEN variance = 0 THEN value <> mean ELSE abs(value - mean) > 2 * sqrt(variance) END AS anomaly
+FROM p LEFT JOIN prof USING (part, event_type)""")
+def t8_running(spark, folder):
+    """Ten micro-batches, each scored per type by the profile of those before it."""
+    rows = views.metrics(spark, folder)
+    path = snapshots.scratch_path(rows, "out")
+
+    def write(scored: DataFrame, number: int) -> None:
+        scored.select("event_id", "value", "anomaly").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    sink = OutlierSink(ProfileSink(snapshots.scratch_path(rows, "profile"), ["event_type"]), write, sigmas=2)
+    with partitions(spark):
+        sinks.run_available(replayed(spark, rows.withColumn("ts", F.timestamp_micros("ts_us"))), sink, snapshots.scratch_path(rows, "checkpoint"))
+    return spark.read.schema("event_id long, value double, anomaly boolean").parquet(path).select("event_id", "value", "anomaly")
+
+
 @query("s2_new_lines", f"WITH {LINES} SELECT line, count(*) AS n FROM lines GROUP BY line")
 def s2(spark, folder):
     rows = views.lines(spark, folder)

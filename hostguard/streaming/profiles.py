@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostguard.operators.baseline import build_baseline, score_outliers
+from hostguard.operators.baseline import OUTLIER_SIGMAS, build_baseline, score_outliers
 from hostguard.sources.deltas import remove, whole_parts
 
 
@@ -76,15 +76,16 @@ class OutlierSink:
     ``write`` takes (scored rows, batch id). In the first batch no row has a profile, which its ``error`` says.
     """
 
-    def __init__(self, profile: ProfileSink, write) -> None:
-        self.profile, self.write = profile, write
+    def __init__(self, profile: ProfileSink, write, sigmas: float = OUTLIER_SIGMAS) -> None:
+        self.profile, self.write, self.sigmas = profile, write, sigmas
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         before = self.profile.profile(batch.sparkSession, batch_id)
         if before is None:
             nothing = F.lit(None).cast("double")
-            scored = score_outliers(batch.withColumns({"mean": nothing, "variance": nothing}), None, column=self.profile.column)
+            batch_with = batch.withColumns({"mean": nothing, "variance": nothing})
+            scored = score_outliers(batch_with, None, column=self.profile.column, sigmas=self.sigmas)
         else:
-            scored = score_outliers(batch, before, self.profile.by, self.profile.column)
+            scored = score_outliers(batch, before, self.profile.by, self.profile.column, self.sigmas)
         self.write(scored, batch_id)
         self.profile(batch, batch_id)
