@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from hostguard.functions.text import iso_millis
+from hostguard.functions.text import bound, iso_millis
 from hostguard.operators.events import MAX_TIMESTAMP, MIN_TIMESTAMP, text_map
 from hostguard.schemas import ALERT_SCHEMA
 
@@ -116,40 +116,66 @@ def cut_value(text: Column) -> Column:
     At every depth strings are cut to the limit and nulls leave lists and objects; keys are kept whole. Text that
     needs neither stays as it is, and so does the limit for text that only looks like JSON.
     """
-    nested = text.rlike(r"^\s*[\[{]") & ((F.length(text) > MAX_METADATA_VALUE) | text.contains("null"))
-    value = F.try_parse_json(F.when(nested, text))
-    is_nested = F.schema_of_variant(value).rlike("^(ARRAY|OBJECT)")
-    return F.when(is_nested, clean_json(F.to_json(value))).otherwise(F.substring(text, 1, MAX_METADATA_VALUE))
+    begins = text.startswith("{") | text.startswith("[") | text.rlike(r"^\s*[\[{]")
+    nested = begins & ((F.length(text) > MAX_METADATA_VALUE) | text.contains("null"))
+    # Text that begins like a list or an object and can be parsed is one.
+    parsed = F.to_json(F.try_parse_json(F.when(nested, text)))
+    plain = F.substring(text, 1, MAX_METADATA_VALUE)
+    return bound(parsed, lambda json: F.when(json.isNotNull(), clean_json(json)).otherwise(plain))
 
 
 def clean_json(text: Column) -> Column:
     """JSON text without white space between its tokens: long strings cut, nulls taken out, at any depth.
 
     Escaped quotes are written as code points first. A quote then always begins or ends a string, and the text is a
-    row of pieces, structure and strings in turn, that one pass goes through whatever the depth.
+    row of pieces, structure and strings in turn, whatever the depth. Nulls are taken out of the structure, in which a
+    number stands for each string; then the strings that are left come back, each cut on its own.
     """
+
+    def cut(piece: Column) -> Column:
+        value = F.try_parse_json(F.concat(F.lit('"'), piece, F.lit('"'))).try_cast("string")
+        again = F.to_json(F.substring(value, 1, MAX_METADATA_VALUE).cast("variant"))
+        escaped = bound(again, lambda json: _without_escapes(F.substring(json, F.lit(2), F.length(json) - 2)))
+        # A string without a backslash is written as it is.
+        return F.when(piece.contains("\\"), escaped).otherwise(F.substring(piece, 1, MAX_METADATA_VALUE))
+
+    def without_nulls(structure: Column) -> Column:
+        # A string is taken whole, so its number is not read as structure.
+        full = F.regexp_replace(
+            structure, r'("[^"]*"(?!:null[,}]))|"[^"]*":null(?:,|(?=\}))|(?<=[\[,])null(?:,|(?=\]))', "$1"
+        )
+        closed = F.regexp_replace(full, r'("[^"]*")|,(?=[\]}])', "$1")
+        return F.when(structure.contains("null"), closed).otherwise(structure)
+
+    def cleaned(pieces: Column) -> Column:
+        numbered = F.transform(pieces, lambda piece, at: F.when(at % 2 == 1, at.cast("string")).otherwise(piece))
+
+        def filled(kept: Column) -> Column:
+            def string(text: Column, at: Column) -> Column:
+                is_key = F.coalesce(F.get(kept, at + 1).startswith(":"), F.lit(False))
+                return F.when((F.length(text) > MAX_METADATA_VALUE) & ~is_key, cut(text)).otherwise(text)
+
+            def back(piece: Column, at: Column) -> Column:
+                found = bound(F.get(pieces, piece.try_cast("int")), lambda text: string(text, at))
+                return F.when(at % 2 == 1, found).otherwise(piece)
+
+            return F.array_join(F.transform(kept, back), '"')
+
+        return bound(F.split(bound(F.array_join(numbered, '"'), without_nulls), '"', -1), filled)
+
+    plain = bound(text, _without_escapes)
+    return bound(bound(F.split(plain, '"', -1), cleaned), _with_escapes)
+
+
+def _without_escapes(text: Column) -> Column:
+    """Backslashes and quotes inside strings as code points; most texts have none."""
     plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022"))
-    pieces = F.split(plain, '"', -1)
-    onward = F.slice(pieces, F.lit(2), F.size(pieces))
-    pairs = F.arrays_zip(pieces.alias("piece"), onward.alias("following"))
-
-    def cut(pair: Column, at: Column) -> Column:
-        piece = pair["piece"]
-        quoted = F.concat(F.lit('"'), piece, F.lit('"'))
-        short = F.substring(F.try_parse_json(quoted).try_cast("string"), 1, MAX_METADATA_VALUE)
-        again = F.to_json(short.cast("variant"))
-        again = F.replace(F.replace(again, F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022"))
-        is_key = F.coalesce(pair["following"].startswith(":"), F.lit(False))
-        long_string = (at % 2 == 1) & (F.length(piece) > MAX_METADATA_VALUE) & ~is_key
-        return F.when(long_string, F.substring(again, F.lit(2), F.length(again) - 2)).otherwise(piece)
-
-    short = F.when(F.length(plain) > MAX_METADATA_VALUE, F.array_join(F.transform(pairs, cut), '"')).otherwise(plain)
-    # A string is taken whole, so what is said inside one is not read as structure.
-    full = F.regexp_replace(
-        short, r'("[^"]*"(?!:null[,}]))|"[^"]*":null(?:,|(?=\}))|(?<=[\[,])null(?:,|(?=\]))', "$1"
-    )
-    closed = F.regexp_replace(full, r'("[^"]*")|,(?=[\]}])', "$1")
-    return F.replace(F.replace(closed, F.lit("\\u0022"), F.lit('\\"')), F.lit("\\u005c"), F.lit("\\\\"))
+    return F.when(text.contains("\\"), plain).otherwise(text)
+
+
+def _with_escapes(text: Column) -> Column:
+    escaped = F.replace(F.replace(text, F.lit("\\u0022"), F.lit('\\"')), F.lit("\\u005c"), F.lit("\\\\"))
+    return F.when(text.contains("\\u00"), escaped).otherwise(text)
 
 
 def check_workflow(df: DataFrame, as_of: Column) -> DataFrame:
