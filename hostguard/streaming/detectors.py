@@ -86,15 +86,26 @@ def global_alerts(stream: DataFrame, cfg: DetectionConfig = DetectionConfig(), d
 
 
 def suppress_repeats(
-    stream: DataFrame, keys: list[str], ttl_s: float = 2.0, delay: str = "10 seconds"
+    stream: DataFrame, keys: list[str], ttl_s: float = 2.0, delay: str = "10 seconds", buckets: int = 512
 ) -> DataFrame:
-    """(keys, seq, ts_us) of rows whose key was not let through in the last ``ttl_s`` seconds."""
-    rows = _timed(stream, delay).select("ts", *keys, "ts_us", "seq", "weight")
-    fields = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys]
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        RepeatFilter(keys, round(ttl_s * 1_000_000)), ", ".join([*fields, "seq bigint, ts_us bigint"]), "Append",
-        "EventTime",
+    """(keys, seq, ts_us) of rows whose key was not let through in the last ``ttl_s`` seconds.
+
+    The keys are of types that text tells apart (text, whole numbers, decimals, dates, booleans).
+    """
+    # Keys are handled by the bucket, as text: a call into Python per key costs more than the rows of most keys.
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+    names = [f"key_{i}" for i in range(len(keys))]
+    texts = [F.col(k).cast("string").alias(name) for k, name in zip(keys, names)]
+    fields = ", ".join(["bucket int", *[f"{name} string" for name in names], "seq bigint, ts_us bigint"])
+    found = (
+        _timed(stream, delay)
+        .select("ts", bucket, *texts, "ts_us", "seq")
+        .groupBy("bucket")
+        .transformWithStateInPandas(RepeatFilter("bucket", names, round(ttl_s * 1_000_000)), fields, "Append", "EventTime")
     )
+    kinds = [stream.schema[k].dataType for k in keys]
+    back = [F.col(name).cast(kind).alias(k) for k, name, kind in zip(keys, names, kinds)]
+    return found.select(*back, "seq", "ts_us")
 
 
 def approximate_repeats(stream: DataFrame, keys: list[str], ttl_s: float = 2.0) -> DataFrame:
