@@ -6,8 +6,10 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from hostguard.operators.baseline import build_baseline
+from hostguard.operators.quantiles import exact_percentiles
 from hostguard.operators.rules import RULE_COLUMNS
 from hostguard.operators.skew import SkewPolicy
 from hostguard.plans import views
@@ -17,6 +19,7 @@ from hostguard.plans.detector_queries import (
 from hostguard.plans.registry import ORACLES, query
 from hostguard.plans.row_queries import LINES
 from hostguard.plans.table_queries import REPEAT_S, STATES, _recovery_inputs, _replay_sql, _states
+from hostguard.session import Scratch
 from hostguard.sources import lines as line_source
 from hostguard.sources import snapshots
 from hostguard.sources.deltas import DeltaState, Recovery
@@ -26,26 +29,41 @@ from hostguard.streaming.incremental import IncrementalDetector
 from hostguard.streaming.profiles import OutlierSink, ProfileSink
 
 FILES = 10
+# Rows of one file of a replayed stream.
+FILE_ROWS = 500_000
 # A row of its own key far ahead moves the watermark past the last real row.
 END = "timestamp'2030-01-01 00:00:00'"
 
 
-def replayed(spark, rows: DataFrame, end: DataFrame | None = None, files: int = FILES, order: str = "ts") -> DataFrame:
-    """``rows`` as a stream of ``files`` micro-batches in order of the column ``order``, closed by the row ``end``."""
+def replayed(
+    spark, rows: DataFrame, end: DataFrame | None = None, files: int = FILES, order: str = "ts", file_rows: int = FILE_ROWS
+) -> DataFrame:
+    """``rows`` as a stream of ``files`` micro-batches in order of the column ``order``, closed by the row ``end``.
+
+    Every micro-batch has the same number of files, so large ones are written and read by many tasks.
+    """
     path = snapshots.scratch_path(rows, "stream")
     moment = F.unix_micros(order)
-    cuts = rows.agg(F.percentile(moment, [i / files for i in range(1, files)])).first()[0] or []
     part = F.lit(0)
-    for cut in cuts:
+    for cut in exact_percentiles(rows, moment, [i / files for i in range(1, files)]):
         part = part + (moment > cut).cast("int")
-    rows = rows.withColumn("_part", part).persist()
+    staged = Scratch(spark)
+    folder = staged.folder()
+    rows.withColumn("_part", part).write.partitionBy("_part").parquet(folder)
+    parted = spark.read.schema(StructType([*rows.schema, StructField("_part", IntegerType())])).parquet(folder)
+    largest = parted.groupBy("_part").count().agg(F.max("count")).first()[0] or 0
+    each = max(1, -(-largest // file_rows))
     for number in range(files):
         # Files are taken in the order in which they were written.
-        rows.filter(F.col("_part") == number).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    rows.unpersist()
+        share = parted.filter(F.col("_part") == number).drop("_part")
+        (share.coalesce(1) if each == 1 else share.repartition(each)).write.mode("append").parquet(path)
+        # A task without rows writes no file.
+        while snapshots.data_files(rows, path) < (number + 1) * each:
+            share.limit(0).coalesce(1).write.mode("append").parquet(path)
+    staged.drop_folder(folder)
     if end is not None:
         end.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.drop("_part").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 @contextmanager

@@ -16,3 +16,11 @@ def scratch_path(df: DataFrame, name: str) -> str:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return path
+
+
+def data_files(df: DataFrame, path: str) -> int:
+    """Files of a written table, without markers."""
+    spark = df.sparkSession
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(jvm_path)
+    return sum(not status.getPath().getName().startswith(("_", ".")) for status in found)
