@@ -9,8 +9,11 @@ Texts with equal sets are one point of the space; the join is over points. It re
    to it in some region. Regions of shingles that one text has hold one point and are never made.
 3. Points of a region. A region whose points are not yet known to be connected takes some as pivots and measures
    their distance to every other point of it that may link: one in another component, within the size window, and
-   whose distance to the region's first pivot differs by at most 1 - t (the ring window). Links join components;
-   pivots leave the region, as they have met everyone; the region recurses until all its points are connected.
+   whose distance to the region's first pivot differs by at most 1 - t (the ring window), and such that both have
+   enough shingles from the region's on (the rest window): the first shingle in the order that two points share gives a
+   region of both, and what comes before it in either is not in the other. Pivots are the points with the fewest
+   shingles before the region's, which the copies of a text that were changed most are nearest to. Links join
+   components; pivots leave the region, as they have met everyone; the region recurses until all its points are connected.
 
 Regions with the same points are one. Every point first joins in its largest region only, then in the others that hold
 points not yet connected. A group of near copies is connected after the first turn, so its pairs are not enumerated, nor
@@ -204,33 +207,41 @@ def rarity(texts: DataFrame, width: int) -> Rarity:
     return Rarity(cut, bits, np.concatenate(heavy or [np.zeros(0, np.uint64)]), np.concatenate(counts or [np.zeros(0, np.int64)]))
 
 
-def nearest_pivots(shingles: np.ndarray, rare: Rarity, percent: int) -> np.ndarray:
-    """The shingles whose regions the point goes to, the rarest first, without those that no other point has."""
+def nearest_pivots(shingles: np.ndarray, rare: Rarity, percent: int) -> tuple[np.ndarray, int]:
+    """The shingles whose regions the point goes to, the rarest first, without those that no other point has.
+
+    And how many shingles the point has without those.
+    """
     n = len(shingles)
     need = n - -(-percent * n // 100) + 1
     shared = rare.shared(shingles)
-    need -= n - int(shared.sum())
+    met = int(shared.sum())
+    need -= n - met
     if need <= 0:
-        return shingles[:0]
+        return shingles[:0], met
     shingles = shingles[shared]
-    return shingles[np.lexsort((shingles, rare.weight(shingles)))[:need]]
+    return shingles[np.lexsort((shingles, rare.weight(shingles)))[:need]], met
 
 
 def points_of(docs: DataFrame, width: int, percent: int, rare: Rarity) -> DataFrame:
-    """(doc_id, text_key, n, sig, pivots) of every row; ``sig`` names the set, null for the empty one."""
+    """(doc_id, text_key, n, met, sig, pivots) of every row; ``sig`` names the set, null for the empty one.
+
+    ``met`` of the ``n`` shingles may be in other rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(rare)
-    names = ["doc_id", "text_key", "n", "sig", "pivots"]
+    names = ["doc_id", "text_key", "n", "met", "sig", "pivots"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of_rows(batches, 2, TEXT_BYTES):
             sets = [shingle_set(t.as_py(), width) for t in batch.column(2)]
             sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            pivots = [nearest_pivots(s, shared.value, percent).view(np.int64) if len(s) else [] for s in sets]
-            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(pivots, pa.list_(pa.int64()))]
+            nearest = [nearest_pivots(s, shared.value, percent) if len(s) else (s, 0) for s in sets]
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([met for _, met in nearest], pa.int64())]
+            columns += [pa.array(sigs, pa.binary()), pa.array([p.view(np.int64) for p, _ in nearest], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(docs), F.col("text").cast("string").alias("text"))
-    return in_tasks(rows, released(run), "doc_id bigint, text_key bigint, n bigint, sig binary, pivots array<bigint>")
+    return in_tasks(rows, released(run), "doc_id bigint, text_key bigint, n bigint, met bigint, sig binary, pivots array<bigint>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -276,49 +287,52 @@ def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return in_tasks(both, released(run), "a bigint, b bigint, shared bigint, joint bigint")
 
 
-def _order(point: Column) -> Column:
-    """Pivots are taken in this order, the same in every region, so that regions share their pairs."""
-    return F.xxhash64(point)
+def _order() -> Column:
+    """Pivots are taken in this order: few shingles before the region's first, then the same in every region."""
+    return F.struct((F.col("n") - F.col("rest")).alias("before"), F.xxhash64("point").alias("hash"), "point")
 
 
 def _pivots(members: DataFrame, pivots_each: int) -> DataFrame:
     """Some points of every region: from its largest component if that is large, else from outside it.
 
-    ``members`` has region, point, n, comp, ring. A pivot meets the other components only, so pivots of a component that
+    ``members`` has region, point, n, rest, comp, ring. A pivot meets the other components only, so pivots of a component that
     holds nearly the whole region cost little, and most of what is not yet connected to it links to one of them.
     """
     sizes = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("region").agg(F.max(F.struct("size", "comp")).alias("top"))
     largest = largest.select("region", F.col("top.comp").alias("main"), F.col("top.size").alias("size"))
     inside = F.col("comp") == F.col("main")
-    drawn = F.when(F.col("size") > 2 * pivots_each, inside).otherwise(~inside)
-    nth = F.row_number().over(Window.partitionBy("region").orderBy(_order(F.col("point")), "point"))
+    drawn = F.when(F.col("size") > 2 * pivots_each, inside).otherwise(~inside | (F.col("size") == 1))
+    nth = F.row_number().over(Window.partitionBy("region").orderBy(_order()))
     chosen = members.join(small(largest), "region").filter(drawn).withColumn("nth", nth).filter(F.col("nth") <= pivots_each)
     return chosen.drop("nth", "main", "size")
 
 
 def _pairs(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs (a, b) of a pivot and a point of its region that may link."""
-    p = pivots.select("region", F.col("point").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("ring").alias("pr"))
-    met = members.join(small(p), "region").filter("point <> p AND comp <> pc")
+    names = {"point": "p", "n": "pn", "rest": "prest", "comp": "pc", "ring": "pr"}
+    met = members.join(small(pivots.select("region", *[F.col(k).alias(v) for k, v in names.items()])), "region")
+    met = met.filter("point <> p AND comp <> pc")
     met = met.filter((F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent))
+    met = met.filter(F.least("rest", "prest") * (100 + percent) >= (F.col("n") + F.col("pn")) * percent)
     apart = F.abs(F.col("ring") - F.col("pr")) > F.lit(1 - percent / 100 + 1e-9)
     met = met.filter(~F.coalesce(apart, F.lit(False)))
     return met.select(F.least("point", "p").alias("a"), F.greatest("point", "p").alias("b")).distinct()
 
 
 def distinct_regions(replicas: DataFrame) -> DataFrame:
-    """(region, m): regions of several points, one for each set of points.
+    """(region, m): regions of several points, one for each set of points: the first in the order of the shingles.
 
     Sets are told apart by their size and two sums of 64-bit hashes; near copies fill many regions with the same points.
+    Of regions with the same points the first leaves each of them the longest rest.
     """
     names = [F.bit_xor(F.xxhash64("point", F.lit(seed))).alias(f"name{seed}") for seed in (1, 2)]
-    sets = replicas.groupBy("region").agg(F.count(F.lit(1)).alias("m"), *names).filter("m > 1")
-    return sets.groupBy("m", "name1", "name2").agg(F.min("region").alias("region")).select("region", "m")
+    sets = replicas.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("rest").alias("room"), *names).filter("m > 1")
+    return sets.groupBy("m", "name1", "name2").agg(F.max_by("region", "room").alias("region")).select("region", "m")
 
 
 def join_in_turns(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
-    """(node, root) of the points that are linked. ``members``: region, m, point, n.
+    """(node, root) of the points that are linked. ``members``: region, m, point, n, rest.
 
     First every point meets others in its largest region alone, which connects groups of near copies wherever they lie;
     then in all its regions that hold points not yet connected.
@@ -327,7 +341,7 @@ def join_in_turns(members: DataFrame, sets: DataFrame, percent: int, scratch: Sc
     largest = scratch.keep(largest)
     roots = None
     for part in (members.join(largest, ["point", "region"], "left_semi"), members):
-        roots = join_regions(part.select("region", "point", "n"), sets, percent, scratch, roots)
+        roots = join_regions(part.select("region", "point", "n", "rest"), sets, percent, scratch, roots)
     scratch.drop(largest)
     return roots
 
@@ -344,12 +358,12 @@ def unconnected(members: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
 def join_regions(
     members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, roots: DataFrame | None = None
 ) -> DataFrame | None:
-    """(node, root) of the points that are linked, those of ``roots`` included. ``members``: region, point, n."""
+    """(node, root) of the points that are linked, those of ``roots`` included. ``members``: region, point, n, rest."""
     comp = F.col("point")
     if roots is not None:
         members = members.join(small(roots.withColumnRenamed("node", "point")), "point", "left")
         comp = F.coalesce("root", "point")
-    start = scratch.keep(members.select("region", "point", "n", comp.alias("comp"), F.lit(None).cast("double").alias("ring")))
+    start = scratch.keep(members.select("region", "point", "n", "rest", comp.alias("comp"), F.lit(None).cast("double").alias("ring")))
     members = unconnected(start, scratch, few_parts(start.count()))
     scratch.drop(start)
     pivots_each, first = FIRST_PIVOTS, True
@@ -366,15 +380,15 @@ def join_regions(
         rest = members.join(small(pivots.select("region", "point")), ["region", "point"], "left_anti").drop("comp")
         if first:
             # The first pivot of each region, and everyone's distance to it where it was measured.
-            anchor = pivots.groupBy("region").agg(F.min(F.struct(_order(F.col("point")).alias("o"), "point")).alias("least"))
+            anchor = pivots.groupBy("region").agg(F.min(_order()).alias("least"))
             anchor = small(scratch.keep(anchor.select("region", F.col("least.point").alias("anchor")).coalesce(parts)))
             far = F.lit(1.0) - F.col("shared") / F.col("joint")
             both = F.array(F.struct(F.col("a").alias("anchor"), F.col("b").alias("point")), F.struct(F.col("b").alias("anchor"), F.col("a").alias("point")))
             known = found.select(F.explode(both).alias("both"), far.alias("far")).select("both.*", "far")
             rest = rest.drop("ring").join(anchor, "region", "left").join(small(known), ["anchor", "point"], "left")
-            rest = rest.select("region", "point", "n", F.col("far").alias("ring"))
+            rest = rest.select("region", "point", "n", "rest", F.col("far").alias("ring"))
         rest = rest.join(small(new_roots.withColumnRenamed("node", "point")), "point", "left")
-        rest = rest.select("region", "point", "n", F.coalesce("root", "point").alias("comp"), "ring")
+        rest = rest.select("region", "point", "n", "rest", F.coalesce("root", "point").alias("comp"), "ring")
         rest = scratch.keep(rest.coalesce(parts))
         # A region is done when its points are connected.
         new_members = unconnected(rest, scratch, parts)
@@ -395,10 +409,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(points_of(docs, width, percent, rarity(docs, width)))
     groups = rows.filter("sig IS NOT NULL").groupBy("sig").agg(
-        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("pivots").alias("pivots")
+        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("met").alias("met"),
+        F.count(F.lit(1)).alias("copies"), F.first("pivots").alias("pivots")
     )
     points = scratch.keep(groups.withColumn("point", F.monotonically_increasing_id()))
-    replicas = points.select(F.explode("pivots").alias("region"), "point", "n")
+    # ``rest``: the point's shingles from the region's on, in the order.
+    replicas = points.select(F.posexplode("pivots").alias("at", "region"), "point", "n", "met")
+    replicas = replicas.select("region", "point", "n", (F.col("met") - F.col("at")).alias("rest"))
     shared = scratch.keep(distinct_regions(replicas))
     members = scratch.keep(replicas.join(small(shared), "region"))
     named = points.select("point", "doc_id", "sig")

@@ -107,6 +107,29 @@ def test_jaccard_join_equals_brute_force(documents, monkeypatch, width, percent,
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows, width, percent)
 
 
+def test_pairs_of_a_large_group_of_near_copies_grow_with_the_group(documents, monkeypatch):
+    """Copies changed in one to four places: those of many changes link with few, which takes no pair of every two."""
+    measured = []
+    measure = jaccard_join.measure
+
+    def counted(pairs, sets):
+        measured.append(pairs.count())
+        return measure(pairs, sets)
+
+    monkeypatch.setattr(jaccard_join, "measure", counted)
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 300):
+        copy = list(words)
+        for j in rnd.sample(range(150), rnd.randint(1, 4)):
+            copy[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(copy)))
+    found = jaccard_join.near_duplicates(documents(rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows, 3, 90)
+    assert sum(measured) < 10 * len(rows), measured
+
+
 def test_jaccard_join_of_little(documents):
     assert jaccard_join.near_duplicates(documents([])).count() == 0
     rows = jaccard_join.near_duplicates(documents([(4, "a b c d"), (4, "x y z"), (None, "A b c d"), (2, "a  b C d")])).collect()
