@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hostguard.llm.common import batches_of_rows, few_parts, give_back, in_tasks, released, small, text_key
+from hostguard.llm.common import batches_of_rows, beside, few_parts, give_back, in_tasks, narrow, released, small, text_key
 from hostguard.llm.components import components
 from hostguard.llm.textarrays import MIX, mix, word_hashes
 from hostguard.session import Scratch
@@ -292,26 +292,27 @@ def _order() -> Column:
     return F.struct((F.col("n") - F.col("rest")).alias("before"), F.xxhash64("point").alias("hash"), "point")
 
 
-def _pivots(members: DataFrame, pivots_each: int) -> DataFrame:
+def _pivots(members: DataFrame, pivots_each: int, rows: int) -> DataFrame:
     """Some points of every region: from its largest component if that is large, else from outside it.
 
     ``members`` has region, point, n, rest, comp, ring. A pivot meets the other components only, so pivots of a component that
     holds nearly the whole region cost little, and most of what is not yet connected to it links to one of them.
     """
+    members = narrow(members, rows)
     sizes = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("region").agg(F.max(F.struct("size", "comp")).alias("top"))
     largest = largest.select("region", F.col("top.comp").alias("main"), F.col("top.size").alias("size"))
     inside = F.col("comp") == F.col("main")
     drawn = F.when(F.col("size") > 2 * pivots_each, inside).otherwise(~inside | (F.col("size") == 1))
     nth = F.row_number().over(Window.partitionBy("region").orderBy(_order()))
-    chosen = members.join(small(largest), "region").filter(drawn).withColumn("nth", nth).filter(F.col("nth") <= pivots_each)
+    chosen = beside(members, largest, "region", "inner", rows).filter(drawn).withColumn("nth", nth).filter(F.col("nth") <= pivots_each)
     return chosen.drop("nth", "main", "size")
 
 
-def _pairs(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) of a pivot and a point of its region that may link."""
+def _pairs(members: DataFrame, pivots: DataFrame, percent: int, most: int) -> DataFrame:
+    """The distinct pairs (a, b) of a pivot and a point of its region that may link; there are at most ``most``."""
     names = {"point": "p", "n": "pn", "rest": "prest", "comp": "pc", "ring": "pr"}
-    met = members.join(small(pivots.select("region", *[F.col(k).alias(v) for k, v in names.items()])), "region")
+    met = beside(members, pivots.select("region", *[F.col(k).alias(v) for k, v in names.items()]), "region", "inner", most)
     met = met.filter("point <> p AND comp <> pc")
     met = met.filter((F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent))
     met = met.filter(F.least("rest", "prest") * (100 + percent) >= (F.col("n") + F.col("pn")) * percent)
@@ -346,11 +347,13 @@ def join_in_turns(members: DataFrame, sets: DataFrame, percent: int, scratch: Sc
     return roots
 
 
-def unconnected(members: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
-    """The rows of regions whose points lie in several components."""
+def unconnected(members: DataFrame, scratch: Scratch, rows: int) -> DataFrame:
+    """The rows of regions whose points lie in several components; ``members`` has at most ``rows``."""
+    parts, members = few_parts(rows), narrow(members, rows)
     split = members.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    split = scratch.keep(split.select("region").coalesce(parts))
-    kept = scratch.keep(members.join(small(split), "region", "left_semi").coalesce(parts))
+    if parts > 1:
+        split = scratch.keep(split.coalesce(parts))
+    kept = scratch.keep(beside(members, split.select("region"), "region", "left_semi", rows).coalesce(parts))
     scratch.drop(split)
     return kept
 
@@ -364,34 +367,41 @@ def join_regions(
         members = members.join(small(roots.withColumnRenamed("node", "point")), "point", "left")
         comp = F.coalesce("root", "point")
     start = scratch.keep(members.select("region", "point", "n", "rest", comp.alias("comp"), F.lit(None).cast("double").alias("ring")))
-    members = unconnected(start, scratch, few_parts(start.count()))
+    members = unconnected(start, scratch, start.count())
     scratch.drop(start)
     pivots_each, first = FIRST_PIVOTS, True
     while rows := members.count():
         parts = few_parts(rows)
-        pivots = scratch.keep(_pivots(members, pivots_each).coalesce(parts))
-        pairs = scratch.keep(_pairs(members, pivots, percent))
-        found = scratch.keep(measure(pairs, sets).distinct().coalesce(few_parts(pairs.count())))
-        links = found.filter(F.col("shared") * 100 >= F.col("joint") * percent).select("a", "b")
+        pivots = scratch.keep(_pivots(members, pivots_each, rows).coalesce(parts))
+        pairs = scratch.keep(_pairs(members, pivots, percent, rows * pivots_each))
+        measured = pairs.count()
+        found = scratch.keep(measure(pairs, sets).distinct().coalesce(few_parts(measured)))
+        links, most = found.filter(F.col("shared") * 100 >= F.col("joint") * percent).select("a", "b"), measured
         if roots is not None:
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        new_roots = components(links, scratch)
+            most += roots.count()
+        new_roots = components(narrow(links, most), scratch)
+        # A link has two nodes at most, and no table below has more rows than this.
+        most = max(rows, 2 * most)
 
-        rest = members.join(small(pivots.select("region", "point")), ["region", "point"], "left_anti").drop("comp")
+        rest = beside(members, pivots.select("region", "point"), ["region", "point"], "left_anti", most).drop("comp")
         if first:
             # The first pivot of each region, and everyone's distance to it where it was measured.
-            anchor = pivots.groupBy("region").agg(F.min(_order()).alias("least"))
-            anchor = small(scratch.keep(anchor.select("region", F.col("least.point").alias("anchor")).coalesce(parts)))
+            anchor = narrow(pivots, most).groupBy("region").agg(F.min(_order()).alias("least"))
+            anchor = anchor.select("region", F.col("least.point").alias("anchor"))
+            if few_parts(most) > 1:
+                anchor = scratch.keep(anchor.coalesce(parts))
             far = F.lit(1.0) - F.col("shared") / F.col("joint")
             both = F.array(F.struct(F.col("a").alias("anchor"), F.col("b").alias("point")), F.struct(F.col("b").alias("anchor"), F.col("a").alias("point")))
             known = found.select(F.explode(both).alias("both"), far.alias("far")).select("both.*", "far")
-            rest = rest.drop("ring").join(anchor, "region", "left").join(small(known), ["anchor", "point"], "left")
+            rest = beside(rest.drop("ring"), anchor, "region", "left", most)
+            rest = beside(rest, known, ["anchor", "point"], "left", most)
             rest = rest.select("region", "point", "n", "rest", F.col("far").alias("ring"))
-        rest = rest.join(small(new_roots.withColumnRenamed("node", "point")), "point", "left")
+        rest = beside(rest, new_roots.withColumnRenamed("node", "point"), "point", "left", most)
         rest = rest.select("region", "point", "n", "rest", F.coalesce("root", "point").alias("comp"), "ring")
         rest = scratch.keep(rest.coalesce(parts))
         # A region is done when its points are connected.
-        new_members = unconnected(rest, scratch, parts)
+        new_members = unconnected(rest, scratch, rows)
         scratch.drop(members, pivots, pairs, found, rest, *([roots] if roots is not None else []))
         members, roots = new_members, new_roots
         pivots_each, first = pivots_each * 4, False

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from hostguard.llm import exact_dedup, jaccard_join
@@ -130,6 +131,31 @@ def test_pairs_of_a_large_group_of_near_copies_grow_with_the_group(documents, mo
     assert sum(measured) < 10 * len(rows), measured
 
 
+def test_small_regions_are_joined_where_they_lie(spark, monkeypatch):
+    """Turns over few rows broadcast nothing: each broadcast costs the driver memory, however small it is."""
+    sets = [np.sort(np.array([*set(range(100)) - {i}, 1000 + i], dtype=np.uint64)) for i in range(12)]
+    sets += [s + np.uint64(5000) for s in sets[:3]]
+    points = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "point long, shingles binary")
+    rows = [(region, i, 100, 100) for region in (7, 8) for i in range(15)]
+    members = spark.createDataFrame(rows, "region long, point long, n long, rest long")
+    plans, keep = [], Scratch.keep
+
+    def kept(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df)
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        roots = jaccard_join.join_regions(members, points, 80, Scratch(spark))
+        assert {r.node: r.root for r in roots.collect()} == {i: 0 if i < 12 else 12 for i in range(15)}
+    finally:
+        spark.conf.set(threshold, before)
+    assert len(plans) > 5 and not any("BroadcastExchange" in plan for plan in plans)
+
+
 def test_jaccard_join_of_little(documents):
     assert jaccard_join.near_duplicates(documents([])).count() == 0
     rows = jaccard_join.near_duplicates(documents([(4, "a b c d"), (4, "x y z"), (None, "A b c d"), (2, "a  b C d")])).collect()
